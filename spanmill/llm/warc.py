@@ -143,7 +143,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None:
                     name = f"{self.job}-{uuid.uuid4().hex}"
                     files.append(name)
-                    out, index = (store.open_output_stream(posixpath.join(root, f"_{name}.{kind}")) for kind in ("warc.gz", "idx"))
+                    out, index = (store.open_output_stream(posixpath.join(root, f"_{name}.{kind}"), compression=None) for kind in ("warc.gz", "idx"))
                     size = 0
                 packed = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
                 member = packed.compress(build_record(page_id, url, (payload or "").encode(), digest, refers_to)) + packed.flush()
@@ -247,7 +247,9 @@ class WarcReader(DataSourceReader):
         inflate = zlib.decompressobj(31)
         begun = inflate.decompress(packed, 2048)
         while (cut := begun.find(b"\r\n\r\n")) < 0:
-            begun += inflate.decompress(inflate.unconsumed_tail, 2048)
+            if not (more := inflate.decompress(inflate.unconsumed_tail, 2048)):
+                raise ValueError("a WARC record has no end of its headers")
+            begun += more
         return parse_headers(begun[:cut]), lambda: begun[cut + 4 :] + inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
 
     def read(self, partition: WarcFile):
@@ -262,7 +264,7 @@ class WarcReader(DataSourceReader):
         def batch():
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
-        index = store.open_input_stream(partition.index) if partition.index else None
+        index = store.open_input_stream(partition.index, compression=None) if partition.index else None
         with store.open_input_file(partition.path) as source:
             for head, rest in self._members(source, index):
                 row = _summary(head)

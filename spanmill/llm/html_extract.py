@@ -163,7 +163,7 @@ class Page:
                 digest = hashlib.blake2b("\x1f".join([tag, *held]).encode("utf-8", "replace"), digest_size=8).hexdigest()
                 if self._stack:
                     self._stack[-1][2].append(digest)
-                if tag not in _ROOTS and not headline:
+                if tag not in _ROOTS and tag not in _INLINE and not headline:
                     self.parts.append((int(digest, 16) - (1 << 63), first, end))
             if tag == "article" and not self._depth:
                 self.articles.append((first, end))

@@ -38,9 +38,9 @@ def class_table(separators) -> np.ndarray:
     return t
 
 
-#: Separators of the contracts' two kinds of words.
+#: Separators of the contracts' two kinds of words; A-Z count as the lower-case letters they become.
 SPACE_SEPARATORS = [0x20, *range(0x09, 0x0E)]
-SYMBOL_SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
+SYMBOL_SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 
 
 class RangeHasher:

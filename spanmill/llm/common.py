@@ -7,9 +7,11 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,14 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts the lineage, and the table outlives any executor.
+    This cuts the lineage, and the table outlives any executor; the shuffle
+    files that led to it are dropped.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` bits, a power of two, with the low bits of every key set.
+
+    It is made in Spark and is of one size whatever there is to hold, so it may
+    be broadcast; it says "no" or "maybe".
+    """
+    slot = f"pmod({column}, {bits}L)"
+    words = keys.selectExpr(f"CAST({slot} DIV 64 AS INT) AS word", f"shiftleft(1L, CAST({slot} % 64 AS INT)) AS bit")
+    mask = np.zeros(bits // 64, np.int64)
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    mask[np.asarray(found["word"])] = np.asarray(found["bits"])
+    return mask
+
+
+def maybe(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which int64 keys may be in a bitmap of ``bit_filter``."""
+    slot = keys & (64 * len(mask) - 1)
+    return (mask[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
 def utf8_batch(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow string column; nulls become empty rows."""
     if column.null_count:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import durable, steps, utf8_batch
+from spanmill.llm.common import bit_filter, durable, maybe, steps, utf8_batch
 from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, lower_table, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -105,22 +105,16 @@ def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
     keeps other words from being shuffled; what it lets through wrongly goes in
     the join.
     """
-    slot = F.pmod(F.col("term"), F.lit(FILTER_BITS))
-    words = terms.select(F.floor(slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(term, {FILTER_BITS}) % 64 AS INT))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    mask = np.zeros(FILTER_BITS // 64, np.int64)
-    mask[[r["word"] for r in rows]] = [r["bits"] for r in rows]
-    sent = docs.sparkSession.sparkContext.broadcast(mask)
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(terms, "term", FILTER_BITS))
 
     def run(batches):
-        bits = np.unpackbits(sent.value.view(np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             data, offsets = utf8_batch(batch.column(0))
             for i, j in steps(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, bounds = word_spans(part, own, class_table(SYMBOL_SEPARATORS))
                 hashes = RangeHasher(part, lower_table())(starts, ends).view(np.int64)
-                k = np.flatnonzero(bits[hashes & (FILTER_BITS - 1)])
+                k = np.flatnonzero(maybe(sent.value, hashes))
                 row = np.searchsorted(bounds, k, "right")
                 order = np.lexsort((row, hashes[k]))
                 h, r = hashes[k][order], row[order]

@@ -12,12 +12,17 @@ is one row:
 
 1. first digit: the anchor's ``K`` bytes. Most runs are alone in their group.
 2. second digit: all bytes of the run. Runs in a group of two or more repeat
-   with all their windows.
-3. third digit: single windows, for runs that share the first digit only
-   (the rims of repeated passages), against one run of each settled group.
-
-Digits are compared as 64-bit hashes of the bytes; a run or window must agree in
-two of them.
+   with all their windows; runs that are alone there (the rims of repeated
+   passages), and one run of each settled group that rims share a first digit
+   with, go on.
+3. those runs are cut into blocks of ``BLOCK`` windows by distance to the
+   anchor. The bytes that all windows of a block share are the next digit:
+   who is alone there has no repeated window. All bytes of the block settle it
+   as in pass 2.
+4. the blocks that are left: single windows.
+
+Digits are compared as 64-bit hashes of the bytes; what is called equal agrees in
+two of them at least.
 """
 
 from __future__ import annotations
@@ -29,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import STEP_BYTES, durable, steps, utf8_batch
+from spanmill.llm.common import STEP_BYTES, bit_filter, durable, maybe, steps, utf8_batch
 from spanmill.llm.textscan import RangeHasher
 
 LENGTH = 200
 #: Bytes of the first digit.
 ANCHOR = 40
+#: Windows in a block of the third pass.
+BLOCK = 16
+#: Bits of the filter that keeps runs of unrepeated first digits from being shuffled: 4 MB at any corpus size.
+FILTER_BITS = 1 << 25
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -51,10 +60,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """Rows of ``(row, first window, last window, first digit, second digit)`` as arrays; positions are in the buffer."""
+    """``(row, first window, last window, anchor, first digit, second digit)`` of each run as arrays; positions are in the buffer."""
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     hasher = RangeHasher(data)
     at = np.arange(n - anchor + 1)
     grams = hasher(at, at + anchor)
@@ -66,7 +75,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: in
     ok[offsets[long_rows + 1] - length + 1] -= 1
     starts = np.flatnonzero(np.cumsum(ok[: n - length + 1]) > 0)
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     where = (least[starts] & low).astype(np.int64)
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (where[1:] != where[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -74,12 +83,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: in
     last = np.append(first[1:], len(starts)) - 1
     s0, s1, a = starts[first], starts[last], where[first]
     row = np.searchsorted(offsets, s0, "right") - 1
-    return row, s0, s1, grams[a], hasher(s0, s1 + length) + (a - s0).astype(np.uint64)
+    return row, s0, s1, a, grams[a], hasher(s0, s1 + length) + (a - s0).astype(np.uint64)
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
     """Steps of a batch, long rows cut into overlapping pieces: first row, bytes, row bounds, position of the piece in its row."""
-    for i, j in steps(offsets):
+    for i, j in steps(offsets, STEP_BYTES):
         if offsets[j] - offsets[i] <= 2 * STEP_BYTES:
             yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 0
         else:
@@ -92,57 +101,90 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
 
-def find_runs(keyed: DataFrame, length: int, anchor: int, digits: bool) -> DataFrame:
-    """The runs of every text, or only their first digits."""
+def find_runs(keyed: DataFrame, length: int, anchor: int, repeated=None) -> DataFrame:
+    """The first digits of every run; with a bitmap of repeated ones, the runs that may have one of these."""
     kind = keyed.schema["id"].dataType.simpleString()
 
     def scan(batches):
         for batch in batches:
             data, offsets = utf8_batch(batch.column(2))
             for i, part, own, at in _pieces(data, offsets, length):
-                row, s0, s1, key, whole = runs(part, own, length, anchor)
-                if not digits:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+                row, s0, s1, where, key, whole = runs(part, own, length, anchor)
+                key = key.view(np.int64)
+                if repeated is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
                     continue
-                rows = pa.array(row + i)
-                base = at - own[row]
+                k = np.flatnonzero(maybe(repeated.value, key))
+                rows = pa.array(row[k] + i)
+                base = at - own[row[k]]
+                places = (pa.array(x[k] + base) for x in (s0, s1, where))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(s0 + base), pa.array(s1 + base)],
-                    ["id", "text_key", "key", "whole", "s0", "s1"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key[k]), pa.array(whole[k].view(np.int64)), *places],
+                    ["id", "text_key", "key", "whole", "s0", "s1", "at"],
                 )
 
-    return keyed.mapInArrow(scan, f"id {kind}, text_key long, key long, whole long, s0 long, s1 long" if digits else "key long")
+    return keyed.mapInArrow(scan, "key long" if repeated is None else f"id {kind}, text_key long, key long, whole long, s0 long, s1 long, at long")
 
 
-def find_windows(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(id, text_key, key, window, s, unsettled)``: single windows of the wanted runs ``(id, text_key, key, s0, s1, unsettled)``."""
+def find_contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The wanted runs ``(id, text_key, key, s0, s1, at, unsettled)`` with their bytes."""
     kind = keyed.schema["id"].dataType.simpleString()
-    lists = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("key", "s0", "s1", "unsettled")).alias("runs"))
+    lists = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("key", "s0", "s1", "at", "unsettled")).alias("runs"))
     lists = lists.select(F.col("id").alias("of"), F.col("text_key").alias("of_key"), "runs")
     both = keyed.join(lists, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))).select("id", "text_key", "text", "runs")
 
     def scan(batches):
         for batch in batches:
             data, offsets = utf8_batch(batch.column(2))
+            raw = data.tobytes()
             lists = batch.column(3)
-            bounds = np.asarray(lists.offsets)
+            count = np.diff(np.asarray(lists.offsets))
+            row = np.repeat(np.arange(len(batch)), count)
             flat = lists.flatten()
-            key, s0, s1, unsettled = (np.asarray(flat.field(k)) for k in range(4))
-            bounds = bounds - bounds[0]
-            for i in range(len(batch)):
-                own = data[offsets[i] : offsets[i + 1]]
-                lo, hi = bounds[i], bounds[i + 1]
-                count = s1[lo:hi] - s0[lo:hi] + 1
-                total = int(count.sum())
-                at = np.repeat(s0[lo:hi] - (np.cumsum(count) - count), count) + np.arange(total)
-                hashes = RangeHasher(own)(at, at + length)
-                one = pa.array(np.full(total, i))
+            starts, stops = offsets[row] + np.asarray(flat.field(1)), offsets[row] + np.asarray(flat.field(2)) + length
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), *(flat.field(k) for k in range(5)), pa.array([raw[a:b] for a, b in zip(starts, stops, strict=True)], pa.binary())],
+                ["id", "text_key", "key", "s0", "s1", "at", "unsettled", "bytes"],
+            )
+
+    return both.mapInArrow(scan, f"id {kind}, text_key long, key long, s0 long, s1 long, at long, unsettled boolean, bytes binary")
+
+
+def cut_runs(contexts: DataFrame, length: int, block: int) -> DataFrame:
+    """Blocks of each run: ``(id, text_key, key, s0, at, node, core, whole, b0, b1, unsettled)``.
+
+    A block's windows start from ``b0`` to ``b1`` and lie ``node * block`` bytes
+    or more, and less than a block further, before the anchor ``at``.
+    """
+    kind = contexts.schema["id"].dataType.simpleString()
+
+    def scan(batches):
+        names = ["id", "text_key", "key", "s0", "s1", "at", "unsettled"]
+        for batch in batches:
+            data, lengths = utf8_batch(batch.column(7))
+            s0, s1, at = (np.asarray(batch.column(names.index(c))) for c in ("s0", "s1", "at"))
+            for i, j in steps(lengths):
+                part = data[lengths[i] : lengths[j]]
+                begin = lengths[i:j] - lengths[i]
+                low, high = (at - s1)[i:j] // block, (at - s0)[i:j] // block
+                count = high - low + 1
+                row = np.repeat(np.arange(j - i), count)
+                node = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+                far, near = at[i:j][row] - node * block - block + 1, at[i:j][row] - node * block
+                b0, b1 = np.maximum(far, s0[i:j][row]), np.minimum(near, s1[i:j][row])
+                move = begin[row] - s0[i:j][row]
+                hasher = RangeHasher(part)
+                whole = hasher(b0 + move, b1 + move + length) + (near - b0).astype(np.uint64)
+                core = hasher(near + move, far + move + length) if block < length else whole
+                take = pa.array(row + i)
+                col = lambda c: batch.column(names.index(c)).take(take)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(one), batch.column(1).take(one), pa.array(np.repeat(key[lo:hi], count)), pa.array(hashes.view(np.int64)), pa.array(at), pa.array(np.repeat(unsettled[lo:hi], count))],
-                    ["id", "text_key", "key", "window", "s", "unsettled"],
+                    [col("id"), col("text_key"), col("key"), col("s0"), col("at"), pa.array(node), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(b0), pa.array(b1), col("unsettled")],
+                    ["id", "text_key", "key", "s0", "at", "node", "core", "whole", "b0", "b1", "unsettled"],
                 )
 
-    return both.mapInArrow(scan, f"id {kind}, text_key long, key long, window long, s long, unsettled boolean")
+    return contexts.mapInArrow(scan, f"id {kind}, text_key long, key long, s0 long, at long, node long, core long, whole long, b0 long, b1 long, unsettled boolean")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -152,20 +194,38 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document or another; matches don't cross documents.
     """
     keyed = _keyed(docs, id_col, text_col)
-    repeated = durable(find_runs(keyed, length, anchor, False).groupBy("key").count().where("count > 1").select("key"), "digit-1")
-    mates = durable(find_runs(keyed, length, anchor, True).join(repeated, "key"), "digit-1-mates")
-    groups = durable(mates.groupBy("key", "whole").agg(F.count("*").alias("n")), "digit-2")
-    open_keys = groups.groupBy("key").agg(F.min("n").alias("least")).where("least = 1").select("key")
-    groups = groups.join(open_keys.withColumn("open", F.lit(True)), "key", "left")
-    mates = durable(mates.join(groups, ["key", "whole"]), "digit-2-mates")
-    settled = mates.where("n > 1").select("id", "text_key", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
-    first = mates.where("n > 1 and open").groupBy("key", "whole").agg(F.min(F.struct("id", "text_key", "s0", "s1")).alias("r")).select("r.id", "r.text_key", "key", "r.s0", "r.s1")
-    rims = mates.where("n = 1").select("id", "text_key", "key", "s0", "s1")
-    wanted = rims.withColumn("unsettled", F.lit(True)).unionByName(first.withColumn("unsettled", F.lit(False)))
-    windows = durable(find_windows(keyed, wanted, length), "digit-3")
-    twice = windows.groupBy("key", "window").count().where("count > 1").select("key", "window")
-    rims = windows.where("unsettled").join(twice, ["key", "window"], "left_semi")
-    spans = settled.unionByName(rims.select("id", "text_key", F.col("s").alias("start"), (F.col("s") + length).alias("end")))
+    repeated = durable(find_runs(keyed, length, anchor).groupBy("key").count().where("count > 1").select("key"), "digit-1")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, "key", FILTER_BITS))
+    mates = durable(find_runs(keyed, length, anchor, sent).join(repeated, "key"), "digit-1-mates")
+    first = F.min(F.struct("id", "text_key", "s0", "s1", "at")).alias("r")
+    groups = durable(mates.groupBy("key", "whole").agg(F.count("*").alias("n"), first), "digit-2")
+    open_keys = groups.groupBy("key").agg(F.min("n").alias("least")).where("least = 1").select("key", F.lit(True).alias("open"))
+    rims = groups.where("n = 1").select("r.id", "r.text_key", "key", "r.s0", "r.s1", "r.at", F.lit(True).alias("unsettled"))
+    heads = groups.where("n > 1").join(open_keys, "key").select("r.id", "r.text_key", "key", "r.s0", "r.s1", "r.at", F.lit(False).alias("unsettled"))
+    settled = mates.join(groups.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi")
+    spans = settled.select("id", "text_key", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
+
+    contexts = durable(find_contexts(keyed, rims.unionByName(heads), length), "contexts")
+    blocks = durable(cut_runs(contexts, length, BLOCK), "digit-3")
+    digits = ["key", "node", "core"]
+    shared = blocks.groupBy(*digits, "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_key", "s0", "at", "b0", "b1", "unsettled")).alias("r"))
+    shared = durable(shared, "digit-3-groups")
+    cores = shared.groupBy(*digits).agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 and least = 1").select(*digits)
+    left = shared.join(cores, digits, "left_semi").select("r.id", "r.text_key", "key", "r.s0", "r.at", "r.b0", "r.b1", (F.col("r.unsettled") & (F.col("n") == 1)).alias("unsettled"))
+    settled = blocks.where("unsettled").join(shared.where("n > 1").select(*digits, "whole"), [*digits, "whole"], "left_semi")
+    spans = spans.unionByName(settled.select("id", "text_key", F.col("b0").alias("start"), (F.col("b1") + length).alias("end")))
+
+    run = contexts.select("id", "text_key", "key", "s0", "bytes").dropDuplicates(["id", "text_key", "s0"])
+    left = left.withColumnsRenamed({"id": "of", "text_key": "of_key", "key": "run_key", "s0": "run"})
+    narrow = run.join(left, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")) & (F.col("s0") == F.col("run")))
+    narrow = narrow.select(
+        "id", "text_key", "key", F.col("b0").alias("s0"), F.col("b1").alias("s1"), "at", "unsettled",
+        F.substring("bytes", F.col("b0") - F.col("s0") + 1, F.col("b1") - F.col("b0") + length).alias("bytes"),
+    )
+    windows = durable(cut_runs(narrow, length, 1), "digit-4")
+    twice = windows.groupBy("key", "node", "whole").count().where("count > 1").select("key", "node", "whole")
+    settled = windows.where("unsettled").join(twice, ["key", "node", "whole"], "left_semi")
+    spans = spans.unionByName(settled.select("id", "text_key", F.col("b0").alias("start"), (F.col("b1") + length).alias("end")))
     return spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

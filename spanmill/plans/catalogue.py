@@ -1,15 +1,549 @@
-"""All queries outside ``llm`` and their SQL twins."""
+"""All queries outside ``llm`` and their SQL twins: one function each, whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from spanmill.functions import predicates as Q
+from spanmill.functions import text as T
+from spanmill.operators import candidates as C
+from spanmill.operators import decode as D
+from spanmill.operators import features as X
+from spanmill.operators import metrics as A
+from spanmill.operators import models as M
+from spanmill.operators import sampling as S
+from spanmill.operators import spans as R
+from spanmill.plans import oracle, segmenter
+
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def conversations(spark, sf_dir) -> DataFrame:
+    """``(doc_id, text)``: each conversation as one text, turns as ``role: text`` paragraphs."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))))
+    grouped = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(turns.alias("turns"))
+    return grouped.select("doc_id", F.array_join(F.transform("turns", lambda t: t["line"]), "\n\n").alias("text"))
+
+
+def structured(spark, sf_dir) -> DataFrame:
+    """``(doc_id, text)``: documents under a heading, with a list and a metadata line."""
+    head = F.concat(F.lit("# "), F.coalesce("source", F.lit("none")), F.lit("\n\nLang: "), F.coalesce("lang", F.lit("none")), F.lit("\n1. first item\n- second item\n\n"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query
+def ascii_flags(spark, d):
+    """ASCII texts and sizes by language."""
+    return documents(spark, d).groupBy("lang").agg(
+        F.count_if(T.is_ascii("text")).alias("ascii"), F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"), F.sum(F.octet_length("text")).cast("long").alias("bytes")
+    )
+
+
+@query
+def scalar_table(spark, d):
+    """Code points of all texts, counted."""
+    chars = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("ch"))
+    return chars.groupBy("ch").agg(F.count("*").alias("n"), F.min(F.octet_length("ch")).cast("long").alias("width"))
+
+
+@query
+def offset_maps(spark, d):
+    """Middle of each text as code point, byte and back."""
+    mid = documents(spark, d).select("doc_id", "text", F.floor(F.length("text") / 2).alias("at"))
+    b = mid.withColumn("at_byte", T.char_to_byte("text", "at").cast("long"))
+    return b.select("doc_id", "at", "at_byte", T.byte_to_char("text", "at_byte").cast("long").alias("back"))
+
+
+@query
+def normalise_text(spark, d):
+    """Tags stripped, white space squeezed, trailing blanks cut."""
+    tagged = F.concat(F.lit("<|section|>"), F.coalesce("source", F.lit("")), F.lit("</|section|> &#xD; "), "text", F.lit("<|/paragraph|>  \n"))
+    return documents(spark, d).select("doc_id", F.md5(T.squeeze(T.strip_tags(tagged)).cast("binary")).alias("digest"), T.trimmed_length(T.strip_tags(tagged)).cast("long").alias("trimmed"))
+
+
+@query
+def byte_encoders(spark, d):
+    """Ordinal codes of all ASCII characters by count."""
+    chars = documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("ch"))
+    return chars.groupBy(T.encoded_byte(T.char_code("ch")).cast("long").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query
+def unicode_groups(spark, d):
+    """Unicode category groups of each language's characters."""
+    groups = {"letter": r"\p{L}", "mark": r"\p{M}", "number": r"\p{N}", "punctuation": r"\p{P}", "symbol": r"\p{S}", "separator": r"\p{Z}", "upper": r"\p{Lu}", "lower": r"\p{Ll}"}
+    return documents(spark, d).groupBy("lang").agg(*[F.sum(F.regexp_count("text", F.lit(p))).cast("long").alias(n) for n, p in groups.items()])
+
+
+@query
+def scan_byteset(spark, d):
+    """Byte offsets of full stops, exclamation and question marks."""
+    return C.scan_set(documents(spark, d), ".!?").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"), F.sum("position").alias("total"))
+
+
+@query
+def scan_utf8_set(spark, d):
+    """Byte offsets of some non-ASCII letters."""
+    return C.scan_set(documents(spark, d), "éüñß").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.sum("position").alias("total"))
+
+
+@query
+def scan_stride(spark, d):
+    """Every 512th byte."""
+    return C.scan_stride(documents(spark, d), 512)
+
+
+@query
+def scan_line_starts(spark, d):
+    """Byte offsets of line starts."""
+    return C.scan_line_starts(documents(spark, d))
+
+
+@query
+def cand_exhaustive(spark, d):
+    """A candidate behind every code point, counted by document."""
+    ends = F.length("text").cast("long")
+    return documents(spark, d).select("doc_id", ends.alias("candidates"), F.octet_length("text").cast("long").alias("last_break"))
+
+
+@query
+def cand_terminators(spark, d):
+    """Possible sentence ends."""
+    return C.sentence_terminators(documents(spark, d))
+
+
+@query
+def cand_lines(spark, d):
+    """Trimmed non-blank lines with offsets."""
+    return C.lines(structured(spark, d)).select("doc_id", "line_no", "start", "end", "start_byte", "end_byte", F.md5(F.col("line").cast("binary")).alias("digest"))
+
+
+@query
+def cand_punct_v1(spark, d):
+    """Terminators judged by their neighbours."""
+    return C.punctuation_breaks(documents(spark, d), 1)
+
+
+@query
+def cand_punct_v2(spark, d):
+    """P10: with ellipsis and closers."""
+    return C.punctuation_breaks(conversations(spark, d), 2)
+
+
+@query
+def cand_paragraph(spark, d):
+    """Paragraph breaks."""
+    return C.paragraph_breaks(conversations(spark, d))
+
+
+@query
+def cand_union(spark, d):
+    """Both kinds of breaks, each once."""
+    return C.union_breaks(conversations(spark, d))
+
+
+@query
+def spans_paragraph(spark, d):
+    """Paragraphs of conversations."""
+    return C.paragraphs(conversations(spark, d)).select("doc_id", "k", "start", "end", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+@query
+def windows_sentence(spark, d):
+    """P20: runs of up to four consecutive paragraphs of 200 to 2000 characters."""
+    return C.windows(C.paragraphs(conversations(spark, d)), 200, 2000, 4)
+
+
+@query
+def chunks_fixed(spark, d):
+    """Chunks of 1000 characters, the last kept from 200 characters on."""
+    size = F.length("text")
+    starts = F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(1000))))
+    chunks = documents(spark, d).select("doc_id", "text", starts.alias("at")).select("doc_id", F.col("at").cast("long").alias("start"), F.substring("text", F.col("at") + 1, F.lit(1000)).alias("chunk"))
+    return chunks.where(F.length("chunk") >= 200).select("doc_id", "start", F.length("chunk").cast("long").alias("size"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+def _blocks(rows: DataFrame, block) -> DataFrame:
+    return rows.select("doc_id", "feature_pos", X.rounded(block).alias("features"))
+
+
+@query
+def feat_byte_window(spark, d):
+    """byte values around each mark."""
+    return _blocks(X.context(documents(spark, d)), X.byte_window(8, 8))
+
+
+@query
+def feat_encoded_window(spark, d):
+    """ordinal codes around each mark."""
+    return _blocks(X.context(documents(spark, d)), X.encoded_window(4, 4))
+
+
+@query
+def feat_ascii_neighbors(spark, d):
+    """classes of both neighbours."""
+    return _blocks(X.context(documents(spark, d)), X.ascii_neighbours())
+
+
+@query
+def feat_boundary_shape(spark, d):
+    """shape of the boundary."""
+    return _blocks(X.context(conversations(spark, d)), X.boundary_shape())
+
+
+@query
+def feat_token_shape(spark, d):
+    """shape of the tokens."""
+    return _blocks(X.context(documents(spark, d)), X.token_shape())
+
+
+@query
+def feat_class_counts(spark, d):
+    """Shares of classes in the centred window."""
+    return _blocks(X.context(documents(spark, d)), X.class_counts(["[A-Z]", "[a-z]", "[0-9]", "[ \\t\\n\\r]", "[.!?]"], 16, 16))
+
+
+@query
+def feat_dir_unicode_categories(spark, d):
+    """Shares of Unicode categories on either side."""
+    return _blocks(X.context(documents(spark, d)), X.class_counts(["\\p{Lu}", "\\p{Ll}", "\\p{N}", "\\p{P}", "\\p{S}"], 12, 12, True))
+
+
+@query
+def feat_line_shape(spark, d):
+    """line metrics."""
+    return C.lines(structured(spark, d)).select("doc_id", F.col("start_byte").alias("feature_pos"), X.rounded(X.line_shape(), 4).alias("features"))
+
+
+@query
+def feat_line_context(spark, d):
+    """heading, list and metadata marks of a line and its neighbours."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    marks = C.lines(structured(spark, d)).select("doc_id", "line_no", *[f("line").cast("int").alias(n) for n, f in (("heading", T.heading_like), ("list", T.list_like), ("meta", T.metadata_colon))])
+    near = [F.coalesce(f(n).over(w), F.lit(-1)).cast("long").alias(f"{side}_{n}") for n in ("heading", "list", "meta") for side, f in (("prev", F.lag), ("next", F.lead))]
+    return marks.select("doc_id", "line_no", *[F.col(n).cast("long").alias(n) for n in ("heading", "list", "meta")], *near)
+
+
+def _scored(spark, d) -> DataFrame:
+    return segmenter.score(documents(spark, d))
+
+
+@query
+def score_logistic_fixed(spark, d):
+    """M1, M4: fixed logistic scores of all marks."""
+    return _scored(spark, d).select("doc_id", "break_end", F.round("score", 6).alias("score"))
+
+
+@query
+def score_softmax_fixed(spark, d):
+    """M3: three classes over embeddings with fixed weights."""
+    v = table(spark, d, "embeddings").where("embedding is not null")
+    p = M.softmax(F.col("embedding"), M.fixed_weights(3, 64), [0.0, 0.125, -0.125])
+    return v.select("vec_id", *[F.round(p[k], 5).alias(f"p{k}") for k in range(3)])
+
+
+@query
+def score_mlp_fixed(spark, d):
+    """M5, M7: forward pass of a small network over embeddings."""
+    v = table(spark, d, "embeddings").where("embedding is not null")
+    p = M.mlp(F.col("embedding"), [(M.fixed_weights(4, 64), [0.0] * 4), (M.fixed_weights(2, 4), [0.125, -0.25])])
+    return v.select("vec_id", F.round(p[0], 5).alias("a"), F.round(p[1], 5).alias("b"))
+
+
+@query
+def decode_threshold(spark, d):
+    """Threshold spans with their tails."""
+    docs = documents(spark, d)
+    return D.threshold_spans(_scored(spark, d), docs.select("doc_id", F.octet_length("text").cast("long").alias("size")), 0.5)
+
+
+@query
+def decode_argmax(spark, d):
+    """The largest component of each embedding."""
+    return table(spark, d, "embeddings").where("embedding is not null").select("vec_id", D.argmax("embedding").alias("best"))
+
+
+def _line_labels(spark, d) -> DataFrame:
+    lines = C.lines(structured(spark, d)).withColumn("label", Q.display_type(F.col("line")))
+    score = (F.pmod(F.length("line"), F.lit(10)) + 1) / 10.0
+    return lines.select("doc_id", "line_no", F.col("start_byte").alias("position"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), "label", score.alias("score"))
+
+
+@query
+def decode_contiguous(spark, d):
+    """Runs of one line type with best and mean score."""
+    sizes = structured(spark, d).select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    out = D.contiguous_spans(_line_labels(spark, d), sizes)
+    return out.withColumns({"score": F.round("score", 6), "mean": F.round("mean", 6)})
+
+
+@query
+def decode_sentence_spans(spark, d):
+    """Sentences of all documents as spans in code points."""
+    return segmenter.sentences(documents(spark, d)).select("doc_id", "start", "end", "start_byte", "end_byte")
+
+
+@query
+def decode_structure_runs(spark, d):
+    """Neighbouring lines of one label above a threshold."""
+    return D.line_runs(_line_labels(spark, d), 0.4).withColumn("score", F.round("score", 6))
+
+
+@query
+def decode_asof(spark, d):
+    """The last score at or before every 700th byte."""
+    scores = _scored(spark, d).select("doc_id", F.col("break_end").alias("position"), "score")
+    return D.as_of(C.scan_stride(documents(spark, d), 700), scores).withColumn("score", F.round("score", 6))
+
+
+@query
+def units_to_spans(spark, d):
+    """Neighbouring paragraphs of one display type merged."""
+    units = C.paragraphs(conversations(spark, d)).withColumn("label", Q.display_type(F.split("value", "\\n")[0]))
+    units = units.withColumn("label", F.when(F.col("label") == "prose", "none").otherwise(F.col("label")))
+    return D.unit_spans(units)
+
+
+def _range_sides(spark, d):
+    sentences = segmenter.sentences(documents(spark, d)).select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    windows = C.scan_stride(documents(spark, d), 256).select("doc_id", F.col("position").alias("start"), (F.col("position") + 256).alias("end"))
+    return windows, sentences
+
+
+@query
+def span_overlap_targets(spark, d):
+    """How much of each 256-character window its best sentence covers."""
+    both = R.range_join(*_range_sides(spark, d))
+    best = both.groupBy("doc_id", "start").agg(F.max(R.overlap_ratio()).alias("ratio"), F.count("*").alias("n"))
+    return best.select("doc_id", "start", "n", F.round("ratio", 6).alias("ratio"), (F.col("ratio") >= 0.35).alias("target"))
+
+
+@query
+def span_cross_pairs(spark, d):
+    """Crossing pairs of windows and sentences by document."""
+    both = R.range_join(*_range_sides(spark, d)).where(R.crosses(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")))
+    return both.groupBy("doc_id").agg(F.count("*").alias("crossing"))
+
+
+@query
+def span_boundary_targets(spark, d):
+    """Candidates that end a sentence, by semi and anti join."""
+    cands = C.punctuation_breaks(documents(spark, d), 1).select("doc_id", "break_end")
+    gold = segmenter.sentences(documents(spark, d)).select("doc_id", F.col("end_byte").alias("break_end")).distinct()
+    hit = cands.join(gold, ["doc_id", "break_end"], "left_semi").withColumn("target", F.lit(1).cast("long"))
+    return hit.unionAll(cands.join(gold, ["doc_id", "break_end"], "left_anti").withColumn("target", F.lit(0).cast("long")))
+
+
+@query
+def render_sentences(spark, d):
+    """Texts with sentence tags."""
+    docs = documents(spark, d)
+    spans = segmenter.sentences(docs).select("doc_id", F.lit("sentence").alias("label"), "start", "end")
+    return R.render(spans, docs).select("doc_id", F.md5(F.col("tagged").cast("binary")).alias("digest"), F.length("tagged").cast("long").alias("size"))
+
+
+@query
+def resolve_crossing(spark, d):
+    """Sentences and windows as sections, crossings removed."""
+    windows, sentences = _range_sides(spark, d)
+    one = F.lit(1.0).alias("score")
+    spans = sentences.select("doc_id", F.struct(F.lit("sentence").alias("label"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), one).alias("s"))
+    spans = spans.unionAll(windows.select("doc_id", F.struct(F.lit("section").alias("label"), "start", "end", one).alias("s")))
+    kept = R.resolve(spans.groupBy("doc_id").agg(F.collect_list("s").alias("spans")))
+    return kept.select("doc_id", F.size("spans").cast("long").alias("n"))
+
+
+@query
+def predicate_line_types(spark, d):
+    """Q2, Q3: display types of all lines."""
+    lines = C.lines(structured(spark, d)).unionByName(C.lines(conversations(spark, d)))
+    c = F.col("line")
+    flags = [F.count_if(f(c)).alias(n) for n, f in (("section", Q.section_like), ("dialogue", Q.dialogue_like), ("list_item", Q.list_item_like), ("metadata", Q.metadata_like))]
+    return lines.groupBy(Q.display_type(c).alias("kind")).agg(F.count("*").alias("n"), *flags)
+
+
+@query
+def quality_segments(spark, d):
+    """Q1: documents that pass the quality filter."""
+    return documents(spark, d).select("doc_id", Q.quality_ok(F.col("text")).alias("ok"))
+
+
+@query
+def terminal_quotes(spark, d):
+    """Q4, Q5: closing terminals and unbalanced quotes of documents."""
+    return documents(spark, d).select("doc_id", Q.has_terminal(F.col("text")).alias("terminal"), Q.unbalanced_quotes(F.col("text")).alias("unbalanced"))
+
+
+@query
+def span_quality(spark, d):
+    """Q7: sentence spans by what is wrong with them."""
+    s = segmenter.sentences(documents(spark, d))
+    return s.groupBy(Q.span_quality(F.col("value")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def edge_flags(spark, d):
+    """Q6: open edges of chunks of 1000 characters."""
+    size = F.length("text")
+    rows = documents(spark, d).select("doc_id", "text", F.explode(F.when(size > 0, F.sequence(F.lit(0).cast("long"), (size - 1).cast("long"), F.lit(1000).cast("long")))).alias("start"))
+    left, right = Q.edge_flags(F.col("text"), F.col("start"), F.least(F.col("start") + 1000, F.length("text")))
+    return rows.select("doc_id", "start", left.alias("left_open"), right.alias("right_open"))
+
+
+@query
+def false_boundary_filter(spark, d):
+    """Q8: full stops that end no sentence."""
+    rows = X.context(documents(spark, d), "[.]")
+    return rows.groupBy("doc_id").agg(F.count_if(Q.false_boundary(F.col("left"), F.col("right"))).alias("false_breaks"), F.count("*").alias("n"))
+
+
+def _judged(spark, d) -> DataFrame:
+    """Labels with a deterministic score that follows them loosely."""
+    score = (F.pmod(F.col("doc_id") * 37, F.lit(100)) + 40 * F.col("quality")) / 140.0
+    return table(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("long").alias("label"), F.col("toxic").cast("long").alias("toxic"), score.alias("score"))
+
+
+@query
+def metric_confusion(spark, d):
+    """A1: confusion counts and rates at 0.5."""
+    out = A.confusion(_judged(spark, d), 0.5, "toxic")
+    return out.select("toxic", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@query
+def metric_threshold_sweep(spark, d):
+    """A2-A4: the sweep of thresholds."""
+    return A.sweep(_judged(spark, d)).select("step", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
+
+
+@query
+def metric_best_threshold(spark, d):
+    """A2: best threshold for each toxic flag."""
+    best = A.best_threshold(A.sweep(_judged(spark, d), 5, 95, "toxic"), "toxic")
+    return best.select("toxic", "step", F.round("f1", 6).alias("f1"))
+
+
+@query
+def metric_boundary_prf(spark, d):
+    """Version 1 breaks held against sentences, as sets of bounds."""
+    docs = documents(spark, d)
+    gold = segmenter.sentences(docs).select("doc_id", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
+    return A.boundary_scores(D.threshold_spans(_scored(spark, d), docs.select("doc_id", F.octet_length("text").cast("long").alias("size")), 0.5), gold).select(
+        "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
+    )
+
+
+@query
+def metric_macro_by_label(spark, d):
+    """F1 by toxic flag and its mean, as grouping sets."""
+    per = A.confusion(_judged(spark, d), 0.5, "toxic")
+    return per.rollup("toxic").agg(F.round(F.avg("f1"), 6).alias("f1"), F.count("*").alias("heads")).fillna(-1, ["toxic"])
+
+
+@query
+def metric_parity_diff(spark, d):
+    """The first eight differing cells of two encodings."""
+    v = table(spark, d, "embeddings").where("embedding is not null")
+    scale = lambda k: F.transform("embedding", lambda x: F.floor(x.cast("double") * k))
+    out = A.parity(v.select("vec_id", scale(8).alias("f")), v.select("vec_id", F.transform(scale(16), lambda x: F.floor(x / 2 + 0.25)).alias("f")), "vec_id", "f", 8)
+    return out.select("vec_id", F.col("column").cast("long").alias("column"), "a", "b")
+
+
+@query
+def leaderboard_topk(spark, d):
+    """The five sources with most sentence ends a character."""
+    rows = documents(spark, d).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("[.!?]"))).cast("long").alias("marks"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return rows.orderBy(F.desc(F.col("marks") / F.col("chars")), "source").limit(5)
+
+
+@query
+def stats_corpus(spark, d):
+    """A10: counts by language and source."""
+    return documents(spark, d).groupBy("lang", "source").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.countDistinct(F.md5(F.col("text").cast("binary"))).alias("texts"))
+
+
+@query
+def sample_hash_negatives(spark, d):
+    """All sentence ends and a hashed tenth of the other marks (a third behind terminals)."""
+    gold = segmenter.sentences(documents(spark, d)).select("doc_id", F.col("end_byte").alias("position"), F.lit(1).alias("label")).distinct()
+    marks = C.scan_set(documents(spark, d), ".!?;,").withColumn("position", F.col("position") + 1)
+    rows = marks.join(gold, ["doc_id", "position"], "left").fillna(0, ["label"]).withColumn("terminal", F.pmod("position", F.lit(2)) == 0)
+    return S.keep_negatives(rows, 0.1, 0.33).select("doc_id", "position", F.col("label").cast("long").alias("label"))
+
+
+@query
+def sample_stratified_cap(spark, d):
+    """Twenty documents of each language by least draw."""
+    return S.stratified(documents(spark, d).select("doc_id", "lang"), "doc_id", "lang", 20)
+
+
+@query
+def split_prefix(spark, d):
+    """The first eight tenths of the documents."""
+    return S.prefix_split(documents(spark, d).select("doc_id"), "doc_id", 8, 10)
+
+
+@query
+def split_fifth_alternating(spark, d):
+    """Every fifth id to validation, even ids to tuning."""
+    return documents(spark, d).select("doc_id", (F.pmod("doc_id", F.lit(5)) == 4).alias("validation"), (F.pmod("doc_id", F.lit(2)) == 0).alias("tuning"))
+
+
+@query
+def repeat_positives(spark, d):
+    """Toxic rows three times."""
+    rows = table(spark, d, "labels").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
+    return S.repeat_positives(rows, F.when(F.col("toxic") == 1, 3).otherwise(1)).withColumn("copy", F.col("copy").cast("long"))
+
+
+@query
+def segment_documents(spark, d):
+    """Sentences and structure of documents, normalised, as one row a document."""
+    return segmenter.annotate(structured(spark, d)).select("doc_id", F.size("spans").cast("long").alias("spans"), F.length("tagged").cast("long").alias("size"))
+
+
+@query
+def page_regions(spark, d):
+    """Text of pages between tags, counted by tag."""
+    tags = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
+    return tags.groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query
+def train_logistic(spark, d):
+    """A quality model fitted on labelled documents by Spark ML."""
+    docs = documents(spark, d).join(table(spark, d, "labels").where("quality is not null"), "doc_id")
+    n = F.greatest(F.length("text"), F.lit(1))
+    shares = F.array(*[F.regexp_count("text", F.lit(p)) / n for p in ("\\p{Lu}", "[.!?]", "[^\\p{L}\\p{N}\\s]", "\\s", "[0-9]")])
+    rows = docs.select("doc_id", F.col("quality").alias("label"), shares.alias("features"))
+    weights, bias = M.fit_logistic(rows)
+    return rows.select("doc_id", F.col("label").cast("long").alias("label"), M.logistic(F.col("features"), weights, bias).alias("score"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence spans of all documents."""
+    return segmenter.sentences(documents(spark, sf_dir)).select("doc_id", "start", "end", "start_byte", "end_byte")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return oracle.build()

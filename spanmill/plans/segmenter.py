@@ -13,7 +13,7 @@ from spanmill.operators import models as M
 from spanmill.operators import spans as R
 
 #: Fixed model: space behind, end of text behind, digit behind, lower case behind, short capital before. Multiples of 1/2.
-WEIGHTS = [3.0, 3.0, -4.0, -2.5, -2.0]
+WEIGHTS = [3.0, 3.0, -4.0, -2.5, -2.5]
 BIAS = -1.0
 THRESHOLD = 0.5
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import STEP_BYTES, bit_filter, durable, maybe, steps, utf8_batch
+from spanmill.llm.common import STEP_BYTES, bit_filter, discard, durable, maybe, steps, utf8_batch
 from spanmill.llm.textscan import RangeHasher
 
 LENGTH = 200
@@ -226,7 +226,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twice = windows.groupBy("key", "node", "whole").count().where("count > 1").select("key", "node", "whole")
     settled = windows.where("unsettled").join(twice, ["key", "node", "whole"], "left_semi")
     spans = spans.unionByName(settled.select("id", "text_key", F.col("b0").alias("start"), (F.col("b1") + length).alias("end")))
-    return spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = durable(spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats")
+    discard(repeated, mates, groups, contexts, blocks, shared, windows)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:

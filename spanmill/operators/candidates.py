@@ -117,3 +117,41 @@ def windows(units: DataFrame, least: int, most: int, reach: int) -> DataFrame:
     other = units.select("doc_id", F.explode(F.sequence(F.greatest(F.col("k") - (reach - 1), F.lit(0)), F.col("k"))).alias("k"), F.col("k").alias("last"), F.col("end").alias("stop"))
     size = F.col("stop") - F.col("start")
     return units.join(other, ["doc_id", "k"]).where(size.between(least, most)).select("doc_id", F.col("k").alias("first"), "last", "start", F.col("stop").alias("end"))
+
+
+def weak_breaks(docs: DataFrame, abbreviations: tuple[str, ...], text: str = "text", margin: int = 36) -> DataFrame:
+    """Breaks for weak labels: a terminal with closers, white space behind, not at the end, no abbreviation before.
+
+    ``marker`` shows the place as ``<<<BREAK>>>`` between ``margin`` characters on either side.
+    """
+    rows = spans(docs, "[.!?]+[\"')\\]}”’]*", text)
+    after = F.substring("text", (F.col("end") + 1).cast("int"), F.lit(margin))
+    before = F.substring("text", F.greatest(F.col("end") - margin + 1, F.lit(1)).cast("int"), F.least(F.col("end"), F.lit(margin)).cast("int"))
+    word = F.lower(F.regexp_extract(F.regexp_replace(before, "[.!?]+[\"')\\]}”’]*\\z", ""), "([A-Za-z]+)\\z", 1))
+    good = after.rlike("^[ \\t\\n\\r]") & (F.length(F.trim(after, F.lit(" \t\n\r"))) > 0) & ~word.isin(*abbreviations)
+    return rows.where(good).select("doc_id", F.col("end").alias("break_char"), F.col("end_byte").alias("break_end"), F.concat(before, F.lit("<<<BREAK>>>"), after).alias("marker"))
+
+
+def line_windows(lines: DataFrame, anchors: DataFrame, above: int = 3, below: int = 4, least: int = 1, most: int = 2000) -> DataFrame:
+    """Distinct runs of lines around anchor lines: up to ``above`` before and ``below`` behind, within a size.
+
+    ``lines`` is ``(doc_id, line_no, start, end)``; anchors are ``(doc_id, line_no)``. Every anchor names its
+    few neighbours, so both ends meet by equi-joins.
+    """
+    at = anchors.select("doc_id", "line_no", F.explode(F.expr(f"sequence(greatest(line_no - {above}, 0L), line_no)")).alias("first"))
+    at = at.select("doc_id", "first", F.explode(F.expr(f"sequence(line_no, line_no + {below}L)")).alias("last")).distinct()
+    a = lines.select("doc_id", F.col("line_no").alias("first"), "start")
+    b = lines.select("doc_id", F.col("line_no").alias("last"), "end")
+    return at.join(a, ["doc_id", "first"]).join(b, ["doc_id", "last"]).where((F.col("end") - F.col("start")).between(least, most)).select("doc_id", "first", "last", "start", "end")
+
+
+def list_blocks(lines: DataFrame) -> DataFrame:
+    """A list item's line with the indented lines that follow it. ``lines``: ``(doc_id, line_no, raw, start, end)``."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    item, indented = T.list_like("raw"), F.col("raw").rlike("^[ \\t]+[^ \\t]")
+    plain = ~item & ~indented
+    head = F.sum((item | plain).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    grouped = lines.withColumn("block", head).withColumn("item", item).groupBy("doc_id", "block")
+    return grouped.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("lines"), F.max("item").alias("item")).where("item").drop("item", "block")

@@ -67,3 +67,28 @@ def unit_spans(units: DataFrame) -> DataFrame:
     """Neighbouring units of one label merged; ``none`` breaks and is left out. ``units``: ``(doc_id, k, label, start, end)``."""
     merged = runs(units, order="k").groupBy("doc_id", "run", "label").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("units"))
     return merged.where("label <> 'none'").drop("run")
+
+
+def line_runs_loose(lines: DataFrame, threshold: float, gap: int = 2, least: int = 1) -> DataFrame:
+    """The trainer's variant of ``line_runs``: a line below the threshold doesn't end a run, only a gap does; short spans go."""
+    w = Window.partitionBy("doc_id", "label").orderBy("line_no")
+    good = lines.where(F.col("score") >= threshold)
+    far = F.coalesce(F.col("start") - F.lag("end").over(w) > gap, F.lit(True))
+    runs = good.withColumn("run", F.sum(far.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = runs.groupBy("doc_id", "label", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"))
+    return out.where(F.col("end") - F.col("start") >= least).drop("run")
+
+
+def breaks_within(parents: DataFrame, breaks: DataFrame) -> DataFrame:
+    """Sentences of each parent span ``(doc_id, k, start, end)`` between its breaks ``(doc_id, break_char)``; the rest is one too.
+
+    Parents don't overlap, so a break's parent is the last one that starts before it.
+    """
+    starts = parents.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("side"), "k", "start", "end")
+    marks = breaks.select("doc_id", F.col("break_char").alias("at"), F.lit(1).alias("side"), *[F.lit(None).cast("long").alias(c) for c in ("k", "start", "end")])
+    w = Window.partitionBy("doc_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    owner = F.last(F.when(F.col("side") == 0, F.struct("k", "start", "end")), ignorenulls=True).over(w)
+    inside = starts.unionByName(marks).withColumn("owner", owner).where("side = 1 and at < owner.end and at > owner.start")
+    cuts = inside.select("doc_id", F.col("owner.k").alias("k"), F.col("owner.start").alias("start"), "at").unionAll(parents.select("doc_id", "k", "start", F.col("end").alias("at")))
+    order = Window.partitionBy("doc_id", "k").orderBy("at")
+    return cuts.select("doc_id", "k", F.coalesce(F.lag("at").over(order), "start").alias("start"), F.col("at").alias("end")).where("start < end")

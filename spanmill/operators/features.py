@@ -113,3 +113,39 @@ def line_shape(line: str = "line") -> Column:
 def rounded(values: Column, digits: int = 6) -> Column:
     """Blocks at query edges: rounded so that engines agree, joined to one string."""
     return F.array_join(F.transform(values, lambda x: F.round(x.cast("double") * 10**digits).cast("bigint").cast("string")), ",")
+
+
+def line_edges(prefix: int, suffix: int, line: str = "line") -> Column:
+    """``(code + 1) / 256`` of a line's first characters, then of its last ones backwards; 0 past its length."""
+    c, n = F.col(line), F.length(line)
+    value = lambda ch, ok: F.when(ok, (T.char_code(ch) + 1) / 256.0).otherwise(0.0)
+    head = [value(F.substring(c, k + 1, 1), n > k) for k in range(prefix)]
+    return F.array(*head, *[value(F.substring(c, (n - k).cast("int"), F.lit(1)), n > k) for k in range(suffix)])
+
+
+def ngram_hashes(lines: DataFrame, buckets: int = 64, least: int = 2, most: int = 4) -> DataFrame:
+    """``(doc_id, feature_pos, features)``: signed hashed byte n-grams of each line, scaled by the root of their number.
+
+    Bytes are lower-cased (A-Z). The 64-bit FNV-1a hash, started from its basis
+    xor n, wraps around, which SQL arithmetic can't; it runs on Arrow batches.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        basis, prime = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+        for batch in batches:
+            out = []
+            for line in batch.column(2).to_pylist():
+                raw = np.frombuffer(line.encode().lower(), np.uint8).astype(np.uint64)
+                total, count = np.zeros(buckets), 0
+                for n in range(least, min(most, len(raw)) + 1):
+                    h = np.full(len(raw) - n + 1, basis ^ np.uint64(n))
+                    for k in range(n):
+                        h = (h ^ raw[k : k + len(h)]) * prime
+                    np.add.at(total, (h % np.uint64(buckets)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0))
+                    count += len(h)
+                out.append((total / np.sqrt(count) if count else total).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "feature_pos", "features"])
+
+    return lines.select("doc_id", F.col("start_byte").cast("long").alias("feature_pos"), "line").mapInArrow(run, "doc_id long, feature_pos long, features array<double>")

@@ -63,3 +63,25 @@ def parity(left: DataFrame, right: DataFrame, key: str, values: str, most: int =
     a = left.select(key, F.posexplode(values).alias("column", "a"))
     b = right.select(key, F.posexplode(values).alias("column", "b"))
     return a.join(b, [key, "column"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).orderBy(key, "column").limit(most)
+
+
+def marker_breaks(cases: DataFrame) -> DataFrame:
+    """Gold breaks of cases ``(id, text, gold_marker)``: behind the first occurrence of each ``;``-separated marker, in code points."""
+    marks = F.filter(F.split(F.coalesce("gold_marker", F.lit("")), ";"), lambda m: F.length(m) > 0)
+    rows = cases.select("id", "text", F.explode(marks).alias("mark")).withColumn("at", F.instr("text", F.col("mark")))
+    return rows.where("at > 0").select("id", (F.col("at") - 1 + F.length("mark")).cast("long").alias("break_char")).distinct()
+
+
+def internal_breaks(spans: DataFrame, drop_last: bool = True) -> DataFrame:
+    """Ends of sentences ``(id, end)`` without each text's last one, which is the end of the text."""
+    last = F.max("end").over(Window.partitionBy("id"))
+    rows = spans.withColumn("last", last)
+    return (rows.where("end < last") if drop_last else rows).select("id", F.col("end").alias("break_char")).distinct()
+
+
+def break_report(cases: DataFrame, predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of breaks over all cases, four digits."""
+    both = predicted.withColumn("p", F.lit(True)).join(gold.withColumn("g", F.lit(True)), ["id", "break_char"], "full")
+    p, g = F.coalesce("p", F.lit(False)), F.coalesce("g", F.lit(False))
+    out = prf(both.agg(F.count_if(p & g).alias("tp"), F.count_if(p & ~g).alias("fp"), F.count_if(~p & g).alias("fn")))
+    return out.select("tp", "fp", "fn", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])

@@ -86,3 +86,14 @@ def render(spans: DataFrame, docs: DataFrame, close: str = "</|{}|>") -> DataFra
     done = F.aggregate("events", state, step)
     tagged = F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))
     return both.select("doc_id", F.coalesce(tagged, F.col("text")).alias("tagged"))
+
+
+def position_targets(positions: DataFrame, spans: DataFrame) -> DataFrame:
+    """``inside``, ``starts`` and ``ends`` of each position against closed spans ``(doc_id, start, end)`` (an end is the offset behind)."""
+    points = positions.select("doc_id", F.col("position").alias("start"), (F.col("position") + 1).alias("end"))
+    inside = range_join(points, spans.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))).select("doc_id", F.col("start").alias("position")).distinct()
+    mark = lambda df, name: df.withColumn(name, F.lit(1))
+    starts = spans.select("doc_id", F.col("start").alias("position")).distinct()
+    ends = spans.select("doc_id", F.col("end").alias("position")).distinct()
+    out = positions.join(mark(inside, "inside"), ["doc_id", "position"], "left").join(mark(starts, "starts"), ["doc_id", "position"], "left").join(mark(ends, "ends"), ["doc_id", "position"], "left")
+    return out.fillna(0, ["inside", "starts", "ends"])

@@ -536,6 +536,92 @@ def train_logistic(spark, d):
     return rows.select("doc_id", F.col("label").cast("long").alias("label"), M.logistic(F.col("features"), weights, bias).alias("score"))
 
 
+@query
+def cand_weak_label(spark, d):
+    """Breaks for weak labels with their markers."""
+    return C.weak_breaks(documents(spark, d), Q.ABBREVIATIONS).select("doc_id", "break_char", "break_end", F.md5(F.col("marker").cast("binary")).alias("digest"))
+
+
+@query
+def windows_line(spark, d):
+    """Runs of lines around list items and metadata lines."""
+    lines = C.lines(structured(spark, d))
+    anchors = lines.where(Q.display_type(F.col("line")).isin("list", "metadata")).select("doc_id", "line_no")
+    return C.line_windows(lines, anchors, most=4000)
+
+
+@query
+def blocks_list_item(spark, d):
+    """List items with their indented lines."""
+    text = F.concat(F.lit("Head\n- one "), F.coalesce("source", F.lit("")), F.lit("\n  more of one\n\tand more\n2. two\nplain\n"), F.substring("text", 1, 50))
+    rows = C.spans(documents(spark, d).select("doc_id", text.alias("text")), "[^\\n]+").select("doc_id", F.col("k").alias("line_no"), F.col("value").alias("raw"), "start", "end")
+    return C.list_blocks(rows)
+
+
+@query
+def feat_line_edges(spark, d):
+    """first and last characters of lines."""
+    return C.lines(structured(spark, d)).select("doc_id", F.col("start_byte").alias("feature_pos"), X.rounded(X.line_edges(12, 6)).alias("features"))
+
+
+@query
+def feat_ngram_hash(spark, d):
+    """hashed n-grams of lines."""
+    return X.ngram_hashes(C.lines(structured(spark, d)))
+
+
+@query
+def decode_structure_loose(spark, d):
+    """The trainer's merge of structure lines."""
+    return D.line_runs_loose(_line_labels(spark, d), 0.4, 200, 10).withColumn("score", F.round("score", 6))
+
+
+@query
+def breaks_to_sentences(spark, d):
+    """Paragraphs of conversations cut at version 1 breaks."""
+    conv = conversations(spark, d)
+    ends = C.spans(conv, "[.!?]").where(F.substring("text", (F.col("end") + 1).cast("int"), F.lit(1)).rlike("^[ \\n]")).select("doc_id", F.col("end").alias("break_char"))
+    return D.breaks_within(C.paragraphs(conv).select("doc_id", "k", "start", "end"), ends)
+
+
+@query
+def span_inside_start_end(spark, d):
+    """Every 97th position inside, at the start or behind the end of sentences."""
+    sentences = segmenter.sentences(documents(spark, d)).select("doc_id", "start", "end")
+    places = documents(spark, d).select("doc_id", F.explode(F.when(F.length("text") > 0, F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1, F.lit(97).cast("long")))).alias("position"))
+    return R.position_targets(places, sentences).select("doc_id", "position", *[F.col(c).cast("long").alias(c) for c in ("inside", "starts", "ends")])
+
+
+@query
+def gold_sentence_ends(spark, d):
+    """Distinct ends of sentences and their number by document."""
+    ends = segmenter.sentences(documents(spark, d)).select("doc_id", "end_byte").distinct()
+    return ends.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end_byte").alias("last"))
+
+
+@query
+def metric_marker_breaks(spark, d):
+    """Breaks found in benchmark items against marked ones (the text up to each full stop and line break)."""
+    cases = table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), "text", F.regexp_extract("text", "([^.;]{3,12}[.])[ \\n]", 1).alias("gold_marker"))
+    found = segmenter.sentences(cases.withColumnRenamed("id", "doc_id")).select(F.col("doc_id").alias("id"), "end")
+    return A.break_report(cases, A.internal_breaks(found), A.marker_breaks(cases))
+
+
+@query
+def class_weights(spark, d):
+    """Balanced weights of the quality classes."""
+    rows = table(spark, d, "labels").where("quality is not null").select(F.col("quality").cast("long").alias("label"))
+    return M.class_weights(rows).select("label", "n", F.round("weight", 6).alias("weight"))
+
+
+@query
+def split_three_way(spark, d):
+    """Hashed split to fit, calibration and validation, counted by language."""
+    u = S.draw(F.col("doc_id"), F.lit(11))
+    part = F.when(u < 0.7, "fit").when(u < 0.85, "calibration").otherwise("validation")
+    return documents(spark, d).groupBy("lang", part.alias("part")).agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence spans of all documents."""
     return segmenter.sentences(documents(spark, sf_dir)).select("doc_id", "start", "end", "start_byte", "end_byte")

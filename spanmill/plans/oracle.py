@@ -332,4 +332,32 @@ cnt AS (SELECT count(*) FILTER (p.at IS NOT NULL AND g.at IS NOT NULL) AS tp, co
     out["split_fifth_alternating"] = "SELECT doc_id, doc_id % 5 = 4 AS validation, doc_id % 2 = 0 AS tuning FROM documents"
     out["repeat_positives"] = "SELECT doc_id, toxic::BIGINT AS toxic, unnest(range(1, CASE WHEN toxic = 1 THEN 4 ELSE 2 END))::BIGINT AS copy FROM labels"
     out["page_regions"] = "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag"
+    close = "[.!?]+[\"')\\]}”’]*"
+    after, before = "substring(text, e + 1, 36)", "substring(text, greatest(e - 35, 1), least(e, 36))"
+    word = f"lower(regexp_extract(regexp_replace({before}, {lit(close + chr(92) + 'z')}, ''), '([A-Za-z]+)\\z', 1))"
+    out["cand_weak_label"] = with_(located(close)) + f"""SELECT doc_id, e AS break_char, eb AS break_end, md5({before} || '<<<BREAK>>>' || {after}) AS digest FROM loc
+  WHERE {rx(after, "^[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")} AND length(trim({after}, {WS})) > 0 AND {word} NOT IN ({abbreviations})"""
+    out["windows_line"] = with_(STRUCT, lines("struct_docs"), f"anchors AS (SELECT doc_id, line_no FROM lines WHERE {display('line')} IN ('list', 'metadata'))") + """SELECT DISTINCT a.doc_id, f.line_no AS first, l.line_no AS last, f.start, l."end" FROM anchors a
+  JOIN lines f ON f.doc_id = a.doc_id AND f.line_no BETWEEN a.line_no - 3 AND a.line_no JOIN lines l ON l.doc_id = a.doc_id AND l.line_no BETWEEN a.line_no AND a.line_no + 4 WHERE l."end" - f.start BETWEEN 1 AND 4000"""
+    listed = rx("ltrim(value, ' ')", "^(?:[-*•]|[0-9]+[.)])")
+    out["blocks_list_item"] = with_("""built AS (SELECT doc_id, 'Head' || chr(10) || '- one ' || coalesce(source, '') || chr(10) || '  more of one' || chr(10) || chr(9) || 'and more' || chr(10) || '2. two' || chr(10) || 'plain' || chr(10) || substring(text, 1, 50) AS text FROM documents)""",
+        located("[^\\n]+", "built"), f"""hd AS (SELECT *, {listed} AS item, {rx("value", "^[ " + chr(92) + "t]+[^ " + chr(92) + "t]")} AS ind FROM loc),
+bl AS (SELECT *, sum((item OR NOT ind)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM hd)""") + """SELECT doc_id, min(s) AS start, max(e) AS "end", count(*) AS lines FROM bl GROUP BY doc_id, block HAVING bool_or(item)"""
+    edge = [f"CASE WHEN length(line) > {k} THEN (({code(f'(substring(line, {k + 1}, 1))')}) + 1) / 256.0::DOUBLE ELSE 0 END" for k in range(12)]
+    edge += [f"CASE WHEN length(line) > {k} THEN (({code(f'(substring(line, length(line) - {k}, 1))')}) + 1) / 256.0::DOUBLE ELSE 0 END" for k in range(6)]
+    out["feat_line_edges"] = with_(STRUCT, lines("struct_docs")) + f"SELECT doc_id, start_byte AS feature_pos, {block(edge)} FROM lines"
+    out["decode_structure_loose"] = with_(STRUCT, lines("struct_docs"), LABELLED, """fr AS (SELECT *, CASE WHEN coalesce(start - lag("end") OVER w > 200, true) THEN 1 ELSE 0 END AS f FROM labelled WHERE score >= 0.4 WINDOW w AS (PARTITION BY doc_id, label ORDER BY line_no)),
+rn AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, label ORDER BY line_no) AS run FROM fr)""") + 'SELECT doc_id, label, min(start) AS start, max("end") AS "end", round(max(score), 6) AS score FROM rn GROUP BY doc_id, label, run HAVING max("end") - min(start) >= 10'
+    out["breaks_to_sentences"] = with_(CONV, para("conv"), located("[.!?]", "conv"), """cuts AS (SELECT p.doc_id, p.k, p.start, l.e AS pos FROM paras p JOIN loc l ON l.doc_id = p.doc_id AND l.e > p.start AND l.e < p."end" WHERE substring(l.text, l.e + 1, 1) IN (' ', chr(10))
+  UNION ALL SELECT doc_id, k, start, "end" FROM paras)""") + """SELECT * FROM (SELECT doc_id, k, coalesce(lag(pos) OVER (PARTITION BY doc_id, k ORDER BY pos), start) AS start, pos AS "end" FROM cuts) WHERE start < "end" """
+    out["span_inside_start_end"] = with_(sentences(), "pos AS (SELECT doc_id, unnest(range(0, length(text), 97))::BIGINT AS p FROM documents WHERE length(text) > 0)") + """SELECT doc_id, p AS position,
+  (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s.start <= p AND p < s."end"))::BIGINT AS inside, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s.start = p))::BIGINT AS starts,
+  (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s."end" = p))::BIGINT AS ends FROM pos"""
+    out["gold_sentence_ends"] = with_(sentences()) + "SELECT doc_id, count(DISTINCT end_byte) AS n, max(end_byte) AS last FROM sentences GROUP BY doc_id"
+    out["metric_marker_breaks"] = with_("bench AS (SELECT item_id AS doc_id, text FROM benchmark WHERE text IS NOT NULL)", sentences("bench"), """pred AS (SELECT DISTINCT doc_id, "end" AS c FROM (SELECT *, max("end") OVER (PARTITION BY doc_id) AS z FROM sentences) WHERE "end" < z),
+gold AS (SELECT doc_id, (instr(text, m) - 1 + length(m))::BIGINT AS c FROM (SELECT doc_id, text, regexp_extract(text, '([^.;]{3,12}[.])[ \\n]', 1) AS m FROM bench) WHERE length(m) > 0),
+cnt AS (SELECT count(*) FILTER (p.c IS NOT NULL AND g.c IS NOT NULL) AS tp, count(*) FILTER (g.c IS NULL) AS fp, count(*) FILTER (p.c IS NULL) AS fn FROM pred p FULL JOIN gold g ON p.doc_id = g.doc_id AND p.c = g.c)""") + "SELECT tp, fp, fn, " + RATES.replace(", 6)", ", 4)") + " FROM cnt"
+    out["class_weights"] = """WITH c AS (SELECT quality::BIGINT AS label, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1), r AS (SELECT *, sum(n) OVER () / (count(*) OVER () * n)::DOUBLE AS raw FROM c)
+SELECT label, n, round(raw / avg(raw) OVER (), 6) AS weight FROM r"""
+    out["split_three_way"] = f"SELECT lang, CASE WHEN u < 0.7 THEN 'fit' WHEN u < 0.85 THEN 'calibration' ELSE 'validation' END AS part, count(*) AS n FROM (SELECT lang, {draw('doc_id', '11')} AS u FROM documents) GROUP BY 1, 2"
     return out

@@ -113,9 +113,9 @@ def test_samples(spark):
 
 
 def test_segmenter(spark):
-    out = segmenter.sentences(docs(spark, "One. Two é! three. Mr. X said 3.5. tail", "", None)).orderBy("start").collect()
+    out = segmenter.sentences(docs(spark, "One. Two é! three. Mr. X said 3.5. Tail", "", None)).orderBy("start").collect()
     assert [r.value for r in out] == ["One.", "Two é! three.", "Mr. X said 3.5."]
-    assert all("One. Two é! three. Mr. X said 3.5. tail"[r.start : r.end] == r.value for r in out)
+    assert all("One. Two é! three. Mr. X said 3.5. Tail"[r.start : r.end] == r.value for r in out)
     assert [r.end_byte - r.end for r in out] == [0, 1, 1]
     row = segmenter.annotate(docs(spark, "# Head\n\nAuthor: Me\n- item one\nIt is so. Yes.")).first()
     assert {s.label for s in row.spans} >= {"section", "metadata", "sentence"} and row.tagged.startswith("<|section|># Head</|section|>")

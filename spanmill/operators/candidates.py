@@ -155,3 +155,30 @@ def list_blocks(lines: DataFrame) -> DataFrame:
     head = F.sum((item | plain).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     grouped = lines.withColumn("block", head).withColumn("item", item).groupBy("doc_id", "block")
     return grouped.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("lines"), F.max("item").alias("item")).where("item").drop("item", "block")
+
+
+def chunks(docs: DataFrame, most: int, text: str = "text") -> DataFrame:
+    """Chunks of whole lines, ``most`` code points at most: ``(doc_id, chunk, start, value)``; a longer line is cut.
+
+    A greedy fold over a document's lines in the row: a line joins the open chunk
+    if it fits, else opens the next.
+    """
+    rows = docs.select("doc_id", F.col(text).alias("text")).where(F.length("text") > 0)
+    raw = F.regexp_extract_all("text", F.lit("[^\\n]*\\n|[^\\n]+"), F.lit(0))
+    cut = F.transform(raw, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda k: F.substring(x, k * most + 1, F.lit(most))))
+    pieces = F.flatten(cut)
+    zero = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+
+    def step(state, piece):
+        fits = F.length(state["open"]) + F.length(piece) <= most
+        return F.when(fits, F.struct(F.concat(state["open"], piece).alias("open"), state["done"].alias("done"))).otherwise(
+            F.struct(piece.alias("open"), F.concat(state["done"], F.array(state["open"])).alias("done"))
+        )
+
+    state = F.aggregate(pieces, zero, step)
+    out = rows.select("doc_id", F.posexplode(F.concat(state["done"], F.array(state["open"]))).alias("chunk", "value"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("chunk")
+    size = F.length("value")
+    return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), (F.sum(size).over(w) - size).cast("long").alias("start"), "value")

@@ -97,3 +97,34 @@ def position_targets(positions: DataFrame, spans: DataFrame) -> DataFrame:
     ends = spans.select("doc_id", F.col("end").alias("position")).distinct()
     out = positions.join(mark(inside, "inside"), ["doc_id", "position"], "left").join(mark(starts, "starts"), ["doc_id", "position"], "left").join(mark(ends, "ends"), ["doc_id", "position"], "left")
     return out.fillna(0, ["inside", "starts", "ends"])
+
+
+def parse_tagged(tagged: DataFrame, labels: tuple[str, ...] = PRIORITY) -> DataFrame:
+    """``(doc_id, text, spans, error)`` from ``(doc_id, tagged)``: the inverse of ``render``, in either dialect.
+
+    Tags split a text into an alternating list inside the row; a fold keeps a
+    stack of open tags. ``error`` names an unknown label, a wrong closing tag or
+    one left open; spans are then empty.
+    """
+    pattern = "<\\|[a-z_]+\\|>|</\\|[a-z_]+\\|>|<\\|/[a-z_]+\\|>"
+    kind = "array<struct<label:string,start:bigint,end:bigint>>"
+    gaps, tags = F.split("tagged", pattern, -1), F.regexp_extract_all("tagged", F.lit(pattern), F.lit(0))
+    events = F.zip_with(F.slice(gaps, 1, F.size(tags)), tags, lambda g, t: F.struct(F.length(g).alias("skip"), F.regexp_extract(t, "[a-z_]+", 0).alias("label"), t.contains("/").alias("close")))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("stack"), F.array().cast(kind).alias("spans"), F.lit(None).cast("string").alias("error"))
+
+    def step(s: Column, e: Column) -> Column:
+        at = s["at"] + e["skip"]
+        top = F.try_element_at(s["stack"], F.lit(-1))
+        closes = e["close"] & top["label"].eqNullSafe(e["label"])
+        done = F.array(F.struct(top["label"].alias("label"), top["start"].alias("start"), at.alias("end")))
+        error = F.when(~e["label"].isin(*labels), F.concat(F.lit("unknown label "), e["label"])).when(e["close"] & ~closes, F.concat(F.lit("unexpected end of "), e["label"]))
+        opened = F.concat(s["stack"], F.array(F.struct(e["label"].alias("label"), at.alias("start"), F.lit(0).cast("long").alias("end"))))
+        popped = F.when(closes, F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"])
+        return F.struct(
+            at.alias("at"), F.when(e["close"], popped).otherwise(opened).alias("stack"), F.when(closes, F.concat(s["spans"], done)).otherwise(s["spans"]).alias("spans"), F.coalesce(s["error"], error).alias("error")
+        )
+
+    state = F.aggregate(events, zero, step)
+    error = F.coalesce(state["error"], F.when(F.size(state["stack"]) > 0, F.lit("a tag is left open")))
+    rows = tagged.select("doc_id", F.array_join(gaps, "").alias("text"), state["spans"].alias("found"), error.alias("error"))
+    return rows.select("doc_id", "text", F.when(F.col("error").isNull(), F.col("found")).otherwise(F.array().cast(kind)).alias("spans"), "error")

@@ -15,6 +15,8 @@ from spanmill.operators import models as M
 from spanmill.operators import sampling as S
 from spanmill.operators import spans as R
 from spanmill.plans import oracle, segmenter
+from spanmill.plans.pipeline import Pipeline
+from spanmill.sources import generate
 
 QUERIES: dict = {}
 
@@ -622,6 +624,37 @@ def split_three_way(spark, d):
     return documents(spark, d).groupBy("lang", part.alias("part")).agg(F.count("*").alias("n"))
 
 
+@query
+def parse_tagged_roundtrip(spark, d):
+    """Tagged sentences parsed back."""
+    docs = documents(spark, d)
+    spans = segmenter.sentences(docs).select("doc_id", F.lit("sentence").alias("label"), "start", "end")
+    parsed = R.parse_tagged(R.render(spans, docs))
+    return parsed.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.size("spans").cast("long").alias("spans"), F.col("error").isNull().alias("ok"))
+
+
+@query
+def chunks_lines(spark, d):
+    """Chunks of whole lines, 1500 characters at most."""
+    return C.chunks(documents(spark, d), 1500).select("doc_id", "chunk", "start", F.length("value").cast("long").alias("size"))
+
+
+@query
+def pipeline_run(spark, d):
+    """A built pipeline over two feature blocks with fixed weights."""
+    p = Pipeline().with_block("neighbours", X.ascii_neighbours).with_block("token", X.token_shape).with_model([0.0, 0.0, 0.5, 3.0, -1.0, -2.0, -4.0, *[0.0] * 8, 0.5, -2.5, 0.0, -2.0][:18], -1.0)
+    return p.run(documents(spark, d))
+
+
+@query
+def generated_corpus(spark, d):
+    """Generated training texts, sentences that the segmenter finds in them."""
+    made = generate.generate(spark, 2000, 7)
+    found = segmenter.sentences(made.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.col("end").alias("break_char"))
+    gold = made.select(F.col("doc_id").alias("id"), F.explode("spans").alias("s")).select("id", F.col("s.end").alias("break_char"))
+    return A.break_report(made, found, gold)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence spans of all documents."""
     return segmenter.sentences(documents(spark, sf_dir)).select("doc_id", "start", "end", "start_byte", "end_byte")

@@ -360,4 +360,5 @@ cnt AS (SELECT count(*) FILTER (p.c IS NOT NULL AND g.c IS NOT NULL) AS tp, coun
     out["class_weights"] = """WITH c AS (SELECT quality::BIGINT AS label, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1), r AS (SELECT *, sum(n) OVER () / (count(*) OVER () * n)::DOUBLE AS raw FROM c)
 SELECT label, n, round(raw / avg(raw) OVER (), 6) AS weight FROM r"""
     out["split_three_way"] = f"SELECT lang, CASE WHEN u < 0.7 THEN 'fit' WHEN u < 0.85 THEN 'calibration' ELSE 'validation' END AS part, count(*) AS n FROM (SELECT lang, {draw('doc_id', '11')} AS u FROM documents) GROUP BY 1, 2"
+    out["parse_tagged_roundtrip"] = with_(sentences()) + """SELECT d.doc_id, md5(d.text) AS digest, count(s.doc_id) AS spans, true AS ok FROM documents d LEFT JOIN sentences s ON d.doc_id = s.doc_id GROUP BY d.doc_id, d.text"""
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.llm import decontam, embed_join, html_extract, lang_id, minhash, mixing, pii, secrets, suffix_dedup, warc
+from spanmill.llm import decontam, embed_join, html_extract, lang_id, minhash, mixing, oracle, pii, secrets, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +104,6 @@ QUERIES = [
     op9_embedding_range_join,
     op10_rank_order_language_id,
 ]
-ORACLE_SQL: dict[str, str] = {"op7_source_mixing": mixing.ORACLE_SQL}
 
 
 def queries() -> dict:
@@ -112,4 +111,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return oracle.build()

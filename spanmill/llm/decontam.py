@@ -18,8 +18,8 @@ from spanmill.llm.common import durable, steps, utf8_batch
 from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, lower_table, window_hashes, word_spans
 
 WIDTH = 13
-#: Benchmarks of more text than this are not broadcast but joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Benchmarks of more text than this are not broadcast but joined by a shuffle; windows take about 40 times their text.
+BROADCAST_BYTES = 4 << 20
 
 
 def _words(data: np.ndarray, offsets: np.ndarray, seed: int = 7):

@@ -189,3 +189,15 @@ def test_language_id(spark):
     nothing = lang_id.fit(spark.createDataFrame([], SCHEMA))
     assert {r.lang_pred for r in lang_id.identify(mine, nothing).collect()} == {"und"}
     assert lang_id.identify(spark.createDataFrame([], SCHEMA), profiles).collect() == []
+
+
+def test_personal_patterns_are_those_of_the_contract():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(5)
+    for _ in range(20000):
+        text = "".join(rng.choice("a.@-1 \u00e9") for _ in range(rng.randint(0, 14)))
+        assert [m.span() for m in email.finditer(text)] == list(pii.find_emails(text))
+        text = "".join(rng.choice("12.. ") for _ in range(rng.randint(0, 20)))
+        assert [m.span() for m in ip.finditer(text)] == [m.span() for m in pii._IP.finditer(text)]
+    assert pii.find_personal("1" * 300_000 + "a" * 300_000 + "@") == []

@@ -33,25 +33,35 @@ def sentences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Breaks are folded inside the row, so a document is never shuffled.
     """
-    found = T.locate("text", "[.!?]")
-    right = lambda s: F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.lit(8))
-    left = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - 4, F.lit(1)).cast("int"), F.least(s["start"], F.lit(5)).cast("int"))
+    marks = F.regexp_extract_all("text", F.lit("[.!?]"), F.lit(0))
+    gaps = F.split("text", "[.!?]", -1)
 
-    def good(s):
-        tests = [right(s).rlike("^[ \\t\\n\\r]"), F.length(right(s)) == 0, right(s).rlike("^[0-9]"), right(s).rlike("^[ \\t\\n\\r]+[a-z]"), left(s).rlike("(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
+    def weigh(gap, after):
+        """What stands before and behind a mark decides; the next mark ends what is behind it."""
+        right = F.when(F.length(after["gap"]) > 0, F.substring(after["gap"], 1, 8)).otherwise(F.coalesce(after["mark"], F.lit("")))
+        tests = [right.rlike("^[ \\t\\n\\r]"), F.length(right) == 0, right.rlike("^[0-9]"), right.rlike("^[ \\t\\n\\r]+[a-z]"), F.right(gap, F.lit(5)).rlike("(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
         z = F.lit(BIAS)
         for test, weight in zip(tests, WEIGHTS, strict=True):
             z = z + F.when(test, weight).otherwise(0.0)
-        return M.sigmoid(z) >= threshold
-
-    breaks = F.filter(found, good)
-    starts = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("b"))), F.transform(breaks, lambda s: F.struct(s["end"].alias("c"), s["end_byte"].alias("b"))))
-    pairs = F.zip_with(F.slice(starts, 1, F.size(breaks)), breaks, lambda a, b: F.struct(a["c"].alias("c"), a["b"].alias("b"), b["end"].alias("end"), b["end_byte"].alias("end_byte")))
-    rows = docs.select("doc_id", "text", F.explode(pairs).alias("p")).select("doc_id", "p.*", T.piece("text", "p.c", "p.end").alias("raw"))
-    value = F.ltrim("raw", F.lit(" \t\n\r"))
-    lead = F.length("raw") - F.length(value)
-    out = rows.select("doc_id", (F.col("c") + lead).alias("start"), "end", (F.col("b") + lead).alias("start_byte"), "end_byte", value.alias("value"))
-    return out.where(F.length("value") > 0)
+        lead = F.length(gap) - F.length(F.ltrim(gap, F.lit(" \t\n\r")))
+        return F.struct(F.length(gap).alias("c"), F.octet_length(gap).alias("b"), lead.alias("lead"), (M.sigmoid(z) >= threshold).alias("good"))
+
+    after = F.zip_with(F.slice("gaps", 2, F.size("marks")), F.slice("marks", 2, F.size("marks")), lambda g, m: F.struct(g.alias("gap"), m.alias("mark")))
+    zero = F.lit(0).cast("bigint")
+    none = F.struct(*[zero.alias(n) for n in ("c", "b", "start", "start_byte")], F.lit(False).alias("open"), F.array().cast(f"array<{T.SPAN}>").alias("spans"))
+
+    def step(state, x):
+        start = F.when(state["open"], state["start"]).otherwise(state["c"] + x["lead"])
+        start_byte = F.when(state["open"], state["start_byte"]).otherwise(state["b"] + x["lead"])
+        end, end_byte = state["c"] + x["c"] + 1, state["b"] + x["b"] + 1
+        span = F.struct(start.alias("start"), end.alias("end"), start_byte.alias("start_byte"), end_byte.alias("end_byte"))
+        spans = F.when(x["good"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+        return F.struct(end.alias("c"), end_byte.alias("b"), start.alias("start"), start_byte.alias("start_byte"), (~x["good"]).alias("open"), spans.alias("spans"))
+
+    rows = docs.select("doc_id", "text", marks.alias("marks"), gaps.alias("gaps"))
+    weighed = F.zip_with(F.slice("gaps", 1, F.size("marks")), after, weigh)
+    rows = rows.select("doc_id", "text", F.explode(F.aggregate(weighed, none, step)["spans"]).alias("p"))
+    return rows.select("doc_id", "p.*", T.piece("text", "p.start", "p.end").alias("value"))
 
 
 def structure(docs: DataFrame) -> DataFrame:

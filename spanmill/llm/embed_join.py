@@ -65,7 +65,6 @@ def cell_entries(reps: DataFrame, pivots: np.ndarray, radius: float) -> DataFram
 def join_block(table: pa.Table, cosine: float) -> pa.Table:
     """Links of one pair of blocks: partial counts ``(id, links)`` and edges ``(id, other)`` that span its components."""
     side = np.asarray(table["side"])
-    home, cell = np.asarray(table["home"]), np.asarray(table["cell"])
     ids, n = np.asarray(table["id"]), np.asarray(table["n"])
     same = bool(np.asarray(table["i"])[0] == np.asarray(table["j"])[0])
     x = _matrix(table["v"].combine_chunks())
@@ -75,11 +74,9 @@ def join_block(table: pa.Table, cosine: float) -> pa.Table:
     right = left if same else np.flatnonzero(side == 1)
     links = np.zeros(len(ids), np.int64)
     label = np.arange(len(ids))
-    is_home = home == cell
     for at in range(0, len(left), 512):
         rows = left[at : at + 512]
         found = unit[rows] @ unit[right].T >= cosine - _SLACK
-        found &= is_home[rows][:, None] | is_home[right][None]
         if same:
             found &= rows[:, None] < right[None]
         for r, hits in zip(rows, found, strict=True):
@@ -115,9 +112,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     stands for all of them; rows that share an id are one node.
 
     A pilot of hashed rows gives the pivots, about one for ``BLOCK`` vectors.
-    A cell of more than ``BLOCK`` entries is dealt into blocks whose pairs are
-    tasks of their own, so no task holds a whole hot cell; tasks return counts
-    and spanning edges, never all pairs.
+    A cell's homes and guests are dealt into blocks of about ``BLOCK``; each pair
+    of home blocks, and of a home block and a guest block, is a task of its own,
+    so no task holds a whole hot cell and guests aren't compared with guests.
+    Tasks return counts and spanning edges, never all pairs.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable(vector_col), F.col(vector_col).cast("array<float>")).alias("v"))
     rows = durable(rows.withColumn("key", F.when(F.col("v").isNotNull(), F.md5(F.to_binary(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), F.lit("utf-8"))))), "vectors")
@@ -132,12 +130,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     entries = durable(cell_entries(reps, pivots, math.sqrt(2 - 2 * cosine)), "entries")
-    blocks = {r["cell"]: -(-r["count"] // BLOCK) for r in entries.groupBy("cell").count().collect()}
-    many = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("cell")]
-    dealt = entries.withColumn("many", many).withColumn("block", F.pmod(F.xxhash64("id"), F.col("many")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("many").cast("bigint") - 1))
-    dealt = dealt.withColumn("to", other).select(
-        "cell", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).cast("int").alias("side"), "home", "id", "n", "v"
+    sizes = entries.groupBy("cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("homes"), F.count_if(F.col("home") != F.col("cell")).alias("guests")).collect()
+    blocks = lambda side: F.create_map(*[F.lit(x) for r in sizes for x in (r["cell"], -(-r[side] // BLOCK))])[F.col("cell")]
+    at_home = F.col("home") == F.col("cell")
+    dealt = entries.withColumns({"homes": blocks("homes"), "guests": blocks("guests")}).where("homes > 0")
+    own = F.pmod(F.xxhash64("id"), F.when(at_home, F.col("homes")).otherwise(F.col("guests"))) + F.when(at_home, 0).otherwise(F.col("homes"))
+    other = F.sequence(F.lit(0).cast("bigint"), F.when(at_home, F.col("homes") + F.col("guests")).otherwise(F.col("homes")).cast("bigint") - 1)
+    dealt = dealt.withColumn("block", own).withColumn("to", F.explode(other)).select(
+        "cell", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).cast("int").alias("side"), "id", "n", "v"
     )
     found = dealt.groupBy("cell", "i", "j").applyInArrow(lambda t: join_block(t, cosine), "id long, links long, other long")
     found = durable(found, "links")

@@ -325,7 +325,7 @@ cnt AS (SELECT count(*) FILTER (p.at IS NOT NULL AND g.at IS NOT NULL) AS tp, co
   unnest([floor(floor(x::DOUBLE * 16) / 2 + 0.25)::BIGINT FOR x IN embedding]) AS b FROM embeddings WHERE embedding IS NOT NULL) WHERE a <> b ORDER BY 1, 2 LIMIT 8"""
     out["leaderboard_topk"] = f"SELECT source, sum({count('text', '[.!?]')})::BIGINT AS marks, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source ORDER BY marks / chars::DOUBLE DESC, source LIMIT 5"
     out["stats_corpus"] = "SELECT lang, source, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT md5(text)) AS texts FROM documents GROUP BY lang, source"
-    out["sample_hash_negatives"] = with_(located("[\\!\\,\\.\;\\?]"), sentences(), f"""marks AS (SELECT l.doc_id, l.sb + 1 AS position, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = l.doc_id AND s.end_byte = l.sb + 1))::BIGINT AS label FROM loc l)""") + f"""SELECT doc_id, position, label FROM marks
+    out["sample_hash_negatives"] = with_(located("[\\!\\,\\.\\;\\?]"), sentences(), f"""marks AS (SELECT l.doc_id, l.sb + 1 AS position, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = l.doc_id AND s.end_byte = l.sb + 1))::BIGINT AS label FROM loc l)""") + f"""SELECT doc_id, position, label FROM marks
   WHERE label = 1 OR {draw("doc_id", "position")} < CASE WHEN position % 2 = 0 THEN 0.33 ELSE 0.1 END"""
     out["sample_stratified_cap"] = f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {draw('doc_id', '7')}, doc_id) AS r FROM documents) WHERE r <= 20"
     out["split_prefix"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= count(*) OVER () * 8 // 10 AS train FROM documents"

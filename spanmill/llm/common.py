@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
+#: Bytes of an Arrow batch that goes to a Python worker, where the session's builder doesn't say otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -54,6 +57,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are of bounded size.
+
+    A batch lives several times over, in the executor and in its Python worker,
+    and texts may be long; Spark's own bound of 64 MB is too much for that.
+    """
+    if not df.sparkSession.sparkContext.getConf().contains(_BATCH):
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def bit_filter(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of ``bits`` bits, a power of two, with the low bits of every key set.
 

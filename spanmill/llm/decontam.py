@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import durable, steps, utf8_batch
+from spanmill.llm.common import durable, small_batches, steps, utf8_batch
 from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, lower_table, window_hashes, word_spans
 
 WIDTH = 13
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     ["id", "n_words", "n_hit", "items", "spans"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {OUT}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(run, f"id {kind}, {OUT}")
 
 
 def _windows(rows: DataFrame, lengths: list[int] | None, width: int, kind: str) -> DataFrame:
@@ -155,7 +155,7 @@ def _windows(rows: DataFrame, lengths: list[int] | None, width: int, kind: str)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *(pa.array(np.asarray(c, np.int64)) for c in cols)], names)
 
     names = ["id", "n_words", "size", "at", "h1", "h2", "start_byte", "end_byte"]
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def _scan_by_join(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", batch.schema.field("id").type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS)]))
 
     rows = windows.where("size = 0").select("id", "n_words").join(found, "id", "left").select("id.id", "n_words", "items", "hits")
-    return rows.mapInArrow(fold, f"id {kind}, {OUT}")
+    return rows.transform(small_batches).mapInArrow(fold, f"id {kind}, {OUT}")
 
 
 def contaminated(percent: int = 5):
@@ -209,7 +209,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 rows = _scan(index.value, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield batch.slice(i, j - i).filter(pa.array([not (hit and 100 * hit >= percent * n) for n, hit, _, _ in rows], pa.bool_()))
 
-    return docs.mapInArrow(select, docs.schema)
+    return docs.transform(small_batches).mapInArrow(select, docs.schema)
 
 
 def _broadcast_index(docs: DataFrame, benchmark: DataFrame, item_col: str, width: int, broadcast_bytes: int):

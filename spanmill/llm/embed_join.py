@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import durable
+from spanmill.llm.common import durable, small_batches
 from spanmill.llm.components import components
 
 #: Vectors of a cell that one task compares with as many others, and pivots at most.
@@ -59,7 +59,7 @@ def cell_entries(reps: DataFrame, pivots: np.ndarray, radius: float) -> DataFram
                 [pa.array(cell), pa.array(home[row]), *(batch.column(k).take(take) for k in range(3))], ["cell", "home", "id", "n", "v"]
             )
 
-    return reps.select("id", "n", "v").mapInArrow(assign, "cell long, home long, id long, n long, v array<float>")
+    return reps.select("id", "n", "v").transform(small_batches).mapInArrow(assign, "cell long, home long, id long, n long, v array<float>")
 
 
 def join_block(table: pa.Table, cosine: float) -> pa.Table:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import durable
+from spanmill.llm.common import durable, small_batches
 
 #: A subtree is template if at least this share of the host's pages has it, and at least so many pages.
 SHARE = 0.5
@@ -223,7 +223,7 @@ def find_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 parts += [None, *own]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(parts, pa.int64())], ["host", "part"])
 
-    counts = pages.select(F.xxhash64(host(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(scan, "host long, part long")
+    counts = pages.select(F.xxhash64(host(url_col)).alias("host"), F.col(html_col).alias("html")).transform(small_batches).mapInArrow(scan, "host long, part long")
     counts = durable(counts.groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("part").isNull() | (F.col("n") >= least)), "parts")
     sites = counts.where("part is null").select("host", F.col("n").alias("pages"))
     return counts.where("part is not null").join(sites, "host").where(F.col("n") >= share * F.col("pages")).select("host", "part")
@@ -260,4 +260,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(Page(source or "").text(parts and frozenset(parts) or sent.value.get(site, frozenset())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    return rows.mapInArrow(run, f"id {kind}, url string, text string")
+    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, url string, text string")

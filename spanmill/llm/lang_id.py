@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.llm.common import small_batches
+
 UNKNOWN = "und"
 
 
@@ -96,7 +98,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
                 grams, counts = ngrams("\n".join(texts), letters)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
 
-    summed = picked.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = picked.select("text", "lang").transform(small_batches).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
     languages = sorted(rates)
@@ -124,7 +126,7 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["id", "lang_pred", "score"]
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(predict, f"id {kind.simpleString()}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(predict, f"id {kind.simpleString()}, lang_pred string, score double")
 
 
 def held_out(column: str) -> Column:
@@ -147,4 +149,4 @@ def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text",
             found = (profiles.predict(*ngrams(t or "", letters)) for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(select, schema)
+    return docs.transform(small_batches).mapInArrow(select, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import durable, steps, utf8_batch
+from spanmill.llm.common import durable, small_batches, steps, utf8_batch
 from spanmill.llm.components import components
 from spanmill.llm.textscan import (
     SPACE_SEPARATORS,
@@ -112,7 +112,7 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ["id", "n", "digest", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(
         scan, "id long, n long, digest binary, bands array<long>"
     )
 
@@ -132,7 +132,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
                     ["id", "n", "elements"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(
         scan, "id long, n long, elements array<long>"
     )
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import bit_filter, durable, maybe, steps, utf8_batch
+from spanmill.llm.common import bit_filter, durable, maybe, small_batches, steps, utf8_batch
 from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, lower_table, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -112,7 +112,7 @@ def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     fields = "base array<struct<kind:string,start:bigint,end:bigint>>, near array<struct<entity:bigint,term:bigint,start:bigint,end:bigint>>"
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, key long, {fields}")
+    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, key long, {fields}")
 
 
 def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -140,7 +140,7 @@ def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
                 term, n = np.unique(h[fresh], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
 
-    counted = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
+    counted = docs.select(text_col).transform(small_batches).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
     return counted.join(terms, "term", "left_semi")
 
 
@@ -213,4 +213,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return both.transform(small_batches).mapInArrow(run, schema)

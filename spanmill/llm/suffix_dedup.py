@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import STEP_BYTES, bit_filter, discard, durable, maybe, steps, utf8_batch
+from spanmill.llm.common import STEP_BYTES, bit_filter, discard, durable, maybe, small_batches, steps, utf8_batch
 from spanmill.llm.textscan import RangeHasher
 
 LENGTH = 200
@@ -123,7 +123,7 @@ def find_runs(keyed: DataFrame, length: int, anchor: int, repeated=None) -> Data
                     ["id", "text_key", "key", "whole", "s0", "s1", "at"],
                 )
 
-    return keyed.mapInArrow(scan, "key long" if repeated is None else f"id {kind}, text_key long, key long, whole long, s0 long, s1 long, at long")
+    return keyed.transform(small_batches).mapInArrow(scan, "key long" if repeated is None else f"id {kind}, text_key long, key long, whole long, s0 long, s1 long, at long")
 
 
 def find_contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -148,7 +148,7 @@ def find_contexts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame
                 ["id", "text_key", "key", "s0", "s1", "at", "unsettled", "bytes"],
             )
 
-    return both.mapInArrow(scan, f"id {kind}, text_key long, key long, s0 long, s1 long, at long, unsettled boolean, bytes binary")
+    return both.transform(small_batches).mapInArrow(scan, f"id {kind}, text_key long, key long, s0 long, s1 long, at long, unsettled boolean, bytes binary")
 
 
 def cut_runs(contexts: DataFrame, length: int, block: int) -> DataFrame:
@@ -184,7 +184,7 @@ def cut_runs(contexts: DataFrame, length: int, block: int) -> DataFrame:
                     ["id", "text_key", "key", "s0", "at", "node", "core", "whole", "b0", "b1", "unsettled"],
                 )
 
-    return contexts.mapInArrow(scan, f"id {kind}, text_key long, key long, s0 long, at long, node long, core long, whole long, b0 long, b1 long, unsettled boolean")
+    return contexts.transform(small_batches).mapInArrow(scan, f"id {kind}, text_key long, key long, s0 long, at long, node long, core long, whole long, b0 long, b1 long, unsettled boolean")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(own[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pairs), pa.array(kept, pa.binary())], ["id", "n_bytes", "removed", "kept"])
 
-    return both.mapInArrow(cut, f"id {kind}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    return both.transform(small_batches).mapInArrow(cut, f"id {kind}, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary")
 
 
 def digest(kept: bytes) -> str:

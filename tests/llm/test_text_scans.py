@@ -1,6 +1,7 @@
 """Decontamination, secrets, personal data, mixing, language identification."""
 
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F

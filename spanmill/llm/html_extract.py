@@ -5,7 +5,9 @@ first: elements that are never article text (menus, footers, forms, scripts)
 and elements whose class, id or role names such a part. Then the site speaks:
 every element's subtree is hashed, the hashes are counted for each host in
 Spark, and subtrees that recur on many pages of a host are deleted as its
-template. What is left inside the article, the main part or the body is text.
+template. Pages count once for each content, and where what recurs is half of
+a page's text or more, the page is a near copy of others and keeps it. What is
+left inside the article, the main part or the body is text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spanmill.llm.common import durable, small_batches
 
-#: A subtree is template if at least this share of the host's pages has it, and at least so many pages.
+#: A subtree is template if at least this share of the host's distinct pages has it, and at least so many pages.
 SHARE = 0.5
 PAGES = 5
 #: Up to so many template hashes are broadcast; more are joined by host.
@@ -75,12 +77,13 @@ class Page:
 
     ``pieces`` are texts, with None at the bounds of blocks; ``parts`` has
     ``(hash, first piece, end)`` for each element that may be template;
-    ``articles``, ``mains`` and ``body`` are ranges of pieces.
+    ``headlines``, ``articles``, ``mains`` and ``body`` are ranges of pieces.
     """
 
     def __init__(self, source: str):
         self.pieces: list[str | None] = []
         self.parts: list[tuple[int, int, int]] = []
+        self.headlines: list[tuple[int, int]] = []
         self.articles: list[tuple[int, int]] = []
         self.mains: list[tuple[int, int]] = []
         stack: list[list] = []  # tag, first piece, digests of what it holds, silent, articles around it, has a headline
@@ -159,6 +162,8 @@ class Page:
         self._depth -= tag == "article"
         headline = headline or tag == "h1"
         if not silent and not self._silent:
+            if tag == "h1":
+                self.headlines.append((first, end))
             if held:
                 digest = hashlib.blake2b("\x1f".join([tag, *held]).encode("utf-8", "replace"), digest_size=8).hexdigest()
                 if self._stack:
@@ -184,27 +189,47 @@ class Page:
                 return
 
     def text(self, template=frozenset()) -> str:
-        """The main text: blocks with single spaces, joined by a space, without the template's subtrees."""
+        """The main text: blocks with single spaces, joined by a space, without the template's subtrees.
+
+        Where these are as long as the rest of the text beside its headlines, they
+        are what near copies of a page share, and stay.
+        """
         gone = bytearray(len(self.pieces))
         for digest, first, end in self.parts:
             if digest in template:
                 gone[first:end] = b"\1" * (end - first)
         for ranges in (self.articles, self.mains, [self.body]):
-            out: list[str] = []
-            for first, end in ranges:
-                block: list[str] = []
-                for k in range(first, end):
-                    piece = self.pieces[k]
-                    if piece is None:
-                        out += "".join(block).split()
-                        block = []
-                    elif not gone[k]:
-                        block.append(piece)
-                out += "".join(block).split()
+            out = self._words(ranges, gone if any(gone) and not self._is_copy(ranges, gone) else None)
             if out:
                 return " ".join(out)
         return ""
 
+    def _is_copy(self, ranges, gone: bytearray) -> bool:
+        """Whether the marked pieces are half of the text beside the headlines, or more."""
+        title = bytearray(len(gone))
+        for first, end in self.headlines:
+            title[first:end] = b"\1" * (end - first)
+        sizes = [0, 0]
+        for first, end in ranges:
+            for k in range(first, end):
+                if self.pieces[k] and not title[k]:
+                    sizes[gone[k]] += len("".join(self.pieces[k].split()))
+        return 0 < sizes[1] >= sizes[0]
+
+    def _words(self, ranges, gone: bytearray | None) -> list[str]:
+        out: list[str] = []
+        for first, end in ranges:
+            block: list[str] = []
+            for k in range(first, end):
+                piece = self.pieces[k]
+                if piece is None:
+                    out += "".join(block).split()
+                    block = []
+                elif not gone or not gone[k]:
+                    block.append(piece)
+            out += "".join(block).split()
+        return out
+
 
 def host(url_col: str = "url") -> Column:
     """Lower-case host of a URL, empty where there is none."""
@@ -212,19 +237,25 @@ def host(url_col: str = "url") -> Column:
 
 
 def find_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """``(host, part)``: hashes of subtrees on at least ``share`` of a host's pages, and on ``least`` pages."""
+    """``(host, part)``: hashes of subtrees on at least ``share`` of a host's distinct pages, and on ``least`` of them."""
 
     def scan(batches):
         for batch in batches:
-            hosts, parts = [], []
-            for site, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hosts, contents, parts = [], [], []
+            seen = set()
+            for site, content, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if (site, content) in seen:
+                    continue
+                seen.add((site, content))
                 own = {p[0] for p in Page(source or "").parts}
                 hosts += [site] * (len(own) + 1)
+                contents += [content] * (len(own) + 1)
                 parts += [None, *own]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(parts, pa.int64())], ["host", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, contents, parts)], ["host", "content", "part"])
 
-    counts = pages.select(F.xxhash64(host(url_col)).alias("host"), F.col(html_col).alias("html")).transform(small_batches).mapInArrow(scan, "host long, part long")
-    counts = durable(counts.groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("part").isNull() | (F.col("n") >= least)), "parts")
+    rows = pages.select(F.xxhash64(host(url_col)).alias("host"), F.xxhash64(html_col).alias("content"), F.col(html_col).alias("html"))
+    found = rows.transform(small_batches).mapInArrow(scan, "host long, content long, part long")
+    counts = durable(found.groupBy("host", "part").agg(F.count_distinct("content").alias("n")).where(F.col("part").isNull() | (F.col("n") >= least)), "parts")
     sites = counts.where("part is null").select("host", F.col("n").alias("pages"))
     return counts.where("part is not null").join(sites, "host").where(F.col("n") >= share * F.col("pages")).select("host", "part")
 
@@ -234,8 +265,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html, and pages without text of their own, give the empty
     text; a null or odd url counts as one host without a name; repeated rows
-    are pages like others; other columns aren't read; an empty table gives an
-    empty result. Headlines (and what holds them) are never deleted as template.
+    get their text but count once for the template; other columns aren't read;
+    an empty table gives an empty result. Headlines (and what holds them) are never deleted as template.
     """
     templates = durable(find_templates(pages, url_col, html_col, share, least), "templates")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(host(url_col)).alias("host"))

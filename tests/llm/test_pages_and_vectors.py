@@ -23,6 +23,20 @@ def test_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_main_text_of_copies(spark):
+    body = [f"Paragraph {k} tells of the river and the stone." for k in range(6)]
+    article = lambda k, own: f"<article><h1>Flood</h1>{''.join(f'<p>{own if j == k else t}</p>' for j, t in enumerate(body))}</article>"
+    rows = [(k, "http://copy/", page(article(-1, ""), k), "", "", "") for k in range(8)]
+    rows += [(100 + k, None, page(article(k % 6, f"Edited {k}."), k), "", "", "") for k in range(12)]
+    rows += [(200 + k, "odd", page(f"<div><h1>Flood</h1>{''.join(f'<p>{t}</p>' for t in body)}<p>Edited {k}.</p></div>", k), "", "", "") for k in range(12)]
+    rows += [(300 + k, "http://own/", page(f"<article><p>Own text of the page with number {k}</p><p>Shared line</p></article>", k), "", "", "") for k in range(6)]
+    got = {r.id: r.text for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[k] for k in range(8)} == {" ".join(["Flood", *body])}
+    assert all(got[100 + k] == " ".join(["Flood", *body[: k % 6], f"Edited {k}.", *body[k % 6 + 1 :]]) for k in range(12))
+    assert all(" ".join(["Flood", *body, f"Edited {k}."]) in got[200 + k] for k in range(12))
+    assert all(got[300 + k] == f"Own text of the page with number {k}" for k in range(6))
+
+
 def test_main_text_by_joined_templates(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "BROADCAST_HASHES", -1)
     rows = [(k, "http://s/", page(f"<article>own {k}</article><p>x", k), "", "", "") for k in range(6)]

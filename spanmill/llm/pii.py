@@ -2,12 +2,12 @@
 
 Information-theoretic sanitisation in the sense of Sanchez and Batet: the
 corpus tells how much a term discloses about a protected entity. Here an
-entity is a value that the base patterns find, and its context is the
-``CONTEXT`` words on either side. A term ``t`` discloses an entity ``e`` where
-``P(e | t)``, the documents with ``t`` in the context of ``e`` over the
-documents with ``t``, is at least ``DISCLOSURE``: then seeing ``t`` leaves at
-most ``-log2(DISCLOSURE)`` bits of ``e``. Such terms are generalised in the
-contexts of their entity.
+entity is a value that the base patterns find, and it co-occurs with every word
+of the documents that hold it. A term ``t`` discloses an entity ``e`` where
+``P(e | t)``, the documents with both over the documents with ``t``, is at
+least ``DISCLOSURE``: then seeing ``t`` leaves at most ``-log2(DISCLOSURE)``
+bits of ``e``. Such terms are generalised wherever they stand in the documents
+of their entity.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,9 @@ from spanmill.llm.common import bit_filter, durable, maybe, small_batches, steps
 from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, lower_table, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 8
 SUPPORT = 3
 DISCLOSURE = 0.5
-#: Bits of the filter that keeps the corpus count to words that may be terms: 1 MB at any corpus size.
+#: Bits of the filters that keep scans to entities and words that may count: 1 MB each at any corpus size.
 FILTER_BITS = 1 << 23
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -75,44 +75,89 @@ def find_personal(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _contexts(text: str, spans: list[tuple[str, int, int]]):
-    """``(entity, term, start, end)``: words of three letters or more near each base span, outside all base spans; hashes as int64."""
+def _entities(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Distinct hashes, as int64, of the values of base spans."""
+    values = [f"{kind}:{text[s:e]}".encode() for kind, s, e in spans]
+    bounds = np.cumsum([0, *map(len, values)])
+    return np.unique(RangeHasher(np.frombuffer(b"".join(values), np.uint8))(bounds[:-1], bounds[1:]).view(np.int64))
+
+
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes as int64, starts and ends of the words of three letters or more outside all base spans."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     char_at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
     starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), class_table(SYMBOL_SEPARATORS))
-    terms = RangeHasher(raw, lower_table())(starts, ends).view(np.int64)
     a, b = char_at[starts], char_at[ends]
-    free = b - a >= 3
-    for _, s, e in spans:
-        free &= (b <= s) | (a >= e)
-    for kind, s, e in spans:
-        value = np.frombuffer(f"{kind}:{text[s:e]}".encode(), np.uint8)
-        entity = int(RangeHasher(value)(np.array([0]), np.array([len(value)])).view(np.int64)[0])
-        before, after = np.flatnonzero(free & (b <= s))[-CONTEXT:], np.flatnonzero(free & (a >= e))[:CONTEXT]
-        for k in (*before, *after):
-            yield entity, int(terms[k]), int(a[k]), int(b[k])
+    low, high = np.array([s for _, s, _ in spans]), np.maximum.accumulate([e for _, _, e in spans])
+    before = np.searchsorted(low, b, "left")  # spans that begin before the word ends
+    free = (b - a >= 3) & ((before == 0) | (high[before - 1] <= a))
+    return RangeHasher(raw, lower_table())(starts, ends).view(np.int64)[free], a[free], b[free]
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_WORD = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, base, near)`` for each row: a hash of the text, base spans and the words in their contexts."""
+    """``(id, key, base, entities)`` for each row: a hash of the text, base spans and the hashes of their values."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            base, near = [], []
+            base, entities = [], []
             for text in batch.column(2).to_pylist():
                 spans = find_personal(text) if text else []
                 base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
-                near.append([dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in _contexts(text, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], ["id", "key", "base", "near"])
+                entities.append(_entities(text, spans) if spans else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.int64()))], ["id", "key", "base", "entities"])
 
-    fields = "base array<struct<kind:string,start:bigint,end:bigint>>, near array<struct<entity:bigint,term:bigint,start:bigint,end:bigint>>"
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, key long, {fields}")
+    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, key long, base array<struct<kind:string,start:bigint,end:bigint>>, entities array<bigint>")
+
+
+def count_held(docs: DataFrame, known: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``(term, held)``: in how many rows that hold an entity of the filter ``known`` each term occurs."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for text in batch.column(0).to_pylist():
+                spans = find_personal(text) if text else []
+                if spans and maybe(sent.value, _entities(text, spans)).any():
+                    found.append(np.unique(_terms(text, spans)[0]))
+            term, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    return docs.select(text_col).transform(small_batches).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("held"))
+
+
+def find_holders(docs: DataFrame, known: np.ndarray, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(row, id, key, entities, words)`` for each row that holds an entity of ``known``: these, and all places of words of ``terms``."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast((known, terms))
+
+    def run(batches):
+        n = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            rows, kept, entities, words = [], [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                spans = find_personal(text) if text else []
+                own = _entities(text, spans) if spans else np.zeros(0, np.int64)
+                own = own[maybe(sent.value[0], own)]
+                if len(own):
+                    found = _terms(text, spans)
+                    here = maybe(sent.value[1], found[0])
+                    rows.append(n := n + 1)
+                    kept.append(k)
+                    entities.append(own)
+                    words.append([{"term": t, "start": a, "end": b} for t, a, b in zip(*(x[here].tolist() for x in found), strict=True)])
+            at = pa.array(kept, pa.int64())
+            columns = [pa.array(rows, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(entities, pa.list_(pa.int64())), pa.array(words, pa.list_(_WORD))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "key", "entities", "words"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return texts.transform(small_batches).mapInArrow(run, f"row long, id {kind}, key long, entities array<bigint>, words array<struct<term:bigint,start:bigint,end:bigint>>")
 
 
 def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -144,12 +189,27 @@ def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
     return counted.join(terms, "term", "left_semi")
 
 
-def find_disclosures(docs: DataFrame, entities: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(entity, term)`` pairs whose disclosure reaches the threshold with ``support`` documents at least."""
-    near = entities.select(F.explode(F.expr("array_distinct(transform(near, x -> struct(x.entity, x.term)))")).alias("x"))
-    joint = durable(near.groupBy("x").agg(F.count("*").alias("both")).where(F.col("both") >= support).select("x.*", "both"), "joint")
-    totals = count_terms(docs, joint.select("term").distinct(), text_col)
-    return joint.join(totals, "term").where(F.col("both") >= disclosure * F.col("documents")).select("entity", "term")
+def find_disclosures(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``(id, key, start, end)``: all places of terms that disclose an entity of their row.
+
+    A pair needs ``support`` documents and a disclosure at the threshold at
+    least. So its entity has that many documents, and its term at most
+    ``1 / disclosure`` times as many as its entity; only what can meet this is paired.
+    """
+    known = entities.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holders")).where(F.col("holders") >= support)
+    known = durable(known, "known")
+    known_bits = bit_filter(known, "entity", FILTER_BITS)
+    held = durable(count_held(docs, known_bits, text_col).where(F.col("held") >= support), "held")
+    totals = held.join(count_terms(docs, held, text_col), "term").where(F.col("held") >= disclosure * F.col("documents")).select("term", "documents")
+    totals = durable(totals, "totals")
+    holders = durable(find_holders(docs, known_bits, bit_filter(totals, "term", FILTER_BITS), id_col, text_col), "holders")
+    near = holders.select("row", F.explode("entities").alias("entity")).join(known, "entity")
+    words = holders.select("row", F.explode(F.expr("array_distinct(transform(words, x -> x.term))")).alias("term")).join(totals, "term")
+    pairs = near.join(words, "row").where(F.col("holders") >= disclosure * F.col("documents")).select("row", "entity", "term", "documents")
+    pairs = durable(pairs, "pairs")
+    revealing = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("documents").alias("documents")).where((F.col("both") >= support) & (F.col("both") >= disclosure * F.col("documents")))
+    hits = pairs.join(revealing.select("entity", "term"), ["entity", "term"], "left_semi").select("row", "term").distinct()
+    return holders.select("row", "id", "key", F.explode("words").alias("x")).select("row", "id", "key", "x.*").join(hits, ["row", "term"], "left_semi").select("id", "key", "start", "end")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -161,9 +221,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text share terms; other columns aren't read; an empty table gives an empty result.
     """
     entities = durable(find_entities(docs, id_col, text_col), "entities")
-    revealing = find_disclosures(docs, entities, text_col, **thresholds)
-    near = entities.where(F.size("near") > 0).select("id", "key", F.explode("near").alias("x")).select("id", "key", "x.*")
-    terms = near.join(revealing, ["entity", "term"], "left_semi").groupBy(F.col("id").alias("of"), F.col("key").alias("text_key")).agg(
+    places = find_disclosures(docs, entities, id_col, text_col, **thresholds)
+    terms = places.groupBy(F.col("id").alias("of"), F.col("key").alias("text_key")).agg(
         F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms")
     )
     rows = entities.join(terms, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("text_key")), "left")

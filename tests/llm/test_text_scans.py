@@ -121,6 +121,16 @@ def test_disclosing_terms(spark):
     assert clean[0] == "[TERM] common0 word [TERM] [EMAIL] near [TERM] again 0" and clean[10] == rows[4][1] and clean[40] is None
 
 
+def test_disclosing_terms_far_from_their_entity(spark):
+    gap = " ".join(f"filler{j}" for j in range(30))
+    rows = [(k, f"Zorblatt {gap} own{k} ann@mail.org own{k} {gap} zorblatt 4111 1111 1111 1111 own{k} quux" if k else f"ann@mail.org {gap} ZORBLATT") for k in range(4)]
+    rows += [(10 + k, f"{gap} nothing{k} to quux") for k in range(9)] + [(30, "zorblatt here"), (31, "bob@mail.org zorblatt")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.find_spans(docs).collect()}
+    assert {i: [t[a:b] for a, b in found[i]] for i, t in rows if found[i]} == {0: ["ZORBLATT"], 1: ["Zorblatt", "zorblatt"], 2: ["Zorblatt", "zorblatt"], 3: ["Zorblatt", "zorblatt"]}
+    assert "zorblatt" not in " ".join(r.text for r in pii.sanitise(docs).where("doc_id < 4").collect()).lower()
+
+
 def test_personal_data_of_a_corpus(spark):
     docs = documents(spark)
     got = sorted((r.id, [tuple(s) for s in r.base]) for r in pii.find_spans(docs).collect())

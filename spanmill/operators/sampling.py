@@ -23,18 +23,61 @@ def keep_negatives(rows: DataFrame, rate: float, terminal_rate: float) -> DataFr
     return rows.where((F.col("label") == 1) | (draw(F.col("doc_id"), F.col("position")) < limit))
 
 
+#: A range of the order with at most so many rows is ranked in one task; a larger one is divided anew.
+RANGE_ROWS = 100_000
+#: Ranges of one division.
+RANGES = 1024
+
+
 def prefix_split(rows: DataFrame, order: str, numerator: int, denominator: int) -> DataFrame:
-    """``train``: the first n * numerator / denominator rows of an order.
+    """``train``: the first n * numerator / denominator rows of an order of whole numbers, nulls last.
 
-    The cut is found from counts of ranges of the order, not by numbering all
-    rows in one task.
+    The cut is found from counts of ranges of the order, a narrower one each
+    time, until the range around the cut is small or one value; only its rows
+    are ranked. Rows that are equal at the cut are ranked by the spread of
+    their tasks: as many as fit are in.
     """
-    n = rows.count()
-    size = n * numerator // denominator
-    if size == 0:
+    low, high, n, known = rows.agg(F.min(order), F.max(order), F.count("*"), F.count(order)).first()
+    left = n * numerator // denominator
+    if left == 0:
         return rows.withColumn("train", F.lit(False))
-    last = rows.select(order).orderBy(order).offset(size - 1).limit(1).first()[0]
-    return rows.withColumn("train", F.col(order) <= F.lit(last))
+    if left == n:
+        return rows.withColumn("train", F.lit(True))
+    key = F.col(order)
+    if left >= known:
+        before, inside, left, size = key.isNotNull(), key.isNull(), left - known, n - known
+    else:
+        size = known
+        while size > RANGE_ROWS and low < high:
+            step = (high - low) // RANGES + 1
+            counts = rows.where(key.between(low, high)).groupBy(F.expr(f"CAST((CAST({order} AS DECIMAL(20,0)) - {low}) DIV {step} AS INT)").alias("range")).count()
+            for r in sorted(counts.collect()):
+                if left < r["count"]:
+                    break
+                left -= r["count"]
+            low, size = low + r["range"] * step, r["count"]
+            high = min(high, low + step - 1)
+        before, inside = key < low, key.between(low, high)
+    if left == 0:
+        return rows.withColumn("train", F.coalesce(before, F.lit(False)))
+    if size <= RANGE_ROWS:
+        ranked = rows.where(inside).withColumn("train", F.row_number().over(Window.orderBy(order)) <= left)
+    else:
+        ranked = _first_of_equal(rows.where(inside), left)
+    return rows.where(~F.coalesce(inside, F.lit(False))).withColumn("train", F.coalesce(before, F.lit(False))).unionByName(ranked)
+
+
+def _first_of_equal(rows: DataFrame, left: int) -> DataFrame:
+    """``train`` for ``left`` of many rows that are equal in the order, by counts of their partitions."""
+    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
+    task = F.shiftright("__row", 33)
+    counts = dict(sorted(map(tuple, numbered.groupBy(task).count().collect())))
+    part, whole = -1, left
+    for part, count in counts.items():
+        if whole < count:
+            break
+        whole -= count
+    return numbered.withColumn("train", F.col("__row") < F.lit((part << 33) + whole)).drop("__row")
 
 
 def stratified(rows: DataFrame, key: str, by: str, cap: int) -> DataFrame:

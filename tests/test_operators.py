@@ -119,3 +119,15 @@ def test_segmenter(spark):
     assert [r.end_byte - r.end for r in out] == [0, 1, 1]
     row = segmenter.annotate(docs(spark, "# Head\n\nAuthor: Me\n- item one\nIt is so. Yes.")).first()
     assert {s.label for s in row.spans} >= {"section", "metadata", "sentence"} and row.tagged.startswith("<|section|># Head</|section|>")
+
+
+def test_prefix_split(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGE_ROWS", 8)
+    monkeypatch.setattr(S, "RANGES", 4)
+    for values in (list(range(100)), [5] * 60 + [7] * 40, [None] * 30 + list(range(-35, 35)), [-(2**63), 2**63 - 1] * 10, [3], []):
+        rows = spark.createDataFrame([(v,) for v in values], "doc_id long").repartition(3)
+        got = S.prefix_split(rows, "doc_id", 8, 10).collect()
+        order = lambda v: (v is None, v or 0)
+        assert sorted((r.doc_id for r in got), key=order) == sorted(values, key=order)
+        taken = sorted((r.doc_id for r in got if r.train), key=order)
+        assert taken == sorted(values, key=order)[: len(values) * 8 // 10] and all(r.train is not None for r in got)

@@ -522,7 +522,7 @@ def segment_documents(spark, d):
 
 @query
 def page_regions(spark, d):
-    """Text of pages between tags, counted by tag."""
+    """Opening lower-case tags of pages, counted by name; S7's transforms of pages are open."""
     tags = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("n"))
 

@@ -6,37 +6,117 @@ bytes. Nulls give nulls unless a docstring says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:bigint,end:bigint,start_byte:bigint,end_byte:bigint>"
+#: Elements that a scan copies at a time.
+BLOCK = 256
+BLANKS = " \t\n\r"
+CLOSERS_AND_BLANKS = "^[\"')\\]}”’»]*[ \\t\\n\\r]*"
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def locate(text: str | Column, pattern: str) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once for the row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What ``step`` emits for each item: it takes the state and an item and gives the next state and an element of type ``kind``.
+
+    Elements gather in blocks, so an array of n items copies about ``BLOCK``
+    references for each instead of n.
+    """
+    start = F.struct(zero.alias("s"), F.array().cast(f"array<{kind}>").alias("open"), F.array().cast(f"array<array<{kind}>>").alias("full"))
+
+    def go(a: Column, x: Column) -> Column:
+        state, out = step(a["s"], x)
+        ends = F.size(a["open"]) >= BLOCK
+        return F.struct(
+            state.alias("s"),
+            F.when(ends, F.array(out)).otherwise(F.concat(a["open"], F.array(out))).alias("open"),
+            F.when(ends, F.concat(a["full"], F.array(a["open"]))).otherwise(a["full"]).alias("full"),
+        )
+
+    return F.aggregate(items, start, go, lambda a: F.flatten(F.concat(a["full"], F.array(a["open"]))))
+
+
+def window(raw: Column, at: Column, reach: int) -> Column:
+    """Up to ``reach`` code points of UTF-8 bytes from the byte ``at`` on, without walking the text before it."""
+    return F.left(F.substring(raw, (at + 1).cast("int"), F.lit(4 * reach)).cast("string"), F.lit(reach))
+
+
+def window_before(raw: Column, at: Column, reach: int) -> Column:
+    """Up to ``reach`` code points that end before the byte ``at``."""
+    size = F.least(at, F.lit(4 * reach))
+    return F.right(F.substring(raw, (at - size + 1).cast("int"), size.cast("int")).cast("string"), F.lit(reach))
+
+
+#: What ``locate`` can say of the places around a match: type and expression over (bytes of the text, its item, reach).
+AROUND = {
+    "value": ("string", lambda raw, s, reach: s["m"]),
+    "left": ("string", lambda raw, s, reach: window_before(raw, s["start_byte"], reach)),
+    "right": ("string", lambda raw, s, reach: window(raw, s["end_byte"], reach)),
+    "before": ("string", lambda raw, s, reach: window_before(raw, s["start_byte"] - F.octet_length(s["g"]) + F.octet_length(F.rtrim(s["g"], F.lit(BLANKS))), reach)),
+    "after": ("string", lambda raw, s, reach: window(raw, s["end_byte"] + F.octet_length(s["a"]) - F.octet_length(F.ltrim(s["a"], F.lit(BLANKS))), reach)),
+    "behind": ("string", lambda raw, s, reach: window(raw, s["end_byte"] + F.octet_length(F.regexp_extract(s["a"], CLOSERS_AND_BLANKS, 0)), reach)),
+    "word": ("string", lambda raw, s, reach: F.regexp_extract(s["g"], "[A-Za-z]*\\z", 0)),
+    "breaks": ("int", lambda raw, s, reach: F.regexp_count(F.regexp_extract(s["a"], "^[ \\t\\n\\r]*", 0), F.lit("[\\n\\r]"))),
+    "gap": ("string", lambda raw, s, reach: s["g"]),
+    "rest": ("string", lambda raw, s, reach: s["a"]),
+    "dots": ("int", lambda raw, s, reach: s["dots"]),
+}
+
+
+def locate(text: str | Column, pattern: str, around: tuple[str, ...] = (), reach: int = 32) -> Column:
     """All leftmost non-overlapping matches of a pattern (of non-empty matches) as an array of ``SPAN``.
 
-    Gaps and matches alternate, so a fold over their lengths gives every offset
-    inside the row: no explode, window or shuffle.
+    Gaps and matches alternate, so a scan over their lengths gives every offset
+    inside the row: no explode, window or shuffle. ``around`` names fields of
+    ``AROUND`` to add: up to ``reach`` characters before (``left``) and behind
+    (``right``) the match, up to the last non-blank before (``before``) and from
+    the first non-blank behind (``after``) or behind closers (``behind``), the
+    letters before it, the line breaks in the blanks behind it, the whole gaps,
+    and the full stops of the token that ends at it. Blank runs of any
+    length are looked through, so the pattern must not match blanks or (for
+    ``behind``) closers.
     """
     text = col(text)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    sizes = F.zip_with(
-        gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), F.octet_length(g).alias("gb"), F.octet_length(m).alias("mb"))
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("b"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    more = tuple(dict.fromkeys(around))
+    extra = "".join(f",{n}:{AROUND[n][0]}" for n in more)
+    zero = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("dots"))
+
+    def spans(found: Column, gaps: Column, raw: Column) -> Column:
+        n = F.size(found)
+        items = F.arrays_zip(F.slice(gaps, 1, n).alias("g"), found.alias("m"), F.slice(gaps, 2, n).alias("a"))
+
+        def step(state: Column, x: Column) -> tuple[Column, Column]:
+            start, start_byte = state["c"] + F.length(x["g"]), state["b"] + F.octet_length(x["g"])
+            end, end_byte = start + F.length(x["m"]), start_byte + F.octet_length(x["m"])
+            dots = F.lit(0)
+            if "dots" in more:
+                last = F.regexp_extract(x["g"], "[^ \\t\\n\\r]*\\z", 0)
+                dots = F.when(F.length(last) == F.length(x["g"]), state["dots"]).otherwise(0) + F.regexp_count(last, F.lit("\\."))
+            span = {"start": start, "end": end, "start_byte": start_byte, "end_byte": end_byte}
+            place = {**x_fields(x), **span, "dots": dots}
+            out = F.struct(*[v.alias(k) for k, v in span.items()], *[AROUND[k][1](raw, place, reach).alias(k) for k in more])
+            after = dots + F.regexp_count(x["m"], F.lit("\\.")) if "dots" in more else dots
+            return F.struct(end.alias("c"), end_byte.alias("b"), after.alias("dots")), out
 
-    def step(state: Column, x: Column) -> Column:
-        start, start_byte = state["c"] + x["g"], state["b"] + x["gb"]
-        end, end_byte = start + x["m"], start_byte + x["mb"]
-        span = F.struct(start.alias("start"), end.alias("end"), start_byte.alias("start_byte"), end_byte.alias("end_byte"))
-        return F.struct(end.alias("c"), end_byte.alias("b"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return scan(items, zero, step, SPAN[:-1] + extra + ">")
 
-    return F.aggregate(sizes, zero, step)["spans"]
+    def x_fields(x: Column) -> dict[str, Column]:
+        return {k: x[k] for k in ("g", "m", "a")}
+
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    parts = F.struct(found.alias("found"), gaps.alias("gaps"), (text.cast("binary") if more else F.lit(None).cast("binary")).alias("raw"))
+    return F.when(text.isNotNull(), let(parts, lambda p: spans(p["found"], p["gaps"], p["raw"])))
 
 
 def piece(text: str | Column, start: str | Column, end: str | Column) -> Column:
@@ -44,6 +124,16 @@ def piece(text: str | Column, start: str | Column, end: str | Column) -> Column:
     return F.substring(col(text), (col(start) + 1).cast("int"), (col(end) - col(start)).cast("int"))
 
 
+def byte_piece(raw: Column, start: Column, end: Column) -> Column:
+    """Bytes [start, end) of UTF-8 bytes as text."""
+    return F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
+
+
+def wide_piece(raw: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text that is given in UTF-32."""
+    return F.decode(F.substring(raw, (4 * start + 1).cast("int"), (4 * (end - start)).cast("int")), "UTF-32")
+
+
 def is_ascii(text: str | Column) -> Column:
     return F.octet_length(col(text)) == F.length(col(text))
 

@@ -12,17 +12,20 @@ TERMINATORS = ".!?…\"')]}>“”‘’«»‹›"
 CLOSERS = "\"')]}>”’»›"
 
 
-def spans(docs: DataFrame, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each match: ``keep``, ``k`` from 0, ``start, end, start_byte, end_byte``, ``value`` and the text."""
-    found = docs.select(*keep, F.col(text).alias("text"), F.posexplode(T.locate(text, pattern)).alias("k", "s"))
-    return found.select(*keep, F.col("k").cast("long").alias("k"), "s.*", T.piece("text", "s.start", "s.end").alias("value"), "text")
+def spans(docs: DataFrame, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), around: tuple[str, ...] = ("value",), reach: int = 32) -> DataFrame:
+    """One row for each match: ``keep``, ``k`` from 0, ``start, end, start_byte, end_byte``, and what ``around`` names (see ``text.locate``).
+
+    Rows hold no text of the document, only short pieces of it.
+    """
+    found = docs.select(*keep, F.posexplode(T.locate(text, pattern, around, reach)).alias("k", "s"))
+    return found.select(*keep, F.col("k").cast("long").alias("k"), "s.*")
 
 
 def scan_set(docs: DataFrame, chars: str, text: str = "text") -> DataFrame:
     """Every occurrence of a character of the set, by byte offset; an empty set has none."""
     if not chars:
         return docs.select("doc_id", F.lit(0).cast("long").alias("position")).limit(0)
-    return spans(docs, "[" + "".join("\\" + c if c.isascii() else c for c in sorted(set(chars))) + "]", text).select("doc_id", F.col("start_byte").alias("position"))
+    return spans(docs, "[" + "".join("\\" + c if c.isascii() else c for c in sorted(set(chars))) + "]", text, around=()).select("doc_id", F.col("start_byte").alias("position"))
 
 
 def scan_stride(docs: DataFrame, stride: int, begin: int = 0, stop: int | None = None, text: str = "text") -> DataFrame:
@@ -71,15 +74,13 @@ def punctuation_breaks(docs: DataFrame, version: int = 1, text: str = "text") ->
     between digits is none; the next non-space must be missing, an upper-case
     letter or an opener.
     """
+    around = ("left", "right", "after")
     if version == 1:
-        rows, opener = spans(docs, "[.!?]", text), r"\"'#*\-"
+        rows, opener = spans(docs, "[.!?]", text, around=around, reach=1), r"\"'#*\-"
     else:
-        rows, opener = spans(docs, "[.!?…][\"')\\]}”’]*", text), r"\"'#*\-“‘•"
-    after = F.substring("text", (F.col("end") + 1).cast("int"), F.lit(64))
-    before = F.substring("text", F.greatest(F.col("start"), F.lit(1)).cast("int"), F.least(F.col("start"), F.lit(1)).cast("int"))
-    decimal = before.rlike("[0-9]") & after.rlike("^[0-9]") & (F.col("end") - F.col("start") == 1)
-    rest = F.ltrim(after, F.lit(" \t\n\r"))
-    good = (F.length(rest) == 0) | rest.rlike(rf"^[\p{{Lu}}{opener}]")
+        rows, opener = spans(docs, "[.!?…][\"')\\]}”’]*", text, around=around, reach=1), r"\"'#*\-“‘•"
+    decimal = F.col("left").rlike("[0-9]") & F.col("right").rlike("[0-9]") & (F.col("end") - F.col("start") == 1)
+    good = (F.length("after") == 0) | F.col("after").rlike(rf"^[\p{{Lu}}{opener}]")
     return rows.where(~decimal & good).select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("end_byte").alias("break_end"))
 
 
@@ -124,12 +125,10 @@ def weak_breaks(docs: DataFrame, abbreviations: tuple[str, ...], text: str = "te
 
     ``marker`` shows the place as ``<<<BREAK>>>`` between ``margin`` characters on either side.
     """
-    rows = spans(docs, "[.!?]+[\"')\\]}”’]*", text)
-    after = F.substring("text", (F.col("end") + 1).cast("int"), F.lit(margin))
-    before = F.substring("text", F.greatest(F.col("end") - margin + 1, F.lit(1)).cast("int"), F.least(F.col("end"), F.lit(margin)).cast("int"))
-    word = F.lower(F.regexp_extract(F.regexp_replace(before, "[.!?]+[\"')\\]}”’]*\\z", ""), "([A-Za-z]+)\\z", 1))
-    good = after.rlike("^[ \\t\\n\\r]") & (F.length(F.trim(after, F.lit(" \t\n\r"))) > 0) & ~word.isin(*abbreviations)
-    return rows.where(good).select("doc_id", F.col("end").alias("break_char"), F.col("end_byte").alias("break_end"), F.concat(before, F.lit("<<<BREAK>>>"), after).alias("marker"))
+    rows = spans(docs, "[.!?]+[\"')\\]}”’]*", text, around=("value", "left", "right", "after", "word"), reach=margin)
+    before = F.right(F.concat("left", "value"), F.lit(margin))
+    good = F.col("right").rlike("^[ \\t\\n\\r]") & (F.length("after") > 0) & ~F.lower("word").isin(*abbreviations)
+    return rows.where(good).select("doc_id", F.col("end").alias("break_char"), F.col("end_byte").alias("break_end"), F.concat(before, F.lit("<<<BREAK>>>"), F.col("right")).alias("marker"))
 
 
 def line_windows(lines: DataFrame, anchors: DataFrame, above: int = 3, below: int = 4, least: int = 1, most: int = 2000) -> DataFrame:

@@ -14,14 +14,17 @@ from spanmill.functions import text as T
 from spanmill.operators import candidates as C
 
 REACH = 32
+#: Everything that the blocks below look at.
+EVERYTHING = ("value", "left", "right", "before", "behind", "after", "word", "dots", "breaks")
 
 
-def context(docs: DataFrame, pattern: str = "[.!?]", text: str = "text", reach: int = REACH) -> DataFrame:
-    """``(doc_id, feature_pos, here, left, right)``: a candidate and up to ``reach`` characters on either side."""
-    rows = C.spans(docs, pattern, text)
-    left = F.substring("text", F.greatest(F.col("start") - reach + 1, F.lit(1)).cast("int"), F.least(F.col("start"), F.lit(reach)).cast("int"))
-    right = F.substring("text", (F.col("end") + 1).cast("int"), F.lit(reach))
-    return rows.select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("value").alias("here"), left.alias("left"), right.alias("right"))
+def context(docs: DataFrame, pattern: str = "[.!?]", text: str = "text", reach: int = REACH, around: tuple[str, ...] = EVERYTHING) -> DataFrame:
+    """``(doc_id, feature_pos, here, ...)``: a candidate and what ``around`` names of its context (see ``text.locate``).
+
+    Windows hold up to ``reach`` characters; blank runs, words and tokens count whole.
+    """
+    rows = C.spans(docs, pattern, text, around=("value", *around), reach=reach)
+    return rows.select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("value").alias("here"), *[n for n in around if n != "value"])
 
 
 def _at(offset: int) -> Column:
@@ -55,33 +58,30 @@ def ascii_neighbours() -> Column:
 
 def boundary_shape() -> Column:
     """What stands at, before and behind the candidate: mark, previous terminal, next non-space behind closers."""
-    here, after = F.col("here"), F.ltrim(F.regexp_replace("right", "^[\"')\\]}”’»]+", ""), F.lit(" \t\n\r"))
-    before = F.rtrim("left", F.lit(" \t\n\r"))
+    here, after, before = F.col("here"), F.col("behind"), F.col("before")
     tests = [
         here.rlike("[.!?]"), here == ".", here == "!", here == "?", here.rlike("[:;]"), before.rlike("[.!?]\\z"), after.rlike("^[A-Z]"), after.rlike("^[a-z]"),
         after.rlike("^[0-9]"), after.rlike("^[\"'(\\[“‘«]"), after.startswith("#"), after.rlike("^[-*•]"), F.length(after) == 0, F.col("right").rlike("^[\"')\\]}”’»]"),
-        F.regexp_count(F.regexp_extract("right", "^[ \\t\\n\\r]*", 0), F.lit("[\\n\\r]")) >= 2,
+        F.col("breaks") >= 2,
     ]
     return F.array(*[flag(t) for t in tests])
 
 
 def token_shape() -> Column:
     """The token that ends at the candidate and the one that follows."""
-    word = F.regexp_extract("left", "[A-Za-z]*\\z", 0)
-    token = F.regexp_extract("left", "[^ \\t\\n\\r]*\\z", 0)
-    following = F.regexp_extract("right", "^[ \\t\\n\\r]*([A-Za-z]*)", 1)
+    word, following = F.col("word"), F.regexp_extract("after", "^[A-Za-z]*", 0)
     tests = [
         flag(F.col("left").rlike("[0-9]\\z") & F.col("right").rlike("^[0-9]")),
         flag(F.col("left").rlike("[0-9]\\z")),
         flag(F.col("right").rlike("^[0-9]")),
-        F.least(F.regexp_count(token, F.lit("\\.")), F.lit(4)) / 4.0,
+        F.least("dots", F.lit(4)) / 4.0,
         F.least(F.length(word), F.lit(16)) / 16.0,
         flag(word.rlike("^[A-Z]")),
         F.when(F.length(word) > 0, F.regexp_count(word, F.lit("[A-Z]")) / F.length(word)).otherwise(0.0),
         F.least(F.length(following), F.lit(16)) / 16.0,
         flag(following.rlike("^[A-Z]")),
         flag(following.rlike("^[a-z]")),
-        flag(F.regexp_extract("right", "^[ \\t\\n\\r]*", 0).rlike("[\\n\\r]")),
+        flag(F.col("breaks") > 0),
         flag(F.col("here").eqNullSafe(".") & word.rlike("^[A-Z][A-Za-z]{0,3}\\z")),
     ]
     return F.array(*tests)

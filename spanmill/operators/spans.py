@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.functions import text as T
+
 #: Order in which crossing spans win, and labels nest at equal bounds (fixed values).
 PRIORITY = ("sentence", "paragraph", "list_item", "dialogue", "metadata", "section")
 #: Offsets of one bucket of a range join.
@@ -41,51 +43,100 @@ def overlap_ratio() -> Column:
     return (F.least("end", "r_end") - F.greatest("start", "r_start")) / (F.col("end") - F.col("start"))
 
 
+class _Extremes:
+    """Greatest value put at any place of a range, places being 0 to n - 1: a segment tree."""
+
+    def __init__(self, n: int):
+        self.size = 1 << max(0, (n - 1).bit_length())
+        self.tree = [-1] * (2 * self.size)
+
+    def put(self, at: int, value: int) -> None:
+        at += self.size
+        while at and self.tree[at] < value:
+            self.tree[at] = value
+            at >>= 1
+
+    def most(self, low: int, high: int) -> int:
+        low, high, out = low + self.size, high + self.size, -1
+        while low < high:
+            if low & 1:
+                out = max(out, self.tree[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                out = max(out, self.tree[high])
+            low, high = low >> 1, high >> 1
+        return out
+
+
+def without_crossings(items, least: int = 1) -> list:
+    """The spans of one document that cross none that went before, by priority, start and length; in order of start.
+
+    A span crosses an accepted one that begins inside it and ends behind it, or
+    ends inside it and begins before it; two trees over the sorted
+    offsets answer that, so n spans cost n log n.
+    """
+    rank = {label: k for k, label in enumerate(PRIORITY)}
+    order = sorted((s for s in items if s["end"] - s["start"] >= least), key=lambda s: (rank.get(s["label"], 9), s["start"], -s["end"]))
+    places = sorted({x for s in order for x in (s["start"], s["end"])})
+    at = {x: k for k, x in enumerate(places)}
+    ends, starts, n = _Extremes(len(places)), _Extremes(len(places)), len(places)
+    kept = []
+    for s in order:
+        a, b = at[s["start"]], at[s["end"]]
+        if ends.most(a + 1, b) <= b and n - starts.most(a + 1, b) >= a:
+            kept.append(s)
+            ends.put(a, b)
+            starts.put(b, n - a)
+    return sorted(kept, key=lambda s: (s["start"], s["end"], -rank.get(s["label"], 9)))
+
+
 def resolve(spans: DataFrame, least: int = 1) -> DataFrame:
     """Spans of each document without crossings: by priority, start and length, a span stays if it crosses none that stayed.
 
     ``spans`` is ``(doc_id, spans array<struct<label,start,end,score>>)``, so a
     document's spans are one row; the fold over them is sequential by nature.
     """
-    rank = {label: k for k, label in enumerate(PRIORITY)}
-
-    def keep(items) -> list[dict]:
-        kept: list = []
-        order = sorted((s for s in items if s["end"] - s["start"] >= least), key=lambda s: (rank.get(s["label"], 9), s["start"], -s["end"]))
-        for s in order:
-            if not any(k["start"] < s["start"] < k["end"] < s["end"] or s["start"] < k["start"] < s["end"] < k["end"] for k in kept):
-                kept.append(s)
-        return sorted(kept, key=lambda s: (s["start"], s["end"], -rank.get(s["label"], 9)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["spans"] = frame["spans"].map(keep)
+            frame["spans"] = frame["spans"].map(lambda items: without_crossings(items, least))
             yield frame
 
     return spans.select("doc_id", "spans").mapInPandas(run, spans.select("doc_id", "spans").schema)
 
 
-def render(spans: DataFrame, docs: DataFrame, close: str = "</|{}|>") -> DataFrame:
-    """``(doc_id, tagged)``: text with nested tags, for non-crossing spans ``(doc_id, label, start, end)`` in code points.
+def tagged_text(text: Column, spans: Column, close: str = "</|{}|>", in_bytes: bool = False) -> Column:
+    """The text with nested tags for an array of non-crossing spans with ``label`` and bounds, in code points or bytes.
 
     Each span gives two events; at one position closing tags come first (latest
     start first), then opening tags (longest first, then priority). Text pieces
-    run from event to event.
+    run from event to event, are cut out of an encoding of fixed width, and are joined once.
     """
-    priority = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("label"))
-    opening = spans.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("kind"), (-F.col("end")).alias("a"), (-priority).alias("b"), F.concat(F.lit("<|"), "label", F.lit("|>")).alias("tag"))
+    first, last = ("start_byte", "end_byte") if in_bytes else ("start", "end")
+    raw, cut = (text.cast("binary"), T.byte_piece) if in_bytes else (F.encode(text, "UTF-32"), T.wide_piece)
+    size = F.octet_length(text) if in_bytes else F.length(text)
+    priority = lambda s: F.array_position(F.array(*map(F.lit, PRIORITY)), s["label"])
     head, tail = close.split("{}")
-    closing = spans.select("doc_id", F.col("end").alias("at"), F.lit(0).alias("kind"), (-F.col("start")).alias("a"), priority.alias("b"), F.concat(F.lit(head), "label", F.lit(tail)).alias("tag"))
-    events = opening.unionAll(closing).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "a", "b", "tag"))).alias("events"))
-    both = docs.select("doc_id", "text").join(events, "doc_id", "left")
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    event = lambda at, kind, a, b, tag: F.struct(at.cast("bigint").alias("at"), F.lit(kind).alias("kind"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), tag.alias("tag"))
+    opening = F.transform(spans, lambda s: event(s[first], 1, -s[last], -priority(s), F.concat(F.lit("<|"), s["label"], F.lit("|>"))))
+    closing = F.transform(spans, lambda s: event(s[last], 0, -s[first], priority(s), F.concat(F.lit(head), s["label"], F.lit(tail))))
+    end = F.array(event(size, 2, F.lit(0), F.lit(0), F.lit("")))
+    whole = F.struct(raw.alias("raw"), F.concat(F.array_sort(F.concat(opening, closing)), end).alias("events"))
 
-    def step(s: Column, e: Column) -> Column:
-        return F.struct(e["at"].cast("long").alias("at"), F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (e["at"] - s["at"]).cast("int")), e["tag"]).alias("out"))
+    def join(w: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(w["events"], lambda e: e["at"]))
+        pieces = F.zip_with(w["events"], F.slice(before, 1, F.size(w["events"])), lambda e, at: F.concat(cut(w["raw"], at, e["at"]), e["tag"]))
+        return F.array_join(pieces, "")
+
+    return F.when(text.isNotNull(), T.let(whole, join))
 
-    done = F.aggregate("events", state, step)
-    tagged = F.concat(done["out"], F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.length("text")))
-    return both.select("doc_id", F.coalesce(tagged, F.col("text")).alias("tagged"))
+
+def render(spans: DataFrame, docs: DataFrame, close: str = "</|{}|>") -> DataFrame:
+    """``(doc_id, tagged)``: text with nested tags, for non-crossing spans ``(doc_id, label, start, end)`` in code points."""
+    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("label", "start", "end")).alias("spans"))
+    both = docs.select("doc_id", "text").join(own, "doc_id", "left")
+    return both.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(tagged_text(F.col("text"), F.col("spans"), close)).alias("tagged"))
 
 
 def position_targets(positions: DataFrame, spans: DataFrame) -> DataFrame:

@@ -27,7 +27,14 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out where its files give fewer partitions than there are cores.
+
+    A file of one row group is one task; the round robin costs one shuffle of a
+    small table then, and never happens to a large one.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores)
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -186,43 +193,43 @@ def _blocks(rows: DataFrame, block) -> DataFrame:
 @query
 def feat_byte_window(spark, d):
     """byte values around each mark."""
-    return _blocks(X.context(documents(spark, d)), X.byte_window(8, 8))
+    return _blocks(X.context(documents(spark, d), around=("left", "right")), X.byte_window(8, 8))
 
 
 @query
 def feat_encoded_window(spark, d):
     """ordinal codes around each mark."""
-    return _blocks(X.context(documents(spark, d)), X.encoded_window(4, 4))
+    return _blocks(X.context(documents(spark, d), around=("left", "right")), X.encoded_window(4, 4))
 
 
 @query
 def feat_ascii_neighbors(spark, d):
     """classes of both neighbours."""
-    return _blocks(X.context(documents(spark, d)), X.ascii_neighbours())
+    return _blocks(X.context(documents(spark, d), around=("left", "right")), X.ascii_neighbours())
 
 
 @query
 def feat_boundary_shape(spark, d):
     """shape of the boundary."""
-    return _blocks(X.context(conversations(spark, d)), X.boundary_shape())
+    return _blocks(X.context(conversations(spark, d), around=("right", "before", "behind", "breaks")), X.boundary_shape())
 
 
 @query
 def feat_token_shape(spark, d):
     """shape of the tokens."""
-    return _blocks(X.context(documents(spark, d)), X.token_shape())
+    return _blocks(X.context(documents(spark, d), around=("left", "right", "after", "word", "dots", "breaks")), X.token_shape())
 
 
 @query
 def feat_class_counts(spark, d):
     """Shares of classes in the centred window."""
-    return _blocks(X.context(documents(spark, d)), X.class_counts(["[A-Z]", "[a-z]", "[0-9]", "[ \\t\\n\\r]", "[.!?]"], 16, 16))
+    return _blocks(X.context(documents(spark, d), around=("left", "right")), X.class_counts(["[A-Z]", "[a-z]", "[0-9]", "[ \\t\\n\\r]", "[.!?]"], 16, 16))
 
 
 @query
 def feat_dir_unicode_categories(spark, d):
     """Shares of Unicode categories on either side."""
-    return _blocks(X.context(documents(spark, d)), X.class_counts(["\\p{Lu}", "\\p{Ll}", "\\p{N}", "\\p{P}", "\\p{S}"], 12, 12, True))
+    return _blocks(X.context(documents(spark, d), around=("left", "right")), X.class_counts(["\\p{Lu}", "\\p{Ll}", "\\p{N}", "\\p{P}", "\\p{S}"], 12, 12, True))
 
 
 @query
@@ -298,7 +305,7 @@ def decode_contiguous(spark, d):
 @query
 def decode_sentence_spans(spark, d):
     """Sentences of all documents as spans in code points."""
-    return segmenter.sentences(documents(spark, d)).select("doc_id", "start", "end", "start_byte", "end_byte")
+    return segmenter.sentences(documents(spark, d), values=False).select("doc_id", "start", "end", "start_byte", "end_byte")
 
 
 @query
@@ -323,7 +330,7 @@ def units_to_spans(spark, d):
 
 
 def _range_sides(spark, d):
-    sentences = segmenter.sentences(documents(spark, d)).select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    sentences = segmenter.sentences(documents(spark, d), values=False).select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     windows = C.scan_stride(documents(spark, d), 256).select("doc_id", F.col("position").alias("start"), (F.col("position") + 256).alias("end"))
     return windows, sentences
 
@@ -347,7 +354,7 @@ def span_cross_pairs(spark, d):
 def span_boundary_targets(spark, d):
     """Candidates that end a sentence, by semi and anti join."""
     cands = C.punctuation_breaks(documents(spark, d), 1).select("doc_id", "break_end")
-    gold = segmenter.sentences(documents(spark, d)).select("doc_id", F.col("end_byte").alias("break_end")).distinct()
+    gold = segmenter.sentences(documents(spark, d), values=False).select("doc_id", F.col("end_byte").alias("break_end")).distinct()
     hit = cands.join(gold, ["doc_id", "break_end"], "left_semi").withColumn("target", F.lit(1).cast("long"))
     return hit.unionAll(cands.join(gold, ["doc_id", "break_end"], "left_anti").withColumn("target", F.lit(0).cast("long")))
 
@@ -356,7 +363,7 @@ def span_boundary_targets(spark, d):
 def render_sentences(spark, d):
     """Texts with sentence tags."""
     docs = documents(spark, d)
-    spans = segmenter.sentences(docs).select("doc_id", F.lit("sentence").alias("label"), "start", "end")
+    spans = segmenter.sentences(docs, values=False).select("doc_id", F.lit("sentence").alias("label"), "start", "end")
     return R.render(spans, docs).select("doc_id", F.md5(F.col("tagged").cast("binary")).alias("digest"), F.length("tagged").cast("long").alias("size"))
 
 
@@ -411,7 +418,7 @@ def edge_flags(spark, d):
 @query
 def false_boundary_filter(spark, d):
     """Q8: full stops that end no sentence."""
-    rows = X.context(documents(spark, d), "[.]")
+    rows = X.context(documents(spark, d), "[.]", around=("left", "right"))
     return rows.groupBy("doc_id").agg(F.count_if(Q.false_boundary(F.col("left"), F.col("right"))).alias("false_breaks"), F.count("*").alias("n"))
 
 
@@ -445,7 +452,7 @@ def metric_best_threshold(spark, d):
 def metric_boundary_prf(spark, d):
     """Version 1 breaks held against sentences, as sets of bounds."""
     docs = documents(spark, d)
-    gold = segmenter.sentences(docs).select("doc_id", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
+    gold = segmenter.sentences(docs, values=False).select("doc_id", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
     return A.boundary_scores(D.threshold_spans(_scored(spark, d), docs.select("doc_id", F.octet_length("text").cast("long").alias("size")), 0.5), gold).select(
         "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
     )
@@ -483,7 +490,7 @@ def stats_corpus(spark, d):
 @query
 def sample_hash_negatives(spark, d):
     """All sentence ends and a hashed tenth of the other marks (a third behind terminals)."""
-    gold = segmenter.sentences(documents(spark, d)).select("doc_id", F.col("end_byte").alias("position"), F.lit(1).alias("label")).distinct()
+    gold = segmenter.sentences(documents(spark, d), values=False).select("doc_id", F.col("end_byte").alias("position"), F.lit(1).alias("label")).distinct()
     marks = C.scan_set(documents(spark, d), ".!?;,").withColumn("position", F.col("position") + 1)
     rows = marks.join(gold, ["doc_id", "position"], "left").fillna(0, ["label"]).withColumn("terminal", F.pmod("position", F.lit(2)) == 0)
     return S.keep_negatives(rows, 0.1, 0.33).select("doc_id", "position", F.col("label").cast("long").alias("label"))
@@ -582,14 +589,14 @@ def decode_structure_loose(spark, d):
 def breaks_to_sentences(spark, d):
     """Paragraphs of conversations cut at version 1 breaks."""
     conv = conversations(spark, d)
-    ends = C.spans(conv, "[.!?]").where(F.substring("text", (F.col("end") + 1).cast("int"), F.lit(1)).rlike("^[ \\n]")).select("doc_id", F.col("end").alias("break_char"))
+    ends = C.spans(conv, "[.!?]", around=("right",), reach=1).where(F.col("right").rlike("^[ \\n]")).select("doc_id", F.col("end").alias("break_char"))
     return D.breaks_within(C.paragraphs(conv).select("doc_id", "k", "start", "end"), ends)
 
 
 @query
 def span_inside_start_end(spark, d):
     """Every 97th position inside, at the start or behind the end of sentences."""
-    sentences = segmenter.sentences(documents(spark, d)).select("doc_id", "start", "end")
+    sentences = segmenter.sentences(documents(spark, d), values=False).select("doc_id", "start", "end")
     places = documents(spark, d).select("doc_id", F.explode(F.when(F.length("text") > 0, F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1, F.lit(97).cast("long")))).alias("position"))
     return R.position_targets(places, sentences).select("doc_id", "position", *[F.col(c).cast("long").alias(c) for c in ("inside", "starts", "ends")])
 
@@ -597,7 +604,7 @@ def span_inside_start_end(spark, d):
 @query
 def gold_sentence_ends(spark, d):
     """Distinct ends of sentences and their number by document."""
-    ends = segmenter.sentences(documents(spark, d)).select("doc_id", "end_byte").distinct()
+    ends = segmenter.sentences(documents(spark, d), values=False).select("doc_id", "end_byte").distinct()
     return ends.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end_byte").alias("last"))
 
 
@@ -628,7 +635,7 @@ def split_three_way(spark, d):
 def parse_tagged_roundtrip(spark, d):
     """Tagged sentences parsed back."""
     docs = documents(spark, d)
-    spans = segmenter.sentences(docs).select("doc_id", F.lit("sentence").alias("label"), "start", "end")
+    spans = segmenter.sentences(docs, values=False).select("doc_id", F.lit("sentence").alias("label"), "start", "end")
     parsed = R.parse_tagged(R.render(spans, docs))
     return parsed.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.size("spans").cast("long").alias("spans"), F.col("error").isNull().alias("ok"))
 
@@ -657,7 +664,7 @@ def generated_corpus(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence spans of all documents."""
-    return segmenter.sentences(documents(spark, sf_dir)).select("doc_id", "start", "end", "start_byte", "end_byte")
+    return segmenter.sentences(documents(spark, sf_dir), values=False).select("doc_id", "start", "end", "start_byte", "end_byte")
 
 
 def queries() -> dict:

@@ -19,15 +19,23 @@ def lit(x: str) -> str:
 
 
 def located(pattern: str, table: str = "documents", name: str = "loc") -> str:
-    """CTE of all matches with running offsets."""
+    """CTE of all matches with running offsets, the gaps before (g) and behind (a) them, and their neighbours' values."""
     p = lit(pattern)
-    return f"""{name}_u AS (SELECT doc_id, text, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(0, len(m))) AS k
+    return f"""{name}_u AS (SELECT doc_id, text, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(g[2:len(m) + 1]) AS a, unnest(range(0, len(m))) AS k
   FROM (SELECT doc_id, text, string_split_regex(text, {p}) AS g, regexp_extract_all(text, {p}) AS m FROM {table}) WHERE len(m) > 0),
-{name} AS (SELECT doc_id, text, m AS value, k::BIGINT AS k, (sum(length(g) + length(m)) OVER w - length(m))::BIGINT AS s, (sum(length(g) + length(m)) OVER w)::BIGINT AS e,
+{name} AS (SELECT doc_id, text, m AS value, g, a, coalesce(lag(m) OVER w, '') AS prev, coalesce(lead(m) OVER w, '') AS next, k::BIGINT AS k,
+  (sum(length(g) + length(m)) OVER w - length(m))::BIGINT AS s, (sum(length(g) + length(m)) OVER w)::BIGINT AS e,
   (sum(strlen(g) + strlen(m)) OVER w - strlen(m))::BIGINT AS sb, (sum(strlen(g) + strlen(m)) OVER w)::BIGINT AS eb
   FROM {name}_u WINDOW w AS (PARTITION BY doc_id ORDER BY k))"""
 
 
+#: What stands directly before and behind a match of ``located``, and beyond blanks, of any length.
+BEFORE_1 = "CASE WHEN length(g) > 0 THEN right(g, 1) ELSE right(prev, 1) END"
+BEHIND_1 = "CASE WHEN length(a) > 0 THEN left(a, 1) ELSE left(next, 1) END"
+AFTER = f"CASE WHEN length(ltrim(a, {WS})) > 0 THEN ltrim(a, {WS}) ELSE next END"
+BEFORE = f"CASE WHEN length(rtrim(g, {WS})) > 0 THEN rtrim(g, {WS}) ELSE prev END"
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -55,8 +63,13 @@ def block(values: list[str], digits: int = 6) -> str:
 
 
 def context(pattern: str = "[.!?]", table: str = "documents", reach: int = 32) -> str:
+    bare = f"ltrim(regexp_replace(a, {lit('^[' + chr(34) + chr(39) + ')' + chr(92) + ']}”’»]+')}, ''), {WS})"
     return located(pattern, table) + f""",
-ctx AS (SELECT doc_id, sb AS feature_pos, value AS here, substring(text, greatest(s - {reach} + 1, 1), least(s, {reach})) AS "left", substring(text, e + 1, {reach}) AS "right" FROM loc)"""
+island AS (SELECT *, sum({rx("g", "[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")}::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM loc),
+ctx AS (SELECT doc_id, sb AS feature_pos, value AS here, substring(text, greatest(s - {reach} + 1, 1), least(s, {reach})) AS "left", substring(text, e + 1, {reach}) AS "right",
+  {BEFORE} AS before, {AFTER} AS after, CASE WHEN length({bare}) > 0 THEN {bare} ELSE next END AS behind, regexp_extract(g, '[A-Za-z]*\\z', 0) AS word,
+  len(regexp_extract_all(regexp_extract(a, '^[ \\t\\n\\r]*', 0), '[\\n\\r]')) AS breaks,
+  count(*) FILTER (value = '.') OVER (PARTITION BY doc_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dots FROM island)"""
 
 
 LEFT, RIGHT = '"left"', '"right"'
@@ -129,8 +142,9 @@ def unbalanced(v: str) -> str:
 
 
 def scored(table: str = "documents") -> str:
-    left, right = "substring(text, greatest(s - 4, 1), least(s, 5))", "substring(text, e + 1, 8)"
-    tests = [rx(right, "^[ \\t\\n\\r]"), f"length({right}) = 0", rx(right, "^[0-9]"), rx(right, "^[ \\t\\n\\r]+[a-z]"), rx(left, "(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
+    left = "substring(text, greatest(s - 4, 1), least(s, 5))"
+    right = f"({BEHIND_1})"
+    tests = [rx(right, "^[ \\t\\n\\r]"), f"length({right}) = 0", rx(right, "^[0-9]"), f"{rx(right, '^[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')} AND {rx(f'({AFTER})', '^[a-z]')}", rx(left, "(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
     z = " + ".join([f"({BIAS})", *(f"({w}) * ({flag(t)})" for t, w in zip(tests, WEIGHTS, strict=True))])
     return located("[.!?]", table, "sc") + f""",
 scored AS (SELECT doc_id, text, s, e, sb, eb AS break_end, 1 / (1 + exp(-(({z})::DOUBLE))) AS score FROM sc)"""
@@ -185,10 +199,9 @@ paras AS (SELECT doc_id, k, (a + length(raw) - length(ltrim(raw, {WS})))::BIGINT
 def punct(version: int, table: str) -> str:
     pattern = "[.!?]" if version == 1 else "[.!?…][\"')\\]}”’]*"
     opener = "\"'#*\\-" if version == 1 else "\"'#*\\-“‘•"
-    after, before = "substring(text, e + 1, 64)", "substring(text, greatest(s, 1), least(s, 1))"
-    rest = f"ltrim({after}, {WS})"
+    rest = f"({AFTER})"
     return located(pattern, table, "pu") + f""",
-breaks AS (SELECT doc_id, sb AS feature_pos, eb AS break_end FROM pu WHERE NOT ({rx(before, "[0-9]")} AND {rx(after, "^[0-9]")} AND e - s = 1)
+breaks AS (SELECT doc_id, sb AS feature_pos, eb AS break_end FROM pu WHERE NOT ({rx(f"({BEFORE_1})", "[0-9]")} AND {rx(f"({BEHIND_1})", "^[0-9]")} AND e - s = 1)
   AND (length({rest}) = 0 OR {rx(rest, "^[\\p{Lu}" + opener + "]")}))"""
 
 
@@ -235,13 +248,12 @@ def build() -> dict[str, str]:
         "feat_encoded_window": [encoded(f"({code(at(k))})") for k in range(-4, 5)],
         "feat_ascii_neighbors": [flag(rx(f"({at(side)})", m)) for side in (-1, 1) for m in ("^[ \\t\\n\\r\\f]", "^[A-Z]", "^[a-z]")],
     }
-    word, token = f"regexp_extract({LEFT}, '[A-Za-z]*\\z', 0)", f"regexp_extract({LEFT}, '[^ \\t\\n\\r]*\\z', 0)"
-    follow, gap = f"regexp_extract({RIGHT}, '^[ \\t\\n\\r]*([A-Za-z]*)', 1)", f"regexp_extract({RIGHT}, '^[ \\t\\n\\r]*', 0)"
+    word, follow = "word", "regexp_extract(after, '^[A-Za-z]*', 0)"
     features["feat_token_shape"] = [
         flag(f"{rx(LEFT, '[0-9]' + chr(92) + 'z')} AND {rx(RIGHT, '^[0-9]')}"), flag(rx(LEFT, "[0-9]\\z")), flag(rx(RIGHT, "^[0-9]")),
-        f"least({count(token, chr(92) + '.')}, 4) / 4.0::DOUBLE", f"least(length({word}), 16) / 16.0::DOUBLE", flag(rx(word, "^[A-Z]")),
+        "least(dots, 4) / 4.0::DOUBLE", f"least(length({word}), 16) / 16.0::DOUBLE", flag(rx(word, "^[A-Z]")),
         f"CASE WHEN length({word}) > 0 THEN {count(word, '[A-Z]')} / length({word})::DOUBLE ELSE 0 END", f"least(length({follow}), 16) / 16.0::DOUBLE",
-        flag(rx(follow, "^[A-Z]")), flag(rx(follow, "^[a-z]")), flag(rx(gap, "[\\n\\r]")), flag(f"here = '.' AND {rx(word, '^[A-Z][A-Za-z]{0,3}' + chr(92) + 'z')}"),
+        flag(rx(follow, "^[A-Z]")), flag(rx(follow, "^[a-z]")), flag("breaks > 0"), flag(f"here = '.' AND {rx(word, '^[A-Z][A-Za-z]{0,3}' + chr(92) + 'z')}"),
     ]
     a, b = f"CASE WHEN length({LEFT}) > 16 THEN right({LEFT}, 16) ELSE {LEFT} END", f"substring({RIGHT}, 1, 16)"
     whole = f"(({a}) || here || {b})"
@@ -250,10 +262,10 @@ def build() -> dict[str, str]:
     features["feat_dir_unicode_categories"] = [f"{count(x, c)} / greatest(length({x}), 1)::DOUBLE" for c in ("\\p{Lu}", "\\p{Ll}", "\\p{N}", "\\p{P}", "\\p{S}") for x in (a, b)]
     for name, values in features.items():
         out[name] = with_(context()) + f"SELECT doc_id, feature_pos, {block(values)} FROM ctx"
-    after, before = f"ltrim(regexp_replace({RIGHT}, {lit('^[' + chr(34) + chr(39) + ')' + chr(92) + ']}”’»]+')}, ''), {WS})", f"rtrim({LEFT}, {WS})"
+    after, before = "behind", "before"
     shape = [
         rx("here", "[.!?]"), "here = '.'", "here = '!'", "here = '?'", rx("here", "[:;]"), rx(before, "[.!?]\\z"), rx(after, "^[A-Z]"), rx(after, "^[a-z]"), rx(after, "^[0-9]"),
-        rx(after, "^[\"'(\\[“‘«]"), f"starts_with({after}, '#')", rx(after, "^[-*•]"), f"length({after}) = 0", rx(RIGHT, "^[\"')\\]}”’»]"), f"{count(gap, '[' + chr(92) + 'n' + chr(92) + 'r]')} >= 2",
+        rx(after, "^[\"'(\\[“‘«]"), f"starts_with({after}, '#')", rx(after, "^[-*•]"), f"length({after}) = 0", rx(RIGHT, "^[\"')\\]}”’»]"), "breaks >= 2",
     ]
     out["feat_boundary_shape"] = with_(CONV, context(table="conv")) + f"SELECT doc_id, feature_pos, {block([flag(t) for t in shape])} FROM ctx"
     n, alpha, upper, lower = "greatest(length(line), 1)::DOUBLE", count("line", "\\p{L}"), count("line", "\\p{Lu}"), count("line", "\\p{Ll}")
@@ -334,9 +346,8 @@ cnt AS (SELECT count(*) FILTER (p.at IS NOT NULL AND g.at IS NOT NULL) AS tp, co
     out["page_regions"] = "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag"
     close = "[.!?]+[\"')\\]}”’]*"
     after, before = "substring(text, e + 1, 36)", "substring(text, greatest(e - 35, 1), least(e, 36))"
-    word = f"lower(regexp_extract(regexp_replace({before}, {lit(close + chr(92) + 'z')}, ''), '([A-Za-z]+)\\z', 1))"
     out["cand_weak_label"] = with_(located(close)) + f"""SELECT doc_id, e AS break_char, eb AS break_end, md5({before} || '<<<BREAK>>>' || {after}) AS digest FROM loc
-  WHERE {rx(after, "^[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")} AND length(trim({after}, {WS})) > 0 AND {word} NOT IN ({abbreviations})"""
+  WHERE {rx(f"({BEHIND_1})", "^[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")} AND length({AFTER}) > 0 AND lower(regexp_extract(g, '[A-Za-z]*\\z', 0)) NOT IN ({abbreviations})"""
     out["windows_line"] = with_(STRUCT, lines("struct_docs"), f"anchors AS (SELECT doc_id, line_no FROM lines WHERE {display('line')} IN ('list', 'metadata'))") + """SELECT DISTINCT a.doc_id, f.line_no AS first, l.line_no AS last, f.start, l."end" FROM anchors a
   JOIN lines f ON f.doc_id = a.doc_id AND f.line_no BETWEEN a.line_no - 3 AND a.line_no JOIN lines l ON l.doc_id = a.doc_id AND l.line_no BETWEEN a.line_no AND a.line_no + 4 WHERE l."end" - f.start BETWEEN 1 AND 4000"""
     listed = rx("ltrim(value, ' ')", "^(?:[-*•]|[0-9]+[.)])")

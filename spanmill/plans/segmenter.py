@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions import predicates as Q
 from spanmill.functions import text as T
-from spanmill.operators import candidates as C
-from spanmill.operators import features as X
 from spanmill.operators import models as M
 from spanmill.operators import spans as R
 
@@ -18,73 +16,135 @@ BIAS = -1.0
 THRESHOLD = 0.5
 
 
+def _is_break(m: Column, threshold: float | None = None) -> Column:
+    """Score of a mark by its surroundings, or whether that is at least ``threshold``."""
+    right, after = m["right"], m["after"]
+    tests = [right.rlike("^[ \\t\\n\\r]"), F.length(right) == 0, right.rlike("^[0-9]"), right.rlike("^[ \\t\\n\\r]") & after.rlike("^[a-z]"), m["left"].rlike("(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
+    z = F.lit(BIAS)
+    for test, weight in zip(tests, WEIGHTS, strict=True):
+        z = z + F.when(test, weight).otherwise(0.0)
+    return M.sigmoid(z) if threshold is None else M.sigmoid(z) >= threshold
+
+
+AROUND = ("left", "right", "after")
+
+
 def score(docs: DataFrame, pattern: str = "[.!?]") -> DataFrame:
-    """``(doc_id, start, break_end, break_char, score)`` for each mark, by a logistic model over its context."""
-    rows = C.spans(docs, pattern)
-    right = F.substring("text", (F.col("end") + 1).cast("int"), F.lit(8))
-    left = F.substring("text", F.greatest(F.col("start") - 4, F.lit(1)).cast("int"), F.least(F.col("start"), F.lit(5)).cast("int"))
-    tests = [right.rlike("^[ \\t\\n\\r]"), F.length(right) == 0, right.rlike("^[0-9]"), right.rlike("^[ \\t\\n\\r]+[a-z]"), left.rlike("(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
-    z = M.logistic(F.array(*[X.flag(t) for t in tests]), WEIGHTS, BIAS)
-    return rows.select("doc_id", "text", F.col("end_byte").alias("break_end"), F.col("end").alias("break_char"), z.alias("score"))
+    """``(doc_id, break_end, break_char, score)`` for each mark, by a logistic model over its context."""
+    rows = docs.select("doc_id", F.explode(T.locate("text", pattern, AROUND, 4)).alias("m"))
+    return rows.select("doc_id", F.col("m.end_byte").alias("break_end"), F.col("m.end").alias("break_char"), _is_break(F.col("m")).alias("score"))
+
+
+def _sentence_spans(threshold: float) -> Column:
+    """Array of sentence spans of ``text``: from the first non-blank behind a break to the next break."""
+
+    def find(marks: Column) -> Column:
+        zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("byte"), F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("end_byte"))
 
+        def step(state: Column, m: Column) -> tuple[Column, Column]:
+            lead = F.length(m["gap"]) - F.length(F.ltrim(m["gap"], F.lit(T.BLANKS)))
+            start, byte = F.coalesce(state["start"], state["end"] + lead), F.coalesce(state["byte"], state["end_byte"] + lead)
+            good = _is_break(m, threshold)
+            span = F.struct(start.alias("start"), m["end"].alias("end"), byte.alias("start_byte"), m["end_byte"].alias("end_byte"))
+            following = F.struct(F.when(~good, start).alias("start"), F.when(~good, byte).alias("byte"), m["end"].alias("end"), m["end_byte"].alias("end_byte"))
+            return following, F.when(good, span)
 
-def sentences(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Sentence spans ``(doc_id, start, end, start_byte, end_byte, value)``, trimmed; text behind the last break has none.
+        return F.filter(T.scan(marks, zero, step, T.SPAN), lambda x: x.isNotNull())
+
+    return T.let(T.locate("text", "[.!?]", (*AROUND, "gap"), 4), find)
+
+
+def sentences(docs: DataFrame, threshold: float = THRESHOLD, values: bool = True) -> DataFrame:
+    """Sentence spans ``(doc_id, start, end, start_byte, end_byte)``, trimmed, and their ``value``; text behind the last break has none.
 
     Breaks are folded inside the row, so a document is never shuffled.
     """
-    marks = F.regexp_extract_all("text", F.lit("[.!?]"), F.lit(0))
-    gaps = F.split("text", "[.!?]", -1)
-
-    def weigh(gap, after):
-        """What stands before and behind a mark decides; the next mark ends what is behind it."""
-        right = F.when(F.length(after["gap"]) > 0, F.substring(after["gap"], 1, 8)).otherwise(F.coalesce(after["mark"], F.lit("")))
-        tests = [right.rlike("^[ \\t\\n\\r]"), F.length(right) == 0, right.rlike("^[0-9]"), right.rlike("^[ \\t\\n\\r]+[a-z]"), F.right(gap, F.lit(5)).rlike("(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
-        z = F.lit(BIAS)
-        for test, weight in zip(tests, WEIGHTS, strict=True):
-            z = z + F.when(test, weight).otherwise(0.0)
-        lead = F.length(gap) - F.length(F.ltrim(gap, F.lit(" \t\n\r")))
-        return F.struct(F.length(gap).alias("c"), F.octet_length(gap).alias("b"), lead.alias("lead"), (M.sigmoid(z) >= threshold).alias("good"))
-
-    after = F.zip_with(F.slice("gaps", 2, F.size("marks")), F.slice("marks", 2, F.size("marks")), lambda g, m: F.struct(g.alias("gap"), m.alias("mark")))
-    zero = F.lit(0).cast("bigint")
-    none = F.struct(*[zero.alias(n) for n in ("c", "b", "start", "start_byte")], F.lit(False).alias("open"), F.array().cast(f"array<{T.SPAN}>").alias("spans"))
-
-    def step(state, x):
-        start = F.when(state["open"], state["start"]).otherwise(state["c"] + x["lead"])
-        start_byte = F.when(state["open"], state["start_byte"]).otherwise(state["b"] + x["lead"])
-        end, end_byte = state["c"] + x["c"] + 1, state["b"] + x["b"] + 1
-        span = F.struct(start.alias("start"), end.alias("end"), start_byte.alias("start_byte"), end_byte.alias("end_byte"))
-        spans = F.when(x["good"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("c"), end_byte.alias("b"), start.alias("start"), start_byte.alias("start_byte"), (~x["good"]).alias("open"), spans.alias("spans"))
-
-    rows = docs.select("doc_id", "text", marks.alias("marks"), gaps.alias("gaps"))
-    weighed = F.zip_with(F.slice("gaps", 1, F.size("marks")), after, weigh)
-    rows = rows.select("doc_id", "text", F.explode(F.aggregate(weighed, none, step)["spans"]).alias("p"))
-    return rows.select("doc_id", "p.*", T.piece("text", "p.start", "p.end").alias("value"))
-
-
-def structure(docs: DataFrame) -> DataFrame:
-    """Section, list-item and metadata spans: lines by type, neighbours of one type merged."""
-    labels = {"heading": "section", "list": "list_item", "metadata": "metadata"}
-    kind = Q.display_type(F.col("line"))
-    label = F.coalesce(*[F.when(kind == k, v) for k, v in labels.items()])
-    lines = C.lines(docs).withColumn("label", label)
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    fresh = ~F.col("label").eqNullSafe(F.lag("label").over(w)) | (F.col("start") - F.lag("end").over(w) > 2)
-    runs = lines.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.where("label is not null").groupBy("doc_id", "label", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
-
-
-def annotate(docs: DataFrame, include_sentences: bool = True, include_structure: bool = True, min_span: int = 1) -> DataFrame:
-    """``(doc_id, spans, tagged)`` for each document: sentences and structure without crossings, and the tagged text."""
-    empty = docs.select("doc_id", F.lit("sentence").alias("label"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    found = empty
-    if include_sentences:
-        found = found.unionByName(sentences(docs).select("doc_id", F.lit("sentence").alias("label"), "start", "end"))
+    found = _sentence_spans(threshold)
+    if values:
+        raw = F.col("text").cast("binary")
+        cut = lambda r: F.transform(r["found"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["start_byte"].alias("start_byte"), s["end_byte"].alias("end_byte"), T.byte_piece(r["raw"], s["start_byte"], s["end_byte"]).alias("value")))
+        found = T.let(F.struct(found.alias("found"), raw.alias("raw")), cut)
+    return docs.select("doc_id", F.explode(found).alias("p")).select("doc_id", "p.*")
+
+
+#: Kinds of lines that are spans of their own, and their labels.
+STRUCTURE = {"heading": "section", "list": "list_item", "metadata": "metadata"}
+_LABELLED = "struct<label:string,start:bigint,end:bigint,start_byte:bigint,end_byte:bigint>"
+
+
+def _lines() -> Column:
+    """Array of the non-blank lines of ``text``, trimmed: bounds, label (null for prose) and whether a blank line is before."""
+
+    def trim(s: Column) -> Column:
+        lead, body = F.length(s["value"]) - F.length(F.ltrim(s["value"])), F.trim(s["value"])
+        kind = Q.display_type(s["value"])
+        label = F.coalesce(*[F.when(kind == k, v) for k, v in STRUCTURE.items()])
+        return F.struct(
+            label.alias("label"), (s["start"] + lead).alias("start"), (s["start"] + lead + F.length(body)).alias("end"), (s["start_byte"] + lead).alias("start_byte"),
+            (s["start_byte"] + lead + F.octet_length(body)).alias("end_byte"),
+        )
+
+    return F.filter(F.transform(T.locate("text", "[^\\n\\r]+", ("value",)), trim), lambda s: s["start"] < s["end"])
+
+
+def _structure_spans(lines: Column) -> Column:
+    """Neighbouring lines of one label, no blank line between, as one span each; prose has none."""
+    none = F.lit(None).cast(_LABELLED)
+    stop = F.array(F.lit(None).cast(_LABELLED))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        joins = state["label"].eqNullSafe(x["label"]) & (x["start"] - state["end"] <= 2) & state.isNotNull()
+        longer = F.struct(state["label"].alias("label"), state["start"].alias("start"), x["end"].alias("end"), state["start_byte"].alias("start_byte"), x["end_byte"].alias("end_byte"))
+        return F.when(joins, longer).otherwise(x), F.when(~joins & state["label"].isNotNull(), state)
+
+    return F.filter(T.scan(F.concat(lines, stop), none, step, _LABELLED), lambda s: s.isNotNull())
+
+
+def _bounded_sentences(lines: Column, marks: Column, threshold: float) -> Column:
+    """Sentence spans that begin at a line's start or behind a break and cross neither structure lines nor blank lines.
+
+    Lines and breaks are events in the order of their bytes; the fold holds the open
+    sentence's start and where the last line ended.
+    """
+    at = lambda label, start, end, byte, end_byte, mark: F.struct(byte.alias("at"), F.lit(mark).alias("mark"), label.alias("label"), start.alias("start"), end.alias("end"), end_byte.alias("end_byte"))
+    line_events = F.transform(lines, lambda x: at(x["label"], x["start"], x["end"], x["start_byte"], x["end_byte"], 0))
+    good = F.filter(marks, lambda m: _is_break(m, threshold))
+    blank = lambda m: F.when(F.length(m["right"]) > 0, F.length(m["rest"]) - F.length(F.ltrim(m["rest"], F.lit(T.BLANKS)))).otherwise(0)
+    mark_events = F.transform(good, lambda m: at(F.lit(None).cast("string"), m["end"] + blank(m), m["end"], m["end_byte"], m["end_byte"], 1))
+    big = lambda x=None: F.lit(x).cast("bigint")
+    zero = F.struct(big().alias("start"), big().alias("start_byte"), big(-9).alias("line_end"), F.lit(False).alias("special"))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        is_mark = x["mark"] == 1
+        apart = state["special"] | x["label"].isNotNull() | (x["start"] - state["line_end"] > 2) | state["start"].isNull()
+        inside = x["start"] < state["line_end"]  # behind this break the line goes on
+        start = F.when(is_mark, F.when(inside, x["start"])).when(apart, x["start"]).otherwise(state["start"])
+        byte = F.when(is_mark, F.when(inside, x["end_byte"] + x["start"] - x["end"])).when(apart, x["at"]).otherwise(state["start_byte"])
+        span = F.struct(F.lit("sentence").alias("label"), state["start"].alias("start"), x["end"].alias("end"), state["start_byte"].alias("start_byte"), x["end_byte"].alias("end_byte"))
+        following = F.struct(start.alias("start"), byte.alias("start_byte"), F.when(is_mark, state["line_end"]).otherwise(x["end"]).alias("line_end"), F.when(is_mark, state["special"]).otherwise(x["label"].isNotNull()).alias("special"))
+        return following, F.when(is_mark & (state["start"] < x["end"]), span)
+
+    events = F.array_sort(F.concat(line_events, mark_events))
+    return F.filter(T.scan(events, zero, step, _LABELLED), lambda s: s.isNotNull())
+
+
+def annotate(docs: DataFrame, include_sentences: bool = True, include_structure: bool = True, min_span: int = 1, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, spans, tagged)`` for each document: sentences and structure without crossings, and the tagged text.
+
+    Sentences lie inside one structure line or between such lines, and no
+    sentence crosses a blank line, so spans nest. All of it is
+    folded inside the row: one narrow plan, no shuffle. A null text has a null
+    result, an empty one no spans.
+    """
+    lines = docs.select("doc_id", "text", _lines().alias("lines"))
+    found = []
     if include_structure:
-        found = found.unionByName(structure(docs).select("doc_id", "label", "start", "end"))
-    one = F.struct("label", "start", "end", F.lit(1.0).alias("score"))
-    kept = R.resolve(found.groupBy("doc_id").agg(F.collect_list(one).alias("spans")), min_span)
-    tagged = R.render(kept.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.label", "s.start", "s.end"), docs)
-    return kept.join(tagged, "doc_id")
+        found.append(_structure_spans(F.col("lines")))
+    if include_sentences:
+        bounds = F.col("lines") if include_structure else F.transform("lines", lambda x: x.withField("label", F.lit(None).cast("string")))
+        found.append(T.let(T.locate("text", "[.!?]", (*AROUND, "rest"), 4), lambda marks: _bounded_sentences(bounds, marks, threshold)))
+    spans = F.filter(F.concat(*found), lambda s: s["end"] - s["start"] >= min_span) if found else F.array().cast(f"array<{_LABELLED}>")
+    rows = lines.select("doc_id", "text", spans.alias("found"))
+    plain = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
+    kept = F.transform(plain, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("score")))
+    return rows.select("doc_id", kept.alias("spans"), R.tagged_text(F.col("text"), F.col("found"), in_bytes=True).alias("tagged"))

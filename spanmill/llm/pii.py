@@ -6,13 +6,14 @@ entity is a value that the base patterns find, and it co-occurs with every word
 of the documents that hold it. A term ``t`` discloses an entity ``e`` where
 ``P(e | t)``, the documents with both over the documents with ``t``, is at
 least ``DISCLOSURE``: then seeing ``t`` leaves at most ``-log2(DISCLOSURE)``
-bits of ``e``. Such terms are generalised wherever they stand in the documents
-of their entity.
+bits of ``e``. Such terms are generalised wherever they stand, also in documents
+that don't hold the entity, as they give it away there.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import bit_filter, durable, maybe, small_batches, steps, utf8_batch
+from spanmill.llm.common import bit_filter, discard, durable, maybe, small_batches, steps, utf8_batch
 from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, lower_table, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -28,6 +29,8 @@ SUPPORT = 3
 DISCLOSURE = 0.5
 #: Bits of the filters that keep scans to entities and words that may count: 1 MB each at any corpus size.
 FILTER_BITS = 1 << 23
+#: Up to so many disclosing terms are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -88,14 +91,13 @@ def _terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np
     char_at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
     starts, ends, _ = word_spans(raw, np.array([0, len(raw)]), class_table(SYMBOL_SEPARATORS))
     a, b = char_at[starts], char_at[ends]
-    low, high = np.array([s for _, s, _ in spans]), np.maximum.accumulate([e for _, _, e in spans])
+    low, high = np.array([s for _, s, _ in spans], np.int64), np.maximum.accumulate([0, *(e for _, _, e in spans)])
     before = np.searchsorted(low, b, "left")  # spans that begin before the word ends
-    free = (b - a >= 3) & ((before == 0) | (high[before - 1] <= a))
+    free = (b - a >= 3) & (high[before] <= a)
     return RangeHasher(raw, lower_table())(starts, ends).view(np.int64)[free], a[free], b[free]
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_WORD = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,40 +134,34 @@ def count_held(docs: DataFrame, known: np.ndarray, text_col: str = "text") -> Da
     return docs.select(text_col).transform(small_batches).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("held"))
 
 
-def find_holders(docs: DataFrame, known: np.ndarray, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row, id, key, entities, words)`` for each row that holds an entity of ``known``: these, and all places of words of ``terms``."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def find_holders(docs: DataFrame, known: np.ndarray, terms: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``(row, entities, terms)`` for each row that holds an entity of ``known``: these, and its distinct words of ``terms``."""
     sent = docs.sparkSession.sparkContext.broadcast((known, terms))
 
     def run(batches):
         n = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows, kept, entities, words = [], [], [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
+            rows, entities, words = [], [], []
+            for text in batch.column(0).to_pylist():
                 spans = find_personal(text) if text else []
                 own = _entities(text, spans) if spans else np.zeros(0, np.int64)
                 own = own[maybe(sent.value[0], own)]
                 if len(own):
-                    found = _terms(text, spans)
-                    here = maybe(sent.value[1], found[0])
+                    found = np.unique(_terms(text, spans)[0])
                     rows.append(n := n + 1)
-                    kept.append(k)
                     entities.append(own)
-                    words.append([{"term": t, "start": a, "end": b} for t, a, b in zip(*(x[here].tolist() for x in found), strict=True)])
-            at = pa.array(kept, pa.int64())
-            columns = [pa.array(rows, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(entities, pa.list_(pa.int64())), pa.array(words, pa.list_(_WORD))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "key", "entities", "words"])
+                    words.append(found[maybe(sent.value[1], found)])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (entities, words))], ["row", "entities", "terms"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return texts.transform(small_batches).mapInArrow(run, f"row long, id {kind}, key long, entities array<bigint>, words array<struct<term:bigint,start:bigint,end:bigint>>")
+    return docs.select(text_col).transform(small_batches).mapInArrow(run, "row long, entities array<bigint>, terms array<bigint>")
 
 
 def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(term, documents)``: in how many rows of ``docs`` each term occurs.
+    """``(term, documents)``: in how many rows of ``docs`` each of ``terms`` occurs, and a few other words.
 
     A filter of ``FILTER_BITS`` bits, made of the terms, goes to every task and
     keeps other words from being shuffled; what it lets through wrongly goes in
-    the join.
+    the caller's join.
     """
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(terms, "term", FILTER_BITS))
 
@@ -185,12 +181,11 @@ def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
                 term, n = np.unique(h[fresh], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
 
-    counted = docs.select(text_col).transform(small_batches).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
-    return counted.join(terms, "term", "left_semi")
+    return docs.select(text_col).transform(small_batches).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
 
 
-def find_disclosures(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(id, key, start, end)``: all places of terms that disclose an entity of their row.
+def find_disclosing(docs: DataFrame, entities: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``(term)``: the hashes of terms that disclose an entity.
 
     A pair needs ``support`` documents and a disclosure at the threshold at
     least. So its entity has that many documents, and its term at most
@@ -202,14 +197,71 @@ def find_disclosures(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id
     held = durable(count_held(docs, known_bits, text_col).where(F.col("held") >= support), "held")
     totals = held.join(count_terms(docs, held, text_col), "term").where(F.col("held") >= disclosure * F.col("documents")).select("term", "documents")
     totals = durable(totals, "totals")
-    holders = durable(find_holders(docs, known_bits, bit_filter(totals, "term", FILTER_BITS), id_col, text_col), "holders")
+    holders = durable(find_holders(docs, known_bits, bit_filter(totals, "term", FILTER_BITS), text_col), "holders")
     near = holders.select("row", F.explode("entities").alias("entity")).join(known, "entity")
-    words = holders.select("row", F.explode(F.expr("array_distinct(transform(words, x -> x.term))")).alias("term")).join(totals, "term")
-    pairs = near.join(words, "row").where(F.col("holders") >= disclosure * F.col("documents")).select("row", "entity", "term", "documents")
-    pairs = durable(pairs, "pairs")
-    revealing = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("documents").alias("documents")).where((F.col("both") >= support) & (F.col("both") >= disclosure * F.col("documents")))
-    hits = pairs.join(revealing.select("entity", "term"), ["entity", "term"], "left_semi").select("row", "term").distinct()
-    return holders.select("row", "id", "key", F.explode("words").alias("x")).select("row", "id", "key", "x.*").join(hits, ["row", "term"], "left_semi").select("id", "key", "start", "end")
+    words = holders.select("row", F.explode("terms").alias("term")).join(totals, "term")
+    pairs = near.join(words, "row").where(F.col("holders") >= disclosure * F.col("documents")).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("documents").alias("documents"))
+    found = durable(pairs.where((F.col("both") >= support) & (F.col("both") >= disclosure * F.col("documents"))).select("term").distinct(), "disclosing")
+    discard(known, held, totals, holders)
+    return found
+
+
+@dataclass(frozen=True)
+class TermSet:
+    """Disclosing terms as a filter of fixed size and, up to ``BROADCAST_TERMS`` of them, as sorted hashes."""
+
+    mask: np.ndarray
+    exact: np.ndarray | None
+
+    @staticmethod
+    def of(terms: DataFrame) -> TermSet:
+        exact = np.sort(np.asarray(terms.select("term").toArrow()["term"])) if terms.count() <= BROADCAST_TERMS else None
+        return TermSet(bit_filter(terms, "term", FILTER_BITS), exact)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are in the set, or that may be where ``exact`` is None."""
+        k = np.flatnonzero(maybe(self.mask, hashes))
+        if self.exact is None or not len(k):
+            return k
+        at = np.minimum(np.searchsorted(self.exact, hashes[k]), max(len(self.exact) - 1, 0))
+        return k[self.exact[at] == hashes[k]] if len(self.exact) else k[:0]
+
+
+def _rows_with_terms(terms: TermSet, data: np.ndarray, offsets: np.ndarray):
+    """``(row, text, base spans, hashes, starts, ends)`` of each row with a term outside its base spans."""
+    for i, j in steps(offsets):
+        part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        starts, ends, bounds = word_spans(part, own, class_table(SYMBOL_SEPARATORS))
+        hit = terms.find(RangeHasher(part, lower_table())(starts, ends).view(np.int64))
+        for row in np.unique(np.searchsorted(bounds, hit, "right") - 1).tolist():
+            text = part[own[row] : own[row + 1]].tobytes().decode("utf-8", "replace")
+            base = find_personal(text)
+            found = _terms(text, base)
+            k = terms.find(found[0])
+            yield i + row, text, base, *(x[k] for x in found)
+
+
+def find_places(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, key, start, end)``: where words of ``terms`` stand in any row, outside its base spans.
+
+    Words that are no terms go where they are read; where the terms are too
+    many to be sent whole, a join drops what their filter let through.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    known = TermSet.of(terms)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            for row, _, _, *found in _rows_with_terms(sent.value, *utf8_batch(batch.column(2))):
+                at = pa.array(np.full(len(found[0]), row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, found)], ["id", "key", "term", "start", "end"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    places = texts.transform(small_batches).mapInArrow(run, f"id {kind}, key long, term long, start long, end long")
+    if known.exact is None:
+        places = places.join(terms, "term", "left_semi")
+    return places.select("id", "key", "start", "end")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
@@ -217,11 +269,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``base`` holds the spans of the base patterns and ``spans`` these and the
     disclosing terms, each ``(kind, start, end)`` in code points. A null or
-    empty text has none; rows that share id and
-    text share terms; other columns aren't read; an empty table gives an empty result.
+    empty text has none; rows that share id and text share spans; other columns
+    aren't read; an empty table gives an empty result.
     """
     entities = durable(find_entities(docs, id_col, text_col), "entities")
-    places = find_disclosures(docs, entities, id_col, text_col, **thresholds)
+    places = find_places(docs, find_disclosing(docs, entities, text_col, **thresholds), id_col, text_col)
     terms = places.groupBy(F.col("id").alias("of"), F.col("key").alias("text_key")).agg(
         F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms")
     )
@@ -242,34 +294,44 @@ def span_text(column: str):
 def mask_text(text: str, spans) -> str:
     """The text with each span replaced by its kind in brackets; overlapping spans become one."""
     out, at = [], 0
-    for s in spans:
-        if s["start"] >= at:
-            out += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
-        at = max(at, s["end"])
+    for kind, start, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
     return "".join([*out, text[at:]])
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """All rows and columns of ``docs``, personal data and disclosing terms replaced in the text.
 
-    The base patterns are matched anew where the text is rewritten, so only the
-    terms of the few rows that have any are joined.
+    Base patterns and terms are matched anew where the text is rewritten, so no
+    text is shuffled. Only where the terms are too many to be sent whole are
+    their places joined to the texts. A null text stays null.
     """
-    spans = find_spans(docs, id_col, text_col, **thresholds).where(F.size("spans") > F.size("base"))
-    terms = spans.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.expr("filter(spans, s -> s.kind = 'term')").alias("__terms")).dropDuplicates(["__id", "__key"])
-    here = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
-    both = docs.join(terms, here, "left").drop("__id", "__key")
-    at, schema = docs.columns.index(text_col), docs.schema
+    entities = durable(find_entities(docs, id_col, text_col), "entities")
+    terms = find_disclosing(docs, entities, text_col, **thresholds)
+    discard(entities)
+    known = TermSet.of(terms)
+    at, schema, rows = docs.columns.index(text_col), docs.schema, docs
+    if known.exact is None:
+        places = find_places(docs, terms, id_col, text_col).groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(F.struct("start", "end")).alias("__terms"))
+        here = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+        rows = docs.join(places, here, "left").drop("__id", "__key")
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(len(schema)).to_pylist(), strict=True):
-                spans = [{"kind": k, "start": s, "end": e} for k, s, e in find_personal(text)] if text else []
-                spans += found or []
-                texts.append(mask_text(text, sorted(spans, key=lambda s: s["start"])) if spans else text)
+            texts = batch.column(at).to_pylist()
+            if sent.value.exact is None:
+                found = {k: [("term", s["start"], s["end"]) for s in x] for k, x in enumerate(batch.column(len(schema)).to_pylist()) if x}
+            else:
+                found = {row: [("term", a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] for row, _, _, _, starts, ends in _rows_with_terms(sent.value, *utf8_batch(batch.column(at)))}
+            for k, text in enumerate(texts):
+                spans = (find_personal(text) if text else []) + found.get(k, [])
+                if spans:
+                    texts[k] = mask_text(text, sorted(spans, key=lambda s: s[1]))
             columns = list(batch.columns[: len(schema)])
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return both.transform(small_batches).mapInArrow(run, schema)
+    return rows.transform(small_batches).mapInArrow(run, schema)

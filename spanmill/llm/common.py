@@ -20,11 +20,14 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (tests, single machine) a folder is made and
-    remembered in the session, so later calls agree.
+    Where the setting is absent on a single machine (a local master, as in
+    tests) a folder is made and remembered in the session, so later calls agree;
+    on a cluster that is an error, as executors don't share such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,7 +53,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete durable tables that nothing will read again."""
+    """Delete durable tables that nothing will read again, not even a lazy result."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.durable_path)
@@ -61,7 +64,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches are of bounded size.
 
     A batch lives several times over, in the executor and in its Python worker,
-    and texts may be long; Spark's own bound of 64 MB is too much for that.
+    and texts may be long; Spark's own bound of 64 MB is too much for that. The
+    setting is read when the result is computed, so it stays in the session.
     """
     if not df.sparkSession.sparkContext.getConf().contains(_BATCH):
         df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))

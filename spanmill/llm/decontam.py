@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import durable, small_batches, steps, utf8_batch
+from spanmill.llm.common import bit_filter, durable, maybe, small_batches, steps, utf8_batch
 from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, lower_table, window_hashes, word_spans
 
 WIDTH = 13
@@ -108,11 +108,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     The size of the benchmark is measured first. Up to ``broadcast_bytes`` its
     windows are broadcast and no text is shuffled; beyond, windows of both
-    sides meet in a join on two independent 64-bit hashes.
+    sides meet in a join on their hash. Either way the bytes of a hit are compared.
     """
     index = _broadcast_index(docs, benchmark, item_col, width, broadcast_bytes)
     if index is None:
-        return _scan_by_join(docs, benchmark.select(F.col(item_col).cast("string").alias("id"), "text"), id_col, text_col, width)
+        return _scan_by_join(docs, benchmark.select(F.col(item_col).cast("string").alias("id"), "text"), id_col, text_col, width).drop("key")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -129,8 +129,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(run, f"id {kind}, {OUT}")
 
 
-def _windows(rows: DataFrame, lengths: list[int] | None, width: int, kind: str) -> DataFrame:
-    """``(id, n_words, size, at, h1, h2, start_byte, end_byte)``: windows of each row, and one of size 0 for the row itself."""
+def _windows(rows: DataFrame, lengths: list[int] | None, width: int, kind: str, known=None) -> DataFrame:
+    """``(id, n_words, size, at, key, phrase, start_byte, end_byte)``: windows of each row, and one of size 0 for the row itself.
+
+    Items (``lengths`` None) give their windows; documents give windows of all ``lengths`` whose key passes the bitmap ``known``.
+    """
 
     def run(batches):
         for batch in batches:
@@ -138,34 +141,39 @@ def _windows(rows: DataFrame, lengths: list[int] | None, width: int, kind: str)
             for i, j in steps(offsets):
                 part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, bounds, words = _words(part, own)
-                again = _words(part, own, 11)[3]
                 ids = batch.column(0).slice(i, j - i)
                 counts = np.diff(bounds)
-                zero = np.zeros(j - i, np.int64)
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (counts.astype(np.int64), zero, zero, zero, zero, zero, zero))], names)
+                zero = pa.array(np.zeros(j - i, np.int64))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), zero, zero, zero, pa.nulls(j - i, pa.binary()), zero, zero], names)
                 for size in lengths or range(1, width + 1):
-                    h1, h2 = window_hashes(words, size), window_hashes(again, size)
-                    k = np.arange(len(h1))
+                    key = window_hashes(words, size).view(np.int64)
+                    k = np.arange(len(key)) if known is None else np.flatnonzero(maybe(known.value, key))
                     row = np.searchsorted(bounds, k, "right") - 1
                     ok = k + size <= bounds[row + 1]
                     if lengths is None:
                         ok &= (size == width) | (counts[row] == size)
                     k, row = k[ok], row[ok]
-                    cols = counts[row], np.full(len(k), size), k - bounds[row], h1[k].view(np.int64), h2[k].view(np.int64), starts[k] - own[row], ends[k + size - 1] - own[row]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *(pa.array(np.asarray(c, np.int64)) for c in cols)], names)
+                    phrases = pa.array([_phrase(part, starts[x : x + size], ends[x : x + size]) for x in k], pa.binary())
+                    count, sizes, at, first, last = (pa.array(np.asarray(c, np.int64)) for c in (counts[row], np.full(len(k), size), k - bounds[row], starts[k] - own[row], ends[k + size - 1] - own[row]))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), count, sizes, at, pa.array(key[k]), phrases, first, last], names)
+
+    names = ["id", "n_words", "size", "at", "key", "phrase", "start_byte", "end_byte"]
+    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, n_words long, size long, at long, key long, phrase binary, start_byte long, end_byte long")
+
 
-    names = ["id", "n_words", "size", "at", "h1", "h2", "start_byte", "end_byte"]
-    return rows.transform(small_batches).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
+#: Bits of the filter of benchmark windows where these are joined: 4 MB at any size.
+FILTER_BITS = 1 << 25
 
 
 def _scan_by_join(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Windows that pass a bitmap meet the benchmark's by hash, and count where their bytes agree."""
     kind = docs.schema[id_col].dataType.simpleString()
-    grams = durable(_windows(items, None, width, "string").where("size > 0").select("size", "h1", "h2", F.col("id").alias("item")).distinct(), "grams")
-    lengths = [r[0] for r in grams.select("size").distinct().collect()]
-    key = F.xxhash64(text_col)
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("id"), F.col(text_col).alias("text"))
-    windows = _windows(keyed, lengths, width, f"struct<id:{kind},key:bigint>")
-    hits = windows.where("size > 0").join(grams, ["size", "h1", "h2"])
+    grams = durable(_windows(items, None, width, "string").where("size > 0").select("size", "key", "phrase", F.col("id").alias("item")).distinct(), "grams")
+    lengths = sorted(r[0] for r in grams.select("size").distinct().collect())
+    known = docs.sparkSession.sparkContext.broadcast(bit_filter(grams, "key", FILTER_BITS))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("key")).alias("id"), F.col(text_col).alias("text"))
+    windows = durable(_windows(keyed, lengths, width, f"struct<id:{kind},key:string>", known), "windows")
+    hits = windows.where("size > 0").join(grams.drop("size"), ["key", "phrase"])
     found = hits.groupBy("id").agg(
         F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "size", "start_byte", "end_byte")).alias("hits")
     )
@@ -178,11 +186,11 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
                 mask = _cover(row["n_words"], np.array([h["at"] for h in hits], np.int64), np.array([h["size"] for h in hits], np.int64))
                 ends = {h["at"]: h["start_byte"] for h in hits} | {-h["at"] - h["size"]: h["end_byte"] for h in hits}
                 spans = [{"start_byte": ends[int(a)], "end_byte": ends[-int(b)]} for a, b in _runs(mask)]
-                out.append({"id": row["id"], "n_words": row["n_words"], "n_hit": int(mask.sum()), "items": row["items"] or [], "spans": spans})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", batch.schema.field("id").type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS)]))
+                out.append({"id": row["id"], "key": row["key"], "n_words": row["n_words"], "n_hit": int(mask.sum()), "items": row["items"] or [], "spans": spans})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", batch.schema.field("id").type), ("key", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS)]))
 
-    rows = windows.where("size = 0").select("id", "n_words").join(found, "id", "left").select("id.id", "n_words", "items", "hits")
-    return rows.transform(small_batches).mapInArrow(fold, f"id {kind}, {OUT}")
+    rows = windows.where("size = 0").select("id", "n_words").join(found, "id", "left").select("id.id", "id.key", "n_words", "items", "hits")
+    return rows.transform(small_batches).mapInArrow(fold, f"id {kind}, key string, {OUT}")
 
 
 def contaminated(percent: int = 5):
@@ -194,12 +202,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
     With a broadcast benchmark rows are dropped where they are read, without a
-    shuffle; with a larger one, by an anti join on the id.
+    shuffle; with a larger one, by an anti join on the text's digest. Each row
+    is judged by its own text, whatever id it has.
     """
     index = _broadcast_index(docs, benchmark, item_col, width, broadcast_bytes)
     if index is None:
-        bad = scan(docs, benchmark, id_col, text_col, item_col, width, broadcast_bytes).where(contaminated(percent))
-        return docs.join(bad.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+        items = benchmark.select(F.col(item_col).cast("string").alias("id"), "text")
+        bad = _scan_by_join(docs, items, id_col, text_col, width).where(contaminated(percent)).select(F.col("key").alias("__digest")).distinct()
+        return docs.join(bad, F.md5(F.col(text_col).cast("binary")) == F.col("__digest"), "left_anti")
     at = docs.columns.index(text_col)
 
     def select(batches):

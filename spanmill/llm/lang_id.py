@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from spanmill.llm.common import small_batches
 
 UNKNOWN = "und"
+#: Code points that are counted at a time.
+PIECE = 1 << 17
 
 
 def letter_table() -> np.ndarray:
@@ -27,8 +29,36 @@ def letter_table() -> np.ndarray:
 
 
 def ngrams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text as integers (21 bits for each letter) and their counts."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    """Distinct n-grams of a text as integers (21 bits for each letter) and their counts.
+
+    A long text is taken in pieces that end between words, so memory follows
+    its distinct n-grams.
+    """
+    text, at, pieces = text.lower(), 0, []
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        pieces.append(_count_ngrams(text[at:end], letters))
+        at = end
+        if len(pieces) > 32:
+            pieces = [_merge(pieces)]
+    return pieces[0] if len(pieces) == 1 else _merge(pieces)
+
+
+def _merge(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of counts of several pieces."""
+    if not pieces:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams, inverse = np.unique(np.concatenate([g for g, _ in pieces]), return_inverse=True)
+    counts = np.zeros(len(grams), np.int64)
+    np.add.at(counts, inverse, np.concatenate([n for _, n in pieces]))
+    return grams, counts
+
+
+def _count_ngrams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of one piece of lower-case text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     is_letter = letters[np.minimum(points, 0xFFFF)]
     if (astral := points > 0xFFFF).any():
         is_letter[astral] = [chr(c).isalpha() for c in points[astral]]
@@ -95,7 +125,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                grams, counts = ngrams("\n".join(texts), letters)
+                found: list = []
+                for text in texts:
+                    found.append(ngrams(text, letters))
+                    if len(found) > 256:
+                        found = [_merge(found)]
+                grams, counts = _merge(found)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
 
     summed = picked.select("text", "lang").transform(small_batches).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

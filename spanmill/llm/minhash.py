@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import durable, small_batches, steps, utf8_batch
+from spanmill.llm.common import bit_filter, discard, durable, maybe, small_batches, steps, utf8_batch
 from spanmill.llm.components import components
 from spanmill.llm.textscan import (
     SPACE_SEPARATORS,
@@ -39,6 +39,8 @@ COORDINATES = 128
 BANDS = 32
 #: Members of a bucket that all its members are compared with before the rest is searched.
 PIVOTS = 3
+#: Bits of the filter of wanted sets: 4 MB at any corpus size.
+FILTER_BITS = 1 << 25
 
 
 def fast_sketch(elements: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -112,39 +114,67 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ["id", "n", "digest", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(
-        scan, "id long, n long, digest binary, bands array<long>"
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(
+        scan, f"id {kind}, n long, digest binary, bands array<long>"
     )
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, n, elements)``: the full shingle set of each row as 64-bit hashes."""
+def document_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``(node, n, elements)`` for each of ``wanted`` ``(digest, node)``: the full shingle set as sorted 64-bit hashes.
+
+    A bitmap of the wanted digests keeps other texts' sets where they are made, so no text is shuffled.
+    """
+    key = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(key.alias("key")), "key", FILTER_BITS))
 
     def scan(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            data, offsets = utf8_batch(batch.column(1))
+            data, offsets = utf8_batch(batch.column(0))
             for i, j in steps(offsets):
-                own = offsets[i : j + 1] - offsets[i]
-                found = list(shingle_sets(data[offsets[i] : offsets[j]], own, width))
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))],
-                    ["id", "n", "elements"],
-                )
+                found = {}
+                for elements in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width):
+                    digest = hashlib.md5(elements.tobytes()).digest()
+                    if digest not in seen and maybe(sent.value, np.array([int.from_bytes(digest[:7], "big")], np.int64))[0]:
+                        found[digest] = elements
+                seen.update(found)
+                ends = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
+                values = np.concatenate([*found.values(), np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["digest", "n", "elements"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).transform(small_batches).mapInArrow(
-        scan, "id long, n long, elements array<long>"
-    )
+    made = docs.select(text_col).transform(small_batches).mapInArrow(scan, "digest binary, n long, elements array<long>")
+    return made.join(wanted, "digest").dropDuplicates(["node"]).select("node", "n", "elements")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those ``(a, b)`` whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
-    both = pairs.join(right, "b").join(left, "a")
+    """Those ``(a, b)`` whose full sets have 100 * intersection >= percent * union.
+
+    A pivot is ``a`` of very many pairs: it comes to them in the last join, whose
+    sides are plain shuffles, so that a skewed one is split.
+    """
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("elements").alias(f"e{x}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     shared = F.size(F.array_intersect("ea", "eb")).cast("long")
-    union = F.size("ea") + F.size("eb") - shared
-    return both.where(100 * shared >= percent * union).select("a", "b")
+    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+
+
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` ``(node, component)`` after ``links`` ``(a, b)`` join components."""
+    links = durable(links, "confirmed")
+    ends = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca <> cb").select("ca", "cb")
+    roots = components(ends, "ca", "cb").toDF("component", "root")
+    discard(links)
+    return durable(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold two components or more, with their ``component``."""
+    labelled = durable(members.join(labels, "node"), "labelled")
+    mixed = durable(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "mixed")
+    out = durable(labelled.join(mixed, "bucket", "left_semi"), "open")
+    discard(labelled, mixed)
+    return out
 
 
 def near_duplicates(
@@ -156,48 +186,60 @@ def near_duplicates(
     are linked; ``component_id`` is the smallest id reachable by links, itself
     included, and ``kept`` says that it is the row's own id. Null or blank
     texts have an empty set and link with nothing; rows that share an id are
-    one node; other columns of ``docs`` aren't read; an empty table gives an
-    empty result.
-
-    Plan: rows of equal sets collapse into the one of least id; only its bands
-    are exploded. In each bucket of two or more, members are compared with
-    ``PIVOTS`` of them, so a group of many near copies costs a few comparisons
-    for each member. Where a bucket still holds several components, its members
-    go through ``prefix_pairs``, which finds every link that may be left and
-    skips the pairs that share only what is frequent.
+    one node, whatever their texts; rows with a null id link with nothing, have
+    no component and are kept; ids are of any type with an order; other columns
+    of ``docs`` aren't read; an empty table gives an empty result.
+
+    Plan: rows of equal sets are one node; only its bands are exploded. In each
+    bucket of two or more, every node is first compared with one pivot, the
+    least it shares a bucket with. Where a bucket still holds
+    several components, its nodes are compared with ``PIVOTS`` of them, and what
+    is open then goes through ``prefix_pairs``, which finds every link that may
+    be left and skips the pairs that share only what is frequent.
     """
-    sketches = durable(sketch_documents(docs, id_col, text_col, width), "sketches")
-    classes = sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = sketches.join(classes, (sketches.digest == classes.digest) & (sketches.id == classes.rep), "left_semi")
-    rows = reps.select("id", F.explode("bands").alias("bucket"))
-    pivots = [F.min("id"), *(F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, PIVOTS))]
-    shared = rows.groupBy("bucket").agg(F.array(*pivots).alias("pivots"), F.max("id").alias("last")).where("pivots[0] < last")
-    members = durable(rows.join(shared.select("bucket", "pivots"), "bucket").select("bucket", "id", "pivots"), "members")
-    wanted = members.select(F.col("id").alias(id_col)).distinct()
-    sets = durable(
-        document_sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), id_col, text_col, width).dropDuplicates(["id"]), "sets"
-    )
-
-    pairs = members.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
-    pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    found = durable(components(durable(confirm(pairs, sets, percent), "confirmed")), "found")
-    labelled = members.select("bucket", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = labelled.join(open_buckets, "bucket", "left_semi").select("id", "component").distinct()
-    late = confirm(prefix_pairs(sets.join(rest, "id"), percent), sets, percent)
-    late = late.join(rest.toDF("a", "ca"), "a").join(rest.toDF("b", "cb"), "b").select("ca", "cb")
-    merged = components(late, "ca", "cb").toDF("component", "root")
-    found = found.join(merged, "component", "full").select(
-        F.explode(F.when(F.col("id").isNull(), F.array("component")).otherwise(F.array("id"))).alias("rep"),
-        F.coalesce("root", "component").alias("component"),
-    )
-    classes = classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    return out.select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("component") == F.col("id")).alias("kept"))
+    rows = durable(sketch_documents(docs, id_col, text_col, width), "sketches")
+    full = rows.where("n > 0 and id is not null")
+    classes = full.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = durable(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # fixed once it is written
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
+    pivots = [F.min("node"), *(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(1, PIVOTS))]
+    shared = durable(buckets.groupBy("bucket").agg(F.array(*pivots).alias("pivots"), F.max("node").alias("last")).where("pivots[0] < last").select("bucket", "pivots"), "shared")
+    members = durable(buckets.join(shared, "bucket"), "members")
+    nodes = members.select("node").distinct()
+    sets = durable(document_sets(docs, classes.select("digest", "node").join(nodes, "node", "left_semi"), text_col, width), "sets")
+
+    labels = nodes.select("node", F.col("node").alias("component"))
+    least = members.groupBy(F.col("node").alias("b")).agg(F.min("pivots")[0].alias("a")).where("a < b")
+    labels = merge(labels, confirm(least, sets, percent))
+    left = open_members(members, labels)
+    if not left.isEmpty():
+        pairs = left.select(F.col("node").alias("b"), "component", F.explode("pivots").alias("a")).where("a <> b").distinct()
+        pairs = pairs.join(labels.toDF("a", "other"), "a").where("component <> other").select("a", "b")
+        labels = merge(labels, confirm(pairs, sets, percent))
+        left = open_members(left.drop("component"), labels)
+    if not left.isEmpty():
+        rest = sets.join(left.select("node", "component").distinct(), "node")
+        labels = merge(labels, confirm(prefix_pairs(rest, percent), sets, percent))
+
+    labels = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    several = full.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("id", "lo")
+    several = durable(several, "several")
+    if not several.isEmpty():  # ids of different texts join their nodes
+        of = classes.select("digest", "node")
+        twins = full.select("id", "digest").join(several, "id").where("digest <> lo").select("digest", "lo").distinct()
+        links = twins.join(of, "digest").withColumnRenamed("node", "a").join(of.toDF("lo", "b"), "lo").select("a", "b")
+        labels = merge(labels, links)
+    labelled = durable(classes.select("digest", "node", "rep").join(labels, "node"), "labelled")
+    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = labelled.join(least, "component").select("digest", "component_id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    discard(classes, shared, members, sets, several)
+    out = rows.select("id", "n", "digest").join(found, "digest", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of rows ``(id, component, n, elements)`` in different components that may have similarity ``percent``.
+    """Pairs ``(a, b)`` of rows ``(node, component, n, elements)`` in different components that may have similarity ``percent``.
 
     Elements are ranked from rare to frequent. Sets of at least that similarity
     share an element among the first ``n - ceil(n * percent / 100) + 1`` of
@@ -206,21 +248,21 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """
     frequency = sets.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("df"))
     ranked = (
-        sets.select("id", "component", "n", F.explode("elements").alias("element"))
+        sets.select("node", "component", "n", F.explode("elements").alias("element"))
         .join(frequency, "element")
-        .groupBy("id", "component", "n")
+        .groupBy("node", "component", "n")
         .agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ranked"))
     )
     prefix = durable(
-        ranked.select("id", "component", "n", F.posexplode(F.expr(f"slice(ranked, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT))")).alias("rank", "e"))
+        ranked.select("node", "component", "n", F.posexplode(F.expr(f"slice(ranked, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT))")).alias("rank", "e"))
         .where("e.df > 1")
-        .select("id", "component", "n", "rank", F.col("e.element").alias("element")),
+        .select("node", "component", "n", "rank", F.col("e.element").alias("element")),
         "prefix",
     )
-    other = prefix.select("element", *(F.col(c).alias(f"other_{c}") for c in ("id", "component", "n", "rank")))
+    other = prefix.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "rank")))
     fits = (
         "component < other_component and "
         f"(100 + {percent}) * (1 + least(n - rank, other_n - other_rank) - 1) >= {percent} * (n + other_n)"
     )
     pairs = prefix.join(other, ["element"]).where(fits)
-    return pairs.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
+    return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()

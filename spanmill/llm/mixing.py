@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmill.llm.common import durable
@@ -40,13 +40,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 BROADCAST_SOURCES = 100_000
 
 
-def _copies(rows: DataFrame, sizes: DataFrame, id_col: str, source_col: str, seed: str, rates: dict) -> DataFrame:
+def _name(id_col: str, text_col: str) -> Column:
+    """What a row's draw depends on: its id, or its text where it has none."""
+    return F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def _copies(rows: DataFrame, sizes: DataFrame, name: Column, source_col: str, seed: str, rates: dict) -> DataFrame:
     """``rows`` with their source's ``source_size`` and ``target`` and their own ``copies``."""
     targets = durable(source_targets(sizes, **rates).withColumnRenamed("source", "__of"), "targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
     return rows.join(targets, F.col(source_col).eqNullSafe(F.col("__of")), "left").withColumn("__copies", copies)
@@ -54,7 +59,7 @@ def _copies(rows: DataFrame, sizes: DataFrame, id_col: str, source_col: str, see
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    return docs.select(F.col(id_col).alias("id"), _name(id_col, text_col).alias("name"), F.col(source_col).alias("source"), size.alias("size"))
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **rates) -> DataFrame:
@@ -65,15 +70,16 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     the fraction of the rate: reruns agree, and no rate is above ``most``.
     A null text has size 0; a source of size 0 has target 0 and its documents
     are not taken; a null source is a source of its own; rows that share an id
-    and a source share the draw; an empty table gives an empty result.
+    and a source share the draw, and so do rows without an id that share a text;
+    an empty table gives an empty result.
     """
     sizes = durable(_sizes(docs, id_col, text_col, source_col), "sizes")
-    return _copies(sizes, sizes, "id", "source", seed, rates).select("id", "size", "source_size", "target", F.col("__copies").alias("copies"))
+    return _copies(sizes, sizes, F.col("name"), "source", seed, rates).select("id", "size", "source_size", "target", F.col("__copies").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **rates) -> DataFrame:
     """The rows of ``docs``, each as often as ``plan_mix`` takes it; texts aren't shuffled."""
-    taken = _copies(docs, _sizes(docs, id_col, text_col, source_col), id_col, source_col, seed, rates)
+    taken = _copies(docs, _sizes(docs, id_col, text_col, source_col), _name(id_col, text_col), source_col, seed, rates)
     repeated = F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).otherwise(F.array().cast("array<bigint>")))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns], repeated.alias("__copy")).drop("__copy")
 
@@ -81,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 #: The same in DuckDB's SQL, for the default parameters.
 ORACLE_SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 ranked AS (
   SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
@@ -94,10 +100,10 @@ final AS (SELECT min_by(level, cap / weight) FILTER (level * weight <= cap) AS l
 targets AS (
   SELECT l.source, l.source_size, least(l.cap, coalesce(f.level * l.weight, l.cap)) AS target FROM levels l, final f),
 rates AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  SELECT s.doc_id, s.name, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || name), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
     < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM rates
 """

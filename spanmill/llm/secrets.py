@@ -27,8 +27,12 @@ MORE_RULES = (
     ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Spans that a scan copies at a time.
+BLOCK = 256
 #: Cheap tests that a text must pass before its matches are located.
 HINTS = {"assign": "[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "pem": "PRIVATE KEY-----", "jwt": "eyJ"}
+#: Up to so many rows that needn't be scanned are broadcast.
+BROADCAST_ROWS = 250_000
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
 
 
@@ -44,16 +48,21 @@ def locate(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     sizes = F.arrays_zip(
         F.transform(F.slice(gaps, 1, F.size(whole)), F.length).alias("gap"), F.transform(whole, F.length).alias("match"), F.transform(value, F.length).alias("value")
     )
-    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("open"), F.array().cast(f"array<array<{SPAN}>>").alias("full"))
 
     def step(state: Column, m: Column) -> Column:
+        """Good spans gather in blocks, so that a text of very many matches copies few references for each."""
         start = state["at"] + m["gap"]
         end = start + m["match"]
-        span = F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.cast("bigint").alias("end"))
-        empty = F.array().cast(f"array<{SPAN}>")
-        return F.struct(end.cast("bigint").alias("at"), F.concat(state["spans"], F.when(m["value"] >= least, F.array(span)).otherwise(empty)).alias("spans"))
+        span = F.array(F.struct(start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.cast("bigint").alias("end")))
+        good, ends = m["value"] >= least, F.size(state["open"]) >= BLOCK
+        return F.struct(
+            end.cast("bigint").alias("at"),
+            F.when(good & ends, span).when(good, F.concat(state["open"], span)).otherwise(state["open"]).alias("open"),
+            F.when(good & ends, F.concat(state["full"], F.array(state["open"]))).otherwise(state["full"]).alias("full"),
+        )
 
-    return F.aggregate(sizes, none, step)["spans"]
+    return F.aggregate(sizes, none, step, lambda a: F.flatten(F.concat(a["full"], F.array(a["open"]))))
 
 
 def find_spans(text: Column) -> Column:
@@ -71,20 +80,26 @@ def scan(paths: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledge
 
     ``ledger`` has ``(blob, version, spans)``; None or an empty one means that
     everything is new. A null text is the empty text. Rows of equal texts are
-    one blob, scanned once, by the row of least id; a blob that the ledger has
-    for ``version`` isn't scanned. Other columns aren't read; an empty table
+    one blob, scanned once, by the row of least id (rows that repeat id and text
+    are scanned each); a blob that the ledger has for ``version`` isn't scanned.
+    Two versions under one id, or under none, are two blobs. Other columns aren't read; an empty table
     gives empty results.
+
+    What needn't be scanned is counted: as few rows as ``BROADCAST_ROWS`` are
+    broadcast, so that no text is shuffled; more meet the texts in a join on id and blob.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    blobs = durable(paths.select(F.col(id_col).alias("id"), F.sha2(text.cast("binary"), 256).alias("blob")), "blobs")
-    unseen = blobs.groupBy("blob").agg(F.min("id").alias("id"))
+    texts = paths.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
+    blobs = durable(texts.select("id", "blob"), "blobs")
+    unseen = blobs.groupBy("blob").agg(F.min("id").alias("first"))
     if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("version") == version), "blob", "left_anti")
-    wanted = unseen.select(F.col("id").alias("path"), "blob")
-    texts = paths.select(F.col(id_col).alias("path"), text.alias("text"))
-    # A row of the least id may hold another version; the blob is compared where it is scanned.
-    scanned = texts.join(wanted, texts["path"].eqNullSafe(wanted["path"]))
-    scanned = scanned.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob")).select("blob", F.lit(version).alias("version"), find_spans(F.col("text")).alias("spans"))
+        unseen = unseen.join(ledger.where(F.col("version") == version).select("blob"), "blob", "left_anti")
+    known = blobs.join(unseen.withColumn("new", F.lit(True)), "blob", "left").where(F.col("new").isNull() | ~F.col("id").eqNullSafe(F.col("first")))
+    known = durable(known.select(F.col("id").alias("other"), F.col("blob").alias("of")).distinct(), "known")
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    scanned = texts.join(known, (texts["blob"] == known["of"]) & texts["id"].eqNullSafe(known["other"]), "left_anti")
+    scanned = scanned.select("blob", F.lit(version).alias("version"), find_spans(F.col("text")).alias("spans"))
     fresh = durable(scanned.dropDuplicates(["blob"]), "ledger")
     after = fresh if ledger is None else ledger.unionByName(fresh)
     known = after.where(F.col("version") == version).select("blob", "spans").where(F.size("spans") > 0)

@@ -188,7 +188,7 @@ def cut_runs(contexts: DataFrame, length: int, block: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """``(id, text_key, spans)``: for each text with repeats, byte ranges that cover them, neither merged nor sorted.
+    """``(id, text_key, spans)``: for each text with repeats, distinct byte ranges that cover them, neither merged nor sorted.
 
     A window repeats if its bytes also start anywhere else, in the same
     document or another; matches don't cross documents.
@@ -226,7 +226,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twice = windows.groupBy("key", "node", "whole").count().where("count > 1").select("key", "node", "whole")
     settled = windows.where("unsettled").join(twice, ["key", "node", "whole"], "left_semi")
     spans = spans.unionByName(settled.select("id", "text_key", F.col("b0").alias("start"), (F.col("b1") + length).alias("end")))
-    spans = durable(spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "repeats")
+    spans = durable(spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeats")
     discard(repeated, mates, groups, contexts, blocks, shared, windows)
     return spans
 

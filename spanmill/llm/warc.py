@@ -6,7 +6,8 @@ the offset, size and chief headers of every record. ``spark.read.format("warc")`
 plans one partition for each file. Filters on the record type and other header
 columns are pushed down: they are decided on the index where there is one, so
 unwanted records aren't even read; else on the record's headers, which are
-parsed before anything is inflated or decoded beyond them.
+parsed first: payloads that aren't wanted are skipped in pieces, neither
+gathered nor decoded. Plain ``.warc`` files are read, too.
 
 Read options: ``payload`` = ``text`` (default), or ``digest``: the payload is
 checked and measured but not decoded or sent on.
@@ -49,6 +50,8 @@ REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 _HEADER_COLUMNS = {"page_id", "url", "record_type", "payload_digest", "refers_to"}
 _LEVEL = 1
+#: Bytes of a file that are read at a time where there is no index.
+_PIECE = 1 << 16
 
 
 def _storage(path: str) -> tuple[pafs.FileSystem, str]:
@@ -190,6 +193,82 @@ _TESTS = {
 }
 
 
+class _Stream:
+    """Records of a file without an index, read once from its start in small pieces.
+
+    Members of a gzip file follow each other as one stream, however records are
+    dealt to them. What is skipped is inflated piece by piece and dropped, or
+    in a plain file not even read.
+    """
+
+    def __init__(self, source, packed: bool):
+        self.source, self.packed = source, packed
+        self.inflate, self.left, self.buffer = None, b"", b""
+
+    def _more(self) -> bytes:
+        """The next piece, empty at the end of the file."""
+        if not self.packed:
+            return self.source.read(_PIECE)
+        while True:
+            if not self.left:
+                self.left = self.source.read(_PIECE)
+                if not self.left:
+                    if self.inflate is not None:
+                        raise ValueError("a WARC file ends inside a record")
+                    return b""
+            if self.inflate is None:
+                self.inflate = zlib.decompressobj(31)
+            out = self.inflate.decompress(self.left, 16 * _PIECE)
+            self.left = self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.left, self.inflate = self.inflate.unused_data, None
+            if out:
+                return out
+
+    def headers(self) -> dict[str, str] | None:
+        """The next record's headers; None at the end."""
+        self.buffer = self.buffer.lstrip(b"\r\n")
+        while not self.buffer:
+            piece = self._more()
+            if not piece:
+                return None
+            self.buffer = piece.lstrip(b"\r\n")
+        while (cut := self.buffer.find(b"\r\n\r\n")) < 0:
+            piece = self._more()
+            if not piece:
+                raise ValueError("a WARC record has no end of its headers")
+            self.buffer += piece
+        head, self.buffer = parse_headers(self.buffer[:cut]), self.buffer[cut + 4 :]
+        return head
+
+    def take(self, size: int) -> bytes:
+        pieces, missing = [self.buffer], size - len(self.buffer)
+        while missing > 0:
+            piece = self._more()
+            if not piece:
+                raise ValueError("a WARC file ends inside a record")
+            pieces.append(piece)
+            missing -= len(piece)
+        whole = b"".join(pieces)
+        self.buffer = whole[size:]
+        return whole[:size]
+
+    def skip(self, size: int) -> None:
+        missing = size - len(self.buffer)
+        if missing <= 0:
+            self.buffer = self.buffer[size:]
+            return
+        self.buffer = b""
+        if not self.packed:
+            self.source.seek(self.source.tell() + missing)
+            return
+        while missing > 0:
+            piece = self._more()
+            if not piece:
+                raise ValueError("a WARC file ends inside a record")
+            self.buffer, missing = piece[missing:], missing - len(piece)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.content = options["path"], options.get("payload", "text")
@@ -214,8 +293,8 @@ class WarcReader(DataSourceReader):
         by_name = {k.__name__: t for k, t in _TESTS.items()}
         return all(row[c] is not None and by_name[name](row[c], x) for c, name, x in self.tests)
 
-    def _members(self, source, index):
-        """``(headers, rest)`` of each wanted record; ``rest()`` inflates what follows the headers."""
+    def _members(self, source, index, packed: bool):
+        """``(headers, rest)`` of each wanted record; ``rest()`` gives what follows the headers."""
         if index is not None:
             for line in index.read().splitlines():
                 entry = json.loads(line)
@@ -224,23 +303,14 @@ class WarcReader(DataSourceReader):
                     packed = source.read(entry["size"])
                     yield self._open(packed)
             return
-        buffer, more = b"", True
-        while more or buffer:
-            chunk = source.read(1 << 20) if more else b""
-            more = bool(chunk)
-            buffer += chunk
-            while buffer:
-                inflate = zlib.decompressobj(31)
-                whole = inflate.decompress(buffer)
-                if not inflate.eof:
-                    if not more:
-                        raise ValueError("a WARC file ends inside a record")
-                    break
-                buffer = inflate.unused_data
-                cut = whole.index(b"\r\n\r\n")
-                head = parse_headers(whole[:cut])
-                if self._wanted(_summary(head)):
-                    yield head, lambda w=whole, c=cut: w[c + 4 :]
+        stream = _Stream(source, packed)
+        while head := stream.headers():
+            size = int(head["content-length"])
+            if self._wanted(_summary(head)):
+                block = stream.take(size)
+                yield head, lambda b=block: b
+            else:
+                stream.skip(size)
 
     @staticmethod
     def _open(packed: bytes):
@@ -266,7 +336,7 @@ class WarcReader(DataSourceReader):
 
         index = store.open_input_stream(partition.index, compression=None) if partition.index else None
         with store.open_input_file(partition.path) as source:
-            for head, rest in self._members(source, index):
+            for head, rest in self._members(source, index, partition.path.endswith(".gz")):
                 row = _summary(head)
                 http, _, payload = rest()[: int(head["content-length"])].partition(b"\r\n\r\n")
                 row["payload_bytes"] = int(parse_headers(http)["content-length"])
@@ -301,6 +371,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known; filters reach it through a setting that is read when a query is planned, so it stays in the session."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 

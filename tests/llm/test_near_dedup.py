@@ -60,3 +60,12 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(31)}, 100: 100, 200: 100, 150: 100}
+
+
+def test_rows_that_share_an_id_and_odd_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [("e", text), ("c", text + " more"), ("c", other), ("d", other + " more"), (None, text), (None, None), ("f", None), ("g", "alone here"), ("c", other)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((tuple(r)[:1] + tuple(r)[2:] for r in minhash.near_duplicates(docs, width=2).collect()), key=str)
+    assert got == sorted([("e", "c", False), ("c", "c", True), ("c", "c", True), ("d", "c", False), (None, None, True), (None, None, True), ("f", "f", True), ("g", "g", True), ("c", "c", True)], key=str)

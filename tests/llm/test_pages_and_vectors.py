@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import random
@@ -68,6 +69,16 @@ def test_warc_filters_with_and_without_index(spark, tmp_path):
         assert {r.payload for r in warc.read(spark, path, payload="digest").collect()} == {None}
         for f in (tmp_path / "w").glob("*.idx"):
             f.unlink()
+    for f in (tmp_path / "w").glob("*.warc.gz"):  # plain files, and one member for all records
+        raw = gzip.decompress(f.read_bytes())
+        f.unlink()
+        (tmp_path / "w" / f.name.removesuffix(".gz")).write_bytes(raw)
+        (tmp_path / "one").mkdir(exist_ok=True)
+        (tmp_path / "one" / f.name).write_bytes(gzip.compress(raw))
+    for folder in ("w", "one"):
+        records = warc.read(spark, str(tmp_path / folder))
+        assert records.count() == 21 and [r.page_id for r in records.where("record_type = 'revisit'").collect()] == [1]
+        assert [r.payload for r in records.where("page_id = 4").collect()] == ["text 4 "]
     reader = warc.WarcReader({"path": path})
     left = list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload",), "x")]))
     assert len(left) == 1 and reader.tests == [("record_type", "EqualTo", "revisit")]
@@ -113,3 +124,14 @@ def test_embedding_join(spark, monkeypatch):
     monkeypatch.setattr(embed_join, "BLOCK", 16)  # many cells, blocks and guests
     assert sorted(map(tuple, embed_join.near_duplicates(table).collect())) == expected
     assert embed_join.near_duplicates(table.limit(0)).collect() == []
+
+
+def test_embedding_join_of_doubles_ragged_vectors_and_odd_ids(spark):
+    near = math.sqrt(1 - 0.9**2)
+    rows = [("b", [1.0, 0.0, 0.0]), ("a", [0.9 + 1e-12, near, 0.0]), ("c", [0.9 - 1e-9, -near, 0.0]), ("tiny", [1e-300, 0.0, 0.0]), ("two", [1.0, 0.0]), ("pair", [2.0, 0.0]), ("four", [1.0, 0.0, 0.0, 0.0])]
+    rows += [(None, [1.0, 0.0, 0.0]), (None, None), ("two", [0.0, 0.0, 5.0]), ("z", [0.0, 0.1, 5.0]), ("b", [1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = sorted(map(tuple, embed_join.near_duplicates(table).collect()), key=str)
+    # b twice, tiny and a are linked; c is just below; two joins its vectors of two lengths, and z
+    assert got == sorted([("b", 3, "a", False), ("b", 3, "a", False), ("a", 3, "a", True), ("c", 0, "c", True), ("tiny", 3, "a", False), ("two", 1, "pair", False), ("pair", 1, "pair", True), ("four", 0, "four", True),
+                          (None, 0, None, True), (None, 0, None, True), ("two", 1, "pair", False), ("z", 1, "pair", False)], key=str)

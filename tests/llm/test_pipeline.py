@@ -25,3 +25,12 @@ def test_stages_against_brute_force(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.text, r.source) for r in out.collect()) == expected
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and len(roots) < len(kept) and bad
+
+
+def test_near_dedup_judges_rows_by_their_own_text(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "x"), (None, b, "x"), (None, a + " c", "x"), (None, "lone text", "x"), (7, None, "x"), (7, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    # of the copies of a one row stays, of those of b one; a null id comes behind others
+    assert got == sorted([(3, a, "x"), (5, b, "x"), (None, "lone text", "x"), (7, None, "x"), (7, None, "x")], key=str)

@@ -59,6 +59,18 @@ def test_decontamination_broadcast_and_join_match_brute_force(spark):
             assert text[i].encode()[a:b].decode()
 
 
+def test_decontamination_judges_rows_by_their_own_text(spark):
+    passage = " ".join(f"q{k}" for k in range(20))
+    rows = [(1, "clean text"), (1, passage), (None, passage), (None, "clean too"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    for limit in (decontam.BROADCAST_BYTES, 0):
+        kept = decontam.drop_contaminated(docs, table, broadcast_bytes=limit).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted([(1, "clean text"), (None, "clean too"), (2, None)], key=str)
+        hits = decontam.scan(docs, table, broadcast_bytes=limit).collect()
+        assert sorted((str(r.id), r.n_words, r.n_hit) for r in hits) == sorted([("1", 2, 0), ("1", 20, 20), ("None", 20, 20), ("None", 2, 0), ("2", 0, 0)])
+
+
 def test_decontamination_empty_tables(spark):
     items, table = benchmark(spark)
     assert decontam.scan(spark.createDataFrame([], SCHEMA), table).collect() == []
@@ -91,6 +103,16 @@ def test_secrets_match_brute_force_and_ledger_skips_known_blobs(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA))[0].collect() == []
 
 
+def test_secrets_of_versions_under_one_id(spark, monkeypatch):
+    rows = [(1, "token=abcdefgh"), (1, "token=abcdefghij x"), (None, "token=abcdefgh"), (None, "password: hunter22"), (None, None), (2, "token=abcdefgh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (secrets.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", limit)
+        findings, ledger = secrets.scan(docs)
+        assert sorted((str(r.id), secrets_of(r.spans)) for r in findings.collect()) == sorted([("1", "assign:0:14"), ("1", "assign:0:16"), ("None", "assign:0:14"), ("None", "assign:0:18"), ("None", ""), ("2", "assign:0:14")])
+        assert ledger.count() == 4
+
+
 def secrets_of(spans):
     return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans if s["rank"] < 3)
 
@@ -116,18 +138,30 @@ def test_disclosing_terms(spark):
     found = {r.id: r for r in pii.find_spans(docs).collect()}
     terms = lambda i: {rows[i][1][s.start : s.end] for s in found[i].spans if s.kind == "term"}
     assert terms(0) == {"zorblatt", "met", "Quux"}  # zorblatt: 4 of 5 documents; word, near, again: 4 of 24
-    assert len(found) == len(rows) and not found[40].spans and not found[41].spans and not found[42].spans
+    assert len(found) == len(rows) and not found[40].spans and not found[41].spans
+    assert [tuple(s) for s in found[42].spans] == [("term", 0, 8)]  # gives the entity away where it stands alone
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[0] == "[TERM] common0 word [TERM] [EMAIL] near [TERM] again 0" and clean[10] == rows[4][1] and clean[40] is None
 
 
+def test_disclosing_terms_by_join(spark, monkeypatch):
+    rows = [(k, f"zorblatt common{k % 2} met ann@mail.org Quux {k}") for k in range(4)] + [(10 + k, f"common{k % 2} {k}") for k in range(20)] + [(None, "zorblatt alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    results = []
+    for limit in (pii.BROADCAST_TERMS, -1):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+        spans = sorted(((r.id, sorted(map(tuple, r.spans))) for r in pii.find_spans(docs).collect()), key=str)
+        results.append((spans, sorted(((r.doc_id, r.text) for r in pii.sanitise(docs).collect()), key=str)))
+    assert results[0] == results[1] and (None, "[TERM] alone") in results[0][1]
+
+
 def test_disclosing_terms_far_from_their_entity(spark):
     gap = " ".join(f"filler{j}" for j in range(30))
     rows = [(k, f"Zorblatt {gap} own{k} ann@mail.org own{k} {gap} zorblatt 4111 1111 1111 1111 own{k} quux" if k else f"ann@mail.org {gap} ZORBLATT") for k in range(4)]
     rows += [(10 + k, f"{gap} nothing{k} to quux") for k in range(9)] + [(30, "zorblatt here"), (31, "bob@mail.org zorblatt")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.find_spans(docs).collect()}
-    assert {i: [t[a:b] for a, b in found[i]] for i, t in rows if found[i]} == {0: ["ZORBLATT"], 1: ["Zorblatt", "zorblatt"], 2: ["Zorblatt", "zorblatt"], 3: ["Zorblatt", "zorblatt"]}
+    assert {i: [t[a:b] for a, b in found[i]] for i, t in rows if found[i]} == {30: ["zorblatt"], 31: ["zorblatt"], 0: ["ZORBLATT"], 1: ["Zorblatt", "zorblatt"], 2: ["Zorblatt", "zorblatt"], 3: ["Zorblatt", "zorblatt"]}
     assert "zorblatt" not in " ".join(r.text for r in pii.sanitise(docs).where("doc_id < 4").collect()).lower()
 
 
@@ -185,6 +219,12 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(r.taken - r.target * r.own / r.source_size) <= 4 * r.spread for r in got)
 
 
+def test_mixing_of_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"text number {k} w w w", "a" if k % 4 else "b") for k in range(2000)], "doc_id long, text string, source string")
+    got = mixing.plan_mix(docs).groupBy("target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert len(got) == 2 and all(abs(r.taken - r.target) <= 0.05 * r.target for r in got)
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     profiles = lang_id.fit(docs.where(~lang_id.held_out("doc_id")))

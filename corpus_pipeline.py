@@ -21,9 +21,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (5-word shingles, similarity 0.8): the least id."""
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select(F.col("id").alias("doc_id"))
-    unique = docs.join(gone, "doc_id", "left_anti")
+    """Keeps one row of each group of near copies (5-word shingles, similarity 0.8): the one of least id.
+
+    Rows are told apart by id and text, so each is judged by its own text and a
+    repeated row stays once; texts without words are no copies.
+    """
+    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.md5(F.col("text").cast("binary")).alias("digest")))
+    found = common.durable(minhash.near_duplicates(keyed, id_col="__row", width=5, percent=80).where("n_shingles > 0"), "near")
+    unique = keyed.join(found.where("not kept").select(F.col("id").alias("__row")), "__row", "left_anti")
+    twice = common.durable(found.where("kept").groupBy(F.col("id").alias("__row")).count().where("count > 1").select("__row"), "twice")
+    if not twice.isEmpty():
+        once = unique.join(twice, "__row", "left_semi").dropDuplicates(["__row"])
+        unique = unique.join(twice, "__row", "left_anti").unionByName(once)
     return unique.select(docs.columns)
 
 

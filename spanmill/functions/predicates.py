@@ -90,6 +90,42 @@ def span_quality(value: Column) -> Column:
     )
 
 
+def paragraph_like(text: Column) -> Column:
+    """Prose: 40 letters and 20 lower-case ones at least, no blank line, a first line that is no section, list item or metadata, and a terminal."""
+    body = F.trim(text, F.lit(" \t\n\r"))
+    first = F.trim(F.regexp_extract(body, "^[^\\n\\r]*", 0))
+    enough = (F.regexp_count(body, F.lit("\\p{L}")) >= 40) & (F.regexp_count(body, F.lit("\\p{Ll}")) >= 20)
+    terminal = has_terminal(body) | body.rlike("[.!?][\"')\\]}”’]*[ \\t\\n\\r]")
+    return (F.length(body) > 0) & ~body.contains("\n\n") & ~section_like(first) & ~list_item_like(first) & ~metadata_like(first) & enough & terminal
+
+
+#: Labels of blocks that sentences may lie in (fixed values).
+SENTENCE_PARENTS = ("paragraph", "dialogue", "list_item")
+
+
+def squeezed(text: Column) -> Column:
+    """Without ``&#xD;``, white space as single spaces."""
+    return F.trim(F.regexp_replace(F.replace(text, F.lit("&#xD;"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " "))
+
+
+def sentence_eligible(text: Column, label: Column, least: int = 30, least_letters: int = 15) -> Column:
+    """Whether a block may hold sentences: by label, length, letters and lower case, and no heading or metadata."""
+    body = squeezed(text)
+    return (
+        label.isin(*SENTENCE_PARENTS) & (F.length(body) >= least) & (F.regexp_count(body, F.lit("\\p{L}")) >= least_letters) & body.rlike("\\p{Ll}") & ~section_like(body) & ~metadata_like(body)
+    )
+
+
+def block_has_terminal(text: Column) -> Column:
+    """Whether a block's text ends with a mark and closers."""
+    return squeezed(text).rlike("[.!?][\"'”’)\\]]*\\z")
+
+
+def eligible_outputs(here: Column, closes_here: Column, at_end: Column, breaks: Column, sentence: Column, paragraph: Column) -> tuple[Column, Column]:
+    """Masks of a candidate's two outputs: positives always count, else a terminal whose closers end at the break, and an end of text or a blank line."""
+    return sentence | here.rlike("^[.!?…]") & closes_here, paragraph | at_end | (breaks >= 2)
+
+
 def false_boundary(left: Column, right: Column) -> Column:
     """Whether a full stop between two contexts ends no sentence: abbreviation, initial, number, roman numeral, decimal, or lower case behind."""
     word = F.lower(F.regexp_extract(left, "([A-Za-z.]+)\\z", 1))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<start:bigint,end:bigint,start_byte:bigint,end_byte:bigint>"
 #: Elements that a scan copies at a time.
-BLOCK = 256
+BLOCK = 64
 BLANKS = " \t\n\r"
 CLOSERS_AND_BLANKS = "^[\"')\\]}”’»]*[ \\t\\n\\r]*"
 
@@ -204,3 +204,39 @@ def metadata_colon(line: str | Column) -> Column:
     c = F.trim(col(line))
     head = F.substring_index(c, ":", 1)
     return c.contains(":") & (F.octet_length(head) <= 40) & head.rlike("[A-Za-z]") & ~head.contains(".")
+
+
+def char_boundary(text: str | Column, at: str | Column, up: bool = False) -> Column:
+    """The byte offset itself where a code point begins there (or the text ends), else the one before, or behind with ``up``."""
+    raw, size = col(text).cast("binary"), F.octet_length(col(text))
+    at = F.least(F.greatest(col(at), F.lit(0)), size)
+    inner = lambda k: F.conv(F.hex(F.substring(raw, (at + k + 1).cast("int"), F.lit(1))), 16, 10).cast("int").between(128, 191)
+    sign = 1 if up else -1
+    steps = F.when(~F.coalesce(inner(0), F.lit(False)), 0)
+    for k in (1, 2):
+        steps = steps.when(~F.coalesce(inner(sign * k), F.lit(False)), k)
+    return at + sign * steps.otherwise(3)
+
+
+def snippet(text: str | Column, most: int) -> Column:
+    """The first ``most`` code points with line breaks written out, and dots where there are more."""
+    c = col(text)
+    shown = F.replace(F.replace(F.left(c, F.lit(most)), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.concat(shown, F.when(F.length(c) > most, "...").otherwise(""))
+
+
+def point_context(text: str | Column, at: str | Column, radius: int) -> Column:
+    """``left|right``: what stands within ``radius`` bytes of a byte offset, widened to whole code points, as snippets."""
+    raw, size = col(text).cast("binary"), F.octet_length(col(text))
+    at = F.least(col(at), size)
+    start, end = char_boundary(text, at - radius), char_boundary(text, F.least(at + radius, size), True)
+    return F.concat(snippet(byte_piece(raw, start, at), radius), F.lit("|"), snippet(byte_piece(raw, at, end), radius))
+
+
+def trimmed_span(text: str | Column, start: str | Column, end: str | Column) -> Column:
+    """``struct(start, end)`` without the blanks at both ends of code points [start, end); all blank gives an empty span at its start."""
+    whole = piece(text, start, end)
+    lead = F.length(whole) - F.length(F.ltrim(whole, F.lit(BLANKS)))
+    body = F.length(F.trim(whole, F.lit(BLANKS)))
+    first = F.when(body > 0, col(start) + lead).otherwise(col(start)).cast("long")
+    return F.struct(first.alias("start"), (first + body).cast("long").alias("end"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.functions import predicates as Q
 from spanmill.functions import text as T
+from spanmill.operators.sampling import draw
 
 #: Closers and terminators that may end a sentence (fixed values).
 TERMINATORS = ".!?…\"')]}>“”‘’«»‹›"
@@ -43,6 +45,49 @@ def scan_line_starts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.explode(F.when(size > 0, F.concat(F.array(F.lit(0).cast("long")), after))).alias("position"))
 
 
+def exhaustive(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A candidate behind every code point: ``(doc_id, feature_pos, break_end)`` in bytes.
+
+    Texts go through pieces of a fixed size, so that a place costs a walk through its piece only.
+    """
+    n, size = F.length(text), 256
+    whole = docs.where(n > 0).select("doc_id", F.col(text).alias("text"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("p"))
+    base = F.octet_length(F.left("text", F.col("p") * size)).cast("long")
+    pieces = whole.select("doc_id", base.alias("base"), F.substring("text", F.col("p") * size + 1, F.lit(size)).alias("piece"))
+    rows = pieces.select("doc_id", "base", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("i"))
+    behind = lambda k: F.col("base") + F.octet_length(F.left("piece", k))
+    return rows.select("doc_id", behind(F.col("i")).alias("feature_pos"), behind(F.col("i") + 1).alias("break_end"))
+
+
+def sampled_positions(docs: DataFrame, edges: DataFrame, most: int, text: str = "text", seed: int = 0) -> DataFrame:
+    """``(doc_id, position)``: the byte offset of every code point and the end, ``most`` of a document where it has more.
+
+    Edges ``(doc_id, position)`` always stay; the others fill up by least hash. Both edges and places are counted by window in one document.
+    """
+    from pyspark.sql import Window
+
+    every = exhaustive(docs, text).select("doc_id", F.col("feature_pos").alias("position"))
+    every = every.unionAll(docs.select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("position")))
+    marked = every.join(edges.select("doc_id", "position", F.lit(1).alias("edge")).distinct(), ["doc_id", "position"], "left").fillna(0, ["edge"])
+    order = Window.partitionBy("doc_id").orderBy(F.desc("edge"), draw(F.col("doc_id") + seed, F.col("position")), "position")
+    return marked.withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) | (F.col("edge") == 1)).select("doc_id", "position")
+
+
+def from_break_ends(docs: DataFrame, breaks: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, feature_pos, break_end)`` for break ends in bytes: the terminal before closers and blanks, else the last non-blank before.
+
+    A break end at 0, outside the text or with only blanks before it has no candidate.
+    """
+    raw = F.col(text).cast("binary")
+    before = F.substring(raw, F.lit(1), F.col("break_end").cast("int")).cast("string")
+    rows = breaks.join(docs.select("doc_id", text), "doc_id").where((F.col("break_end") > 0) & (F.col("break_end") <= F.octet_length(text)))
+    terminal = F.regexp_extract(before, "(?s)([.!?…])[\"')\\]}”’»\\s]*\\z", 1)
+    closing = F.octet_length(F.regexp_extract(before, "(?s)[.!?…][\"')\\]}”’»\\s]*\\z", 0))
+    last = F.regexp_extract(before, "(?s)(\\S)\\s*\\z", 0)
+    size = F.when(F.length(terminal) > 0, closing).otherwise(F.octet_length(last))
+    return rows.select("doc_id", (F.octet_length(before) - size).cast("long").alias("feature_pos"), "break_end", size.alias("size")).where("size > 0").drop("size")
+
+
 def sentence_terminators(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, feature_pos, break_end, value)`` for each character of ``TERMINATORS``."""
     pattern = "[" + "".join("\\" + c if c.isascii() else c for c in TERMINATORS) + "]"
@@ -131,6 +176,38 @@ def weak_breaks(docs: DataFrame, abbreviations: tuple[str, ...], text: str = "te
     return rows.where(good).select("doc_id", F.col("end").alias("break_char"), F.col("end_byte").alias("break_end"), F.concat(before, F.lit("<<<BREAK>>>"), F.col("right")).alias("marker"))
 
 
+def prose_paragraphs(docs: DataFrame, least: int = 1, most: int = 1 << 30, text: str = "text") -> DataFrame:
+    """Paragraphs of prose of ``least`` to ``most`` code points: ``(doc_id, k, start, end, value)``."""
+    return paragraphs(docs, text).where(Q.paragraph_like(F.col("value")) & (F.col("end") - F.col("start")).between(least, most))
+
+
+def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Logical blocks ``(doc_id, block, start, end, value)``: lines that belong together, in code points.
+
+    A blank line ends a block. A line joins the open block by the types of both: metadata
+    and headings stand alone, prose and dialogue join each other and list items.
+    The type of a block is that of its whole text so far, so the lines are folded one by one.
+    """
+    kind = "struct<start:bigint,value:string>"
+    none = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("start"), F.lit("").alias("open"))
+    blank = lambda c: ~c.rlike("[^ \\t\\n\\x0B\\f\\r]")
+
+    def step(state, line):
+        kinds = [Q.display_type(F.trim(x, F.lit(T.BLANKS))) for x in (state["open"], line)]
+        running = lambda k: k.isin("prose", "dialogue")
+        joins = (F.length(state["open"]) > 0) & running(kinds[1]) & (running(kinds[0]) | (kinds[0] == "list"))
+        empty = blank(line)
+        done = F.when((F.length(state["open"]) > 0) & (empty | ~joins), F.struct(state["start"].alias("start"), state["open"].alias("value")))
+        text = F.when(empty, F.lit("")).when(joins, F.concat(state["open"], line)).otherwise(line)
+        start = F.when(joins & ~empty, state["start"]).otherwise(state["at"])
+        return F.struct((state["at"] + F.length(line)).alias("at"), start.alias("start"), text.alias("open")), done
+
+    lines = F.concat(F.regexp_extract_all(text, F.lit("[^\\n\\r]*(?:\\r\\n|\\n|\\r)|[^\\n\\r]+"), F.lit(0)), F.array(F.lit("\n")))  # the last one flushes
+    found = F.filter(T.scan(lines, none, step, kind), lambda b: b.isNotNull())
+    rows = docs.select("doc_id", F.posexplode(found).alias("block", "b"))
+    return rows.select("doc_id", F.col("block").cast("long").alias("block"), "b.start", (F.col("b.start") + F.length("b.value")).alias("end"), "b.value")
+
+
 def line_windows(lines: DataFrame, anchors: DataFrame, above: int = 3, below: int = 4, least: int = 1, most: int = 2000) -> DataFrame:
     """Distinct runs of lines around anchor lines: up to ``above`` before and ``below`` behind, within a size.
 
@@ -145,7 +222,7 @@ def line_windows(lines: DataFrame, anchors: DataFrame, above: int = 3, below: in
 
 
 def list_blocks(lines: DataFrame) -> DataFrame:
-    """A list item's line with the indented lines that follow it. ``lines``: ``(doc_id, line_no, raw, start, end)``."""
+    """A list item's line with the indented lines that follow it; a blank line ends it. ``lines``: ``(doc_id, line_no, raw, start, end)``, blank ones too."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("line_no")

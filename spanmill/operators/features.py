@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import text as T
 from spanmill.operators import candidates as C
+from spanmill.operators import lines as L
 
 REACH = 32
 #: Everything that the blocks below look at.
@@ -27,6 +28,22 @@ def context(docs: DataFrame, pattern: str = "[.!?]", text: str = "text", reach:
     return rows.select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("value").alias("here"), *[n for n in around if n != "value"])
 
 
+#: Fields that ``line_context`` adds.
+LINE_FLAGS = ("heading", "list", "metadata", "next_heading", "next_list", "line_breaks_before")
+#: Characters whose shares in the rest of the line are features (fixed values).
+LINE_CHARS = "\n#-*:\"'<>,"
+
+
+def line_context(docs: DataFrame, pattern: str = "[.!?]", text: str = "text", reach: int = REACH, around: tuple[str, ...] = EVERYTHING, chars: str = LINE_CHARS) -> DataFrame:
+    """``context`` with ``LINE_FLAGS`` of each candidate's line and ``line_shares``: shares of ``chars`` in the rest of its line."""
+    fields = tuple(dict.fromkeys(("value", *around)))
+    kind = T.SPAN.removeprefix("struct<")[:-1] + "".join(f",{n}:{T.AROUND[n][0]}" for n in fields)
+    marks = L.with_line_flags(F.col(text), T.locate(text, pattern, fields, reach), kind)
+    both = F.arrays_zip(marks.alias("x"), L.rest_of_line_counts(text, pattern, chars).alias("line_shares"))
+    rows = docs.select("doc_id", F.explode(both).alias("e")).select("doc_id", "e.x.m.*", "e.x.f.*", "e.line_shares")
+    return rows.select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("value").alias("here"), *[n for n in around if n != "value"], *LINE_FLAGS, "line_shares")
+
+
 def _at(offset: int) -> Column:
     """The character ``offset`` places from the candidate, empty outside the text."""
     if offset == 0:
@@ -36,14 +53,19 @@ def _at(offset: int) -> Column:
     return F.when(F.length("left") >= -offset, F.substring("left", offset, 1)).otherwise("")
 
 
+def _codes(left: int, right: int) -> Column:
+    """Character codes of a window, as an array."""
+    return F.transform(F.array(*[_at(k) for k in range(-left, right + 1)]), T.char_code)
+
+
 def byte_window(left: int, right: int) -> Column:
     """Codes over 255 from ``left`` before to ``right`` behind, 0 outside."""
-    return F.array(*[T.char_code(_at(k)) / 255.0 for k in range(-left, right + 1)])
+    return F.transform(_codes(left, right), lambda c: c / 255.0)
 
 
 def encoded_window(left: int, right: int) -> Column:
     """Ordinal codes of the same window."""
-    return F.array(*[T.encoded_byte(T.char_code(_at(k))).cast("double") for k in range(-left, right + 1)])
+    return F.transform(_codes(left, right), lambda c: T.encoded_byte(c).cast("double"))
 
 
 def flag(c: Column) -> Column:
@@ -57,12 +79,12 @@ def ascii_neighbours() -> Column:
 
 
 def boundary_shape() -> Column:
-    """What stands at, before and behind the candidate: mark, previous terminal, next non-space behind closers."""
+    """What stands at, before and behind the candidate, and what its line and the next look like (22 columns of ``line_context``)."""
     here, after, before = F.col("here"), F.col("behind"), F.col("before")
     tests = [
-        here.rlike("[.!?]"), here == ".", here == "!", here == "?", here.rlike("[:;]"), before.rlike("[.!?]\\z"), after.rlike("^[A-Z]"), after.rlike("^[a-z]"),
-        after.rlike("^[0-9]"), after.rlike("^[\"'(\\[“‘«]"), after.startswith("#"), after.rlike("^[-*•]"), F.length(after) == 0, F.col("right").rlike("^[\"')\\]}”’»]"),
-        F.col("breaks") >= 2,
+        here.rlike("[.!?…]"), here == ".", here == "!", here == "?", here.rlike("[:;]"), here.rlike("[\"')\\]}”’»]"), before.rlike("[.!?…]\\z"), after.rlike("^\\p{Lu}"), after.rlike("^\\p{Ll}"),
+        after.rlike("^[0-9]"), after.rlike("^[\"'“‘]"), after.startswith("#"), after.rlike("^[-*•]"), F.length(after) == 0, F.col("right").rlike("^[\"')\\]}”’»]"),
+        F.col("breaks") >= 2, F.col("line_breaks_before") >= 2, *map(F.col, LINE_FLAGS[:5]),
     ]
     return F.array(*[flag(t) for t in tests])
 
@@ -96,20 +118,62 @@ def class_counts(classes: list[str], left: int, right: int, directional: bool =
     return F.array(*[F.regexp_count(whole, F.lit(c)) / F.greatest(F.length(whole), F.lit(1)) for c in classes])
 
 
-def line_shape(line: str = "line") -> Column:
-    """Length, character shares and endings of a line."""
-    c = F.col(line)
+_PUNCTUATION = "[!-/:-@\\[-`{-~]"
+
+
+def _length_share(c: Column) -> Column:
+    return F.least(F.ln(F.octet_length(c) + 1.0) / F.ln(F.lit(1024.0)), F.lit(1.0))
+
+
+def line_shape(line: str = "raw") -> Column:
+    """Lengths, indent, character shares and endings of a line (14 columns)."""
+    c, body = F.col(line), L.bare(F.col(line))
     n = F.greatest(F.length(c), F.lit(1))
-    alpha = F.regexp_count(c, F.lit("\\p{L}"))
-    upper, lower = F.regexp_count(c, F.lit("\\p{Lu}")), F.regexp_count(c, F.lit("\\p{Ll}"))
-    some = F.greatest(alpha, F.lit(1))
-    punct = F.regexp_count(c, F.lit("[!-/:-@\\[-`{-~]")) / n
+    share = lambda p: F.regexp_count(c, F.lit(p)) / n
+    some = F.greatest(F.regexp_count(c, F.lit("\\p{L}")), F.lit(1))
+    indent = F.octet_length(c) - F.octet_length(F.regexp_replace(c, f"^{L.SPACE}+", ""))
     return F.array(
-        F.least(F.ln(F.octet_length(c) + 1.0) / F.ln(F.lit(1024.0)), F.lit(1.0)), alpha / n, F.regexp_count(c, F.lit("\\p{Nd}")) / n, F.regexp_count(c, F.lit("[ \\t]")) / n,
-        punct, punct, upper / some, lower / some, F.regexp_count(c, F.lit("[\"'“”‘’]")) / n, flag(c.endswith(":")), flag(c.rlike("[.;,]\\z")), flag(lower == 0),
+        _length_share(c), _length_share(body), F.least(indent / 64.0, F.lit(1.0)), share("\\p{L}"), share("[0-9]"), share(L.SPACE), share(_PUNCTUATION), share(_PUNCTUATION),
+        F.regexp_count(c, F.lit("\\p{Lu}")) / some, F.regexp_count(c, F.lit("\\p{Ll}")) / some, share("[\"'“”‘’]"), flag(body.endswith(":")), flag(body.rlike("[.;,]\\z")), flag(~body.rlike("\\p{Ll}")),
     )
 
 
+def line_context_metrics() -> Column:
+    """Place of a line in its text and shapes of its neighbours (22 columns over ``lines.line_table``)."""
+    sides = [F.col("previous"), F.col("following")]
+
+    def shape(c: Column) -> list[Column]:
+        body = L.bare(c)
+        n, letters = F.greatest(F.length(body), F.lit(1)), F.regexp_count(body, F.lit("\\p{L}"))
+        return [_length_share(body), letters / n, F.regexp_count(body, F.lit("[0-9]")) / n, F.regexp_count(body, F.lit("\\p{Lu}")) / F.greatest(letters, F.lit(1)), F.regexp_count(body, F.lit(_PUNCTUATION)) / n]
+
+    end = F.col("start_byte") + F.octet_length("raw")
+    place = [flag(F.col("start_byte") == 0), flag(end >= F.col("size")), F.col("position") / F.greatest(F.col("size"), F.lit(1)), flag(F.col("before") >= 2), flag(F.col("after") >= 2)]
+    shapes = [x for pair in zip(*map(shape, sides), strict=True) for x in pair]
+    kinds = [flag(test(c)) for test in (T.heading_like, T.list_like, T.metadata_colon) for c in sides]
+    blank = flag((F.length(L.bare(sides[0])) == 0) | (F.length(L.bare(sides[1])) == 0))
+    return F.array(*place, *shapes, *kinds, blank)
+
+
+#: The ten byte classes of counts, as regexes.
+BYTE_CLASSES = {
+    "upper": "[A-Z]", "lower": "[a-z]", "alpha": "[A-Za-z]", "digit": "[0-9]", "alnum": "[A-Za-z0-9]", "space": "[ \\t\\n\\r\\f]", "punctuation": _PUNCTUATION,
+    "line_break": "[\\n\\r]", "open_bracket": "[(\\[{]", "close_bracket": "[)\\]}]",
+}
+#: General categories by group.
+UNICODE_GROUPS = ("\\p{L}", "\\p{N}", "\\p{P}", "\\p{S}", "\\p{Z}", "\\p{C}")
+COUNTED = ("upper", "lower", "digit", "space", "punctuation", "line_break", "open_bracket", "close_bracket")
+
+
+def sentence_kernel(encoded: int = 15, radius: int = 16, tokens: bool = False) -> Column:
+    """The preset of sentence models over ``line_context``: 97 columns, 109 with ``tokens``."""
+    blocks = [
+        encoded_window(encoded, encoded), ascii_neighbours(), boundary_shape(), class_counts([BYTE_CLASSES[c] for c in COUNTED], radius, radius, True), class_counts(list(UNICODE_GROUPS), radius, radius, True),
+        F.col("line_shares"), *([token_shape()] if tokens else []),
+    ]
+    return F.concat(*blocks)
+
+
 def rounded(values: Column, digits: int = 6) -> Column:
     """Blocks at query edges: rounded so that engines agree, joined to one string."""
     return F.array_join(F.transform(values, lambda x: F.round(x.cast("double") * 10**digits).cast("bigint").cast("string")), ",")

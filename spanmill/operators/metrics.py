@@ -85,3 +85,16 @@ def break_report(cases: DataFrame, predicted: DataFrame, gold: DataFrame) -> Dat
     p, g = F.coalesce("p", F.lit(False)), F.coalesce("g", F.lit(False))
     out = prf(both.agg(F.count_if(p & g).alias("tp"), F.count_if(p & ~g).alias("fp"), F.count_if(~p & g).alias("fn")))
     return out.select("tp", "fp", "fn", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def leaderboard(rows: DataFrame, first: int = 5, last: int = 95) -> DataFrame:
+    """One row for each experiment of ``(experiment, part, label, score)``: best F1 in validation and in the first evaluation, best experiments first.
+
+    ``rank`` orders by validation, then by evaluation, then by name.
+    """
+    swept = sweep(rows.withColumn("key", F.struct("experiment", "part")), first, last, "key")
+    best = best_threshold(swept, "key").select("key.experiment", "key.part", "step", "f1")
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    out = best.groupBy("experiment").agg(of("validation", "f1").alias("validation_f1"), of("validation", "step").alias("step"), of("evaluation", "f1").alias("evaluation_f1"))
+    order = Window.orderBy(F.desc(F.round("validation_f1", 9)), F.desc(F.round("evaluation_f1", 9)), "experiment")  # a row for each experiment
+    return out.withColumn("rank", F.row_number().over(order).cast("long"))

@@ -17,6 +17,64 @@ def draw(first: Column, second: Column) -> Column:
     return (x % 10000) / 10000.0
 
 
+#: Multipliers of the 64-bit sampling hash (fixed values).
+_FIRST, _SECOND = 1_146_959_810_393_466_583, 1_099_511_628_211
+
+
+def hash_draw(index: Column, position: Column, end: Column) -> Column:
+    """A number in [0, 1): ``(index * A) ^ (position * B) ^ end`` in wrapping unsigned 64 bits, modulo 10,000.
+
+    Products are taken as decimals of 38 digits, so they don't overflow for numbers below 2**63.
+    """
+    two64, two63 = F.lit(str(2**64)).cast("decimal(38,0)"), F.lit(str(2**63)).cast("decimal(38,0)")
+
+    def product(x: Column, factor: int) -> Column:
+        low = F.pmod((x.cast("decimal(19,0)") * F.lit(str(factor)).cast("decimal(19,0)")).cast("decimal(38,0)"), two64)
+        return F.when(low >= two63, low - two64).otherwise(low).cast("bigint")
+
+    mixed = product(index, _FIRST).bitwiseXOR(product(position, _SECOND)).bitwiseXOR(end.cast("bigint"))
+    unsigned = mixed.cast("decimal(38,0)") + F.when(mixed < 0, two64).otherwise(F.lit(0).cast("decimal(38,0)"))
+    return F.pmod(unsigned, F.lit(10000).cast("decimal(38,0)")).cast("int") / 10000.0
+
+
+def keep_hashed_negatives(rows: DataFrame, rate: float, terminal_rate: float) -> DataFrame:
+    """All positives of ``(doc_id, feature_pos, break_end, value, label)``, and negatives whose draw is below the rate (the larger one at ``.!?``)."""
+    limit = F.when(F.col("value").isin(".", "!", "?"), F.lit(max(rate, terminal_rate))).otherwise(rate)
+    return rows.where((F.col("label") == 1) | (hash_draw(F.col("doc_id"), F.col("feature_pos"), F.col("break_end")) < limit))
+
+
+def focus_labels(rows: DataFrame, labels: list[str], strategy: str = "round-robin", index: str = "doc_id", seed: int = 0) -> DataFrame:
+    """``rows`` with ``labels`` that are asked for and the one in ``focus`` (null for ``all``), in turn or by hash of ``index``."""
+    if strategy == "all":
+        return rows.withColumns({"labels": F.array(*map(F.lit, labels)), "focus": F.lit(None).cast("string")})
+    if strategy == "round-robin":
+        at = F.pmod(F.col(index), F.lit(len(labels)))
+    elif strategy == "random":
+        at = F.floor(draw(F.col(index), F.lit(seed)) * len(labels))
+    else:
+        raise ValueError(f"unknown label strategy {strategy!r}")
+    focus = F.element_at(F.array(*map(F.lit, labels)), (at + 1).cast("int"))
+    return rows.withColumn("focus", focus).withColumn("labels", F.array("focus"))
+
+
+def segments(docs: DataFrame, least: int, most: int, text: str = "text", seed: int = 0, reach: int = 40) -> DataFrame:
+    """``(doc_id, start, end, value)``: a hashed piece of ``least`` to ``most`` code points of each longer text, a shorter one whole.
+
+    Both ends move to white space within ``reach`` characters (the start behind it, the end before it) where there is any.
+    """
+    n = F.length(text)
+    size = (least + F.floor(draw(F.col("doc_id"), F.lit(2 * seed)) * (most - least + 1))).cast("int")
+    start = F.floor(draw(F.col("doc_id"), F.lit(2 * seed + 1)) * (n - size + 1)).cast("int")
+    rows = docs.where(n > 0).select("doc_id", F.col(text).alias("text"), F.when(n > size, start).otherwise(0).alias("a"), F.when(n > size, start + size).otherwise(n).alias("b"))
+    head = F.substring("text", F.col("a") + 1, F.lit(reach))
+    tail = F.substring("text", F.greatest(F.col("b") - reach, F.col("a")) + 1, F.least(F.lit(reach), F.col("b") - F.col("a")))
+    skip = F.length(F.regexp_extract(head, "^[^ \\t\\n\\r]*[ \\t\\n\\r]+", 0))
+    cut = F.length(F.regexp_extract(tail, "[ \\t\\n\\r]+[^ \\t\\n\\r]*\\z", 0))
+    a, b = F.when(F.col("a") > 0, F.col("a") + skip).otherwise(0), F.when(F.col("b") < F.length("text"), F.col("b") - cut).otherwise(F.col("b"))
+    rows = rows.select("doc_id", "text", a.alias("start"), b.alias("end")).where("start < end")
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+
+
 def keep_negatives(rows: DataFrame, rate: float, terminal_rate: float) -> DataFrame:
     """All positives, and negatives whose draw is below the rate (the larger one behind a terminal)."""
     limit = F.when(F.col("terminal"), F.greatest(F.lit(rate), F.lit(terminal_rate))).otherwise(rate)

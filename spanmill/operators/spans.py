@@ -139,17 +139,59 @@ def render(spans: DataFrame, docs: DataFrame, close: str = "</|{}|>") -> DataFra
     return both.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(tagged_text(F.col("text"), F.col("spans"), close)).alias("tagged"))
 
 
+def checked(text: Column, spans: Column, labels: tuple[str, ...] = PRIORITY) -> Column:
+    """``spans`` (``label, start, end`` in code points) as they are; an unknown label or an offset outside the text raises."""
+    bad = F.filter(spans, lambda s: ~F.coalesce(s["label"].isin(*labels) & (s["start"] >= 0) & (s["start"] <= s["end"]) & (s["end"] <= F.length(text)), F.lit(False)))
+    message = F.concat(F.lit("not a span of the text: "), F.to_json(bad[0]))
+    return F.when(F.size(bad) > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
+def render_checked(docs: DataFrame, close: str = "</|{}|>") -> DataFrame:
+    """``(doc_id, tagged)`` of documents ``(doc_id, text, spans)``, for anyone's spans.
+
+    Unknown labels and offsets outside the text raise; empty spans and those that cross one of
+    higher priority are left out.
+    """
+    sound = docs.where(checked(F.col("text"), F.col("spans"))).select("doc_id", F.transform("spans", lambda s: F.struct(s["label"].alias("label"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), F.lit(1.0).alias("score"))).alias("spans"))
+    kept = docs.select("doc_id", "text").join(resolve(sound), "doc_id")
+    return kept.select("doc_id", tagged_text(F.col("text"), F.col("spans"), close).alias("tagged"))
+
+
+def strict_text(text: Column, spans: Column, close: str = "</|{}|>") -> Column:
+    """The tagged text; an unknown label, an offset outside, an empty span or neighbours (by start, longest first) that cross raise."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("long").alias("start"), (-s["end"]).cast("long").alias("last"))))
+    pairs = F.zip_with(F.slice(ordered, 1, F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, 2, F.size(ordered)), lambda a, b: crosses(a["start"], -a["last"], b["start"], -b["last"]))
+    sound = checked(text, spans)
+    return (
+        F.when(~sound, F.lit(None).cast("string"))
+        .when(F.exists(spans, lambda s: s["start"] >= s["end"]), F.raise_error(F.lit("an empty span")).cast("string"))
+        .when(F.exists(pairs, lambda x: x), F.raise_error(F.lit("crossing spans")).cast("string"))
+        .otherwise(tagged_text(text, spans, close))
+    )
+
+
 def position_targets(positions: DataFrame, spans: DataFrame) -> DataFrame:
-    """``inside``, ``starts`` and ``ends`` of each position against closed spans ``(doc_id, start, end)`` (an end is the offset behind)."""
+    """``inside``, ``starts`` and ``ends`` of each position against spans ``(doc_id, start, end)`` (an end is the offset behind).
+
+    Spans may have ``left_open`` and ``right_open``: an open edge is inside, but neither a start nor an end.
+    """
+    closed = lambda side: spans.where(~F.coalesce(F.col(side), F.lit(False))) if side in spans.columns else spans
     points = positions.select("doc_id", F.col("position").alias("start"), (F.col("position") + 1).alias("end"))
     inside = range_join(points, spans.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))).select("doc_id", F.col("start").alias("position")).distinct()
     mark = lambda df, name: df.withColumn(name, F.lit(1))
-    starts = spans.select("doc_id", F.col("start").alias("position")).distinct()
-    ends = spans.select("doc_id", F.col("end").alias("position")).distinct()
+    starts = closed("left_open").select("doc_id", F.col("start").alias("position")).distinct()
+    ends = closed("right_open").select("doc_id", F.col("end").alias("position")).distinct()
     out = positions.join(mark(inside, "inside"), ["doc_id", "position"], "left").join(mark(starts, "starts"), ["doc_id", "position"], "left").join(mark(ends, "ends"), ["doc_id", "position"], "left")
     return out.fillna(0, ["inside", "starts", "ends"])
 
 
+def boundary_targets(candidates: DataFrame, spans: DataFrame, end: str = "end_byte") -> DataFrame:
+    """``candidates`` ``(doc_id, break_end)`` with ``target``: whether a span ends there that isn't ``right_open``."""
+    closed = spans.where(~F.coalesce(F.col("right_open"), F.lit(False))) if "right_open" in spans.columns else spans
+    gold = closed.select("doc_id", F.col(end).alias("break_end"), F.lit(1).alias("target")).distinct()
+    return candidates.join(gold, ["doc_id", "break_end"], "left").fillna(0, ["target"])
+
+
 def parse_tagged(tagged: DataFrame, labels: tuple[str, ...] = PRIORITY) -> DataFrame:
     """``(doc_id, text, spans, error)`` from ``(doc_id, tagged)``: the inverse of ``render``, in either dialect.
 

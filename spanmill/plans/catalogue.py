@@ -10,13 +10,15 @@ from spanmill.functions import text as T
 from spanmill.operators import candidates as C
 from spanmill.operators import decode as D
 from spanmill.operators import features as X
+from spanmill.operators import kernels as K
+from spanmill.operators import lines as L
 from spanmill.operators import metrics as A
 from spanmill.operators import models as M
 from spanmill.operators import sampling as S
 from spanmill.operators import spans as R
 from spanmill.plans import oracle, segmenter
 from spanmill.plans.pipeline import Pipeline
-from spanmill.sources import generate
+from spanmill.sources import generate, pages
 
 QUERIES: dict = {}
 
@@ -124,9 +126,10 @@ def scan_line_starts(spark, d):
 
 @query
 def cand_exhaustive(spark, d):
-    """A candidate behind every code point, counted by document."""
-    ends = F.length("text").cast("long")
-    return documents(spark, d).select("doc_id", ends.alias("candidates"), F.octet_length("text").cast("long").alias("last_break"))
+    """A candidate behind every code point, summed by document."""
+    return C.exhaustive(documents(spark, d)).groupBy("doc_id").agg(
+        F.count("*").alias("candidates"), F.sum("feature_pos").alias("positions"), F.max("break_end").alias("last_break"), F.count_if(F.col("break_end") - F.col("feature_pos") > 1).alias("wide")
+    )
 
 
 @query
@@ -210,8 +213,32 @@ def feat_ascii_neighbors(spark, d):
 
 @query
 def feat_boundary_shape(spark, d):
-    """shape of the boundary."""
-    return _blocks(X.context(conversations(spark, d), around=("right", "before", "behind", "breaks")), X.boundary_shape())
+    """shape of the boundary, its line and the next."""
+    return _blocks(X.line_context(structured(spark, d), around=("right", "before", "behind", "breaks")), X.boundary_shape())
+
+
+@query
+def feat_line_byte_counts(spark, d):
+    """shares of structural characters in the rest of each mark's line."""
+    return _blocks(X.line_context(structured(spark, d), around=()), F.col("line_shares"))
+
+
+@query
+def feat_sentence_kernel(spark, d):
+    """the sentence preset of 109 columns."""
+    return _blocks(X.line_context(conversations(spark, d)), X.sentence_kernel(tokens=True))
+
+
+@query
+def feat_byte_class_counts(spark, d):
+    """Shares of the ten byte classes around each mark."""
+    return _blocks(X.context(documents(spark, d), around=("left", "right")), X.class_counts(list(X.BYTE_CLASSES.values()), 16, 16))
+
+
+@query
+def feat_dir_byte_classes(spark, d):
+    """shares of byte classes and of Unicode groups on either side."""
+    return _blocks(X.context(documents(spark, d), around=("left", "right")), X.class_counts([*[X.BYTE_CLASSES[c] for c in X.COUNTED], *X.UNICODE_GROUPS], 16, 16, True))
 
 
 @query
@@ -235,18 +262,22 @@ def feat_dir_unicode_categories(spark, d):
 @query
 def feat_line_shape(spark, d):
     """line metrics."""
-    return C.lines(structured(spark, d)).select("doc_id", F.col("start_byte").alias("feature_pos"), X.rounded(X.line_shape(), 4).alias("features"))
+    return L.line_table(structured(spark, d)).select("doc_id", F.col("position").alias("feature_pos"), X.rounded(X.line_shape(), 4).alias("features"))
 
 
 @query
 def feat_line_context(spark, d):
-    """heading, list and metadata marks of a line and its neighbours."""
-    from pyspark.sql import Window
+    """Place of a line in its text, and its neighbours."""
+    return L.line_table(structured(spark, d)).select("doc_id", F.col("position").alias("feature_pos"), X.rounded(X.line_context_metrics(), 4).alias("features"))
 
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    marks = C.lines(structured(spark, d)).select("doc_id", "line_no", *[f("line").cast("int").alias(n) for n, f in (("heading", T.heading_like), ("list", T.list_like), ("meta", T.metadata_colon))])
-    near = [F.coalesce(f(n).over(w), F.lit(-1)).cast("long").alias(f"{side}_{n}") for n in ("heading", "list", "meta") for side, f in (("prev", F.lag), ("next", F.lead))]
-    return marks.select("doc_id", "line_no", *[F.col(n).cast("long").alias(n) for n in ("heading", "list", "meta")], *near)
+
+@query
+def line_at_position(spark, d):
+    """Start, end and text of the line at every 300th byte."""
+    docs = structured(spark, d)
+    lines = docs.select("doc_id", F.explode(L.line_array("text")).alias("x")).select("doc_id", "x.start_byte", "x.raw")
+    found = L.line_of(lines, C.scan_stride(docs, 300))
+    return found.select("doc_id", "position", "line_start", "line_end", F.md5(F.col("line").cast("binary")).alias("digest"))
 
 
 def _scored(spark, d) -> DataFrame:
@@ -352,11 +383,10 @@ def span_cross_pairs(spark, d):
 
 @query
 def span_boundary_targets(spark, d):
-    """Candidates that end a sentence, by semi and anti join."""
+    """Candidates that end a sentence that isn't open to the right."""
     cands = C.punctuation_breaks(documents(spark, d), 1).select("doc_id", "break_end")
-    gold = segmenter.sentences(documents(spark, d), values=False).select("doc_id", F.col("end_byte").alias("break_end")).distinct()
-    hit = cands.join(gold, ["doc_id", "break_end"], "left_semi").withColumn("target", F.lit(1).cast("long"))
-    return hit.unionAll(cands.join(gold, ["doc_id", "break_end"], "left_anti").withColumn("target", F.lit(0).cast("long")))
+    gold = segmenter.sentences(documents(spark, d), values=False).withColumn("right_open", F.pmod("end_byte", F.lit(7)) == 0)
+    return R.boundary_targets(cands, gold).select("doc_id", "break_end", F.col("target").cast("long").alias("target"))
 
 
 @query
@@ -467,18 +497,21 @@ def metric_macro_by_label(spark, d):
 
 @query
 def metric_parity_diff(spark, d):
-    """The first eight differing cells of two encodings."""
+    """The first eight differing cells of two encodings, one rounded down and one rounded to the nearest."""
     v = table(spark, d, "embeddings").where("embedding is not null")
-    scale = lambda k: F.transform("embedding", lambda x: F.floor(x.cast("double") * k))
-    out = A.parity(v.select("vec_id", scale(8).alias("f")), v.select("vec_id", F.transform(scale(16), lambda x: F.floor(x / 2 + 0.25)).alias("f")), "vec_id", "f", 8)
+    scale = lambda shift: F.transform("embedding", lambda x: F.floor(x.cast("double") * 8 + shift))
+    out = A.parity(v.select("vec_id", scale(0.0).alias("f")), v.select("vec_id", scale(0.5).alias("f")), "vec_id", "f", 8)
     return out.select("vec_id", F.col("column").cast("long").alias("column"), "a", "b")
 
 
 @query
-def leaderboard_topk(spark, d):
-    """The five sources with most sentence ends a character."""
-    rows = documents(spark, d).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("[.!?]"))).cast("long").alias("marks"), F.sum(F.length("text")).cast("long").alias("chars"))
-    return rows.orderBy(F.desc(F.col("marks") / F.col("chars")), "source").limit(5)
+def leaderboard(spark, d):
+    """Experiments that weigh a label by 0, 20, 40 and 80 of 140, ranked by best F1 in validation and evaluation."""
+    rows = table(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("long").alias("label"), F.explode(F.array(*map(F.lit, (0, 20, 40, 80)))).alias("weight"))
+    score = (F.pmod(F.col("doc_id") * 37, F.lit(100)) + F.col("weight") * F.col("label")) / 200.0
+    part = F.when(F.pmod("doc_id", F.lit(5)) == 4, "validation").otherwise("evaluation")
+    out = A.leaderboard(rows.select(F.concat(F.lit("w"), F.col("weight").cast("string")).alias("experiment"), part.alias("part"), "label", score.alias("score")))
+    return out.select("experiment", "rank", "step", F.round("validation_f1", 6).alias("validation_f1"), F.round("evaluation_f1", 6).alias("evaluation_f1"))
 
 
 @query
@@ -489,11 +522,11 @@ def stats_corpus(spark, d):
 
 @query
 def sample_hash_negatives(spark, d):
-    """All sentence ends and a hashed tenth of the other marks (a third behind terminals)."""
-    gold = segmenter.sentences(documents(spark, d), values=False).select("doc_id", F.col("end_byte").alias("position"), F.lit(1).alias("label")).distinct()
-    marks = C.scan_set(documents(spark, d), ".!?;,").withColumn("position", F.col("position") + 1)
-    rows = marks.join(gold, ["doc_id", "position"], "left").fillna(0, ["label"]).withColumn("terminal", F.pmod("position", F.lit(2)) == 0)
-    return S.keep_negatives(rows, 0.1, 0.33).select("doc_id", "position", F.col("label").cast("long").alias("label"))
+    """All sentence ends and a hashed tenth of the other marks (a third of ``.!?``)."""
+    gold = segmenter.sentences(documents(spark, d), values=False).select("doc_id", F.col("end_byte").alias("break_end"), F.lit(1).alias("label")).distinct()
+    marks = C.spans(documents(spark, d), "[.!?;,]").select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("end_byte").alias("break_end"), "value")
+    rows = marks.join(gold, ["doc_id", "break_end"], "left").fillna(0, ["label"])
+    return S.keep_hashed_negatives(rows, 0.1, 0.33).select("doc_id", "feature_pos", F.col("label").cast("long").alias("label"))
 
 
 @query
@@ -523,15 +556,146 @@ def repeat_positives(spark, d):
 
 @query
 def segment_documents(spark, d):
-    """Sentences and structure of documents, normalised, as one row a document."""
+    """Sentences and structure of documents as one row a document."""
     return segmenter.annotate(structured(spark, d)).select("doc_id", F.size("spans").cast("long").alias("spans"), F.length("tagged").cast("long").alias("size"))
 
 
 @query
-def page_regions(spark, d):
-    """Opening lower-case tags of pages, counted by name; S7's transforms of pages are open."""
-    tags = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
-    return tags.groupBy("tag").agg(F.count("*").alias("n"))
+def segment_spans(spark, d):
+    """The spans themselves."""
+    return segmenter.annotate(structured(spark, d)).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.label", "s.start", "s.end")
+
+
+def _with_sentences(spark, d) -> DataFrame:
+    docs = documents(spark, d)
+    spans = segmenter.sentences(docs, values=False).groupBy("doc_id").agg(F.collect_list(F.struct(F.lit("sentence").alias("label"), "start", "end")).alias("spans"))
+    return docs.select("doc_id", "text").join(spans, "doc_id")
+
+
+@query
+def render_checked(spark, d):
+    """anyone's spans checked, crossings left out, rendered: sentences, and sections that cross them."""
+    docs = _with_sentences(spark, d)
+    crossing = F.array(F.struct(F.lit("section").alias("label"), (F.col("spans")[0]["start"] + 1).alias("start"), (F.col("spans")[1]["start"] + 1).alias("end")))
+    docs = docs.withColumn("spans", F.array_sort("spans")).withColumn("spans", F.when(F.size("spans") > 1, F.concat("spans", crossing)).otherwise(F.col("spans")))
+    return R.render_checked(docs).select("doc_id", F.md5(F.col("tagged").cast("binary")).alias("digest"))
+
+
+@query
+def render_strict(spark, d):
+    """Sentences rendered by the renderer that takes no crossing or empty span."""
+    return _with_sentences(spark, d).select("doc_id", F.md5(R.strict_text(F.col("text"), F.col("spans")).cast("binary")).alias("digest"))
+
+
+@query
+def cand_sampled_positions(spark, d):
+    """A hundred positions of each text, all sentence ends among them."""
+    docs = documents(spark, d)
+    edges = segmenter.sentences(docs, values=False).select("doc_id", F.col("end_byte").alias("position"))
+    return C.sampled_positions(docs, edges, 100)
+
+
+@query
+def cand_from_breaks(spark, d):
+    """The character that stands for a break at each paragraph's end."""
+    docs = conversations(spark, d)
+    return C.from_break_ends(docs, C.paragraph_breaks(docs))
+
+
+@query
+def blocks_logical(spark, d):
+    """Lines that belong together."""
+    return C.blocks(structured(spark, d)).select("doc_id", "block", "start", "end", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+@query
+def paragraphs_prose(spark, d):
+    """Paragraphs of prose of conversations."""
+    return C.prose_paragraphs(conversations(spark, d), 40, 4000).select("doc_id", "k", "start", "end")
+
+
+@query
+def blocks_eligible(spark, d):
+    """Q4: paragraphs of conversations that may hold sentences, and whether they end with a mark."""
+    rows = C.paragraphs(conversations(spark, d)).withColumn("label", F.when(F.pmod("k", F.lit(4)) == 3, "section").otherwise("paragraph"))
+    return rows.select("doc_id", "k", Q.sentence_eligible(F.col("value"), F.col("label"), 40, 20).alias("eligible"), Q.block_has_terminal(F.col("value")).alias("terminal"))
+
+
+@query
+def eligible_outputs(spark, d):
+    """Which outputs of a candidate count in training."""
+    docs = conversations(spark, d)
+    rows = C.spans(docs, "[.!?…;,][\"')\\]}”’]*", around=("value", "breaks", "right"))
+    sentence, paragraph = Q.eligible_outputs(F.col("value"), F.lit(True), F.length("right") == 0, F.col("breaks"), F.pmod("end", F.lit(11)) == 0, F.lit(False))
+    return rows.select("doc_id", F.col("end_byte").alias("break_end"), sentence.alias("sentence"), paragraph.alias("paragraph"))
+
+
+@query
+def score_matrix(spark, d):
+    """Two heads over one extraction."""
+    p = Pipeline().with_block("neighbours", X.ascii_neighbours).with_head("a", [0.5, -1.0, 0.25, 2.0, -0.5, -1.5], 0.125).with_head("b", [0.0, 1.0, 1.0, -1.0, 0.5, 0.25], -0.5)
+    return p.score_matrix(documents(spark, d)).select("doc_id", "break_end", F.round(F.col("scores")[0], 6).alias("a"), F.round(F.col("scores")[1], 6).alias("b"))
+
+
+@query
+def feat_compiled_kernel(spark, d):
+    """A kernel compiled from its specification."""
+    spec = """[{"kind": "byte_window", "left": 2, "right": 2}, {"kind": "ascii_class"}, {"kind": "directional_byte_class_counts", "left": 16, "right": 16, "classes": ["upper", "lower", "digit", "space", "punctuation", "line_break", "open_bracket", "close_bracket"]},
+      {"kind": "boundary_shape"}, {"kind": "line_byte_counts"}]"""
+    kernel = K.compile_kernel(spec)
+    return _blocks(kernel.extract(conversations(spark, d)), F.col("features"))
+
+
+@query
+def sample_segments(spark, d):
+    """X11: a hashed piece of each text, its ends at white space."""
+    found = S.segments(documents(spark, d), 200, 600)
+    return found.select("doc_id", "start", "end", F.md5(F.col("value").cast("binary")).alias("digest"))
+
+
+@query
+def focus_labels(spark, d):
+    """Labels in turn and by hash."""
+    rows = documents(spark, d).select("doc_id")
+    turn = S.focus_labels(rows, list(R.PRIORITY)).select("doc_id", F.lit("turn").alias("strategy"), "focus")
+    return turn.unionAll(S.focus_labels(rows, list(R.PRIORITY), "random", seed=5).select("doc_id", F.lit("random").alias("strategy"), "focus"))
+
+
+@query
+def point_contexts(spark, d):
+    """What stands around the middle byte of each text."""
+    rows = documents(spark, d).where(F.octet_length("text") > 0)
+    return rows.select("doc_id", F.md5(T.point_context("text", T.char_boundary("text", F.floor(F.octet_length("text") / 2)), 24).cast("binary")).alias("digest"))
+
+
+@query
+def trimmed_chunks(spark, d):
+    """Chunks of 300 characters without the blanks at both ends."""
+    rows = documents(spark, d).select("doc_id", "text", F.explode(F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(300)))).alias("at"))
+    span = T.trimmed_span("text", "at", F.least(F.col("at") + 300, F.length("text")))
+    return rows.select("doc_id", F.col("at").cast("long").alias("at"), span.alias("s")).select("doc_id", "at", "s.start", "s.end")
+
+
+@query
+def page_texts(spark, d):
+    """Texts of pages of more than 1500 characters, tags gone."""
+    found = pages.page_texts(table(spark, d, "pages"))
+    return found.select("page_id", F.length("body").cast("long").alias("size"), F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@query
+def passages_joined(spark, d):
+    """Passages of conversations joined by a blank line, long ones cut."""
+    found = pages.join_passages(table(spark, d, "conversations"), "conv_id", "turn", least=300, most=2000)
+    return found.select("conv_id", F.length("body").cast("long").alias("size"), F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@query
+def book_bodies(spark, d):
+    """Middles of books between two marked lines, front matter skipped."""
+    text = F.concat(F.lit("Preface\n*** START OF THE BOOK ***\n"), F.coalesce("text", F.lit("")), F.lit("\n*** END OF THE BOOK ***\n"))
+    body = pages.without_front_matter(text, r"\*\*\* START OF THE .*? \*\*\*", r"\*\*\* END OF THE ", 2000)
+    return documents(spark, d).select("doc_id", body.alias("body")).where("body is not null").select("doc_id", F.length("body").cast("long").alias("size"), F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
 @query
@@ -561,10 +725,11 @@ def windows_line(spark, d):
 
 @query
 def blocks_list_item(spark, d):
-    """List items with their indented lines."""
-    text = F.concat(F.lit("Head\n- one "), F.coalesce("source", F.lit("")), F.lit("\n  more of one\n\tand more\n2. two\nplain\n"), F.substring("text", 1, 50))
-    rows = C.spans(documents(spark, d).select("doc_id", text.alias("text")), "[^\\n]+").select("doc_id", F.col("k").alias("line_no"), F.col("value").alias("raw"), "start", "end")
-    return C.list_blocks(rows)
+    """List items of whole texts with their indented lines, in bytes."""
+    head = F.concat(F.lit("- one "), F.coalesce("source", F.lit("")), F.lit("\n  more of one\n\n\tno longer\n2. two\n   of two\n"), F.coalesce("text", F.lit("")))
+    docs = documents(spark, d).select("doc_id", head.alias("text"))
+    rows = docs.select("doc_id", F.posexplode(L.line_array("text")).alias("line_no", "x"))
+    return C.list_blocks(rows.select("doc_id", "line_no", F.col("x.raw").alias("raw"), F.col("x.start_byte").alias("start"), (F.col("x.start_byte") + F.octet_length("x.raw")).alias("end")))
 
 
 @query
@@ -576,7 +741,8 @@ def feat_line_edges(spark, d):
 @query
 def feat_ngram_hash(spark, d):
     """hashed n-grams of lines."""
-    return X.ngram_hashes(C.lines(structured(spark, d)))
+    found = X.ngram_hashes(C.lines(structured(spark, d)))
+    return found.select("doc_id", "feature_pos", X.rounded(F.col("features")).alias("features"))
 
 
 @query
@@ -595,8 +761,8 @@ def breaks_to_sentences(spark, d):
 
 @query
 def span_inside_start_end(spark, d):
-    """Every 97th position inside, at the start or behind the end of sentences."""
-    sentences = segmenter.sentences(documents(spark, d), values=False).select("doc_id", "start", "end")
+    """Every 97th position inside, at the start or behind the end of sentences with some open edges."""
+    sentences = segmenter.sentences(documents(spark, d), values=False).select("doc_id", "start", "end", (F.pmod("start", F.lit(3)) == 0).alias("left_open"), (F.pmod("end", F.lit(3)) == 0).alias("right_open"))
     places = documents(spark, d).select("doc_id", F.explode(F.when(F.length("text") > 0, F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1, F.lit(97).cast("long")))).alias("position"))
     return R.position_targets(places, sentences).select("doc_id", "position", *[F.col(c).cast("long").alias(c) for c in ("inside", "starts", "ends")])
 

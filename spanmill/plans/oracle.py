@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from spanmill.functions.predicates import ABBREVIATIONS
 from spanmill.operators.candidates import TERMINATORS
+from spanmill.operators.features import _PUNCTUATION as PUNCTUATION
+from spanmill.operators.features import BYTE_CLASSES, COUNTED, LINE_CHARS, UNICODE_GROUPS
+from spanmill.operators.lines import SPACE
 from spanmill.operators.models import fixed_weights
 from spanmill.plans.segmenter import BIAS, THRESHOLD, WEIGHTS
 
@@ -66,12 +69,35 @@ def context(pattern: str = "[.!?]", table: str = "documents", reach: int = 32) -
     bare = f"ltrim(regexp_replace(a, {lit('^[' + chr(34) + chr(39) + ')' + chr(92) + ']}”’»]+')}, ''), {WS})"
     return located(pattern, table) + f""",
 island AS (SELECT *, sum({rx("g", "[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")}::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM loc),
-ctx AS (SELECT doc_id, sb AS feature_pos, value AS here, substring(text, greatest(s - {reach} + 1, 1), least(s, {reach})) AS "left", substring(text, e + 1, {reach}) AS "right",
+ctx AS (SELECT doc_id, s, sb AS feature_pos, value AS here, substring(text, greatest(s - {reach} + 1, 1), least(s, {reach})) AS "left", substring(text, e + 1, {reach}) AS "right",
   {BEFORE} AS before, {AFTER} AS after, CASE WHEN length({bare}) > 0 THEN {bare} ELSE next END AS behind, regexp_extract(g, '[A-Za-z]*\\z', 0) AS word,
   len(regexp_extract_all(regexp_extract(a, '^[ \\t\\n\\r]*', 0), '[\\n\\r]')) AS breaks,
   count(*) FILTER (value = '.') OVER (PARTITION BY doc_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dots FROM island)"""
 
 
+def stripped(c: str) -> str:
+    return f"regexp_replace({c}, {lit('^' + SPACE + '+|' + SPACE + '+' + chr(92) + 'z')}, '', 'g')"
+
+
+def line_table(table: str = "struct_docs") -> str:
+    """All lines of a table's texts with their neighbours."""
+    return f"""raws AS (SELECT doc_id, strlen(text) AS size, unnest(g) AS raw, unnest(range(0, len(g))) AS k FROM (SELECT doc_id, text, string_split_regex(text, '[\\n\\r]') AS g FROM {table} WHERE text IS NOT NULL)),
+flagged AS (SELECT *, length({stripped("raw")}) = 0 AS blank FROM raws),
+ltab AS (SELECT doc_id, size, k AS line_no, raw, blank, (sum(strlen(raw) + 1) OVER w - strlen(raw) - 1)::BIGINT AS start_byte, coalesce(lead(raw) OVER w, '') AS following,
+  coalesce(last_value(nullif(raw, '') IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS previous,
+  k - coalesce(max(CASE WHEN NOT blank THEN k END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  coalesce(min(CASE WHEN NOT blank THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), count(*) OVER (PARTITION BY doc_id) - 1) - k AS after
+  FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+own AS (SELECT *, (start_byte + strlen(raw) - strlen(regexp_replace(raw, {lit('^' + SPACE + '+')}, '')))::BIGINT AS position FROM ltab WHERE NOT blank)"""
+
+
+def line_context(table: str = "struct_docs", pattern: str = "[.!?]") -> str:
+    """``context`` with flags of each mark's line and the rest of that line."""
+    return context(pattern, table) + ",\n" + line_table(table) + f""",
+lctx AS (SELECT c.*, l.raw, l.following, l.before AS line_breaks_before, split_part(substring(d.text, c.s + 1), chr(10), 1) AS rest
+  FROM ctx c ASOF JOIN ltab l ON c.doc_id = l.doc_id AND c.feature_pos >= l.start_byte JOIN {table} d ON d.doc_id = c.doc_id)"""
+
+
 LEFT, RIGHT = '"left"', '"right"'
 
 
@@ -231,7 +257,9 @@ def build() -> dict[str, str]:
     out["scan_utf8_set"] = with_(located(char_set("ßéñü"))) + "SELECT doc_id, count(*) AS n, min(sb) AS first, sum(sb)::BIGINT AS total FROM loc GROUP BY doc_id"
     out["scan_stride"] = "SELECT doc_id, unnest(range(0, strlen(text), 512))::BIGINT AS position FROM documents WHERE strlen(text) > 0"
     out["scan_line_starts"] = with_(located("\\n")) + "SELECT doc_id, eb AS position FROM loc WHERE eb < strlen(text) UNION ALL SELECT doc_id, 0 FROM documents WHERE strlen(text) > 0"
-    out["cand_exhaustive"] = "SELECT doc_id, length(text)::BIGINT AS candidates, strlen(text)::BIGINT AS last_break FROM documents"
+    chars = "ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(0, length(text))) AS k FROM documents WHERE length(text) > 0)"
+    out["cand_exhaustive"] = with_(chars, "pos AS (SELECT doc_id, strlen(c) AS w, (sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS e FROM ch)") + """SELECT doc_id, count(*) AS candidates, sum(e - w)::BIGINT AS positions, max(e) AS last_break,
+  count(*) FILTER (w > 1) AS wide FROM pos GROUP BY doc_id"""
     out["cand_terminators"] = with_(located(char_set(TERMINATORS))) + "SELECT doc_id, sb AS feature_pos, eb AS break_end, value FROM loc"
     out["cand_lines"] = with_(STRUCT, lines("struct_docs")) + 'SELECT doc_id, line_no, start, "end", start_byte, end_byte, md5(line) AS digest FROM lines'
     out["cand_punct_v1"] = with_(punct(1, "documents")) + "SELECT * FROM breaks"
@@ -262,21 +290,46 @@ def build() -> dict[str, str]:
     features["feat_dir_unicode_categories"] = [f"{count(x, c)} / greatest(length({x}), 1)::DOUBLE" for c in ("\\p{Lu}", "\\p{Ll}", "\\p{N}", "\\p{P}", "\\p{S}") for x in (a, b)]
     for name, values in features.items():
         out[name] = with_(context()) + f"SELECT doc_id, feature_pos, {block(values)} FROM ctx"
-    after, before = "behind", "before"
+    after, before, head = "behind", "before", lambda c: f"({heading(f'trim({c}, chr(32))')})"
+    listed, meta = (lambda c: rx(f"trim({c}, ' ')", "^(?:[-*•]|[0-9]+[.)])")), lambda c: meta_colon(f"trim({c}, ' ')")
     shape = [
-        rx("here", "[.!?]"), "here = '.'", "here = '!'", "here = '?'", rx("here", "[:;]"), rx(before, "[.!?]\\z"), rx(after, "^[A-Z]"), rx(after, "^[a-z]"), rx(after, "^[0-9]"),
-        rx(after, "^[\"'(\\[“‘«]"), f"starts_with({after}, '#')", rx(after, "^[-*•]"), f"length({after}) = 0", rx(RIGHT, "^[\"')\\]}”’»]"), "breaks >= 2",
+        rx("here", "[.!?…]"), "here = '.'", "here = '!'", "here = '?'", rx("here", "[:;]"), rx("here", "[\"')\\]}”’»]"), rx(before, "[.!?…]\\z"), rx(after, "^\\p{Lu}"), rx(after, "^\\p{Ll}"), rx(after, "^[0-9]"),
+        rx(after, "^[\"'“‘]"), f"starts_with({after}, '#')", rx(after, "^[-*•]"), f"length({after}) = 0", rx(RIGHT, "^[\"')\\]}”’»]"), "breaks >= 2", "line_breaks_before >= 2",
+        head("raw"), listed("raw"), meta("raw"), head("following"), listed("following"),
     ]
-    out["feat_boundary_shape"] = with_(CONV, context(table="conv")) + f"SELECT doc_id, feature_pos, {block([flag(t) for t in shape])} FROM ctx"
-    n, alpha, upper, lower = "greatest(length(line), 1)::DOUBLE", count("line", "\\p{L}"), count("line", "\\p{Lu}"), count("line", "\\p{Ll}")
-    punctuation = f"{count('line', '[!-/:-@' + chr(92) + '[-`{-~]')} / {n}"
-    shape = [
-        "least(ln(strlen(line) + 1.0::DOUBLE) / ln(1024.0::DOUBLE), 1.0)", f"{alpha} / {n}", f"{count('line', chr(92) + 'p{Nd}')} / {n}", f"{count('line', '[ ' + chr(92) + 't]')} / {n}", punctuation, punctuation,
-        f"{upper} / greatest({alpha}, 1)::DOUBLE", f"{lower} / greatest({alpha}, 1)::DOUBLE", f"{count('line', '[' + chr(34) + chr(39) + '“”‘’]')} / {n}", flag("ends_with(line, ':')"), flag(rx("line", "[.;,]\\z")), flag(f"{lower} = 0"),
+    boundary = shape = [flag(t) for t in shape]
+    shares = [f"(length(rest) - length(replace(rest, {lit(c) if c != chr(10) else 'chr(10)'}, ''))) / greatest(strlen(rest), 1)::DOUBLE" for c in LINE_CHARS]
+    out["feat_boundary_shape"] = with_(STRUCT, line_context()) + f"SELECT doc_id, feature_pos, {block(shape)} FROM lctx"
+    out["feat_line_byte_counts"] = with_(STRUCT, line_context()) + f"SELECT doc_id, feature_pos, {block(shares)} FROM lctx"
+    a, b = f"CASE WHEN length({LEFT}) > 16 THEN right({LEFT}, 16) ELSE {LEFT} END", f"substring({RIGHT}, 1, 16)"
+    both_sides = [f"{count(f'({x})', c)} / greatest(length({x}), 1)::DOUBLE" for c in (*[BYTE_CLASSES[c] for c in COUNTED], *UNICODE_GROUPS) for x in (a, b)]
+    kernel = [*[encoded(f"({code(at(k))})") for k in range(-15, 16)], *features["feat_ascii_neighbors"], *shape, *both_sides, *shares, *features["feat_token_shape"]]
+    out["feat_sentence_kernel"] = with_(CONV, line_context("conv")) + f"SELECT doc_id, feature_pos, {block(kernel)} FROM lctx"
+    whole = f"(({a}) || here || {b})"
+    out["feat_byte_class_counts"] = with_(context()) + f"SELECT doc_id, feature_pos, {block([f'{count(whole, c)} / greatest(length({whole}), 1)::DOUBLE' for c in BYTE_CLASSES.values()])} FROM ctx"
+    out["feat_dir_byte_classes"] = with_(context()) + f"SELECT doc_id, feature_pos, {block(both_sides)} FROM ctx"
+    length = lambda c: f"least(ln(strlen({c}) + 1.0::DOUBLE) / ln(1024.0::DOUBLE), 1.0)"
+    n, alpha, body = "greatest(length(raw), 1)::DOUBLE", count("raw", "\\p{L}"), stripped("raw")
+    share = lambda p: f"{count('raw', p)} / {n}"
+    values = [
+        length("raw"), length(body), f"least((strlen(raw) - strlen(regexp_replace(raw, {lit('^' + SPACE + '+')}, ''))) / 64.0::DOUBLE, 1.0)", share("\\p{L}"), share("[0-9]"), share(SPACE), share(PUNCTUATION), share(PUNCTUATION),
+        f"{count('raw', chr(92) + 'p{Lu}')} / greatest({alpha}, 1)::DOUBLE", f"{count('raw', chr(92) + 'p{Ll}')} / greatest({alpha}, 1)::DOUBLE", share("[\"'“”‘’]"),
+        flag(f"ends_with({body}, ':')"), flag(rx(body, "[.;,]\\z")), flag(f"NOT {rx(body, chr(92) + 'p{Ll}')}"),
     ]
-    out["feat_line_shape"] = with_(STRUCT, lines("struct_docs")) + f"SELECT doc_id, start_byte AS feature_pos, {block(shape, 4)} FROM lines"
-    near = ", ".join(f"coalesce({f}({m}) OVER w, -1)::BIGINT AS {side}_{m}" for m in ("heading", "list", "meta") for side, f in (("prev", "lag"), ("next", "lead")))
-    out["feat_line_context"] = with_(STRUCT, lines("struct_docs"), f"""marks AS (SELECT doc_id, line_no, ({heading("line")})::INT AS heading, {rx("line", "^(?:[-*•]|[0-9]+[.)])")}::INT AS list, ({meta_colon("line")})::INT AS meta FROM lines)""") + f"SELECT doc_id, line_no, heading::BIGINT AS heading, list::BIGINT AS list, meta::BIGINT AS meta, {near} FROM marks WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"
+    out["feat_line_shape"] = with_(STRUCT, line_table()) + f"SELECT doc_id, position AS feature_pos, {block(values, 4)} FROM own"
+
+    def compact(c: str) -> list[str]:
+        body = stripped(c)
+        n, letters = f"greatest(length({body}), 1)::DOUBLE", count(body, "\\p{L}")
+        return [length(body), f"{letters} / {n}", f"{count(body, '[0-9]')} / {n}", f"{count(body, chr(92) + 'p{Lu}')} / greatest({letters}, 1)::DOUBLE", f"{count(body, PUNCTUATION)} / {n}"]
+
+    place = [flag("start_byte = 0"), flag("start_byte + strlen(raw) >= size"), "position / greatest(size, 1)::DOUBLE", flag("before >= 2"), flag("after >= 2")]
+    shapes = [x for pair in zip(compact("previous"), compact("following"), strict=True) for x in pair]
+    kinds = [flag(test(c)) for test in (head, listed, meta) for c in ("previous", "following")]
+    empty = flag(f"length({stripped('previous')}) = 0 OR length({stripped('following')}) = 0")
+    out["feat_line_context"] = with_(STRUCT, line_table()) + f"SELECT doc_id, position AS feature_pos, {block([*place, *shapes, *kinds, empty], 4)} FROM own"
+    out["line_at_position"] = with_(STRUCT, line_table(), "asked AS (SELECT doc_id, unnest(range(0, strlen(text), 300))::BIGINT AS position FROM struct_docs WHERE strlen(text) > 0)") + """SELECT a.doc_id, a.position, l.start_byte AS line_start, (l.start_byte + strlen(l.raw))::BIGINT AS line_end, md5(l.raw) AS digest
+  FROM asked a ASOF JOIN ltab l ON a.doc_id = l.doc_id AND a.position >= l.start_byte"""
     out["score_logistic_fixed"] = with_(scored()) + "SELECT doc_id, break_end, round(score, 6) AS score FROM scored"
     v = "embedding::DOUBLE[]"
     z = [dot(v, w, c) for w, c in zip(fixed_weights(3, 64), (0.0, 0.125, -0.125), strict=True)]
@@ -302,7 +355,7 @@ rn AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM ch)"""
     ratio = '(least("end", r_end) - greatest(start, r_start)) / ("end" - start)::DOUBLE'
     out["span_overlap_targets"] = with_(sentences(), STRIDES, CROSS) + f"SELECT doc_id, start, count(*) AS n, round(max({ratio}), 6) AS ratio, max({ratio}) >= 0.35 AS target FROM pairs GROUP BY doc_id, start"
     out["span_cross_pairs"] = with_(sentences(), STRIDES, CROSS) + 'SELECT doc_id, count(*) AS crossing FROM pairs WHERE start < r_start AND r_start < "end" AND "end" < r_end OR r_start < start AND start < r_end AND r_end < "end" GROUP BY doc_id'
-    out["span_boundary_targets"] = with_(punct(1, "documents"), sentences()) + "SELECT doc_id, break_end, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = b.doc_id AND s.end_byte = b.break_end))::BIGINT AS target FROM breaks b"
+    out["span_boundary_targets"] = with_(punct(1, "documents"), sentences()) + "SELECT doc_id, break_end, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = b.doc_id AND s.end_byte = b.break_end AND s.end_byte % 7 <> 0))::BIGINT AS target FROM breaks b"
     out["render_sentences"] = with_(sentences(), """pieces AS (SELECT doc_id, start, "end", value, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS prev FROM sentences),
 agg AS (SELECT p.doc_id, string_agg(substring(d.text, prev + 1, start - prev) || '<|sentence|>' || value || '</|sentence|>', '' ORDER BY start) AS body, max("end") AS last FROM pieces p JOIN documents d ON p.doc_id = d.doc_id GROUP BY p.doc_id),
 done AS (SELECT d.doc_id, coalesce(body || substring(d.text, last + 1), d.text) AS tagged FROM documents d LEFT JOIN agg a ON d.doc_id = a.doc_id)""") + "SELECT doc_id, md5(tagged) AS digest, length(tagged)::BIGINT AS size FROM done"
@@ -334,26 +387,36 @@ gb AS (SELECT doc_id, start_byte AS at FROM sentences UNION SELECT doc_id, end_b
 cnt AS (SELECT count(*) FILTER (p.at IS NOT NULL AND g.at IS NOT NULL) AS tp, count(*) FILTER (g.at IS NULL) AS fp, count(*) FILTER (p.at IS NULL) AS fn FROM pb p FULL JOIN gb g ON p.doc_id = g.doc_id AND p.at = g.at)""") + f"SELECT tp, fp, fn, {RATES} FROM cnt"
     out["metric_macro_by_label"] = with_(JUDGED, CONFUSION) + f"SELECT coalesce(toxic, -1) AS toxic, round(avg({F1}), 6) AS f1, count(*) AS heads FROM conf GROUP BY ROLLUP (toxic)"
     out["metric_parity_diff"] = """SELECT vec_id, "column", a, b FROM (SELECT vec_id, unnest(range(0, len(embedding)))::BIGINT AS "column", unnest([floor(x::DOUBLE * 8)::BIGINT FOR x IN embedding]) AS a,
-  unnest([floor(floor(x::DOUBLE * 16) / 2 + 0.25)::BIGINT FOR x IN embedding]) AS b FROM embeddings WHERE embedding IS NOT NULL) WHERE a <> b ORDER BY 1, 2 LIMIT 8"""
-    out["leaderboard_topk"] = f"SELECT source, sum({count('text', '[.!?]')})::BIGINT AS marks, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source ORDER BY marks / chars::DOUBLE DESC, source LIMIT 5"
+  unnest([floor(x::DOUBLE * 8 + 0.5)::BIGINT FOR x IN embedding]) AS b FROM embeddings WHERE embedding IS NOT NULL) WHERE a <> b ORDER BY 1, 2 LIMIT 8"""
+    out["leaderboard"] = with_("""judged AS (SELECT 'w' || w AS experiment, CASE WHEN doc_id % 5 = 4 THEN 'validation' ELSE 'evaluation' END AS part, quality::BIGINT AS label,
+  ((doc_id * 37) % 100 + w * quality::BIGINT) / 200.0::DOUBLE AS score FROM labels, (SELECT unnest([0, 20, 40, 80]) AS w) WHERE quality IS NOT NULL)""", sweep("experiment, part,"), f"""best AS (SELECT experiment, part, step, {F1} AS f1, row_number() OVER (PARTITION BY experiment, part
+  ORDER BY round({F1}, 9) DESC, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 9) DESC, step) AS r FROM swept)""", """per AS (SELECT experiment, max(f1) FILTER (part = 'validation') AS v, max(step) FILTER (part = 'validation') AS step, max(f1) FILTER (part = 'evaluation') AS e FROM best WHERE r = 1 GROUP BY experiment)""") + """SELECT experiment,
+  row_number() OVER (ORDER BY round(v, 9) DESC, round(e, 9) DESC, experiment) AS rank, step, round(v, 6) AS validation_f1, round(e, 6) AS evaluation_f1 FROM per"""
     out["stats_corpus"] = "SELECT lang, source, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT md5(text)) AS texts FROM documents GROUP BY lang, source"
-    out["sample_hash_negatives"] = with_(located("[\\!\\,\\.\\;\\?]"), sentences(), f"""marks AS (SELECT l.doc_id, l.sb + 1 AS position, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = l.doc_id AND s.end_byte = l.sb + 1))::BIGINT AS label FROM loc l)""") + f"""SELECT doc_id, position, label FROM marks
-  WHERE label = 1 OR {draw("doc_id", "position")} < CASE WHEN position % 2 = 0 THEN 0.33 ELSE 0.1 END"""
+    two64 = "18446744073709551616::HUGEINT"
+    mixed = f"xor(xor((doc_id::HUGEINT * 1146959810393466583) % {two64}, (sb::HUGEINT * 1099511628211) % {two64}), eb::HUGEINT)"
+    out["sample_hash_negatives"] = with_(located("[.!?;,]"), sentences(), f"""marks AS (SELECT l.doc_id, l.sb AS feature_pos, value, ({mixed} % 10000)::INT / 10000.0::DOUBLE AS u, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = l.doc_id AND s.end_byte = l.eb))::BIGINT AS label FROM loc l)""") + """SELECT doc_id, feature_pos, label FROM marks
+  WHERE label = 1 OR u < CASE WHEN value IN ('.', '!', '?') THEN 0.33::DOUBLE ELSE 0.1::DOUBLE END"""
     out["sample_stratified_cap"] = f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {draw('doc_id', '7')}, doc_id) AS r FROM documents) WHERE r <= 20"
     out["split_prefix"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= count(*) OVER () * 8 // 10 AS train FROM documents"
     out["split_fifth_alternating"] = "SELECT doc_id, doc_id % 5 = 4 AS validation, doc_id % 2 = 0 AS tuning FROM documents"
     out["repeat_positives"] = "SELECT doc_id, toxic::BIGINT AS toxic, unnest(range(1, CASE WHEN toxic = 1 THEN 4 ELSE 2 END))::BIGINT AS copy FROM labels"
-    out["page_regions"] = "SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag"
+    ws_trim = lambda c: f"trim({c}, {WS})"
+    inner = f"CASE WHEN {rx('html', '(?s)<pre>.*?</pre>')} THEN regexp_extract(html, '(?s)<pre>(.*?)</pre>', 1) ELSE html END"
+    out["page_texts"] = f"SELECT page_id, length(body)::BIGINT AS size, md5(body) AS digest FROM (SELECT page_id, {ws_trim(f'regexp_replace({inner}, {lit(chr(60) + chr(91) + chr(94) + chr(62) + chr(93) + chr(43) + chr(62))}, {lit(str())}, {lit(chr(103))})')} AS body FROM pages) WHERE length(body) > 1500"
+    out["passages_joined"] = """SELECT conv_id, length(left(body, 2000))::BIGINT AS size, md5(left(body, 2000)) AS digest FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS body
+  FROM conversations WHERE length(text) > 0 GROUP BY conv_id) WHERE length(body) > 300"""
+    out["book_bodies"] = f"""SELECT doc_id, length(body)::BIGINT AS size, md5(body) AS digest FROM (SELECT doc_id, CASE WHEN length(t) > 4000 THEN substring(t, 1601, 2000) WHEN length(t) > 2000 THEN substring(t, 801, 2000) END AS body
+  FROM (SELECT doc_id, {ws_trim("text")} AS t FROM documents)) WHERE body IS NOT NULL"""
     close = "[.!?]+[\"')\\]}”’]*"
     after, before = "substring(text, e + 1, 36)", "substring(text, greatest(e - 35, 1), least(e, 36))"
     out["cand_weak_label"] = with_(located(close)) + f"""SELECT doc_id, e AS break_char, eb AS break_end, md5({before} || '<<<BREAK>>>' || {after}) AS digest FROM loc
   WHERE {rx(f"({BEHIND_1})", "^[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")} AND length({AFTER}) > 0 AND lower(regexp_extract(g, '[A-Za-z]*\\z', 0)) NOT IN ({abbreviations})"""
     out["windows_line"] = with_(STRUCT, lines("struct_docs"), f"anchors AS (SELECT doc_id, line_no FROM lines WHERE {display('line')} IN ('list', 'metadata'))") + """SELECT DISTINCT a.doc_id, f.line_no AS first, l.line_no AS last, f.start, l."end" FROM anchors a
   JOIN lines f ON f.doc_id = a.doc_id AND f.line_no BETWEEN a.line_no - 3 AND a.line_no JOIN lines l ON l.doc_id = a.doc_id AND l.line_no BETWEEN a.line_no AND a.line_no + 4 WHERE l."end" - f.start BETWEEN 1 AND 4000"""
-    listed = rx("ltrim(value, ' ')", "^(?:[-*•]|[0-9]+[.)])")
-    out["blocks_list_item"] = with_("""built AS (SELECT doc_id, 'Head' || chr(10) || '- one ' || coalesce(source, '') || chr(10) || '  more of one' || chr(10) || chr(9) || 'and more' || chr(10) || '2. two' || chr(10) || 'plain' || chr(10) || substring(text, 1, 50) AS text FROM documents)""",
-        located("[^\\n]+", "built"), f"""hd AS (SELECT *, {listed} AS item, {rx("value", "^[ " + chr(92) + "t]+[^ " + chr(92) + "t]")} AS ind FROM loc),
-bl AS (SELECT *, sum((item OR NOT ind)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM hd)""") + """SELECT doc_id, min(s) AS start, max(e) AS "end", count(*) AS lines FROM bl GROUP BY doc_id, block HAVING bool_or(item)"""
+    out["blocks_list_item"] = with_("""built AS (SELECT doc_id, '- one ' || coalesce(source, '') || chr(10) || '  more of one' || chr(10) || chr(10) || chr(9) || 'no longer' || chr(10) || '2. two' || chr(10) || '   of two' || chr(10) || coalesce(text, '') AS text FROM documents)""",
+        line_table("built"), f"""hd AS (SELECT *, {rx("trim(raw, ' ')", "^(?:[-*•]|[0-9]+[.)])")} AS item, {rx("raw", "^[ " + chr(92) + "t]+[^ " + chr(92) + "t]")} AS ind FROM ltab),
+bl AS (SELECT *, sum((item OR NOT ind)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM hd)""") + """SELECT doc_id, min(start_byte) AS start, max(start_byte + strlen(raw))::BIGINT AS "end", count(*) AS lines FROM bl GROUP BY doc_id, block HAVING bool_or(item)"""
     edge = [f"CASE WHEN length(line) > {k} THEN (({code(f'(substring(line, {k + 1}, 1))')}) + 1) / 256.0::DOUBLE ELSE 0 END" for k in range(12)]
     edge += [f"CASE WHEN length(line) > {k} THEN (({code(f'(substring(line, length(line) - {k}, 1))')}) + 1) / 256.0::DOUBLE ELSE 0 END" for k in range(6)]
     out["feat_line_edges"] = with_(STRUCT, lines("struct_docs")) + f"SELECT doc_id, start_byte AS feature_pos, {block(edge)} FROM lines"
@@ -362,8 +425,8 @@ rn AS (SELECT *, sum(f) OVER (PARTITION BY doc_id, label ORDER BY line_no) AS ru
     out["breaks_to_sentences"] = with_(CONV, para("conv"), located("[.!?]", "conv"), """cuts AS (SELECT p.doc_id, p.k, p.start, l.e AS pos FROM paras p JOIN loc l ON l.doc_id = p.doc_id AND l.e > p.start AND l.e < p."end" WHERE substring(l.text, l.e + 1, 1) IN (' ', chr(10))
   UNION ALL SELECT doc_id, k, start, "end" FROM paras)""") + """SELECT * FROM (SELECT doc_id, k, coalesce(lag(pos) OVER (PARTITION BY doc_id, k ORDER BY pos), start) AS start, pos AS "end" FROM cuts) WHERE start < "end" """
     out["span_inside_start_end"] = with_(sentences(), "pos AS (SELECT doc_id, unnest(range(0, length(text), 97))::BIGINT AS p FROM documents WHERE length(text) > 0)") + """SELECT doc_id, p AS position,
-  (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s.start <= p AND p < s."end"))::BIGINT AS inside, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s.start = p))::BIGINT AS starts,
-  (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s."end" = p))::BIGINT AS ends FROM pos"""
+  (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s.start <= p AND p < s."end"))::BIGINT AS inside, (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s.start = p AND s.start % 3 <> 0))::BIGINT AS starts,
+  (EXISTS (SELECT 1 FROM sentences s WHERE s.doc_id = pos.doc_id AND s."end" = p AND s."end" % 3 <> 0))::BIGINT AS ends FROM pos"""
     out["gold_sentence_ends"] = with_(sentences()) + "SELECT doc_id, count(DISTINCT end_byte) AS n, max(end_byte) AS last FROM sentences GROUP BY doc_id"
     out["metric_marker_breaks"] = with_("bench AS (SELECT item_id AS doc_id, text FROM benchmark WHERE text IS NOT NULL)", sentences("bench"), """pred AS (SELECT DISTINCT doc_id, "end" AS c FROM (SELECT *, max("end") OVER (PARTITION BY doc_id) AS z FROM sentences) WHERE "end" < z),
 gold AS (SELECT doc_id, (instr(text, m) - 1 + length(m))::BIGINT AS c FROM (SELECT doc_id, text, regexp_extract(text, '([^.;]{3,12}[.])[ \\n]', 1) AS m FROM bench) WHERE length(m) > 0),
@@ -372,4 +435,51 @@ cnt AS (SELECT count(*) FILTER (p.c IS NOT NULL AND g.c IS NOT NULL) AS tp, coun
 SELECT label, n, round(raw / avg(raw) OVER (), 6) AS weight FROM r"""
     out["split_three_way"] = f"SELECT lang, CASE WHEN u < 0.7 THEN 'fit' WHEN u < 0.85 THEN 'calibration' ELSE 'validation' END AS part, count(*) AS n FROM (SELECT lang, {draw('doc_id', '11')} AS u FROM documents) GROUP BY 1, 2"
     out["parse_tagged_roundtrip"] = with_(sentences()) + """SELECT d.doc_id, md5(d.text) AS digest, count(s.doc_id) AS spans, true AS ok FROM documents d LEFT JOIN sentences s ON d.doc_id = s.doc_id GROUP BY d.doc_id, d.text"""
+    out["render_checked"] = out["render_strict"] = out["render_sentences"].replace("SELECT doc_id, md5(tagged) AS digest, length(tagged)::BIGINT AS size FROM done", "SELECT doc_id, md5(tagged) AS digest FROM done WHERE doc_id IN (SELECT doc_id FROM sentences)")
+    out["cand_sampled_positions"] = with_(sentences(), chars, f"""pos AS (SELECT doc_id, ((sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY k)) - strlen(c))::BIGINT AS p FROM ch UNION ALL SELECT doc_id, coalesce(strlen(text), 0) FROM documents),
+mk AS (SELECT p.doc_id, p.p, (s.doc_id IS NOT NULL)::INT AS edge FROM pos p LEFT JOIN (SELECT DISTINCT doc_id, end_byte FROM sentences) s ON s.doc_id = p.doc_id AND s.end_byte = p.p),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY edge DESC, {draw("doc_id", "p")}, p) AS r FROM mk)""") + "SELECT doc_id, p AS position FROM rk WHERE r <= 100 OR edge = 1"
+    closers = lit("(?s)[.!?…][\"')\\]}”’»\\s]*\\z")
+    out["cand_from_breaks"] = with_(CONV, "every AS (SELECT doc_id, text FROM conv)", para_breaks("every"), "ends AS (SELECT b.doc_id, break_end, c.text FROM pbreaks b JOIN conv c ON b.doc_id = c.doc_id)", """pl AS (SELECT doc_id, break_end, CASE WHEN break_end = strlen(text) THEN text
+  ELSE (SELECT min(substring(q.text, 1, p.s)) FROM pb p WHERE p.doc_id = q.doc_id AND p.sb = q.break_end) END AS head FROM ends q)""", f"""sz AS (SELECT doc_id, break_end, head, CASE WHEN {rx("head", "(?s)[.!?…][" + chr(34) + "')" + chr(92) + "]}”’»" + chr(92) + "s]*" + chr(92) + "z")} THEN strlen(regexp_extract(head, {closers}, 0))
+  ELSE strlen(regexp_extract(head, {lit("(?s)" + chr(92) + "S" + chr(92) + "s*" + chr(92) + "z")}, 0)) END AS size FROM pl WHERE strlen(head) > 0)""") + "SELECT doc_id, (strlen(head) - size)::BIGINT AS feature_pos, break_end FROM sz WHERE size > 0"
+    body = f"trim(value, {WS})"
+    first = f"trim(regexp_extract({body}, '^[^\\n\\r]*', 0), ' ')"
+    out["paragraphs_prose"] = with_(CONV, para("conv")) + f"""SELECT doc_id, k, start, "end" FROM paras WHERE length({body}) > 0 AND NOT contains({body}, chr(10) || chr(10)) AND NOT {section_like(first)} AND NOT {list_item_like(first)} AND NOT {metadata_like(first)}
+  AND {count(body, "[" + chr(92) + "p{L}]")} >= 40 AND {count(body, "[" + chr(92) + "p{Ll}]")} >= 20 AND ({terminal(body)} OR {rx(body, "[.!?][" + chr(34) + "')" + chr(92) + "]}”’]*[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")}) AND "end" - start BETWEEN 40 AND 4000"""
+    squeezed = f"trim(regexp_replace(replace(value, '&#xD;', ''), {lit('[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'x0B' + chr(92) + 'f' + chr(92) + 'r]+')}, ' ', 'g'), ' ')"
+    out["blocks_eligible"] = with_(CONV, para("conv"), f"sq AS (SELECT doc_id, k, {squeezed} AS b FROM paras)") + f"""SELECT doc_id, k, k % 4 <> 3 AND length(b) >= 40 AND {count("b", "[" + chr(92) + "p{L}]")} >= 20 AND {rx("b", chr(92) + "p{Ll}")} AND NOT {section_like("b")} AND NOT {metadata_like("b")} AS eligible,
+  {rx("b", "[.!?][" + chr(34) + "'”’)" + chr(92) + "]]*" + chr(92) + "z")} AS terminal FROM sq"""
+    out["eligible_outputs"] = with_(CONV, located("[.!?…;,][\"')\\]}”’]*", "conv")) + f"""SELECT doc_id, eb AS break_end, e % 11 = 0 OR {rx("value", "^[.!?…]")} AS sentence, e = length(text) OR len(regexp_extract_all(regexp_extract(a, '^[ \\t\\n\\r]*', 0), '[\\n\\r]')) >= 2 AS paragraph FROM loc"""
+    neighbours = features["feat_ascii_neighbors"]
+    z = [" + ".join([f"({c})", *(f"({w}) * ({t})" for t, w in zip(neighbours, weights, strict=True))]) for weights, c in (((0.5, -1.0, 0.25, 2.0, -0.5, -1.5), 0.125), ((0.0, 1.0, 1.0, -1.0, 0.5, 0.25), -0.5))]
+    out["score_matrix"] = with_(context()) + f"SELECT doc_id, feature_pos + strlen(here) AS break_end, {', '.join(f'round(1 / (1 + exp(-(({x})::DOUBLE))), 6) AS {n}' for x, n in zip(z, 'ab', strict=True))} FROM ctx"
+    kernel = [*[f"({code(at(k))}) / 255.0::DOUBLE" for k in range(-2, 3)], *neighbours, *both_sides[:16], *boundary, *shares]
+    out["feat_compiled_kernel"] = with_(CONV, line_context("conv")) + f"SELECT doc_id, feature_pos, {block(kernel)} FROM lctx"
+    out["sample_segments"] = f"""WITH a AS (SELECT doc_id, text, length(text) AS n, (200 + floor({draw("doc_id", "0")} * 401))::INT AS size FROM documents WHERE length(text) > 0),
+b AS (SELECT doc_id, text, n, CASE WHEN n > size THEN floor({draw("doc_id", "1")} * (n - size + 1))::INT ELSE 0 END AS a, size FROM a), c AS (SELECT doc_id, text, n, a, CASE WHEN n > size THEN a + size ELSE n END AS b FROM b),
+d AS (SELECT doc_id, text, CASE WHEN a > 0 THEN a + length(regexp_extract(substring(text, a + 1, 40), '^[^ \\t\\n\\r]*[ \\t\\n\\r]+', 0)) ELSE 0 END AS start,
+  CASE WHEN b < n THEN b - length(regexp_extract(substring(text, greatest(b - 40, a) + 1, least(40, b - a)), '[ \\t\\n\\r]+[^ \\t\\n\\r]*\\z', 0)) ELSE b END AS "end" FROM c)
+SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end", md5(substring(text, start + 1, "end" - start)) AS digest FROM d WHERE start < "end" """
+    names = "['sentence', 'paragraph', 'list_item', 'dialogue', 'metadata', 'section']"
+    out["focus_labels"] = f"SELECT doc_id, 'turn' AS strategy, {names}[doc_id % 6 + 1] AS focus FROM documents UNION ALL SELECT doc_id, 'random', {names}[(floor({draw('doc_id', '5')} * 6) + 1)::INT] FROM documents"
+    out["trimmed_chunks"] = f"""SELECT doc_id, p::BIGINT AS at, (CASE WHEN length(trim(c, {WS})) > 0 THEN p + length(c) - length(ltrim(c, {WS})) ELSE p END)::BIGINT AS start,
+  (CASE WHEN length(trim(c, {WS})) > 0 THEN p + length(c) - length(ltrim(c, {WS})) + length(trim(c, {WS})) ELSE p END)::BIGINT AS "end" FROM (SELECT doc_id, p, substring(text, p + 1, 300) AS c FROM (SELECT doc_id, text, unnest(range(0, length(text), 300)) AS p FROM documents WHERE length(text) > 0))"""
+    weights = (0.0, 0.0, 0.5, 3.0, -1.0, -2.0, -4.0, *[0.0] * 7, 0.5, -2.5, 0.0, -2.0)
+    z = " + ".join(["(-1.0)", *(f"({w}) * ({t})" for t, w in zip([*neighbours, *features["feat_token_shape"]], weights, strict=True))])
+    out["pipeline_run"] = with_(context(), f"scored AS (SELECT doc_id, feature_pos + strlen(here) AS break_end, 1 / (1 + exp(-(({z})::DOUBLE))) AS score FROM ctx)", SIZES, CUTS) + "SELECT * FROM cuts"
+    basis, prime, two64 = 0xCBF29CE484222325, 0x100000001B3, 2**64
+    byte = lambda k: f"(CASE WHEN hex[2 * {k} - 1:2 * {k}] BETWEEN '41' AND '5A' THEN ('0x' || hex[2 * {k} - 1:2 * {k}])::INT + 32 ELSE ('0x' || hex[2 * {k} - 1:2 * {k}])::INT END)"
+
+    def gram(n: int) -> str:
+        h = f"{basis ^ n}::HUGEINT"
+        for k in range(n):
+            h = f"((xor({h}, bytes[p + {k}]::HUGEINT) * {prime}) % {two64}::HUGEINT)"
+        return f"SELECT doc_id, line_no, {h} AS h FROM (SELECT *, unnest(range(1, len(bytes) - {n - 2})) AS p FROM raw_bytes WHERE len(bytes) >= {n})"
+
+    out["feat_ngram_hash"] = with_(STRUCT, lines("struct_docs"), f"""hexed AS (SELECT doc_id, line_no, start_byte, hex(encode(line)) AS hex FROM lines),
+raw_bytes AS (SELECT doc_id, line_no, start_byte, [{byte("k")} FOR k IN range(1, len(hex) // 2 + 1)] AS bytes FROM hexed)""", f"grams AS ({' UNION ALL '.join(map(gram, (2, 3, 4)))})", f"""summed AS (SELECT doc_id, line_no, (h % 64)::INT AS b, sum(CASE WHEN h >= {2**63}::HUGEINT THEN -1 ELSE 1 END)::DOUBLE AS v FROM grams GROUP BY 1, 2, 3),
+sized AS (SELECT doc_id, line_no, count(*) AS n FROM grams GROUP BY 1, 2),
+every AS (SELECT r.doc_id, r.start_byte, b.b, coalesce(s.v / sqrt(z.n), 0) AS v FROM raw_bytes r CROSS JOIN (SELECT unnest(range(0, 64)) AS b) b LEFT JOIN summed s ON s.doc_id = r.doc_id AND s.line_no = r.line_no AND s.b = b.b
+  LEFT JOIN sized z ON z.doc_id = r.doc_id AND z.line_no = r.line_no)""") + "SELECT doc_id, start_byte AS feature_pos, string_agg(round(v * 1000000::DOUBLE)::BIGINT::VARCHAR, ',' ORDER BY b) AS features FROM every GROUP BY doc_id, start_byte"
     return out

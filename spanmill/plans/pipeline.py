@@ -31,6 +31,7 @@ class Pipeline:
     bias: float = 0.0
     threshold: float = 0.5
     tail: bool = True
+    heads: tuple[tuple[str, tuple[float, ...], float], ...] = ()
 
     def with_scanner(self, pattern: str) -> Pipeline:
         return replace(self, pattern=pattern)
@@ -41,6 +42,25 @@ class Pipeline:
     def with_model(self, weights: list[float], bias: float) -> Pipeline:
         return replace(self, weights=tuple(weights), bias=bias)
 
+    def with_head(self, name: str, weights: list[float], bias: float) -> Pipeline:
+        """One more output of ``score_matrix``; heads are independent."""
+        if name in [n for n, *_ in self.heads]:
+            raise PipelineError(f"there is a head {name!r} already")
+        return replace(self, heads=(*self.heads, (name, tuple(weights), bias)))
+
+    def score_matrix(self, docs: DataFrame) -> DataFrame:
+        """``(doc_id, feature_pos, break_end, scores)``: a score of each head, in their order."""
+        if not self.heads:
+            raise PipelineError("a score matrix needs a head")
+        scores = F.array(*[M.logistic(F.col("features"), list(w), b) for _, w, b in self.heads])
+        return self.extract(docs).select("doc_id", "feature_pos", "break_end", scores.alias("scores"))
+
+    def selected(self, docs: DataFrame, head: str, threshold: float, eligible: Column | None = None) -> DataFrame:
+        """Breaks ``(doc_id, break_end)`` of one head at a threshold, where ``eligible`` holds of a row."""
+        at = [n for n, *_ in self.heads].index(head)
+        rows = self.score_matrix(docs)
+        return (rows.where(eligible) if eligible is not None else rows).where(F.col("scores")[at] >= threshold).select("doc_id", "break_end")
+
     def with_threshold(self, threshold: float, tail: bool = True) -> Pipeline:
         return replace(self, threshold=threshold, tail=tail)
 

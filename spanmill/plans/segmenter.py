@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,13 @@ def _is_break(m: Column, threshold: float | None = None) -> Column:
     return M.sigmoid(z) if threshold is None else M.sigmoid(z) >= threshold
 
 
+def is_break(left: str, right: str, after: str, threshold: float = THRESHOLD) -> bool:
+    """The same for one mark, from the characters before it, the one behind it and the first non-blank behind it."""
+    tests = [right and right in T.BLANKS, not right, right.isascii() and right.isdigit(), right and right in T.BLANKS and re.match("[a-z]", after), re.search(r"(?:^|[^A-Za-z])[A-Z][a-z]?\Z", left)]
+    z = BIAS + sum(w for test, w in zip(tests, WEIGHTS, strict=True) if test)
+    return 1 / (1 + math.exp(-z)) >= threshold
+
+
 AROUND = ("left", "right", "after")
 
 
@@ -73,22 +83,24 @@ _LABELLED = "struct<label:string,start:bigint,end:bigint,start_byte:bigint,end_b
 
 
 def _lines() -> Column:
-    """Array of the non-blank lines of ``text``, trimmed: bounds, label (null for prose) and whether a blank line is before."""
+    """Array of the non-blank lines of ``text``, trimmed: bounds, label (null for prose) and whether a blank line is before (``apart``)."""
 
     def trim(s: Column) -> Column:
         lead, body = F.length(s["value"]) - F.length(F.ltrim(s["value"])), F.trim(s["value"])
         kind = Q.display_type(s["value"])
         label = F.coalesce(*[F.when(kind == k, v) for k, v in STRUCTURE.items()])
+        apart = F.regexp_count(F.replace(s["gap"], F.lit("\r\n"), F.lit("\n")), F.lit("[\\n\\r]")) >= 2
         return F.struct(
             label.alias("label"), (s["start"] + lead).alias("start"), (s["start"] + lead + F.length(body)).alias("end"), (s["start_byte"] + lead).alias("start_byte"),
-            (s["start_byte"] + lead + F.octet_length(body)).alias("end_byte"),
+            (s["start_byte"] + lead + F.octet_length(body)).alias("end_byte"), apart.alias("apart"),
         )
 
-    return F.filter(F.transform(T.locate("text", "[^\\n\\r]+", ("value",)), trim), lambda s: s["start"] < s["end"])
+    return F.transform(T.locate("text", "[^\\n\\r]*[^ \\t\\n\\r][^\\n\\r]*", ("value", "gap")), trim)
 
 
 def _structure_spans(lines: Column) -> Column:
     """Neighbouring lines of one label, no blank line between, as one span each; prose has none."""
+    lines = F.transform(lines, lambda x: x.dropFields("apart"))
     none = F.lit(None).cast(_LABELLED)
     stop = F.array(F.lit(None).cast(_LABELLED))
 
@@ -106,17 +118,17 @@ def _bounded_sentences(lines: Column, marks: Column, threshold: float) -> Column
     Lines and breaks are events in the order of their bytes; the fold holds the open
     sentence's start and where the last line ended.
     """
-    at = lambda label, start, end, byte, end_byte, mark: F.struct(byte.alias("at"), F.lit(mark).alias("mark"), label.alias("label"), start.alias("start"), end.alias("end"), end_byte.alias("end_byte"))
-    line_events = F.transform(lines, lambda x: at(x["label"], x["start"], x["end"], x["start_byte"], x["end_byte"], 0))
+    at = lambda label, start, end, byte, end_byte, mark, apart: F.struct(byte.alias("at"), F.lit(mark).alias("mark"), label.alias("label"), start.alias("start"), end.alias("end"), end_byte.alias("end_byte"), apart.alias("apart"))
+    line_events = F.transform(lines, lambda x: at(x["label"], x["start"], x["end"], x["start_byte"], x["end_byte"], 0, x["apart"]))
     good = F.filter(marks, lambda m: _is_break(m, threshold))
     blank = lambda m: F.when(F.length(m["right"]) > 0, F.length(m["rest"]) - F.length(F.ltrim(m["rest"], F.lit(T.BLANKS)))).otherwise(0)
-    mark_events = F.transform(good, lambda m: at(F.lit(None).cast("string"), m["end"] + blank(m), m["end"], m["end_byte"], m["end_byte"], 1))
+    mark_events = F.transform(good, lambda m: at(F.lit(None).cast("string"), m["end"] + blank(m), m["end"], m["end_byte"], m["end_byte"], 1, F.lit(False)))
     big = lambda x=None: F.lit(x).cast("bigint")
     zero = F.struct(big().alias("start"), big().alias("start_byte"), big(-9).alias("line_end"), F.lit(False).alias("special"))
 
     def step(state: Column, x: Column) -> tuple[Column, Column]:
         is_mark = x["mark"] == 1
-        apart = state["special"] | x["label"].isNotNull() | (x["start"] - state["line_end"] > 2) | state["start"].isNull()
+        apart = state["special"] | x["label"].isNotNull() | x["apart"] | state["start"].isNull()
         inside = x["start"] < state["line_end"]  # behind this break the line goes on
         start = F.when(is_mark, F.when(inside, x["start"])).when(apart, x["start"]).otherwise(state["start"])
         byte = F.when(is_mark, F.when(inside, x["end_byte"] + x["start"] - x["end"])).when(apart, x["at"]).otherwise(state["start_byte"])

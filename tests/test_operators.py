@@ -12,6 +12,9 @@ from spanmill.operators import metrics as A
 from spanmill.operators import models as M
 from spanmill.operators import sampling as S
 from spanmill.operators import spans as R
+from spanmill.operators import features as X
+from spanmill.operators import kernels as K
+from spanmill.operators import lines as L
 from spanmill.plans import segmenter
 
 
@@ -131,3 +134,88 @@ def test_prefix_split(spark, monkeypatch):
         assert sorted((r.doc_id for r in got), key=order) == sorted(values, key=order)
         taken = sorted((r.doc_id for r in got if r.train), key=order)
         assert taken == sorted(values, key=order)[: len(values) * 8 // 10] and all(r.train is not None for r in got)
+
+
+def test_crossings_as_by_comparing_all():
+    rng = random.Random(2)
+    rank = {label: k for k, label in enumerate(R.PRIORITY)}
+    for _ in range(300):
+        spans = [{"label": rng.choice(R.PRIORITY), "start": (a := rng.randrange(30)), "end": a + rng.randrange(12)} for _ in range(rng.randrange(25))]
+        kept = []
+        for s in sorted((s for s in spans if s["end"] > s["start"]), key=lambda s: (rank[s["label"]], s["start"], -s["end"])):
+            if not any(k["start"] < s["start"] < k["end"] < s["end"] or s["start"] < k["start"] < s["end"] < k["end"] for k in kept):
+                kept.append(s)
+        assert R.without_crossings(spans) == sorted(kept, key=lambda s: (s["start"], s["end"], -rank[s["label"]]))
+
+
+def test_renderers_that_check(spark):
+    kind = "doc_id long, text string, spans array<struct<label:string,start:long,end:long>>"
+    table = lambda *spans: spark.createDataFrame([(0, "One. Two é.", list(spans))], kind)
+    strict = lambda df: df.select(R.strict_text(F.col("text"), F.col("spans"))).first()[0]
+    good = [("sentence", 0, 4), ("sentence", 5, 11), ("paragraph", 0, 11)]
+    tagged = "<|paragraph|><|sentence|>One.</|sentence|> <|sentence|>Two é.</|sentence|></|paragraph|>"
+    assert strict(table(*good)) == tagged == R.render_checked(table(*good, ("section", 2, 7), ("metadata", 3, 3))).first().tagged
+    for spans, message in [([("odd", 0, 4)], "not a span"), ([("sentence", 5, 12)], "not a span"), ([("sentence", 3, 3)], "empty"), ([("sentence", 0, 4), ("section", 2, 7)], "crossing")]:
+        with pytest.raises(Exception, match=message):
+            strict(table(*spans))
+    with pytest.raises(Exception, match="not a span"):
+        R.render_checked(table(("sentence", -1, 4))).collect()
+
+
+def test_blank_runs_of_any_length(spark):
+    for gap in (" " * 10, " " * 100, "\n" * 300):
+        text = f"One.{gap}two.{gap}Three."
+        assert [r.break_end for r in C.punctuation_breaks(docs(spark, text)).orderBy("break_end").collect()] == [len(f"One.{gap}two."), len(text)]
+        assert [r.end for r in segmenter.sentences(docs(spark, text)).orderBy("end").collect()] == [len(f"One.{gap}two."), len(text)]
+    row = docs(spark, "a" * 80 + "." + "b.c" * 40 + ". x").select(F.explode(T.locate("text", "[.]", ("word", "dots"))).alias("m")).select("m.*").collect()
+    assert len(row[0].word) == 80 and row[-1].dots == 41
+
+
+def test_sentences_end_at_structure(spark):
+    text = "# Head\n\nAuthor: Me\nFirst line\r\nof prose. Next one! Mr. X\n\nstays. - no\n- item one. Two\nTail here."
+    row = segmenter.annotate(docs(spark, text, "", None)).where("doc_id = 0").first()
+    parts = [(s.label, text[s.start : s.end]) for s in row.spans]
+    assert parts == [("section", "# Head"), ("metadata", "Author: Me"), ("sentence", "First line\r\nof prose."), ("sentence", "Next one!"), ("sentence", "stays."), ("sentence", "- item one."), ("list_item", "- item one. Two"), ("sentence", "Tail here.")]
+    assert docs(spark, row.tagged).select(T.strip_tags("text")).first()[0] == text
+    found = segmenter.annotate(docs(spark, text), include_structure=False).first()
+    assert {s.label for s in found.spans} == {"sentence"}
+
+
+def test_blocks(spark):
+    text = "Para one\ngoes on.\n\n- item here\nmore of it\n- second one\nTitle: value\nprose again\r\n\r\nend"
+    got = [(text[r.start : r.end], r.value) for r in C.blocks(docs(spark, text, "", "\n \n", None)).orderBy("block").collect()]
+    assert [a for a, _ in got] == [b for _, b in got]
+    assert [b for _, b in got] == ["Para one\ngoes on.\n", "- item here\nmore of it\n", "- second one\n", "Title: value\n", "prose again\r\n", "end"]
+
+
+def test_kernels(spark):
+    kernel = K.compile_kernel('[{"kind": "ascii_class"}, {"kind": "boundary_shape"}, {"kind": "line_byte_counts"}]')
+    assert kernel.width == 38 and len(kernel.extract(docs(spark, "# A. b\n- c.")).first().features) == 38
+    for bad in ("[]", '[{"kind": "odd"}]', '[{"kind": "byte_window", "left": 1}]', '[{"kind": "byte_window", "left": 99, "right": 0}]', '[{"kind": "byte_class_counts", "left": 1, "right": 1, "classes": ["odd"]}]'):
+        with pytest.raises(K.SpecError):
+            K.compile_kernel(bad)
+    rows = X.line_context(docs(spark, "A b. C", "no mark", None))
+    assert [(len(r.a), len(r.b)) for r in rows.select(X.sentence_kernel().alias("a"), X.sentence_kernel(tokens=True).alias("b")).collect()] == [(97, 109)]
+
+
+def test_lines_with_neighbours(spark):
+    text = "one\n\n  \ntwo\r\n\nthree"
+    rows = {r.raw: r for r in L.line_table(docs(spark, text, "", None)).collect()}
+    assert [(r.before, r.after, r.previous, r.following) for r in (rows["one"], rows["two"], rows["three"])] == [(0, 3, "", ""), (3, 3, "  ", ""), (3, 0, "two", "")]
+    assert all(text.encode()[r.position :].startswith(r.raw.strip().encode()) for r in rows.values())
+
+
+def test_code_point_bounds(spark):
+    row = docs(spark, "aé\U0001f600b").select(*[T.char_boundary("text", F.lit(k), up).alias(f"{k}{up}") for k in range(-1, 10) for up in (False, True)]).first()
+    assert [row[f"{k}False"] for k in range(-1, 10)] == [0, 0, 1, 1, 3, 3, 3, 3, 7, 8, 8]
+    assert [row[f"{k}True"] for k in range(-1, 10)] == [0, 0, 1, 3, 3, 7, 7, 7, 7, 8, 8]
+    assert docs(spark, "ab\ncd").select(T.point_context("text", F.lit(2), 2)).first()[0] == "ab|\\nc"
+
+
+def test_hash_draw_in_64_bits(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(2**40), rng.randrange(2**31), rng.randrange(2**31)) for _ in range(200)]
+    got = spark.createDataFrame(rows, "i long, p long, e long").select("i", "p", "e", S.hash_draw(F.col("i"), F.col("p"), F.col("e")).alias("u")).collect()
+    for r in got:
+        mixed = (r.i * 1146959810393466583 % 2**64) ^ (r.p * 1099511628211 % 2**64) ^ r.e
+        assert r.u == mixed % 10000 / 10000

@@ -20,11 +20,11 @@ def test_marked_and_span_records(spark, tmp_path):
 
 
 def test_chunked_stream_equals_batch(spark, tmp_path):
-    text = "One is here. Two is there! Is three? Four. Five without end"
+    text = "One is here. Mr. Xi said so. Two is 3.5 there! Is three? E. coli grows. Four. \n\n  Five without end"
     chunks = [(1, k, text[k * 7 : k * 7 + 7], (k + 1) * 7 >= len(text)) for k in range(-(-len(text) // 7))]
     source = str(tmp_path / "in")
     schema = "doc_id long, chunk long, text string, final boolean"
-    for part in (chunks[:3], chunks[3:5], chunks[5:]):
+    for part in (chunks[:3], chunks[8:] + chunks[5:6], chunks[3:5], chunks[6:8]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)

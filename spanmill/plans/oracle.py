@@ -173,7 +173,7 @@ def scored(table: str = "documents") -> str:
     tests = [rx(right, "^[ \\t\\n\\r]"), f"length({right}) = 0", rx(right, "^[0-9]"), f"{rx(right, '^[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')} AND {rx(f'({AFTER})', '^[a-z]')}", rx(left, "(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
     z = " + ".join([f"({BIAS})", *(f"({w}) * ({flag(t)})" for t, w in zip(tests, WEIGHTS, strict=True))])
     return located("[.!?]", table, "sc") + f""",
-scored AS (SELECT doc_id, text, s, e, sb, eb AS break_end, 1 / (1 + exp(-(({z})::DOUBLE))) AS score FROM sc)"""
+scored AS (SELECT doc_id, text, a, s, e, sb, eb AS break_end, 1 / (1 + exp(-(({z})::DOUBLE))) AS score FROM sc)"""
 
 
 def sentences(table: str = "documents") -> str:
@@ -482,4 +482,21 @@ raw_bytes AS (SELECT doc_id, line_no, start_byte, [{byte("k")} FOR k IN range(1,
 sized AS (SELECT doc_id, line_no, count(*) AS n FROM grams GROUP BY 1, 2),
 every AS (SELECT r.doc_id, r.start_byte, b.b, coalesce(s.v / sqrt(z.n), 0) AS v FROM raw_bytes r CROSS JOIN (SELECT unnest(range(0, 64)) AS b) b LEFT JOIN summed s ON s.doc_id = r.doc_id AND s.line_no = r.line_no AND s.b = b.b
   LEFT JOIN sized z ON z.doc_id = r.doc_id AND z.line_no = r.line_no)""") + "SELECT doc_id, start_byte AS feature_pos, string_agg(round(v * 1000000::DOUBLE)::BIGINT::VARCHAR, ',' ORDER BY b) AS features FROM every GROUP BY doc_id, start_byte"
+    segs = located("[^\\n\\r]*[^ \\t\\n\\r][^\\n\\r]*", "struct_docs", "sl") + f""",
+slines AS (SELECT doc_id, k, CASE {display("value")} WHEN 'heading' THEN 'section' WHEN 'list' THEN 'list_item' WHEN 'metadata' THEN 'metadata' END AS label, s + length(value) - length(ltrim(value, ' ')) AS start,
+  s + length(value) - length(ltrim(value, ' ')) + length(trim(value, ' ')) AS "end", sb + length(value) - length(ltrim(value, ' ')) AS start_byte,
+  {count("replace(g, chr(13) || chr(10), chr(10))", "[" + chr(92) + "n" + chr(92) + "r]")} >= 2 AS apart FROM sl),
+ev AS (SELECT doc_id, start_byte AS place, 0 AS mark, label, start, "end", apart FROM slines UNION ALL
+  SELECT doc_id, break_end, 1, NULL, e + length(a) - length(ltrim(a, {WS})), e, false FROM scored WHERE score >= {THRESHOLD}),
+ln AS (SELECT *, max(CASE WHEN mark = 0 THEN "end" END) OVER w AS line_end, last_value(CASE WHEN mark = 0 THEN coalesce(label, '') END IGNORE NULLS) OVER w AS last_label, lag(mark) OVER v AS last_mark
+  FROM ev WINDOW w AS (PARTITION BY doc_id ORDER BY place, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY doc_id ORDER BY place, mark)),
+ins AS (SELECT *, lag(mark = 1 AND start < line_end) OVER (PARTITION BY doc_id ORDER BY place, mark) AS last_inside FROM ln),
+rs AS (SELECT *, CASE WHEN mark = 1 THEN CASE WHEN start < line_end THEN start END WHEN label IS NOT NULL OR coalesce(last_label, '') <> '' OR apart OR last_mark IS NULL OR last_mark = 1 AND NOT last_inside THEN start END AS restart FROM ins),
+se AS (SELECT doc_id, mark, "end", last_value(restart IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM rs),
+rn AS (SELECT *, sum(CASE WHEN label IS DISTINCT FROM prior OR start - prior_end > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run
+  FROM (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY k) AS prior, lag("end") OVER (PARTITION BY doc_id ORDER BY k) AS prior_end FROM slines)),
+segs AS (SELECT doc_id, 'sentence' AS label, start, "end" FROM se WHERE mark = 1 AND start < "end" UNION ALL SELECT doc_id, label, min(start), max("end") FROM rn WHERE label IS NOT NULL GROUP BY doc_id, label, run)"""
+    out["segment_spans"] = with_(STRUCT, scored("struct_docs"), segs) + 'SELECT doc_id, label, start::BIGINT AS start, "end"::BIGINT AS "end" FROM segs'
+    out["segment_documents"] = with_(STRUCT, scored("struct_docs"), segs) + """SELECT d.doc_id, count(s.doc_id) AS spans, (any_value(length(d.text)) + coalesce(sum(2 * length(s.label) + 9), 0))::BIGINT AS size
+  FROM struct_docs d LEFT JOIN segs s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
     return out

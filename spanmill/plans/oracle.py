@@ -499,4 +499,7 @@ segs AS (SELECT doc_id, 'sentence' AS label, start, "end" FROM se WHERE mark = 1
     out["segment_spans"] = with_(STRUCT, scored("struct_docs"), segs) + 'SELECT doc_id, label, start::BIGINT AS start, "end"::BIGINT AS "end" FROM segs'
     out["segment_documents"] = with_(STRUCT, scored("struct_docs"), segs) + """SELECT d.doc_id, count(s.doc_id) AS spans, (any_value(length(d.text)) + coalesce(sum(2 * length(s.label) + 9), 0))::BIGINT AS size
   FROM struct_docs d LEFT JOIN segs s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+    out["silver_labels"] = with_(context(), scored(), f"""kept AS (SELECT s.doc_id, s.text, s.e, s.break_end FROM scored s JOIN ctx c ON s.doc_id = c.doc_id AND s.sb = c.feature_pos WHERE s.score >= {THRESHOLD} AND NOT (here = '.' AND coalesce({false}, false))),
+cut AS (SELECT doc_id, text, e, break_end, lag(e, 1, 0) OVER w AS c, lag(break_end, 1, 0) OVER w AS b FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY e)),
+raw AS (SELECT *, substring(text, c + 1, e - c) AS r FROM cut)""") + f"""SELECT doc_id, (c + length(r) - length(ltrim(r, {WS})))::BIGINT AS start, e AS "end", (b + length(r) - length(ltrim(r, {WS})))::BIGINT AS start_byte, break_end AS end_byte FROM raw"""
     return out

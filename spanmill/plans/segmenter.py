@@ -22,7 +22,7 @@ THRESHOLD = 0.5
 def _is_break(m: Column, threshold: float | None = None) -> Column:
     """Score of a mark by its surroundings, or whether that is at least ``threshold``."""
     right, after = m["right"], m["after"]
-    tests = [right.rlike("^[ \\t\\n\\r]"), F.length(right) == 0, right.rlike("^[0-9]"), right.rlike("^[ \\t\\n\\r]") & after.rlike("^[a-z]"), m["left"].rlike("(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
+    tests = [right.rlike("^[ \\t\\n\\r]"), F.length(right) == 0, right.rlike("^[0-9]"), right.rlike("^[ \\t\\n\\r]") & after.rlike("^[a-z]"), F.right(m["left"], F.lit(4)).rlike("(?:^|[^A-Za-z])[A-Z][a-z]?\\z")]
     z = F.lit(BIAS)
     for test, weight in zip(tests, WEIGHTS, strict=True):
         z = z + F.when(test, weight).otherwise(0.0)
@@ -45,8 +45,11 @@ def score(docs: DataFrame, pattern: str = "[.!?]") -> DataFrame:
     return rows.select("doc_id", F.col("m.end_byte").alias("break_end"), F.col("m.end").alias("break_char"), _is_break(F.col("m")).alias("score"))
 
 
-def _sentence_spans(threshold: float) -> Column:
-    """Array of sentence spans of ``text``: from the first non-blank behind a break to the next break."""
+def _sentence_spans(threshold: float, careful: bool = False) -> Column:
+    """Array of sentence spans of ``text``: from the first non-blank behind a break to the next break.
+
+    ``careful`` joins what a full stop of an abbreviation, a number or the like would part.
+    """
 
     def find(marks: Column) -> Column:
         zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("byte"), F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("end_byte"))
@@ -55,13 +58,15 @@ def _sentence_spans(threshold: float) -> Column:
             lead = F.length(m["gap"]) - F.length(F.ltrim(m["gap"], F.lit(T.BLANKS)))
             start, byte = F.coalesce(state["start"], state["end"] + lead), F.coalesce(state["byte"], state["end_byte"] + lead)
             good = _is_break(m, threshold)
+            if careful:
+                good = good & ~((m["value"] == ".") & F.coalesce(Q.false_boundary(m["left"], m["right"]), F.lit(False)))
             span = F.struct(start.alias("start"), m["end"].alias("end"), byte.alias("start_byte"), m["end_byte"].alias("end_byte"))
             following = F.struct(F.when(~good, start).alias("start"), F.when(~good, byte).alias("byte"), m["end"].alias("end"), m["end_byte"].alias("end_byte"))
             return following, F.when(good, span)
 
         return F.filter(T.scan(marks, zero, step, T.SPAN), lambda x: x.isNotNull())
 
-    return T.let(T.locate("text", "[.!?]", (*AROUND, "gap"), 4), find)
+    return T.let(T.locate("text", "[.!?]", (*AROUND, "gap", *(["value"] if careful else [])), 32 if careful else 4), find)
 
 
 def sentences(docs: DataFrame, threshold: float = THRESHOLD, values: bool = True) -> DataFrame:
@@ -77,6 +82,11 @@ def sentences(docs: DataFrame, threshold: float = THRESHOLD, values: bool = True
     return docs.select("doc_id", F.explode(found).alias("p")).select("doc_id", "p.*")
 
 
+def silver_labels(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, spans)``: trimmed sentences of each text for training, joined over full stops that end none, in code points and bytes."""
+    return docs.select("doc_id", _sentence_spans(threshold, True).alias("spans"))
+
+
 #: Kinds of lines that are spans of their own, and their labels.
 STRUCTURE = {"heading": "section", "list": "list_item", "metadata": "metadata"}
 _LABELLED = "struct<label:string,start:bigint,end:bigint,start_byte:bigint,end_byte:bigint>"

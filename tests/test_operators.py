@@ -219,3 +219,11 @@ def test_hash_draw_in_64_bits(spark):
     for r in got:
         mixed = (r.i * 1146959810393466583 % 2**64) ^ (r.p * 1099511628211 % 2**64) ^ r.e
         assert r.u == mixed % 10000 / 10000
+
+
+def test_independent_heads(spark):
+    rows = spark.createDataFrame([([float(k % 7), float(k % 3)], int(k % 7 > 3), None if k % 5 == 0 else int(k % 3 == 0), 1) for k in range(300)], "features array<double>, a int, b int, c int")
+    heads = M.fit_heads(rows, ["a", "b", "c"])
+    got = rows.select("a", "b", *[M.logistic(F.col("features"), *heads[h]).alias(f"p{h}") for h in heads]).collect()
+    assert all((r.pa > 0.5) == (r.a == 1) for r in got) and all(r.pc > 0.99 for r in got)
+    assert all((r.pb > 0.5) == (r.b == 1) for r in got if r.b is not None)

@@ -63,6 +63,33 @@ def as_of(positions: DataFrame, scores: DataFrame, on: str = "position", value:
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("side = 1").drop("side")
 
 
+#: Shares of the end's score, of the next start's and of the drop of being inside, in a fused score; least thresholds (fixed values).
+FUSED, LEAST_END, LEAST_BREAK, OF_END = (0.70, 0.20, 0.10), 0.01, 0.08, 0.55
+
+
+def fused_breaks(candidates: DataFrame, scores: DataFrame, end_threshold: float = 0.20) -> DataFrame:
+    """``(doc_id, end, score, selected)`` of candidates ``(doc_id, end, next_start)`` from scores ``(doc_id, position, inside, starts, ends)``.
+
+    A break's score takes the end's, the next start's and how far being inside drops between the byte before the
+    end and the next start. Each is the last score at or before its place, or a
+    document's first one; a null ``next_start`` counts 0. All lookups are one window over a document.
+    """
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("what"), at.cast("long").alias("at")) for k, at in enumerate((F.col("end"), F.greatest(F.col("end") - 1, F.lit(0)), F.col("next_start")))]))
+    asked = candidates.select("doc_id", "end", places.alias("p")).where("p.at is not null")
+    kind = "struct<inside:double,starts:double,ends:double>"
+    known = scores.select("doc_id", F.col("position").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("int").alias("what"), F.struct(*[F.col(c).cast("double").alias(c) for c in ("inside", "starts", "ends")]).cast(kind).alias("s"))
+    both = known.unionByName(asked.select("doc_id", "p.at", F.lit(1).alias("side"), F.col("end").cast("long").alias("end"), "p.what", F.lit(None).cast(kind).alias("s")))
+    w = Window.partitionBy("doc_id").orderBy("at", "side")
+    last = F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = both.withColumn("s", F.coalesce(last, first)).where("side = 1")
+    of = lambda what, c: F.coalesce(F.max(F.when(F.col("what") == what, F.col(f"s.{c}"))), F.lit(0.0))
+    parts = found.groupBy("doc_id", "end").agg(of(0, "ends").alias("e"), of(2, "starts").alias("n"), F.greatest(of(1, "inside") - of(2, "inside"), F.lit(0.0)).alias("d"))
+    score = FUSED[0] * F.col("e") + FUSED[1] * F.col("n") + FUSED[2] * F.col("d")
+    limit = max(OF_END * max(end_threshold, LEAST_END), LEAST_BREAK)
+    return parts.select("doc_id", "end", score.alias("score")).withColumn("selected", F.col("score") >= limit)
+
+
 def unit_spans(units: DataFrame) -> DataFrame:
     """Neighbouring units of one label merged; ``none`` breaks and is left out. ``units``: ``(doc_id, k, label, start, end)``."""
     merged = runs(units, order="k").groupBy("doc_id", "run", "label").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("units"))

@@ -502,4 +502,9 @@ segs AS (SELECT doc_id, 'sentence' AS label, start, "end" FROM se WHERE mark = 1
     out["silver_labels"] = with_(context(), scored(), f"""kept AS (SELECT s.doc_id, s.text, s.e, s.break_end FROM scored s JOIN ctx c ON s.doc_id = c.doc_id AND s.sb = c.feature_pos WHERE s.score >= {THRESHOLD} AND NOT (here = '.' AND coalesce({false}, false))),
 cut AS (SELECT doc_id, text, e, break_end, lag(e, 1, 0) OVER w AS c, lag(break_end, 1, 0) OVER w AS b FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY e)),
 raw AS (SELECT *, substring(text, c + 1, e - c) AS r FROM cut)""") + f"""SELECT doc_id, (c + length(r) - length(ltrim(r, {WS})))::BIGINT AS start, e AS "end", (b + length(r) - length(ltrim(r, {WS})))::BIGINT AS start_byte, break_end AS end_byte FROM raw"""
+    out["decode_fused"] = with_(located("[.!?]"), f"""cand AS (SELECT doc_id, eb AS "end", greatest(eb - 1, 0) AS inner_at, CASE WHEN length({AFTER}) > 0 THEN eb + length(a) - length(ltrim(a, {WS})) END AS next_start FROM loc),
+sc AS (SELECT doc_id, p AS position, (p * 7) % 11 / 10.0::DOUBLE AS inside, (p * 3) % 13 / 12.0::DOUBLE AS starts, (p * 5) % 17 / 16.0::DOUBLE AS ends FROM (SELECT doc_id, unnest(range(0, strlen(text), 16))::BIGINT AS p FROM documents WHERE strlen(text) > 0)),
+j AS (SELECT c.doc_id, c."end", e.ends, coalesce(n.starts, 0) AS starts, greatest(i.inside - coalesce(n.inside, 0), 0) AS drop FROM cand c ASOF JOIN sc e ON c.doc_id = e.doc_id AND c."end" >= e.position
+  ASOF JOIN sc i ON c.doc_id = i.doc_id AND c.inner_at >= i.position ASOF LEFT JOIN sc n ON c.doc_id = n.doc_id AND c.next_start >= n.position),
+f AS (SELECT doc_id, "end", 0.70::DOUBLE * ends + 0.20::DOUBLE * starts + 0.10::DOUBLE * drop AS score FROM j)""") + 'SELECT doc_id, "end", round(score, 6) AS score, score >= 0.55::DOUBLE * 0.9::DOUBLE AS selected FROM f'
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 19
 #: Bytes of an Arrow batch that goes to a Python worker, where the session's builder doesn't say otherwise.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -175,7 +175,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         edges = edges.unionAll(twins.join(of, "key").join(of.toDF("lo", "other"), "lo").select("node", "other"))
     joined = components(edges, "node", "other").withColumnRenamed("id", "node")
     per = durable(classes.drop("v").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
-    least = per.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = durable(per.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     per = per.join(least, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     discard(classes, entries, found, several)
     out = rows.select("id", "key").join(per, "key", "left")

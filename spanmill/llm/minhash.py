@@ -163,9 +163,10 @@ def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` ``(node, component)`` after ``links`` ``(a, b)`` join components."""
     links = durable(links, "confirmed")
     ends = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").where("ca <> cb").select("ca", "cb")
-    roots = components(ends, "ca", "cb").toDF("component", "root")
-    discard(links)
-    return durable(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+    roots = durable(components(ends, "ca", "cb").toDF("component", "root"), "roots")
+    out = durable(labels.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+    discard(links, roots)
+    return out
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def near_duplicates(
         links = twins.join(of, "digest").withColumnRenamed("node", "a").join(of.toDF("lo", "b"), "lo").select("a", "b")
         labels = merge(labels, links)
     labelled = durable(classes.select("digest", "node", "rep").join(labels, "node"), "labelled")
-    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = durable(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "least")  # a table, so that a skewed join is split
     found = labelled.join(least, "component").select("digest", "component_id")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     discard(classes, shared, members, sets, several)

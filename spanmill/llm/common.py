@@ -92,6 +92,36 @@ def maybe(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (mask[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
+#: Distinct keys and their counts that a task holds before it sends them on.
+HELD_COUNTS = 1 << 20
+
+
+def merge_counts(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct int64 keys of several pieces and the sums of their counts."""
+    if not pieces:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, inverse = np.unique(np.concatenate([k for k, _ in pieces]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, inverse, np.concatenate([n for _, n in pieces]))
+    return keys, counts
+
+
+def combined(pieces):
+    """Counts of a task's batches added up before they are shuffled, ``HELD_COUNTS`` keys at a time at most."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[0])
+        if size > HELD_COUNTS:
+            held = [merge_counts(held)]
+            size = len(held[0][0])
+            if 2 * size > HELD_COUNTS:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield merge_counts(held)
+
+
 def utf8_batch(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of an Arrow string column; nulls become empty rows."""
     if column.null_count:

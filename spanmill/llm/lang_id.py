@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import small_batches
+from spanmill.llm.common import merge_counts, small_batches
 
 UNKNOWN = "und"
 #: Code points that are counted at a time.
@@ -42,18 +42,8 @@ def ngrams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pieces.append(_count_ngrams(text[at:end], letters))
         at = end
         if len(pieces) > 32:
-            pieces = [_merge(pieces)]
-    return pieces[0] if len(pieces) == 1 else _merge(pieces)
-
-
-def _merge(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of counts of several pieces."""
-    if not pieces:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, inverse = np.unique(np.concatenate([g for g, _ in pieces]), return_inverse=True)
-    counts = np.zeros(len(grams), np.int64)
-    np.add.at(counts, inverse, np.concatenate([n for _, n in pieces]))
-    return grams, counts
+            pieces = [merge_counts(pieces)]
+    return pieces[0] if len(pieces) == 1 else merge_counts(pieces)
 
 
 def _count_ngrams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +119,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
                 for text in texts:
                     found.append(ngrams(text, letters))
                     if len(found) > 256:
-                        found = [_merge(found)]
-                grams, counts = _merge(found)
+                        found = [merge_counts(found)]
+                grams, counts = merge_counts(found)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
 
     summed = picked.select("text", "lang").transform(small_batches).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

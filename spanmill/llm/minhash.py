@@ -243,8 +243,9 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of rows ``(node, component, n, elements)`` in different components that may have similarity ``percent``.
 
     Elements are ranked from rare to frequent. Sets of at least that similarity
-    share an element among the first ``n - ceil(n * percent / 100) + 1`` of
-    each, and the ranks of the first shared one bound the overlap; both rules
+    share an element among the first ``n - ceil(n * percent / 100) + 1`` of the
+    larger and the first ``n - ceil(2 * n * percent / (100 + percent)) + 1`` of the smaller one,
+    and the ranks of the first shared one bound the overlap. These rules
     are exact, and they drop pairs that share only frequent elements.
     """
     frequency = sets.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("df"))
@@ -260,10 +261,11 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
         .select("node", "component", "n", "rank", F.col("e.element").alias("element")),
         "prefix",
     )
+    small = prefix.where(f"rank < n - ceil(2 * n * {percent} / (100 + {percent})) + 1")
     other = prefix.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "rank")))
     fits = (
-        "component < other_component and "
-        f"(100 + {percent}) * (1 + least(n - rank, other_n - other_rank) - 1) >= {percent} * (n + other_n)"
+        f"component <> other_component and (n < other_n or n = other_n and node < other_node) and 100 * n >= {percent} * other_n and "
+        f"(100 + {percent}) * least(n - rank, other_n - other_rank) >= {percent} * (n + other_n)"
     )
-    pairs = prefix.join(other, ["element"]).where(fits)
+    pairs = small.join(other, ["element"]).where(fits)
     return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()

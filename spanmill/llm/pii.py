@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import bit_filter, discard, durable, maybe, small_batches, steps, utf8_batch
+from spanmill.llm.common import bit_filter, combined, discard, durable, maybe, small_batches, steps, utf8_batch
 from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, lower_table, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -121,15 +121,17 @@ def count_held(docs: DataFrame, known: np.ndarray, text_col: str = "text") -> Da
     """``(term, held)``: in how many rows that hold an entity of the filter ``known`` each term occurs."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
-    def run(batches):
+    def found(batches):
         for batch in batches:
-            found = [np.zeros(0, np.int64)]
             for text in batch.column(0).to_pylist():
                 spans = find_personal(text) if text else []
                 if spans and maybe(sent.value, _entities(text, spans)).any():
-                    found.append(np.unique(_terms(text, spans)[0]))
-            term, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
+                    terms = np.unique(_terms(text, spans)[0])
+                    yield terms, np.ones(len(terms), np.int64)
+
+    def run(batches):
+        for term, n in combined(found(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], ["term", "n"])
 
     return docs.select(text_col).transform(small_batches).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("held"))
 
@@ -165,7 +167,7 @@ def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
     """
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(terms, "term", FILTER_BITS))
 
-    def run(batches):
+    def found(batches):
         for batch in batches:
             data, offsets = utf8_batch(batch.column(0))
             for i, j in steps(offsets):
@@ -178,8 +180,11 @@ def count_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
                 h, r = hashes[k][order], row[order]
                 fresh = np.ones(len(h), bool)
                 fresh[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-                term, n = np.unique(h[fresh], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
+                yield np.unique(h[fresh], return_counts=True)
+
+    def run(batches):
+        for term, n in combined(found(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
 
     return docs.select(text_col).transform(small_batches).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
 

@@ -23,6 +23,8 @@ from spanmill.llm.components import components
 #: Vectors of a cell that one task compares with as many others, and pivots at most.
 BLOCK = 4096
 MAX_PIVOTS = 512
+#: Up to so many cells (pivots, and lengths of vectors without one) have their sizes broadcast.
+BROADCAST_CELLS = 100_000
 _SLACK = 1e-4
 
 
@@ -156,6 +158,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pivots = [p / np.linalg.norm(p) for p in pivots]
     entries = durable(cell_entries(classes, pivots, math.sqrt(2 - 2 * cosine)), "entries")
     sizes = entries.groupBy("cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("homes"), F.count_if(F.col("home") != F.col("cell")).alias("guests"))
+    sizes = durable(sizes, "sizes")
+    if sizes.count() <= BROADCAST_CELLS:  # else entries of a large cell would meet in one task
+        sizes = F.broadcast(sizes)
     at_home = F.col("home") == F.col("cell")
     blocks = lambda side: F.ceil(F.col(side) / BLOCK)
     dealt = entries.join(sizes, "cell").withColumns({"homes": blocks("homes"), "guests": blocks("guests")}).where("homes > 0")

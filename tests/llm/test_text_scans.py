@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spanmill.llm import decontam, lang_id, mixing, pii, secrets
+from spanmill.llm import common, decontam, lang_id, mixing, pii, secrets
 from tests.llm.corpus import SCHEMA, documents, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -252,3 +253,27 @@ def test_personal_patterns_are_those_of_the_contract():
         text = "".join(rng.choice("12.. ") for _ in range(rng.randint(0, 20)))
         assert [m.span() for m in ip.finditer(text)] == [m.span() for m in pii._IP.finditer(text)]
     assert pii.find_personal("1" * 300_000 + "a" * 300_000 + "@") == []
+
+
+def test_counts_added_up_in_a_task(monkeypatch):
+    rng = random.Random(6)
+    words = [[rng.randrange(50) for _ in range(rng.randrange(30))] for _ in range(40)]
+    total = {}
+    for x in (w for ws in words for w in ws):
+        total[x] = total.get(x, 0) + 1
+    for held in (1 << 20, 60, 3):
+        monkeypatch.setattr(common, "HELD_COUNTS", held)
+        got = {}
+        for keys, counts in common.combined(np.unique(np.array(ws, np.int64), return_counts=True) for ws in words):
+            for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
+                got[k] = got.get(k, 0) + n
+        assert got == total
+
+
+def test_ngrams_of_long_texts(monkeypatch):
+    letters = lang_id.letter_table()
+    text = "".join(random.Random(7).choice("abé ,.Σ\U0001d400") for _ in range(3000)) + "x" * 500
+    whole = lang_id.ngrams(text, letters)
+    monkeypatch.setattr(lang_id, "PIECE", 40)
+    pieces = lang_id.ngrams(text, letters)
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True)) and len(lang_id.ngrams("", letters)[0]) == 0

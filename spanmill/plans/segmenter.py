@@ -54,16 +54,21 @@ def _sentence_spans(threshold: float, careful: bool = False) -> Column:
     def find(marks: Column) -> Column:
         zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("byte"), F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("end_byte"))
 
-        def step(state: Column, m: Column) -> tuple[Column, Column]:
-            lead = F.length(m["gap"]) - F.length(F.ltrim(m["gap"], F.lit(T.BLANKS)))
-            start, byte = F.coalesce(state["start"], state["end"] + lead), F.coalesce(state["byte"], state["end_byte"] + lead)
+        def judge(m: Column) -> Column:
+            """What the fold needs of a mark, worked out once."""
             good = _is_break(m, threshold)
             if careful:
                 good = good & ~((m["value"] == ".") & F.coalesce(Q.false_boundary(m["left"], m["right"]), F.lit(False)))
+            lead = F.length(m["gap"]) - F.length(F.ltrim(m["gap"], F.lit(T.BLANKS)))
+            return F.struct(m["end"].alias("end"), m["end_byte"].alias("end_byte"), lead.alias("lead"), good.alias("good"))
+
+        def step(state: Column, m: Column) -> tuple[Column, Column]:
+            start, byte = F.coalesce(state["start"], state["end"] + m["lead"]), F.coalesce(state["byte"], state["end_byte"] + m["lead"])
             span = F.struct(start.alias("start"), m["end"].alias("end"), byte.alias("start_byte"), m["end_byte"].alias("end_byte"))
-            following = F.struct(F.when(~good, start).alias("start"), F.when(~good, byte).alias("byte"), m["end"].alias("end"), m["end_byte"].alias("end_byte"))
-            return following, F.when(good, span)
+            following = F.struct(F.when(~m["good"], start).alias("start"), F.when(~m["good"], byte).alias("byte"), m["end"].alias("end"), m["end_byte"].alias("end_byte"))
+            return following, F.when(m["good"], span)
 
+        marks = F.transform(marks, judge)
         return F.filter(T.scan(marks, zero, step, T.SPAN), lambda x: x.isNotNull())
 
     return T.let(T.locate("text", "[.!?]", (*AROUND, "gap", *(["value"] if careful else [])), 32 if careful else 4), find)

@@ -35,6 +35,50 @@ low AS (SELECT id, min(low) AS low FROM reach GROUP BY id)
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id)::BIGINT AS n_links, low.low AS component_id, low.low = e.vec_id AS kept FROM embeddings e JOIN low ON low.id = e.vec_id
 """
 
+OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+good AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT w.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS mask
+  FROM w LEFT JOIN good ON w.doc_id = good.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier FROM orders, unnest(range(1, 6)) AS r(step)),
+counted AS (
+  SELECT part, filter_order, step, bit, sum(n) AS total, coalesce(sum(n) FILTER (mask & bit <> 0), 0) AS fails, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS removed,
+    coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, (total - sum(removed) OVER (PARTITION BY part, filter_order ORDER BY step))::BIGINT AS kept, removed::BIGINT AS removed,
+  (fails - removed)::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
+
+
+def op13(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds on (vector, component) rows, distances and floors in wide integers."""
+    parts = [
+        "kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT vec_id, i, v[i]::HUGEINT AS x FROM kept, unnest(range(1, 65)) AS r(i))",
+        f"c0 AS MATERIALIZED (SELECT c, i, x FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept) JOIN x USING (vec_id) WHERE c < {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} AS (SELECT vec_id, c, sum((x.x - c{n}.x) * (x.x - c{n}.x)) AS d FROM x JOIN c{n} USING (i) GROUP BY vec_id, c)")
+        parts.append(f"a{n} AS MATERIALIZED (SELECT vec_id, min_by(c, {k} * d + c) AS c, min(d) AS d FROM d{n} GROUP BY vec_id)")
+        if n < rounds:
+            parts.append(f"s{n} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN x USING (vec_id) GROUP BY c, i)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - (s % n + n) % n) // n, x) AS x FROM c{n} LEFT JOIN s{n} USING (c, i))")
+    text = f"t AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)"
+    return with_(*parts, text) + f"""SELECT vec_id, a{rounds}.c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN t ON a{rounds}.c = t.c"""
+
 
 def op5() -> str:
     """Every rule's matches with offsets, filtered, joined in order."""
@@ -55,4 +99,6 @@ def build() -> dict[str, str]:
         "op5_secret_scan_blob_ledger": op5(),
         "op7_source_mixing": mixing.ORACLE_SQL,
         "op9_embedding_range_join": OP9,
+        "op11_filter_interaction_audit": OP11,
+        "op13_hamerly_clusters": op13(),
     }

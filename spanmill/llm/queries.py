@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmill.llm import decontam, embed_join, html_extract, lang_id, minhash, mixing, oracle, pii, secrets, suffix_dedup, warc
+from spanmill.llm import centroids, decontam, embed_join, html_extract, interaction, lang_id, minhash, mixing, oracle, packing, pii, secrets, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,26 @@ def op10_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), lang_id.held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters of ``documents`` remove in each of their 120 orders, for each language."""
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of ``documents`` in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of ``embeddings`` around 8 integer centroids after 10 rounds."""
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    components = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(components.cast("binary"), 256).alias("centroid_sha256"))
+
+
 QUERIES = [
     op1_html_main_text,
     op2_warc_round_trip,
@@ -103,6 +123,9 @@ QUERIES = [
     op8_minhash_near_dedup,
     op9_embedding_range_join,
     op10_rank_order_language_id,
+    op11_filter_interaction_audit,
+    op12_linear_grouping_packing,
+    op13_hamerly_clusters,
 ]
 
 

@@ -13,6 +13,7 @@ within 1 + epsilon in linear time, 1981.)
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmill.llm.common import discard, durable, small_batches
+from spanmill.llm.common import discard, durable, small_batches, utf8_batch
 
 CAPACITY = 2048
 #: Ends every document.
@@ -33,68 +35,172 @@ END_ID = 0
 #: ``(parts, groups)`` of the plans tried: lengths of ``capacity / parts`` or more are large and form so many groups.
 #: The first plan that no other can beat is kept, else that of fewest sequences.
 SCHEMES = ((2, 64), (3, 128), (4, 64))
-#: Characters of a text that are encoded at a time, and of a chunk that is remembered; chunks remembered by a task.
-STEP_CHARS = 1 << 20
-CHUNK_CHARS = 64
-CHUNKS = 200_000
+#: Characters that are encoded at a time: many texts share chunks, and what is held is some hundred MB at most.
+STEP_CHARS = 1 << 23
 #: White space as the tokenizers' patterns have it (Unicode's White_Space).
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: No token crosses from a character that isn't white space to one that is, so chunks are encoded one by one.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: No token crosses from a character that isn't white space to one that is, so chunks are encoded one by one, each once for a batch.
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_CUT = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+#: Texts whose chunks aren't just what stands between blanks.
+_IRREGULAR = f"[{_SPACE}] |^ "
+#: Chunks that may be encoded in one string: white space first and none last, characters whose classes all versions of Unicode agree on.
+_JOINABLE = f"^[\t-\r \x85\xa0](?s:.*)[^{_SPACE}]$"
+_PLAIN = "^[\x01-\u024f\u2010-\u2027]*$"
+#: The pattern by which byte-level BPE splits text before its merges (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def merges_as_ranks(tokenizer: str):
+    """An encoder by ranks for the file of a plain byte-level BPE, in which a token's id tells when it is merged; else nothing."""
+    import tiktoken
+
+    with open(tokenizer, encoding="utf-8") as f:
+        raw = json.load(f)
+    split, model = raw.get("pre_tokenizer") or {}, raw["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not raw.get("normalizer") and model.get("type") == "BPE"
+    if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    vocab, merges = model["vocab"], model["merges"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
+    first = len(vocab) - len(merges)
+    if first != 256 or any(vocab.get(a + b) != first + k for k, (a, b) in enumerate(pairs)):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks = {bytes(byte[c] for c in token): rank for token, rank in vocab.items()}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+class Encoder:
+    """Token ids of many texts at once, each distinct chunk being encoded once.
+
+    Ids are those of the file's tokenizer. Chunks of plain characters, without
+    added tokens, are merged by ``merges_as_ranks``, which gives the same ids
+    in less time; all others go to the tokenizer itself.
+    """
 
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer
 
-class ChunkIds(dict):
-    """Token ids of a chunk of text, as little-endian unsigned 32-bit bytes; short chunks are remembered."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self._tokenizer = tokenizer
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self._tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text, ``STEP_CHARS`` characters at a time."""
-        out, at, size = [], 0, STEP_CHARS
-        while at < len(text):
-            chunks = _CHUNK.findall(text, at, at + size)
-            if at + size < len(text):
-                if len(chunks) == 1:  # it may go on
-                    size *= 2
-                    continue
-                chunks.pop()
-            out.append(b"".join(map(self.__getitem__, chunks)))
-            at += sum(map(len, chunks))
-            size = STEP_CHARS
-        return b"".join(out)
-
-
-def cut(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int]]:
+        self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.ranks = merges_as_ranks(tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self.ranks:
+            known = self.ranks.token_byte_values()
+            self.sizes = np.zeros(self.ranks.n_vocab, np.int64)
+            self.sizes[[self.ranks.encode_single_token(t) for t in known]] = [len(t) for t in known]
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, at most about ``STEP_CHARS`` characters at a time."""
+        parts: list[str] = []
+        of: list[int] = []
+        for k, text in enumerate(texts):
+            for part in segments(text or ""):
+                parts.append(part)
+                of.append(k)
+        held: list[np.ndarray] = []
+        at = done = 0
+        while at < len(parts):
+            to, size = at, 0
+            while to < len(parts) and (to == at or size + len(parts[to]) <= STEP_CHARS):
+                size += len(parts[to])
+                to += 1
+            for k, ids in zip(of[at:to], self._group(parts[at:to]), strict=True):
+                if k > done:
+                    yield np.concatenate(held)
+                    held, done = [], k
+                held.append(ids)
+            at = to
+        if held:
+            yield np.concatenate(held)
+
+    def _group(self, parts: list[str]) -> list[np.ndarray]:
+        texts = pa.array(parts, pa.large_string())
+        odd = np.asarray(pc.match_substring_regex(texts, _IRREGULAR))
+        regular, order = np.flatnonzero(~odd), []
+        lists = pc.split_pattern(texts.take(pa.array(regular)), " ")
+        first = np.zeros(len(lists.flatten()), bool)
+        first[np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()] = True
+        chunks = [pc.if_else(pa.array(first), lists.flatten(), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), lists.flatten(), pa.scalar("", pa.large_string())))]
+        counts = np.zeros(len(parts), np.int64)
+        counts[regular] = np.asarray(lists.value_lengths())
+        order += regular.tolist()
+        for k in np.flatnonzero(odd).tolist():
+            found = _CHUNK.findall(parts[k])
+            chunks.append(pa.array(found, pa.large_string()))
+            counts[k] = len(found)
+            order.append(k)
+        coded = pa.concat_arrays(chunks).dictionary_encode()
+        ids, ends = self._distinct(coded.dictionary)
+        which = np.asarray(coded.indices)
+        size = np.diff(ends, prepend=0)[which]
+        stop = np.cumsum(size)
+        flat = ids[np.repeat(ends[which] - stop, size) + np.arange(stop[-1] if len(stop) else 0)]
+        bounds = np.append(0, stop)[np.append(0, np.cumsum(counts[order]))]
+        out: list[np.ndarray] = [flat[:0]] * len(parts)
+        for n, k in enumerate(order):
+            out[k] = flat[bounds[n] : bounds[n + 1]]
+        return out
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after the other, and where each ends."""
+        joined = np.zeros(len(chunks), bool)
+        if self.ranks:
+            joined = np.asarray(pc.match_substring_regex(chunks, _PLAIN)) & np.asarray(pc.match_substring_regex(chunks, _JOINABLE))
+            for token in self.added:
+                joined &= ~np.asarray(pc.match_substring(chunks, token))
+        together, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+        pieces: list[np.ndarray] = []
+        sizes = np.zeros(len(chunks), np.int64)
+        if len(together):
+            picked = chunks.take(pa.array(together))
+            data, bounds = utf8_batch(picked)
+            found = np.array(self.ranks.encode_ordinary(data.tobytes().decode()), np.uint32)
+            ends = np.searchsorted(np.cumsum(self.sizes[found]), bounds[1:]) + 1
+            sizes[together] = np.diff(ends, prepend=0)
+            pieces.append(found)
+        if len(alone):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks.take(pa.array(alone)).to_pylist(), add_special_tokens=False)]
+            sizes[alone] = [len(f) for f in found]
+            pieces += [np.array(f, np.uint32) for f in found]
+        order = np.concatenate((together, alone))
+        ends = np.zeros(len(chunks), np.int64)
+        ends[order] = np.cumsum(sizes[order])
+        # in the order of the chunks: their ids stand elsewhere, so they are gathered once
+        flat = np.concatenate([*pieces, np.zeros(0, np.uint32)])
+        stop = np.cumsum(sizes)
+        return flat[np.repeat(ends - stop, sizes) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+
+def segments(text: str) -> Iterator[str]:
+    """A text in parts of about ``STEP_CHARS`` characters at most, each beginning where a chunk does; a chunk that is longer stays whole."""
+    at = 0
+    while len(text) - at > STEP_CHARS and (found := _CUT.search(text, at + STEP_CHARS)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def cut(ids: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int]]:
     """``(start, length, crc32)`` of each piece of a document's ids; all but the first are full."""
-    n = len(ids) // 4
+    n, raw = len(ids), memoryview(ids.astype("<u4").tobytes())
     first = n if n <= capacity else n % capacity or capacity
     for start, end in zip([0, *range(first, n, capacity)], [*range(first, n + 1, capacity)], strict=True):
-        yield start, end - start, zlib.crc32(ids[4 * start : 4 * end])
+        yield start, end - start, zlib.crc32(raw[4 * start : 4 * end])
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32, task, nth)``: a row for each piece, the ``nth`` of its length in its task."""
 
     def scan(batches):
-        from tokenizers import Tokenizer
-
-        known = ChunkIds(Tokenizer.from_file(tokenizer))
-        end, task = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId()
+        encoder = Encoder(tokenizer)
+        task = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
-        for batch in batches:
+        for batch in together(batches, STEP_CHARS):
             found, owner = [], []
-            for row, text in enumerate(batch.column(1)):
-                for k, (start, length, crc) in enumerate(cut(known.encode(text.as_py() or "") + end, capacity)):
+            for row, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
+                for k, (start, length, crc) in enumerate(cut(np.append(ids, np.uint32(END_ID)), capacity)):
                     found.append((k, start, length, crc, task, seen[length]))
                     owner.append(row)
                     seen[length] += 1
@@ -111,6 +217,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     )
 
 
+def together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one, of about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 # --- the plan, on counts of lengths ---------------------------------------------------------------
 
 

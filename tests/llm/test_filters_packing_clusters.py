@@ -95,21 +95,35 @@ def test_audit_of_other_filters_and_of_nothing(spark):
 ODD = ["\xa0\n  bar foo\xa0 \n x", "foo\x1c\x1d bar \x85   baz　 \t\r\n", "a<|endoftext|>b  <|endoftext|> \n c", "  leading", "trailing  ", "don't we'll  'S", "​ ﻿ x ᠎ y", "数字 和 汉字" * 50, "x" * 3000, " " * 5000 + "a", "\n\n\n a \n\n"]
 
 
-def test_chunks_give_the_whole_texts_ids():
-    whole = Tokenizer.from_file(TOKENIZER)
-    known = packing.ChunkIds(Tokenizer.from_file(TOKENIZER))
-    spaces = [f"ab{chr(c)}{d} cd {chr(c)}\n{chr(c)} ef" for c in [*range(1, 33), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF] for d in ("", " ", "\n", "x")]
-    for text in [*ODD, *spaces]:
-        assert known.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+def whole_ids(texts):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_gives_the_whole_texts_ids():
+    spaces = [f"ab{chr(c)}{d} cd {chr(c)}\n{chr(c)} ef" for c in [*range(0, 33), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF] for d in ("", " ", "\n", "x")]
+    texts = [*ODD, *spaces, "", None, " ", "one", "one two", "one two", "one  two"]
+    encoder = packing.Encoder(TOKENIZER)
+    assert encoder.ranks is not None
+    assert [x.tolist() for x in encoder.encode(texts)] == whole_ids(texts)
+    assert [x.tolist() for t in texts for x in encoder.encode([t])] == whole_ids(texts)
+    assert list(encoder.encode([])) == []
 
 
-def test_steps_through_a_long_text(monkeypatch):
+def test_encoder_on_random_texts_and_by_the_tokenizer_alone():
+    rng = random.Random(7)
+    letters = "abcdeXYZ019 ,.'\"!?-_äéßñ¿¡«»…–“”œŠ$%\t\n  数😀"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    encoder = packing.Encoder(TOKENIZER)
+    assert [x.tolist() for x in encoder.encode(texts)] == whole_ids(texts)
+    encoder.ranks = None
+    assert [x.tolist() for x in encoder.encode(texts[:200])] == whole_ids(texts[:200])
+
+
+def test_steps_through_long_texts(monkeypatch):
     monkeypatch.setattr(packing, "STEP_CHARS", 7)
-    monkeypatch.setattr(packing, "CHUNKS", 3)
-    whole = Tokenizer.from_file(TOKENIZER)
-    known = packing.ChunkIds(whole)
-    for text in ODD:
-        assert known.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert [x.tolist() for x in packing.Encoder(TOKENIZER).encode([*ODD, None, *ODD])] == whole_ids([*ODD, None, *ODD])
+    assert "".join(packing.segments(ODD[9])) == ODD[9]
 
 
 def best_fit_decreasing(lengths, capacity):

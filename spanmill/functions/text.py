@@ -15,7 +15,12 @@ SPAN = "struct<start:bigint,end:bigint,start_byte:bigint,end_byte:bigint>"
 #: Elements that a scan copies at a time.
 BLOCK = 64
 BLANKS = " \t\n\r"
-CLOSERS_AND_BLANKS = "^[\"')\\]}”’»]*[ \\t\\n\\r]*"
+CLOSERS_AND_BLANKS = "^[\"')\\]}>”’»]*[ \\t\\n\\r]*"
+#: What ``locate`` knows of a token of ASCII letters, digits and full stops: its full stops, letters, capitals, and whether its first letter is one.
+TOKEN = "struct<dots:int,letters:int,capitals:int,first:boolean>"
+#: Straight double and single quotes up to and with a match, and how many more curly ones open than close.
+QUOTES = "struct<double:int,single:int,curly_double:int,curly_single:int>"
+_TOKEN_TAIL = "[A-Za-z0-9.]*\\z"
 
 
 def col(c: str | Column) -> Column:
@@ -68,12 +73,36 @@ AROUND = {
     "behind": ("string", lambda raw, s, reach: window(raw, s["end_byte"] + F.octet_length(F.regexp_extract(s["a"], CLOSERS_AND_BLANKS, 0)), reach)),
     "word": ("string", lambda raw, s, reach: F.regexp_extract(s["g"], "[A-Za-z]*\\z", 0)),
     "breaks": ("int", lambda raw, s, reach: F.regexp_count(F.regexp_extract(s["a"], "^[ \\t\\n\\r]*", 0), F.lit("[\\n\\r]"))),
+    "breaks_behind": ("int", lambda raw, s, reach: F.regexp_count(F.regexp_extract(s["a"], CLOSERS_AND_BLANKS, 0), F.lit("[\\n\\r]"))),
     "gap": ("string", lambda raw, s, reach: s["g"]),
     "rest": ("string", lambda raw, s, reach: s["a"]),
-    "dots": ("int", lambda raw, s, reach: s["dots"]),
+    "token": (TOKEN, lambda raw, s, reach: s["token"]),
+    "quotes": (QUOTES, lambda raw, s, reach: s["quotes"]),
 }
 
 
+def _token(before: Column | None, part: Column) -> Column:
+    """The token ``before`` with the characters of ``part`` added."""
+    letters, capitals = F.regexp_count(part, F.lit("[A-Za-z]")), F.regexp_count(part, F.lit("[A-Z]"))
+    first = F.when(letters > 0, F.regexp_extract(part, "[A-Za-z]", 0).rlike("[A-Z]"))
+    known = [F.lit(0), F.lit(0), F.lit(0), F.lit(None).cast("boolean")] if before is None else [before[k] for k in ("dots", "letters", "capitals", "first")]
+    return F.struct(
+        (known[0] + F.regexp_count(part, F.lit("\\."))).alias("dots"), (known[1] + letters).alias("letters"), (known[2] + capitals).alias("capitals"), F.coalesce(known[3], first).alias("first")
+    )
+
+
+def _token_after(before: Column, part: Column) -> Column:
+    """The token that ends behind ``part``, when ``before`` ended in front of it."""
+    tail = F.regexp_extract(part, _TOKEN_TAIL, 0)
+    return F.when(F.length(tail) == F.length(part), _token(before, tail)).otherwise(_token(None, tail))
+
+
+def _quotes(before: Column | None, *parts: Column) -> Column:
+    n = lambda c: sum((F.regexp_count(p, F.lit(c)) for p in parts), F.lit(0))
+    counts = {"double": n('"'), "single": n("'"), "curly_double": n("“") - n("”"), "curly_single": n("‘") - n("’")}
+    return F.struct(*[(v if before is None else before[k] + v).alias(k) for k, v in counts.items()])
+
+
 def locate(text: str | Column, pattern: str, around: tuple[str, ...] = (), reach: int = 32) -> Column:
     """All leftmost non-overlapping matches of a pattern (of non-empty matches) as an array of ``SPAN``.
 
@@ -82,15 +111,17 @@ def locate(text: str | Column, pattern: str, around: tuple[str, ...] = (), reach
     ``AROUND`` to add: up to ``reach`` characters before (``left``) and behind
     (``right``) the match, up to the last non-blank before (``before``) and from
     the first non-blank behind (``after``) or behind closers (``behind``), the
-    letters before it, the line breaks in the blanks behind it, the whole gaps,
-    and the full stops of the token that ends at it. Blank runs of any
+    letters before it, the line breaks in blanks, the whole gaps,
+    the ``TOKEN`` that ends at it, over matches too, and the ``QUOTES`` up to it. Line breaks are counted
+    directly behind (``breaks``) or behind closers (``breaks_behind``). Blank runs of any
     length are looked through, so the pattern must not match blanks or (for
     ``behind``) closers.
     """
     text = col(text)
     more = tuple(dict.fromkeys(around))
     extra = "".join(f",{n}:{AROUND[n][0]}" for n in more)
-    zero = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("dots"))
+    tokens, quoted = "token" in more, "quotes" in more
+    zero = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("b"), (_token(None, F.lit("")) if tokens else F.lit(0)).alias("t"), (_quotes(None, F.lit("")) if quoted else F.lit(0)).alias("q"))
 
     def spans(found: Column, gaps: Column, raw: Column) -> Column:
         n = F.size(found)
@@ -99,15 +130,13 @@ def locate(text: str | Column, pattern: str, around: tuple[str, ...] = (), reach
         def step(state: Column, x: Column) -> tuple[Column, Column]:
             start, start_byte = state["c"] + F.length(x["g"]), state["b"] + F.octet_length(x["g"])
             end, end_byte = start + F.length(x["m"]), start_byte + F.octet_length(x["m"])
-            dots = F.lit(0)
-            if "dots" in more:
-                last = F.regexp_extract(x["g"], "[^ \\t\\n\\r]*\\z", 0)
-                dots = F.when(F.length(last) == F.length(x["g"]), state["dots"]).otherwise(0) + F.regexp_count(last, F.lit("\\."))
             span = {"start": start, "end": end, "start_byte": start_byte, "end_byte": end_byte}
-            place = {**x_fields(x), **span, "dots": dots}
+            token = _token_after(state["t"], x["g"]) if tokens else F.lit(0)
+            quotes = _quotes(state["q"], x["g"], x["m"]) if quoted else F.lit(0)
+            place = {**x_fields(x), **span, "token": token, "quotes": quotes}
             out = F.struct(*[v.alias(k) for k, v in span.items()], *[AROUND[k][1](raw, place, reach).alias(k) for k in more])
-            after = dots + F.regexp_count(x["m"], F.lit("\\.")) if "dots" in more else dots
-            return F.struct(end.alias("c"), end_byte.alias("b"), after.alias("dots")), out
+            after = _token_after(token, x["m"]) if tokens else F.lit(0)
+            return F.struct(end.alias("c"), end_byte.alias("b"), after.alias("t"), quotes.alias("q")), out
 
         return scan(items, zero, step, SPAN[:-1] + extra + ">")
 

@@ -11,6 +11,7 @@ from spanmill.operators.sampling import draw
 
 #: Closers and terminators that may end a sentence (fixed values).
 TERMINATORS = ".!?…\"')]}>“”‘’«»‹›"
+TERMINATOR_PATTERN = "[" + "".join("\\" + c if c.isascii() else c for c in TERMINATORS) + "]"
 CLOSERS = "\"')]}>”’»›"
 
 
@@ -90,8 +91,7 @@ def from_break_ends(docs: DataFrame, breaks: DataFrame, text: str = "text") -> D
 
 def sentence_terminators(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, feature_pos, break_end, value)`` for each character of ``TERMINATORS``."""
-    pattern = "[" + "".join("\\" + c if c.isascii() else c for c in TERMINATORS) + "]"
-    return spans(docs, pattern, text).select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("end_byte").alias("break_end"), "value")
+    return spans(docs, TERMINATOR_PATTERN, text).select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("end_byte").alias("break_end"), "value")
 
 
 def lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

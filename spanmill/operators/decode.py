@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanmill.functions import text as T
+
 
 def threshold_spans(scored: DataFrame, sizes: DataFrame, threshold: float, tail: bool = True) -> DataFrame:
     """Spans that end behind each position with ``score >= threshold``; the rest of the text is a span too if ``tail``.
@@ -119,3 +121,43 @@ def breaks_within(parents: DataFrame, breaks: DataFrame) -> DataFrame:
     cuts = inside.select("doc_id", F.col("owner.k").alias("k"), F.col("owner.start").alias("start"), "at").unionAll(parents.select("doc_id", "k", "start", F.col("end").alias("at")))
     order = Window.partitionBy("doc_id", "k").orderBy("at")
     return cuts.select("doc_id", "k", F.coalesce(F.lag("at").over(order), "start").alias("start"), F.col("at").alias("end")).where("start < end")
+
+
+#: A scored mark: where it ends in bytes and code points, the first non-blank byte behind it (or the end), and its score.
+MARK = "struct<break_end:bigint,break_char:bigint,resume:bigint,score:double>"
+
+
+def best_of_clusters(marks: Column, threshold: float) -> Column:
+    """Of an array of ``MARK`` in order, the best of each cluster.
+
+    Marks of ``threshold`` or more form clusters: one joins the open cluster if
+    it ends where that resumes or before. The highest score stays, of equal ones
+    the first. A fold over the row's marks; a null array gives null.
+    """
+    none = F.lit(None).cast(f"struct<mark:{MARK},reach:bigint>")
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        inside = F.coalesce(x["break_end"] <= state["reach"], F.lit(False))
+        better = x["score"] > state["mark"]["score"]
+        longer = F.struct(F.when(better, x).otherwise(state["mark"]).alias("mark"), F.greatest(state["reach"], x["resume"]).alias("reach"))
+        opened = F.when(x.isNotNull(), F.struct(x.alias("mark"), x["resume"].alias("reach")))
+        return F.when(inside, longer).otherwise(opened), F.when(~inside, state["mark"])
+
+    good = F.concat(F.filter(marks, lambda m: m["score"] >= threshold), F.array(F.lit(None).cast(MARK)))  # the last one flushes
+    return F.filter(T.scan(good, none, step, MARK), lambda m: m.isNotNull())
+
+
+def spans_between(text: Column, ends: Column) -> Column:
+    """Spans ``text.SPAN`` of a text from the first non-blank behind one end to the next end, in an array of ``MARK``; blanks at either end go, empty spans too."""
+    raw = text.cast("binary")
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("char"))
+
+    def step(state: Column, m: Column) -> tuple[Column, Column]:
+        whole = T.byte_piece(raw, state["at"], m["break_end"])
+        lead = F.octet_length(whole) - F.octet_length(F.ltrim(whole, F.lit(T.BLANKS)))
+        body = F.trim(whole, F.lit(T.BLANKS))
+        start, first = state["at"] + lead, state["char"] + lead  # blanks are single bytes
+        span = F.struct(first.alias("start"), (first + F.length(body)).alias("end"), start.alias("start_byte"), (start + F.octet_length(body)).alias("end_byte"))
+        return F.struct(m["break_end"].alias("at"), m["break_char"].alias("char")), F.when(F.length(body) > 0, span)
+
+    return F.filter(T.scan(ends, zero, step, T.SPAN), lambda x: x.isNotNull())

@@ -7,16 +7,19 @@ Byte windows are given for ASCII contexts; other characters count as code 255.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.functions import text as T
+from spanmill.functions.lexicon import DEFAULT, Lexicon
 from spanmill.operators import candidates as C
 from spanmill.operators import lines as L
 
 REACH = 32
 #: Everything that the blocks below look at.
-EVERYTHING = ("value", "left", "right", "before", "behind", "after", "word", "dots", "breaks")
+EVERYTHING = ("value", "left", "right", "before", "behind", "after", "token", "breaks", "breaks_behind")
 
 
 def context(docs: DataFrame, pattern: str = "[.!?]", text: str = "text", reach: int = REACH, around: tuple[str, ...] = EVERYTHING) -> DataFrame:
@@ -44,13 +47,13 @@ def line_context(docs: DataFrame, pattern: str = "[.!?]", text: str = "text", re
     return rows.select("doc_id", F.col("start_byte").alias("feature_pos"), F.col("value").alias("here"), *[n for n in around if n != "value"], *LINE_FLAGS, "line_shares")
 
 
-def _at(offset: int) -> Column:
+def _at(offset: int, get: Callable[[str], Column] = F.col) -> Column:
     """The character ``offset`` places from the candidate, empty outside the text."""
     if offset == 0:
-        return F.col("here")
+        return get("here")
     if offset > 0:
-        return F.substring("right", offset, 1)
-    return F.when(F.length("left") >= -offset, F.substring("left", offset, 1)).otherwise("")
+        return F.substring(get("right"), offset, 1)
+    return F.when(F.length(get("left")) >= -offset, F.substring(get("left"), offset, 1)).otherwise("")
 
 
 def _codes(left: int, right: int) -> Column:
@@ -82,29 +85,30 @@ def boundary_shape() -> Column:
     """What stands at, before and behind the candidate, and what its line and the next look like (22 columns of ``line_context``)."""
     here, after, before = F.col("here"), F.col("behind"), F.col("before")
     tests = [
-        here.rlike("[.!?…]"), here == ".", here == "!", here == "?", here.rlike("[:;]"), here.rlike("[\"')\\]}”’»]"), before.rlike("[.!?…]\\z"), after.rlike("^\\p{Lu}"), after.rlike("^\\p{Ll}"),
-        after.rlike("^[0-9]"), after.rlike("^[\"'“‘]"), after.startswith("#"), after.rlike("^[-*•]"), F.length(after) == 0, F.col("right").rlike("^[\"')\\]}”’»]"),
-        F.col("breaks") >= 2, F.col("line_breaks_before") >= 2, *map(F.col, LINE_FLAGS[:5]),
+        here.rlike("[.!?…]"), here == ".", here == "!", here == "?", here.rlike("[:;]"), here.rlike("[\"')\\]}>”’»]"), before.rlike("[.!?…]\\z"), after.rlike("^\\p{Lu}"), after.rlike("^\\p{Ll}"),
+        after.rlike("^[0-9]"), after.rlike("^[\"'“‘]"), after.startswith("#"), after.rlike("^[-*•]"), F.length(after) == 0, F.col("right").rlike("^[\"')\\]}>”’»]"),
+        F.col("breaks_behind") >= 2, F.col("line_breaks_before") >= 2, *map(F.col, LINE_FLAGS[:5]),
     ]
     return F.array(*[flag(t) for t in tests])
 
 
 def token_shape() -> Column:
     """The token that ends at the candidate and the one that follows."""
-    word, following = F.col("word"), F.regexp_extract("after", "^[A-Za-z]*", 0)
+    token, following = F.col("token"), F.regexp_extract("after", "^[A-Za-z]*", 0)
+    period = F.col("here") == "."
     tests = [
-        flag(F.col("left").rlike("[0-9]\\z") & F.col("right").rlike("^[0-9]")),
-        flag(F.col("left").rlike("[0-9]\\z")),
-        flag(F.col("right").rlike("^[0-9]")),
-        F.least("dots", F.lit(4)) / 4.0,
-        F.least(F.length(word), F.lit(16)) / 16.0,
-        flag(word.rlike("^[A-Z]")),
-        F.when(F.length(word) > 0, F.regexp_count(word, F.lit("[A-Z]")) / F.length(word)).otherwise(0.0),
+        flag(period & F.col("left").rlike("[0-9]\\z") & F.col("right").rlike("^[0-9]")),
+        flag(period & F.col("left").rlike("[0-9]\\z")),
+        flag(period & F.col("right").rlike("^[0-9]")),
+        F.least(token["dots"], F.lit(4)) / 4.0,
+        F.least(token["letters"], F.lit(16)) / 16.0,
+        flag(token["first"]),
+        F.when(token["letters"] > 0, token["capitals"] / token["letters"]).otherwise(0.0),
         F.least(F.length(following), F.lit(16)) / 16.0,
         flag(following.rlike("^[A-Z]")),
         flag(following.rlike("^[a-z]")),
         flag(F.col("breaks") > 0),
-        flag(F.col("here").eqNullSafe(".") & word.rlike("^[A-Z][A-Za-z]{0,3}\\z")),
+        flag(period & token["first"] & token["letters"].between(1, 4)),
     ]
     return F.array(*tests)
 
@@ -213,3 +217,107 @@ def ngram_hashes(lines: DataFrame, buckets: int = 64, least: int = 2, most: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "feature_pos", "features"])
 
     return lines.select("doc_id", F.col("start_byte").cast("long").alias("feature_pos"), "line").mapInArrow(run, "doc_id long, feature_pos long, features array<double>")
+
+
+#: Characters that an item of a list may hold at a candidate, and those that touch one (fixed values).
+ITEM_CHARS = "()0123456789abcdefghijklmnopqrstuvwxyz.•·○●■□▪▫"
+TOUCHING_BEFORE, TOUCHING = ".,;:()", ".,;:()[]"
+#: Letters to the encoder.
+LETTER = "\\p{L}\\p{Nl}"
+#: What ``lexicon_block`` looks at; its windows reach 50 characters.
+LEXICON_FIELDS, LEXICON_REACH = ("value", "left", "right", "quotes"), 50
+
+
+def any_of(words: str | tuple[str, ...]) -> str:
+    """A pattern for any of the words (or characters), longest first."""
+    return "(?:" + "|".join("".join("\\" + c if c.isascii() and not c.isalnum() and not c.isspace() else c for c in w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
+def encoded_character(ch: Column, lexicon: Lexicon) -> Column:
+    """A letter's distance from the lower-case a, from 1 on; 0 for ASCII digits, -1 to -5 for terminators, paragraph ends, white space or nothing, punctuation and the rest."""
+    one_of = lambda chars: ch.rlike("^" + any_of(chars))
+    return (
+        F.when(F.length(ch) == 0, -3).when(ch.rlike(f"^[{LETTER}]"), F.ascii(F.lower(ch)) - 96).when(ch.rlike("^[0-9]"), 0).when(one_of(lexicon.terminators), -1)
+        .when(one_of(lexicon.paragraph), -2).when(one_of(lexicon.spaces) | ch.rlike("^[\\s\\p{Z}]"), -3).when(one_of(lexicon.punctuation), -4).otherwise(-5)
+    ).cast("double")
+
+
+def lexicon_block(left: int = 5, right: int = 3, lexicon: Lexicon = DEFAULT, get: Callable[[str], Column] = F.col) -> Column:
+    """An encoded window and eight flags that look words up, over ``context`` with ``LEXICON_FIELDS`` and ``LEXICON_REACH``.
+
+    The flags: the full stop ends an abbreviation; kind of terminator (1
+    primary, -1 secondary, 0 none); a quote that leaves all quotes up to it in
+    pairs (1 for what is no quote); a closing quote that doesn't stand inside a
+    word; a lower-case letter next; part of a list item (20 characters); a
+    semicolon of a list (50); a colon within 10 characters before. The list
+    windows count characters.
+    """
+    here, before, behind = get("here"), get("left"), get("right")
+    previous, following = F.right(before, F.lit(1)), F.left(behind, F.lit(1))
+    ahead = F.concat(here, behind)
+    among = lambda c, chars: c.rlike("^" + any_of(chars))
+    holds = lambda c, words: c.rlike(any_of(words)) if words else F.lit(False)
+
+    token = F.concat(F.regexp_extract(before, f"[{LETTER}\\p{{N}}.]*\\z", 0), here)
+    abbreviation = (here == ".") & token.isin(*lexicon.abbreviations)
+    kind = F.when(among(here, lexicon.primary), 1.0).when(among(here, lexicon.secondary), -1.0).otherwise(0.0)
+    q = get("quotes")
+    paired = (q["double"] % 2 == 0) & (q["single"] % 2 == 0) & (q["curly_double"] == 0) & (q["curly_single"] == 0)
+    balanced = ~among(here, lexicon.opening_quotes + lexicon.closing_quotes) | paired
+    complete = ~among(here, lexicon.closing_quotes) | ~following.rlike("^\\p{Ll}") | among(following, lexicon.terminators + lexicon.punctuation)
+
+    near20, ahead20 = F.right(before, F.lit(20)), F.left(ahead, F.lit(20))
+    marked = before.rlike(any_of(lexicon.list_markers) + "\\z") | ahead.rlike("^" + any_of(lexicon.list_markers))
+    eligible = among(here, ITEM_CHARS) | (F.length(before) > 0) & (F.length(behind) > 0) & (among(here, ".,;:") | among(previous, ".,;:"))
+    touching = among(here, TOUCHING) | among(previous, TOUCHING_BEFORE) | among(following, TOUCHING)
+    introduced = (F.length(near20) >= 5) & F.right(near20, F.lit(5)).contains(":") & holds(near20, lexicon.list_intros)
+    at = [F.instr(ahead20, w) for w in lexicon.list_conjunctions]
+    joined = [(k > 1) & (k < 6) & F.substring(ahead20, k - 1, F.lit(1)).isin(";", ",") for k in at]
+    item = eligible & (marked | touching & (introduced | (among(here, ";,") | among(previous, ";,")) & _any(joined)))
+    around = F.concat(before, F.left(ahead, F.lit(50)))
+    semicolon = (here == ";") & (
+        (F.regexp_count(around, F.lit(";")) >= 2) | holds(around, lexicon.list_markers) | holds(before, lexicon.list_intros) | holds(F.left(ahead, F.lit(50)), lexicon.list_conjunctions)
+    )
+    colon = F.right(before, F.lit(10)).contains(":")
+    window = [encoded_character(_at(k, get), lexicon) for k in range(-left, right + 1)]
+    return F.array(*window, flag(abbreviation), kind, *map(flag, (balanced, complete, following.rlike("^\\p{Ll}"), item, semicolon, colon)))
+
+
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+#: What ``terminator_block`` looks at.
+TERMINATOR_FIELDS = ("value", "left", "right", "before", "token", "breaks")
+TERMINATOR_WIDTH = 36
+
+
+def terminator_block(lexicon: Lexicon = DEFAULT, get: Callable[[str], Column] = F.col) -> Column:
+    """What tells whether a mark, closer or quote ends a sentence (36 columns over ``context`` with ``TERMINATOR_FIELDS``), each from 0 to 1."""
+    here, left, right, token = get("here"), get("left"), get("right"), get("token")
+    beyond = F.regexp_replace(right, "^[\"')\\]}>”’»]+", "")
+    follow = F.ltrim(beyond, F.lit(T.BLANKS))
+    word = F.regexp_extract(left, f"[{LETTER}\\p{{N}}.]*\\z", 0)
+    dotted = F.concat(word, here)
+    line = F.regexp_extract(left, "[^\\n\\r]*\\z", 0)
+    next_word = F.regexp_extract(follow, f"^[{LETTER}]+", 0)
+    blank = lambda c: c.rlike("^[ \\t\\n\\r]")
+    period = here == "."
+    abbreviation, title = period & dotted.isin(*lexicon.abbreviations), period & dotted.isin(*lexicon.titles)
+    tests = [
+        period, here == "!", here == "?", here == "…", here.isin('"', "'"), here.isin(")", "]", "}", ">"), here.isin("”", "’", "»", "›"), here.isin("“", "‘", "«", "‹"),
+        F.length(right) == 0, blank(right), right.rlike("^[\"')\\]}>”’»]"), right.rlike("^[.!?…]"), blank(beyond) | (F.length(beyond) == 0),
+        F.length(follow) == 0, follow.rlike("^\\p{Lu}"), follow.rlike("^\\p{Ll}"), follow.rlike("^[0-9]"), follow.rlike("^[\"'“‘«(\\[]"),
+        get("breaks") >= 1, get("breaks") >= 2, get("before").rlike("[.!?…]\\z"), blank(F.right(left, F.lit(1))) | (F.length(left) == 0), F.right(left, F.lit(1)).rlike("[0-9]"), F.right(left, F.lit(1)).rlike("[.!?…]"),
+        abbreviation, title, period & word.rlike("^\\p{Lu}\\z"), period & word.rlike("^(?:\\p{L}\\.)+\\p{L}\\z"), period & word.rlike("[0-9]\\z") & right.rlike("^[0-9]"),
+        period & line.rlike("^[ \\t]*(?:[0-9]{1,3}|[IVXLCivxlc]{1,6}|[A-Za-z])\\z"), abbreviation & follow.rlike("^\\p{Lu}"), abbreviation & next_word.isin(*STARTERS), next_word.isin(*STARTERS),
+        abbreviation & follow.rlike("^[0-9]"),
+    ]
+    return F.array(*[flag(t) for t in tests], F.least(token["letters"], F.lit(16)) / 16.0, F.least(token["dots"], F.lit(4)) / 4.0)
+
+
+#: Words that often begin a sentence and seldom follow an abbreviation inside one.
+STARTERS = ("The", "A", "An", "He", "She", "It", "They", "We", "You", "I", "This", "That", "These", "Those", "There", "Then", "But", "And", "However", "When", "If", "In", "On", "At", "After", "His", "Her", "Their", "Our", "My", "What", "Who", "No", "Yes", "Nobody", "Everyone", "Later", "Now", "Shares", "Students")

@@ -14,11 +14,12 @@ from spanmill.operators import kernels as K
 from spanmill.operators import lines as L
 from spanmill.operators import metrics as A
 from spanmill.operators import models as M
+from spanmill.operators import nets as N
 from spanmill.operators import sampling as S
 from spanmill.operators import spans as R
 from spanmill.plans import oracle, segmenter
 from spanmill.plans.pipeline import Pipeline
-from spanmill.sources import generate, pages
+from spanmill.sources import bundles, generate, pages
 
 QUERIES: dict = {}
 
@@ -214,7 +215,7 @@ def feat_ascii_neighbors(spark, d):
 @query
 def feat_boundary_shape(spark, d):
     """shape of the boundary, its line and the next."""
-    return _blocks(X.line_context(structured(spark, d), around=("right", "before", "behind", "breaks")), X.boundary_shape())
+    return _blocks(X.line_context(structured(spark, d), around=("right", "before", "behind", "breaks_behind")), X.boundary_shape())
 
 
 @query
@@ -241,10 +242,57 @@ def feat_dir_byte_classes(spark, d):
     return _blocks(X.context(documents(spark, d), around=("left", "right")), X.class_counts([*[X.BYTE_CLASSES[c] for c in X.COUNTED], *X.UNICODE_GROUPS], 16, 16, True))
 
 
+@query
+def feat_lexicon(spark, d):
+    """Encoded window and word look-ups around marks, 17 columns."""
+    return _blocks(X.context(documents(spark, d), "[.!?;,:\"')]", around=X.LEXICON_FIELDS[1:], reach=X.LEXICON_REACH), X.lexicon_block())
+
+
+@query
+def feat_terminators(spark, d):
+    """What the sentence net looks at, for all terminators."""
+    return _blocks(X.context(documents(spark, d), C.TERMINATOR_PATTERN, around=X.TERMINATOR_FIELDS[1:]), X.terminator_block())
+
+
+@query
+def decode_clusters(spark, d):
+    """The best mark of each cluster of scored terminators; a mark's cluster reaches over closers behind it."""
+    closers = "[" + "".join("\\" + c if c.isascii() else c for c in C.CLOSERS) + "]"
+
+    def scored(m, k):
+        v = m["value"]
+        score = F.when(v.isin(*".!?…"), 0.75).when(v.isin(*C.CLOSERS), 0.5).otherwise(0.25) + F.when(k % 3 == 0, 0.125).otherwise(0.0)
+        resume = m["end_byte"] + F.octet_length(m["rest"]) - F.octet_length(F.ltrim(F.regexp_replace(m["rest"], f"^{closers}+", ""), F.lit(T.BLANKS)))
+        return F.struct(m["end_byte"], m["end"], resume, score).cast(D.MARK)
+
+    marks = F.transform(T.locate("text", C.TERMINATOR_PATTERN, ("value", "rest")), scored)
+    rows = documents(spark, d).select("doc_id", F.explode(D.best_of_clusters(marks, 0.5)).alias("m"))
+    return rows.select("doc_id", "m.break_end", "m.score")
+
+
+@query
+def segment_bundle(spark, d):
+    """Sentences by the trained head of the package's bundle over all terminators."""
+    head = bundles.load(spark, f"file://{segmenter.DEFAULT_BUNDLE}", segmenter.SENTENCE_ROLE)
+    rows = segmenter.bundle_sentences(documents(spark, d), head).select("doc_id", F.explode("spans").alias("s"))
+    return rows.select("doc_id", "s.start", "s.end")
+
+
+@query
+def train_net(spark, d):
+    """A net of two hidden layers for quality and toxicity, trained on all labelled documents, and its scores."""
+    docs = documents(spark, d).join(table(spark, d, "labels"), "doc_id")
+    n = F.greatest(F.length("text"), F.lit(1))
+    shares = F.array(*[F.least(F.regexp_count("text", F.lit(p)) * k / n, F.lit(1.0)) for p, k in (("\\p{Lu}", 4), ("[.!?]", 20), ("[^\\p{L}\\p{N}\\s]", 8), ("\\s", 4), ("[0-9]", 8))], F.least(F.ln(n) / 12, F.lit(1.0)))
+    rows = docs.select("doc_id", shares.alias("features"), F.array(*[F.col(c).cast("int") for c in ("quality", "toxic")]).alias("targets"))
+    fitted = N.fit(rows, (8, 8), epochs=25, rate=0.05, positive=[1.0, 4.0])
+    return rows.select("doc_id", N.scores(F.col("features"), fitted.net).alias("s")).select("doc_id", F.col("s")[0].alias("quality"), F.col("s")[1].alias("toxic"))
+
+
 @query
 def feat_token_shape(spark, d):
     """shape of the tokens."""
-    return _blocks(X.context(documents(spark, d), around=("left", "right", "after", "word", "dots", "breaks")), X.token_shape())
+    return _blocks(X.context(documents(spark, d), around=("left", "right", "after", "token", "breaks")), X.token_shape())
 
 
 @query

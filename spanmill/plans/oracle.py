@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from spanmill.functions.lexicon import DEFAULT as LEXICON
 from spanmill.functions.predicates import ABBREVIATIONS
-from spanmill.operators.candidates import TERMINATORS
+from spanmill.operators.candidates import CLOSERS, TERMINATOR_PATTERN, TERMINATORS
 from spanmill.operators.features import _PUNCTUATION as PUNCTUATION
-from spanmill.operators.features import BYTE_CLASSES, COUNTED, LINE_CHARS, UNICODE_GROUPS
+from spanmill.operators.features import BYTE_CLASSES, COUNTED, ITEM_CHARS, LETTER, LINE_CHARS, STARTERS, TOUCHING, TOUCHING_BEFORE, UNICODE_GROUPS, any_of
 from spanmill.operators.lines import SPACE
 from spanmill.operators.models import fixed_weights
-from spanmill.plans.segmenter import BIAS, THRESHOLD, WEIGHTS
+from spanmill.plans.segmenter import BIAS, THRESHOLD, WEIGHTS, default_net
 
 WS = "' ' || chr(9) || chr(10) || chr(13)"
 CONV = """conv AS (SELECT conv_id AS doc_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text
@@ -66,13 +67,14 @@ def block(values: list[str], digits: int = 6) -> str:
 
 
 def context(pattern: str = "[.!?]", table: str = "documents", reach: int = 32) -> str:
-    bare = f"ltrim(regexp_replace(a, {lit('^[' + chr(34) + chr(39) + ')' + chr(92) + ']}”’»]+')}, ''), {WS})"
+    closers = lit("^[\"')\\]}>”’»]+")
+    bare = f"ltrim(regexp_replace(a, {closers}, ''), {WS})"
+    blanks = lambda c: f"len(regexp_extract_all(regexp_extract({c}, '^[ \\t\\n\\r]*', 0), '[\\n\\r]'))"
     return located(pattern, table) + f""",
-island AS (SELECT *, sum({rx("g", "[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "r]")}::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM loc),
 ctx AS (SELECT doc_id, s, sb AS feature_pos, value AS here, substring(text, greatest(s - {reach} + 1, 1), least(s, {reach})) AS "left", substring(text, e + 1, {reach}) AS "right",
   {BEFORE} AS before, {AFTER} AS after, CASE WHEN length({bare}) > 0 THEN {bare} ELSE next END AS behind, regexp_extract(g, '[A-Za-z]*\\z', 0) AS word,
-  len(regexp_extract_all(regexp_extract(a, '^[ \\t\\n\\r]*', 0), '[\\n\\r]')) AS breaks,
-  count(*) FILTER (value = '.') OVER (PARTITION BY doc_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dots FROM island)"""
+  {blanks("a")} AS breaks, {blanks(f"regexp_replace(a, {closers}, '')")} AS breaks_behind,
+  regexp_extract(substring(text, greatest(s - 400 + 1, 1), least(s, 400)), '[A-Za-z0-9.]*\\z', 0) AS token FROM loc)"""
 
 
 def stripped(c: str) -> str:
@@ -101,6 +103,91 @@ lctx AS (SELECT c.*, l.raw, l.following, l.before AS line_breaks_before, split_p
 LEFT, RIGHT = '"left"', '"right"'
 
 
+def among(value: str, words) -> str:
+    return rx(value, "^" + any_of(words))
+
+
+def holds(value: str, words) -> str:
+    return rx(value, any_of(words))
+
+
+def words(items) -> str:
+    return ", ".join(map(lit, items))
+
+
+def last(value: str, n: int) -> str:
+    return f"(CASE WHEN length({value}) > {n} THEN right({value}, {n}) ELSE {value} END)"
+
+
+def lexicon_features(left: int = 5, right: int = 3, lexicon=LEXICON) -> list[str]:
+    """``features.lexicon_block`` over ``context`` of reach 50 with ``upto``, the text through the mark."""
+
+    def character(c: str) -> str:
+        return f"""CASE WHEN length({c}) = 0 THEN -3 WHEN {rx(c, f"^[{LETTER}]")} THEN unicode(lower({c})) - 96 WHEN {rx(c, "^[0-9]")} THEN 0 WHEN {among(c, lexicon.terminators)} THEN -1
+  WHEN {among(c, lexicon.paragraph)} THEN -2 WHEN {among(c, lexicon.spaces)} OR {rx(c, "^[" + chr(92) + "s" + chr(92) + "p{Z}]")} THEN -3 WHEN {among(c, lexicon.punctuation)} THEN -4 ELSE -5 END"""
+
+    previous, following, ahead = f"({last(LEFT, 1)})", f"left({RIGHT}, 1)", f"(here || {RIGHT})"
+    near20, ahead20, ahead50 = last(LEFT, 20), f"left({ahead}, 20)", f"left({ahead}, 50)"
+    token = f"regexp_extract({LEFT}, {lit(f'[{LETTER}' + chr(92) + 'p{N}.]*' + chr(92) + 'z')}, 0) || here"
+    n = lambda c: f"(length(upto) - length(replace(upto, {lit(c)}, '')))"
+    double, single = n('"'), n("'")
+    paired = f"({double} % 2 = 0 AND {single} % 2 = 0 AND {n('“')} = {n('”')} AND {n('‘')} = {n('’')})"
+    marked = f"({rx(LEFT, any_of(lexicon.list_markers) + chr(92) + 'z')} OR {among(ahead, lexicon.list_markers)})"
+    eligible = f"({among('here', ITEM_CHARS)} OR (length({LEFT}) > 0 AND length({RIGHT}) > 0 AND ({among('here', '.,;:')} OR {among(previous, '.,;:')})))"
+    touching = f"({among('here', TOUCHING)} OR {among(previous, TOUCHING_BEFORE)} OR {among(following, TOUCHING)})"
+    introduced = f"(length({near20}) >= 5 AND contains({last(near20, 5)}, ':') AND {holds(near20, lexicon.list_intros)})"
+    spot = lambda w: f"strpos({ahead20}, {lit(w)})"
+    joined = " OR ".join(f"({spot(w)} BETWEEN 2 AND 5 AND substring({ahead20}, {spot(w)} - 1, 1) IN (';', ','))" for w in lexicon.list_conjunctions)
+    item = f"{eligible} AND ({marked} OR ({touching} AND ({introduced} OR (({among('here', ';,')} OR {among(previous, ';,')}) AND ({joined})))))"
+    around = f"({LEFT} || {ahead50})"
+    semicolon = f"here = ';' AND ({count(around, ';')} >= 2 OR {holds(around, lexicon.list_markers)} OR {holds(LEFT, lexicon.list_intros)} OR {holds(ahead50, lexicon.list_conjunctions)})"
+    return [
+        *[character(f"({at(k)})") for k in range(-left, right + 1)], flag(f"here = '.' AND {token} IN ({words(lexicon.abbreviations)})"),
+        f"CASE WHEN {among('here', lexicon.primary)} THEN 1 WHEN {among('here', lexicon.secondary)} THEN -1 ELSE 0 END",
+        flag(f"NOT {among('here', lexicon.opening_quotes + lexicon.closing_quotes)} OR {paired}"),
+        flag(f"NOT {among('here', lexicon.closing_quotes)} OR NOT {rx(following, '^' + chr(92) + 'p{Ll}')} OR {among(following, lexicon.terminators + lexicon.punctuation)}"),
+        flag(rx(following, "^\\p{Ll}")), flag(item), flag(semicolon), flag(f"contains({last(LEFT, 10)}, ':')"),
+    ]
+
+
+def terminator_features(lexicon=LEXICON) -> list[str]:
+    """``features.terminator_block`` over ``context`` of the terminators."""
+    beyond = f"regexp_replace({RIGHT}, {lit('^[' + chr(34) + chr(39) + ')' + chr(92) + ']}>”’»]+')}, '')"
+    follow, near = f"ltrim({beyond}, {WS})", f"({last(LEFT, 1)})"
+    word = f"regexp_extract({LEFT}, {lit(f'[{LETTER}' + chr(92) + 'p{N}.]*' + chr(92) + 'z')}, 0)"
+    line, following = f"regexp_extract({LEFT}, {lit('[^' + chr(92) + 'n' + chr(92) + 'r]*' + chr(92) + 'z')}, 0)", f"regexp_extract({follow}, {lit(f'^[{LETTER}]+')}, 0)"
+    blank = lambda c: rx(c, "^[ \\t\\n\\r]")
+    abbreviation, title = f"(here = '.' AND {word} || here IN ({words(lexicon.abbreviations)}))", f"here = '.' AND {word} || here IN ({words(lexicon.titles)})"
+    tests = [
+        *[f"here = {lit(c)}" for c in ".!?…"], *[f"here IN ({words(c)})" for c in ("\"'", ")]}>", "”’»›", "“‘«‹")],
+        f"length({RIGHT}) = 0", blank(RIGHT), rx(RIGHT, "^[\"')\\]}>”’»]"), rx(RIGHT, "^[.!?…]"), f"({blank(beyond)} OR length({beyond}) = 0)",
+        f"length({follow}) = 0", rx(follow, "^\\p{Lu}"), rx(follow, "^\\p{Ll}"), rx(follow, "^[0-9]"), rx(follow, "^[\"'“‘«(\\[]"),
+        "breaks >= 1", "breaks >= 2", rx("before", "[.!?…]\\z"), f"({blank(near)} OR length({LEFT}) = 0)", rx(near, "[0-9]"), rx(near, "[.!?…]"),
+        abbreviation, title, f"here = '.' AND {rx(word, '^' + chr(92) + 'p{Lu}' + chr(92) + 'z')}", "here = '.' AND " + rx(word, "^(?:\\p{L}\\.)+\\p{L}\\z"), f"here = '.' AND {rx(word, '[0-9]' + chr(92) + 'z')} AND {rx(RIGHT, '^[0-9]')}",
+        "here = '.' AND " + rx(line, "^[ \\t]*(?:[0-9]{1,3}|[IVXLCivxlc]{1,6}|[A-Za-z])\\z"), f"{abbreviation} AND {rx(follow, '^' + chr(92) + 'p{Lu}')}", f"{abbreviation} AND {following} IN ({words(STARTERS)})", f"{following} IN ({words(STARTERS)})",
+        f"{abbreviation} AND {rx(follow, '^[0-9]')}",
+    ]
+    return [*map(flag, tests), f"least({count('token', '[A-Za-z]')}, 16) / 16.0::DOUBLE", f"least({count('token', '[.]')}, 4) / 4.0::DOUBLE"]
+
+
+def clusters(marks: str) -> str:
+    """Best mark of each cluster of a table ``(doc_id, break_end, break_char, resume, score)`` of good marks, as CTE ``best``."""
+    return f"""islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR break_end > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY break_end) AS cluster
+  FROM (SELECT *, max(resume) OVER (PARTITION BY doc_id ORDER BY break_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {marks})),
+best AS (SELECT * FROM islands QUALIFY row_number() OVER (PARTITION BY doc_id, cluster ORDER BY score DESC, break_end) = 1)"""
+
+
+def net_score(features: str, net) -> str:
+    """First output of a net over a list of features."""
+    values = features
+    vector = lambda v: "[" + ", ".join(f"{x!r}::DOUBLE" for x in map(float, v)) + "]"
+    for k, (weights, bias) in enumerate(net.layers):
+        z = [f"list_dot_product({values}, {vector(w)}) + {float(b)!r}::DOUBLE" for w, b in zip(weights.T, bias, strict=True)]
+        if k == len(net.layers) - 1:
+            return f"1 / (1 + exp(-({z[0]})))"
+        values = "[" + ", ".join(f"greatest({x}, 0)" for x in z) + "]"
+
+
 def at(offset: int) -> str:
     if offset == 0:
         return "here"
@@ -276,15 +363,26 @@ def build() -> dict[str, str]:
         "feat_encoded_window": [encoded(f"({code(at(k))})") for k in range(-4, 5)],
         "feat_ascii_neighbors": [flag(rx(f"({at(side)})", m)) for side in (-1, 1) for m in ("^[ \\t\\n\\r\\f]", "^[A-Z]", "^[a-z]")],
     }
-    word, follow = "word", "regexp_extract(after, '^[A-Za-z]*', 0)"
+    follow, letters = "regexp_extract(after, '^[A-Za-z]*', 0)", count("token", "[A-Za-z]")
+    first = rx("regexp_extract(token, '[A-Za-z]', 0)", "[A-Z]")
     features["feat_token_shape"] = [
-        flag(f"{rx(LEFT, '[0-9]' + chr(92) + 'z')} AND {rx(RIGHT, '^[0-9]')}"), flag(rx(LEFT, "[0-9]\\z")), flag(rx(RIGHT, "^[0-9]")),
-        "least(dots, 4) / 4.0::DOUBLE", f"least(length({word}), 16) / 16.0::DOUBLE", flag(rx(word, "^[A-Z]")),
-        f"CASE WHEN length({word}) > 0 THEN {count(word, '[A-Z]')} / length({word})::DOUBLE ELSE 0 END", f"least(length({follow}), 16) / 16.0::DOUBLE",
-        flag(rx(follow, "^[A-Z]")), flag(rx(follow, "^[a-z]")), flag("breaks > 0"), flag(f"here = '.' AND {rx(word, '^[A-Z][A-Za-z]{0,3}' + chr(92) + 'z')}"),
+        flag(f"here = '.' AND {rx(LEFT, '[0-9]' + chr(92) + 'z')} AND {rx(RIGHT, '^[0-9]')}"), flag("here = '.' AND " + rx(LEFT, "[0-9]\\z")), flag("here = '.' AND " + rx(RIGHT, "^[0-9]")),
+        f"least({count('token', '[.]')}, 4) / 4.0::DOUBLE", f"least({letters}, 16) / 16.0::DOUBLE", flag(first),
+        f"CASE WHEN {letters} > 0 THEN {count('token', '[A-Z]')} / {letters}::DOUBLE ELSE 0 END", f"least(length({follow}), 16) / 16.0::DOUBLE",
+        flag(rx(follow, "^[A-Z]")), flag(rx(follow, "^[a-z]")), flag("breaks > 0"), flag(f"here = '.' AND {first} AND {letters} BETWEEN 1 AND 4"),
     ]
     a, b = f"CASE WHEN length({LEFT}) > 16 THEN right({LEFT}, 16) ELSE {LEFT} END", f"substring({RIGHT}, 1, 16)"
     whole = f"(({a}) || here || {b})"
+    out["feat_lexicon"] = with_(context("[.!?;,:\"')]", reach=50), "marks AS (SELECT c.*, substring(d.text, 1, c.s + 1) AS upto FROM ctx c JOIN documents d ON d.doc_id = c.doc_id)") + f"SELECT doc_id, feature_pos, {block(lexicon_features())} FROM marks"
+    out["feat_terminators"] = with_(context(TERMINATOR_PATTERN)) + f"SELECT doc_id, feature_pos, {block(terminator_features())} FROM ctx"
+    resume = f"eb + strlen(a) - strlen(ltrim(regexp_replace(a, {lit('^' + char_set(CLOSERS) + '+')}, ''), {WS}))"
+    out["decode_clusters"] = with_(located(TERMINATOR_PATTERN), f"""scored AS (SELECT doc_id, eb AS break_end, e AS break_char, {resume} AS resume,
+  CASE WHEN value IN ('.', '!', '?', '…') THEN 0.75 WHEN value IN ({words(CLOSERS)}) THEN 0.5 ELSE 0.25 END + CASE WHEN k % 3 = 0 THEN 0.125 ELSE 0 END AS score FROM loc)""", "good AS (SELECT * FROM scored WHERE score >= 0.5)", clusters("good")) + "SELECT doc_id, break_end, score FROM best"
+    best = f"""scored AS (SELECT c.doc_id, l.eb AS break_end, l.e AS break_char, l.eb + strlen(l.a) - strlen(ltrim(l.a, {WS})) AS resume, ({net_score("x", default_net())})::DOUBLE AS score
+  FROM (SELECT doc_id, s, [{", ".join(terminator_features())}]::DOUBLE[] AS x FROM ctx) c JOIN loc l ON c.doc_id = l.doc_id AND c.s = l.s)"""
+    cut = f"""cut AS (SELECT b.doc_id, lo, substring(text, lo + 1, break_char - lo) AS whole FROM (SELECT *, coalesce(lag(break_char) OVER (PARTITION BY doc_id ORDER BY break_end), 0) AS lo FROM best) b JOIN documents d ON d.doc_id = b.doc_id)"""
+    lead = f"lo + length(whole) - length(ltrim(whole, {WS}))"
+    out["segment_bundle"] = with_(context(TERMINATOR_PATTERN), best, f"good AS (SELECT * FROM scored WHERE score >= {THRESHOLD})", clusters("good"), cut) + f"""SELECT doc_id, ({lead})::BIGINT AS start, ({lead} + length(trim(whole, {WS})))::BIGINT AS "end" FROM cut WHERE length(trim(whole, {WS})) > 0"""
     features["feat_class_counts"] = [f"{count(whole, c)} / greatest(length({whole}), 1)::DOUBLE" for c in ("[A-Z]", "[a-z]", "[0-9]", "[ \\t\\n\\r]", "[.!?]")]
     a, b = f"(CASE WHEN length({LEFT}) > 12 THEN right({LEFT}, 12) ELSE {LEFT} END)", f"substring({RIGHT}, 1, 12)"
     features["feat_dir_unicode_categories"] = [f"{count(x, c)} / greatest(length({x}), 1)::DOUBLE" for c in ("\\p{Lu}", "\\p{Ll}", "\\p{N}", "\\p{P}", "\\p{S}") for x in (a, b)]
@@ -293,8 +391,8 @@ def build() -> dict[str, str]:
     after, before, head = "behind", "before", lambda c: f"({heading(f'trim({c}, chr(32))')})"
     listed, meta = (lambda c: rx(f"trim({c}, ' ')", "^(?:[-*•]|[0-9]+[.)])")), lambda c: meta_colon(f"trim({c}, ' ')")
     shape = [
-        rx("here", "[.!?…]"), "here = '.'", "here = '!'", "here = '?'", rx("here", "[:;]"), rx("here", "[\"')\\]}”’»]"), rx(before, "[.!?…]\\z"), rx(after, "^\\p{Lu}"), rx(after, "^\\p{Ll}"), rx(after, "^[0-9]"),
-        rx(after, "^[\"'“‘]"), f"starts_with({after}, '#')", rx(after, "^[-*•]"), f"length({after}) = 0", rx(RIGHT, "^[\"')\\]}”’»]"), "breaks >= 2", "line_breaks_before >= 2",
+        rx("here", "[.!?…]"), "here = '.'", "here = '!'", "here = '?'", rx("here", "[:;]"), rx("here", "[\"')\\]}>”’»]"), rx(before, "[.!?…]\\z"), rx(after, "^\\p{Lu}"), rx(after, "^\\p{Ll}"), rx(after, "^[0-9]"),
+        rx(after, "^[\"'“‘]"), f"starts_with({after}, '#')", rx(after, "^[-*•]"), f"length({after}) = 0", rx(RIGHT, "^[\"')\\]}>”’»]"), "breaks_behind >= 2", "line_breaks_before >= 2",
         head("raw"), listed("raw"), meta("raw"), head("following"), listed("following"),
     ]
     boundary = shape = [flag(t) for t in shape]

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmill.functions import predicates as Q
 from spanmill.functions import text as T
+from spanmill.operators import candidates as C
+from spanmill.operators import decode as D
 from spanmill.operators import models as M
+from spanmill.operators import nets
 from spanmill.operators import spans as R
+from spanmill.operators.kernels import Kernel, SpecError, compile_kernel
+from spanmill.sources import bundles, generate
 
 #: Fixed model: space behind, end of text behind, digit behind, lower case behind, short capital before. Multiples of 1/2.
 WEIGHTS = [3.0, 3.0, -4.0, -2.5, -2.5]
@@ -175,3 +182,65 @@ def annotate(docs: DataFrame, include_sentences: bool = True, include_structure:
     plain = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
     kept = F.transform(plain, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("score")))
     return rows.select("doc_id", kept.alias("spans"), R.tagged_text(F.col("text"), F.col("found"), in_bytes=True).alias("tagged"))
+
+
+#: Role of the head that judges sentence ends, its label, its kernel and its candidates.
+SENTENCE_ROLE, SENTENCE_LABEL = "sentence_boundary", "sentence.end"
+SENTENCE_KERNEL = [{"kind": "terminators"}]
+TERMINATOR_PATTERN = C.TERMINATOR_PATTERN
+#: A trained bundle that comes with the package.
+DEFAULT_BUNDLE = f"{os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}/bundles/sentence"
+
+
+def default_net() -> nets.Net:
+    """The sentence net of the package's bundle, from its file."""
+    with open(f"{DEFAULT_BUNDLE}/manifest.json", encoding="utf-8") as f:
+        path = next(x["path"] for x in json.load(f)["files"] if x["role"] == SENTENCE_ROLE)
+    with open(f"{DEFAULT_BUNDLE}/{path}", encoding="utf-8") as f:
+        return nets.Net.from_json(f.read())
+
+
+def _marks(kernel: Kernel) -> Column:
+    """Array of a text's candidates: ``break_end, break_char, resume`` and ``x``, the kernel's features."""
+    if kernel.inner is None:
+        raise SpecError("sentence ends are judged inside a row, by components that can be: terminators, lexicon")
+
+    def judged(m: Column) -> Column:
+        get = lambda name: m["value" if name == "here" else name]
+        resume = m["end_byte"] + F.octet_length(m["rest"]) - F.octet_length(F.ltrim(m["rest"], F.lit(T.BLANKS)))
+        return F.struct(m["end_byte"].alias("break_end"), m["end"].alias("break_char"), resume.alias("resume"), kernel.inner(get).alias("x"))
+
+    return F.transform(T.locate("text", kernel.pattern, ("value", *kernel.around, "rest"), kernel.reach), judged)
+
+
+def scored_marks(docs: DataFrame, head: bundles.Head) -> DataFrame:
+    """``(doc_id, text, marks)``: an array of ``decode.MARK`` for each text, every candidate scored by a bundle's head.
+
+    Features are made in the JVM and scored as a matrix on Arrow batches; marks
+    stay in their row, so nothing is shuffled.
+    """
+    rows = docs.select("doc_id", "text", _marks(head.kernel).alias("m"))
+    rows = rows.select("doc_id", "text", F.transform("m", lambda m: m.dropFields("x")).alias("m"), F.transform("m", lambda m: m["x"]).alias("x"))
+    rows = nets.with_scores(rows, "x", head.net, "s")
+    mark = lambda m, s: F.struct(m["break_end"], m["break_char"], m["resume"], s[0].alias("score")).cast(D.MARK)
+    return rows.select("doc_id", "text", F.zip_with("m", "s", mark).alias("marks"))
+
+
+def bundle_sentences(docs: DataFrame, head: bundles.Head, threshold: float | None = None) -> DataFrame:
+    """``(doc_id, spans)``: sentences of each text between the best marks of a sentence head; text behind the last one has none.
+
+    A null text has null spans.
+    """
+    least = head.thresholds[0] if threshold is None else threshold
+    return scored_marks(docs, head).select("doc_id", D.spans_between(F.col("text"), D.best_of_clusters(F.col("marks"), least)).alias("spans"))
+
+
+def train_sentences(spark: SparkSession, root: str, count: int = 6000, hidden: tuple[int, ...] = (12,), epochs: int = 200, seed: int = 1) -> nets.Fitted:
+    """Fit a sentence head on generated texts and put it into the bundle at ``root``."""
+    kernel = compile_kernel(SENTENCE_KERNEL, TERMINATOR_PATTERN)
+    cases = generate.sentence_cases(spark, count, seed=seed)
+    rows = cases.select("doc_id", "text", "ends").withColumn("m", _marks(kernel)).select("ends", F.explode("m").alias("m"))
+    rows = rows.select(F.col("m.x").alias("features"), F.array(F.array_contains("ends", F.col("m.break_char")).cast("int")).alias("targets"))
+    fitted = nets.fit(rows, hidden, epochs=epochs, rate=0.03, seed=seed)
+    bundles.upsert(spark, root, SENTENCE_ROLE, fitted.net, SENTENCE_KERNEL, [SENTENCE_LABEL], {SENTENCE_LABEL: THRESHOLD}, TERMINATOR_PATTERN, digits=4)
+    return fitted

@@ -167,8 +167,8 @@ def test_blank_runs_of_any_length(spark):
         text = f"One.{gap}two.{gap}Three."
         assert [r.break_end for r in C.punctuation_breaks(docs(spark, text)).orderBy("break_end").collect()] == [len(f"One.{gap}two."), len(text)]
         assert [r.end for r in segmenter.sentences(docs(spark, text)).orderBy("end").collect()] == [len(f"One.{gap}two."), len(text)]
-    row = docs(spark, "a" * 80 + "." + "b.c" * 40 + ". x").select(F.explode(T.locate("text", "[.]", ("word", "dots"))).alias("m")).select("m.*").collect()
-    assert len(row[0].word) == 80 and row[-1].dots == 41
+    row = docs(spark, "a" * 80 + "." + "b.c" * 40 + ". x").select(F.explode(T.locate("text", "[.]", ("word", "token"))).alias("m")).select("m.*").collect()
+    assert len(row[0].word) == 80 and row[-1].token.dots == 41 and row[-1].token.letters == 160
 
 
 def test_sentences_end_at_structure(spark):

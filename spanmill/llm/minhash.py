@@ -39,6 +39,8 @@ COORDINATES = 128
 BANDS = 32
 #: Members of a bucket that all its members are compared with before the rest is searched.
 PIVOTS = 3
+#: 64-bit words of a set's parities, which bound what two sets may share.
+PARITY_WORDS = 16
 #: Bits of the filter of wanted sets: 4 MB at any corpus size.
 FILTER_BITS = 1 << 25
 
@@ -91,6 +93,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int):
             yield np.zeros(0, np.uint64)
 
 
+def parities(elements: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """Whether an odd number of elements falls into each of ``64 * words`` bins, as int64 words.
+
+    Two sets differ in at least as many elements as their parities differ in bins.
+    """
+    odd = (np.bincount((elements & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
     """``(id, n, digest, bands)`` for each row: set size, MD5 of the set, band keys (empty for an empty set)."""
 
@@ -121,7 +132,7 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def document_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``(node, n, elements)`` for each of ``wanted`` ``(digest, node)``: the full shingle set as sorted 64-bit hashes.
+    """``(node, n, elements, odd)`` for each of ``wanted`` ``(digest, node)``: the full shingle set as sorted 64-bit hashes, and its parities.
 
     A bitmap of the wanted digests keeps other texts' sets where they are made, so no text is shuffled.
     """
@@ -141,10 +152,10 @@ def document_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int)
                 seen.update(found)
                 ends = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
                 values = np.concatenate([*found.values(), np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["digest", "n", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array([parities(e).tolist() for e in found.values()], pa.list_(pa.int64()))], ["digest", "n", "elements", "odd"])
 
-    made = docs.select(text_col).transform(small_batches).mapInArrow(scan, "digest binary, n long, elements array<long>")
-    return made.join(wanted, "digest").dropDuplicates(["node"]).select("node", "n", "elements")
+    made = docs.select(text_col).transform(small_batches).mapInArrow(scan, "digest binary, n long, elements array<long>, odd array<long>")
+    return made.join(wanted, "digest").dropDuplicates(["node"]).select("node", "n", "elements", "odd")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,32 +251,36 @@ def near_duplicates(
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of rows ``(node, component, n, elements)`` in different components that may have similarity ``percent``.
+    """Pairs ``(a, b)`` of rows ``(node, component, n, elements, odd)`` in different components that may have similarity ``percent``.
 
     Elements are ranked from rare to frequent. Sets of at least that similarity
     share an element among the first ``n - ceil(n * percent / 100) + 1`` of the
     larger and the first ``n - ceil(2 * n * percent / (100 + percent)) + 1`` of the smaller one,
-    and the ranks of the first shared one bound the overlap. These rules
-    are exact, and they drop pairs that share only frequent elements.
+    the ranks of the first shared one bound the overlap, and their parities
+    differ in no more bins than the sets may in elements. These rules are exact;
+    the last one drops pairs somewhat below the threshold before they are rows, so
+    an element that many unlinked sets share makes few.
     """
     frequency = sets.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("df"))
     ranked = (
-        sets.select("node", "component", "n", F.explode("elements").alias("element"))
+        sets.select("node", "component", "n", "odd", F.explode("elements").alias("element"))
         .join(frequency, "element")
-        .groupBy("node", "component", "n")
+        .groupBy("node", "component", "n", "odd")
         .agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ranked"))
     )
     prefix = durable(
-        ranked.select("node", "component", "n", F.posexplode(F.expr(f"slice(ranked, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT))")).alias("rank", "e"))
+        ranked.select("node", "component", "n", "odd", F.posexplode(F.expr(f"slice(ranked, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT))")).alias("rank", "e"))
         .where("e.df > 1")
-        .select("node", "component", "n", "rank", F.col("e.element").alias("element")),
+        .select("node", "component", "n", "odd", "rank", F.col("e.element").alias("element")),
         "prefix",
     )
     small = prefix.where(f"rank < n - ceil(2 * n * {percent} / (100 + {percent})) + 1")
-    other = prefix.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "rank")))
+    other = prefix.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "odd", "rank")))
+    differ = " + ".join(f"bit_count(odd[{k}] ^ other_odd[{k}])" for k in range(PARITY_WORDS))
     fits = (
         f"component <> other_component and (n < other_n or n = other_n and node < other_node) and 100 * n >= {percent} * other_n and "
-        f"(100 + {percent}) * least(n - rank, other_n - other_rank) >= {percent} * (n + other_n)"
+        f"(100 + {percent}) * least(n - rank, other_n - other_rank) >= {percent} * (n + other_n) and "
+        f"(100 + {percent}) * ({differ}) <= (100 - {percent}) * (n + other_n)"
     )
     pairs = small.join(other, ["element"]).where(fits)
     return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()

@@ -1,8 +1,9 @@
 """Vectorised tokenising and hashing of UTF-8 text with numpy.
 
-All hashes are 64-bit. A word's hash is a polynomial in an odd base modulo
-2**64 over a random value for each byte, so any range of bytes is hashed from
-two prefix sums; ``mix`` then spreads the bits.
+All hashes are 64-bit. A word's hash is a polynomial modulo the prime 2**61 - 1
+over a random value for each byte, so any range of bytes is hashed from two
+prefix sums, and no pattern of bytes collides whatever the base is, as some do
+modulo a power of two; ``mix`` then spreads the bits.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 61) - 1
+_ROOT = _BASE % _PRIME
+_P, _LOW = np.uint64(_PRIME), np.uint64((1 << 31) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,6 +23,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of uint64 values below it, by halves of 31 bits."""
+    shift = np.uint64(31)
+    ah, al, bh, bl = a >> shift, a & _LOW, b >> shift, b & _LOW
+    mid = ah * bl + al * bh
+    return _reduced(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << shift) + al * bl)
+
+
+class _Powers:
+    """Powers of a number modulo the prime, as far as they were asked for."""
+
+    def __init__(self, root: int):
+        self.root, self.known = root, np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.known) < n:
+            step = np.uint64(pow(self.root, len(self.known), _PRIME))
+            self.known = np.concatenate((self.known, times(self.known, step)))
+        return self.known[:n]
+
+
+_POWERS, _INVERSES = _Powers(_ROOT), _Powers(pow(_ROOT, -1, _PRIME))
+
+
 def _stream(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(seed))
 
@@ -50,25 +82,21 @@ class RangeHasher:
     """
 
     def __init__(self, data: np.ndarray, table: np.ndarray | None = None, seed: int = 7):
-        values = _stream(256, seed)
+        values = _reduced(_stream(256, seed))
         if table is not None:
             values = values[table]
         n = len(data)
-        self._inverse = np.full(n + 1, _INVERSE, np.uint64)
-        self._inverse[0] = 1
-        np.multiply.accumulate(self._inverse, out=self._inverse)
-        powers = np.full(n, _BASE, np.uint64)
-        if n:
-            powers[0] = 1
-            np.multiply.accumulate(powers, out=powers)
-        powers *= values[data]
+        self._inverse = _INVERSES.upto(n + 1)
+        terms = times(_POWERS.upto(n), values[data])
+        sums = [np.cumsum(part, dtype=np.uint64) for part in (terms >> np.uint64(31), terms & _LOW)]  # halves don't overflow
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(powers, out=self._sums[1:])
+        self._sums[1:] = _reduced(times(_reduced(sums[0]), np.uint64(1 << 31)) + _reduced(sums[1]))
 
     def __call__(self, start, end) -> np.ndarray:
         """Hash of each [start, end); equal bytes give equal hashes wherever they stand."""
         size = np.asarray(end - start).astype(np.uint64)
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + size * np.uint64(0xD6E8FEB86659FD93))
+        value = times(_reduced(self._sums[end] + _P - self._sums[start]), self._inverse[start])
+        return mix(value + size * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

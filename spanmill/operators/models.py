@@ -75,20 +75,23 @@ def fit_heads(rows: DataFrame, labels: list[str], features: str = "features", pe
     """Independent logistic heads by Spark ML: ``{label: (weights, bias)}`` for 0/1 columns, null being no example.
 
     Elastic net of share ``mix``; positives weigh as much as negatives, but ``most`` times at most. A head
-    that has seen one class is the constant of that class.
+    that has seen one class is the constant of that class. ``features`` is an array or an ML vector, sparse ones too.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    counts = rows.agg(F.max(F.size(features)).alias("width"), *[F.count_if(F.col(c) == v).alias(f"{c}{v}") for c in labels for v in (0, 1)]).first()
+    dense = rows.schema[features].dataType.typeName() == "array"
+    wide = F.max(F.size(features)) if dense else F.max(F.size(vector_to_array(features)))
+    vector = array_to_vector(features) if dense else F.col(features)
+    counts = rows.agg(wide.alias("width"), *[F.count_if(F.col(f"`{c}`") == v).alias(f"{c}{v}") for c in labels for v in (0, 1)]).first()
     out = {}
     for c in labels:
         negative, positive = counts[f"{c}0"], counts[f"{c}1"]
         if not negative or not positive:
             out[c] = ([0.0] * (counts["width"] or 0), 20.0 if positive else -20.0)
             continue
-        weight = F.when(F.col(c) == 1, min(most, negative / positive)).otherwise(1.0)
-        train = rows.where(F.col(c).isin(0, 1)).select(array_to_vector(features).alias("x"), F.col(c).cast("double").alias("y"), weight.alias("w"))
+        weight = F.when(F.col(f"`{c}`") == 1, min(most, negative / positive)).otherwise(1.0)
+        train = rows.where(F.col(f"`{c}`").isin(0, 1)).select(vector.alias("x"), F.col(f"`{c}`").cast("double").alias("y"), weight.alias("w"))
         model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=penalty, elasticNetParam=mix, maxIter=50).fit(train)
         out[c] = (list(map(float, model.coefficients)), float(model.intercept))
     return out

@@ -15,6 +15,7 @@ from spanmill.operators import lines as L
 from spanmill.operators import metrics as A
 from spanmill.operators import models as M
 from spanmill.operators import nets as N
+from spanmill.operators import positions as P
 from spanmill.operators import sampling as S
 from spanmill.operators import spans as R
 from spanmill.plans import oracle, segmenter
@@ -289,6 +290,28 @@ def train_net(spark, d):
     return rows.select("doc_id", N.scores(F.col("features"), fitted.net).alias("s")).select("doc_id", F.col("s")[0].alias("quality"), F.col("s")[1].alias("toxic"))
 
 
+def _spanned(spark, d) -> DataFrame:
+    """Documents with ``spans``: their sentences and lines."""
+    span = lambda label: lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("left_open"), F.lit(False).alias("right_open"))
+    found = F.concat(F.transform(segmenter._sentence_spans(segmenter.THRESHOLD), span("sentence")), F.transform(T.locate("text", "[^\\n\\r]+"), span("line")))
+    return documents(spark, d).select("doc_id", "text", found.alias("spans"))
+
+
+@query
+def sample_label_reservoirs(spark, d):
+    """All edges of sentences and lines, 500 positions inside each and 200 inside neither."""
+    return P.select_positions(_spanned(spark, d), ["sentence", "line"], 500, 200)
+
+
+@query
+def train_position_heads(spark, d):
+    """Hashed sparse features of sampled positions, and what heads for starts and ends of sentences learn from them."""
+    rows = P.hashed(P.position_rows(_spanned(spark, d), ["sentence", "line"], 2000, 2000), 1 << 12).persist()
+    heads = M.fit_heads(rows, ["start:sentence", "end:sentence"])
+    rows.unpersist()
+    return spark.createDataFrame([(c, len(w), sum(x != 0 for x in w), b) for c, (w, b) in heads.items()], "head string, width int, used int, bias double")
+
+
 @query
 def feat_token_shape(spark, d):
     """shape of the tokens."""

@@ -9,6 +9,9 @@ from spanmill.operators.features import _PUNCTUATION as PUNCTUATION
 from spanmill.operators.features import BYTE_CLASSES, COUNTED, ITEM_CHARS, LETTER, LINE_CHARS, STARTERS, TOUCHING, TOUCHING_BEFORE, UNICODE_GROUPS, any_of
 from spanmill.operators.lines import SPACE
 from spanmill.operators.models import fixed_weights
+from spanmill.operators.sampling import _A as A
+from spanmill.operators.sampling import _B as B
+from spanmill.operators.sampling import _MOD as MOD
 from spanmill.plans.segmenter import BIAS, THRESHOLD, WEIGHTS, default_net
 
 WS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -534,6 +537,11 @@ SELECT label, n, round(raw / avg(raw) OVER (), 6) AS weight FROM r"""
     out["split_three_way"] = f"SELECT lang, CASE WHEN u < 0.7 THEN 'fit' WHEN u < 0.85 THEN 'calibration' ELSE 'validation' END AS part, count(*) AS n FROM (SELECT lang, {draw('doc_id', '11')} AS u FROM documents) GROUP BY 1, 2"
     out["parse_tagged_roundtrip"] = with_(sentences()) + """SELECT d.doc_id, md5(d.text) AS digest, count(s.doc_id) AS spans, true AS ok FROM documents d LEFT JOIN sentences s ON d.doc_id = s.doc_id GROUP BY d.doc_id, d.text"""
     out["render_checked"] = out["render_strict"] = out["render_sentences"].replace("SELECT doc_id, md5(tagged) AS digest, length(tagged)::BIGINT AS size FROM done", "SELECT doc_id, md5(tagged) AS digest FROM done WHERE doc_id IN (SELECT doc_id FROM sentences)")
+    key = f"((doc_id % {MOD} * {A} + p % {MOD} * {B} + 12345) % {MOD} * {A} % {MOD} * {B} % {MOD})"
+    out["sample_label_reservoirs"] = with_(sentences(), located("[^\\n\\r]+", name="ln"), """sp AS (SELECT doc_id, 'sentence' AS label, start AS a, "end" AS e FROM sentences UNION ALL SELECT doc_id, 'line', s, e FROM ln)""", """edges AS (SELECT doc_id, a AS p FROM sp UNION SELECT doc_id, e - 1 FROM sp),
+ins AS (SELECT DISTINCT doc_id, label, p FROM (SELECT doc_id, label, unnest(range(a, e)) AS p FROM sp)), pos AS (SELECT doc_id, unnest(range(0, length(text))) AS p FROM documents WHERE length(text) > 0),
+pools AS (SELECT doc_id, p, '<boundary>' AS pool FROM edges UNION ALL SELECT doc_id, p, label FROM ins ANTI JOIN edges USING (doc_id, p) UNION ALL SELECT doc_id, p, '<negative>' FROM pos ANTI JOIN edges USING (doc_id, p) ANTI JOIN ins USING (doc_id, p)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY """ + key + """, doc_id, p) AS r FROM pools)""") + "SELECT doc_id, p::BIGINT AS position, pool FROM ranked WHERE pool = '<boundary>' OR r <= CASE WHEN pool = '<negative>' THEN 200 ELSE 500 END"
     out["cand_sampled_positions"] = with_(sentences(), chars, f"""pos AS (SELECT doc_id, ((sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY k)) - strlen(c))::BIGINT AS p FROM ch UNION ALL SELECT doc_id, coalesce(strlen(text), 0) FROM documents),
 mk AS (SELECT p.doc_id, p.p, (s.doc_id IS NOT NULL)::INT AS edge FROM pos p LEFT JOIN (SELECT DISTINCT doc_id, end_byte FROM sentences) s ON s.doc_id = p.doc_id AND s.end_byte = p.p),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY edge DESC, {draw("doc_id", "p")}, p) AS r FROM mk)""") + "SELECT doc_id, p AS position FROM rk WHERE r <= 100 OR edge = 1"

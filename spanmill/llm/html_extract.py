@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,15 +45,35 @@ _NAMES = {
     "pager", "related", "recommended", "recommendations", "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion", "widget", "toolbar",
     "search", "searchform", "copyright", "skip", "hidden", "teaser",
 }
+#: Words that stand beside such a name without telling what a part is about.
+_PLAIN_NAMES = {
+    "box", "boxes", "block", "list", "bar", "wrap", "wrapper", "container", "content", "section", "area", "panel", "row", "col", "item", "items", "card", "cards", "button", "buttons", "btn", "icon", "icons",
+    "link", "links", "post", "posts", "article", "articles", "story", "stories", "page", "site", "main", "top", "bottom", "left", "right", "inline", "inner", "outer", "unit", "slot", "zone", "module", "form", "tools",
+    "media", "network", "networks", "user", "users", "reader", "readers", "thread", "count", "meta", "info", "text", "title", "heading", "body", "group", "grid", "holder", "region", "primary", "secondary", "global",
+    "google", "facebook", "twitter", "email", "mail", "js", "wp", "entry", "more", "also", "you", "may", "like", "the", "by", "up", "to", "for", "and", "us", "on", "in", "out", "id", "div", "ul", "li", "nav", "feed", "stream", "call", "cta", "offer",
+}
+#: Names that are as likely headings of an article's own parts.
+_AMBIGUOUS = {"discussion", "header"}
+_COMPOUND = re.compile("(?:" + "|".join(sorted(_NAMES, key=lambda w: (-len(w), w))) + "){2,}")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ROOTS = {"html", "body", "main", "article"}
 _ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "header", "footer", "nav", "main", "form", "blockquote", "pre", "figure", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "address", "fieldset", "details"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "section", "article", "main", "body", "td", "th", "blockquote", "details", "header", "nav", "aside", "footer"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+#: The same behind the last ``>``, where no tag ends.
+_LAST = re.compile(r"(?:<!--.*\Z|[^<]+|<)()()()()()()", re.S)
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(hidden)\b", re.I)
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def _names_apart(word: str) -> bool:
+    """Whether one class or id names a part inside an article that isn't its text: all of its parts do, or stand beside one that does."""
+    parts = [p.lower() for p in _NAME_PART.findall(word)]
+    named = {p for p in parts if p in _NAMES or _COMPOUND.fullmatch(p)} - _AMBIGUOUS
+    return bool(named) and all(p in named or p in _PLAIN_NAMES or p in _AMBIGUOUS for p in parts)
+
+
 def _named_apart(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element's attributes say that it is no article text."""
     if not attributes or attributes.isspace():
@@ -60,10 +81,16 @@ def _named_apart(tag: str, attributes: str, in_article: bool) -> bool:
     for name, value, bare in _ATTR.findall(attributes):
         name, value = name.lower() or bare.lower(), value.strip("\"'")
         if name in ("class", "id"):
+            if in_article and tag not in _ROOTS:
+                if not (name == "id" and tag in _HEADINGS) and any(map(_names_apart, value.split())):
+                    return True
+                continue
+            if any(_COMPOUND.fullmatch(w) for w in value.lower().split()) and tag not in _ROOTS:
+                return True
             parts = {p.lower() for p in _NAME_PART.findall(value)} & _NAMES
             if tag in _ROOTS:
                 parts &= {"comment", "comments", "teaser", "related", "ad", "sponsored", "promo"} if tag == "article" else set()
-            if parts - ({"header"} if in_article else set()):
+            if parts:
                 return True
         elif name == "role" and value.lower() in _ROLES and tag not in _ROOTS:
             return True
@@ -88,13 +115,15 @@ class Page:
         self.mains: list[tuple[int, int]] = []
         stack: list[list] = []  # tag, first piece, digests of what it holds, silent, articles around it, has a headline
         self._stack, self._silent, self._depth = stack, 0, 0
+        self._places: defaultdict[str, list[int]] = defaultdict(list)  # where open elements of a tag stand in the stack
+        self._blocks: list[int] = []  # where those that aren't inline do
         at, end, pieces = 0, len(source), self.pieces
-        lower = None
+        lower, last = None, source.rfind(">")
         while at < end:
-            m = _TOKEN.match(source, at)
+            m = (_TOKEN if at < last else _LAST).match(source, at)
             at = m.end()
             tag = m[2] or m[5]
-            if tag is None:
+            if not tag:
                 if source[m.start()] != "<" or at == m.start() + 1:
                     text = m[0]
                     if not self._silent:
@@ -129,17 +158,10 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> None:
         stack = self._stack
-        if tag in _ENDS_P:
+        closes = {"p"} if tag in _ENDS_P else _SIBLINGS.get(tag, ())
+        if any(self._places[t] for t in closes):
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        self._pop()
-                    break
-                if stack[k][0] in _SCOPES:
-                    break
-        elif tag in _SIBLINGS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _SIBLINGS[tag]:
+                if stack[k][0] in closes:
                     while len(stack) > k:
                         self._pop()
                     if tag != "tr":
@@ -151,10 +173,16 @@ class Page:
         self._depth += tag == "article"
         if tag not in _INLINE:
             self.pieces.append(None)
+        self._places[tag].append(len(stack))
+        if tag not in _INLINE:
+            self._blocks.append(len(stack))
         stack.append([tag, len(self.pieces), [], silent, False])
 
     def _pop(self) -> None:
         tag, first, held, silent, headline = self._stack.pop()
+        self._places[tag].pop()
+        if tag not in _INLINE:
+            self._blocks.pop()
         end = len(self.pieces)
         if tag not in _INLINE:
             self.pieces.append(None)
@@ -178,15 +206,11 @@ class Page:
             self._stack[-1][4] = True
 
     def _close(self, tag: str) -> None:
-        stack = self._stack
-        inline = tag in _INLINE
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                while len(stack) > k:
-                    self._pop()
-                return
-            if inline and stack[k][0] not in _INLINE:
-                return
+        places = self._places[tag]
+        if places and not (tag in _INLINE and self._blocks and self._blocks[-1] > places[-1]):
+            to = places[-1]
+            while len(self._stack) > to:
+                self._pop()
 
     def text(self, template=frozenset()) -> str:
         """The main text: blocks with single spaces, joined by a space, without the template's subtrees.
@@ -195,8 +219,8 @@ class Page:
         are what near copies of a page share, and stay.
         """
         gone = bytearray(len(self.pieces))
-        for digest, first, end in self.parts:
-            if digest in template:
+        for digest, first, end in reversed(self.parts):  # what holds others comes first
+            if digest in template and first < end and not gone[first]:
                 gone[first:end] = b"\1" * (end - first)
         for ranges in (self.articles, self.mains, [self.body]):
             out = self._words(ranges, gone if any(gone) and not self._is_copy(ranges, gone) else None)

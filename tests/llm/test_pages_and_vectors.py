@@ -2,6 +2,9 @@ import gzip
 import hashlib
 import math
 import random
+import time
+
+import pytest
 
 from spanmill.llm import embed_join, html_extract, warc
 
@@ -135,3 +138,24 @@ def test_embedding_join_of_doubles_ragged_vectors_and_odd_ids(spark):
     # b twice, tiny and a are linked; c is just below; two joins its vectors of two lengths, and z
     assert got == sorted([("b", 3, "a", False), ("b", 3, "a", False), ("a", 3, "a", True), ("c", 0, "c", True), ("tiny", 3, "a", False), ("two", 1, "pair", False), ("pair", 1, "pair", True), ("four", 0, "four", True),
                           (None, 0, None, True), (None, 0, None, True), ("two", 1, "pair", False), ("z", 1, "pair", False)], key=str)
+
+
+def test_names_inside_an_article():
+    page = "<html><body><article><h1>T</h1><p>One.</p>{}<p>Two.</p></article></body></html>"
+    kept = ['<section id="discussion"><h2>Heard</h2><p>here.</p></section>', '<div class="market-share">Heard here.</div>', '<div class="tasting-menu">Heard here.</div>', '<h2 id="related-work">Heard here.</h2>', '<p class="banner-year">Heard here.</p>']
+    gone = ["share-buttons", "social-share", "ad", "comments", "related-posts", "newsletter-signup", "advertisement inline", "navbarmenu", "adSlot top"]
+    assert {html_extract.Page(page.format(part)).text() for part in kept} == {"T One. Heard here. Two."}
+    assert {html_extract.Page(page.format(f'<div class="{name}">Heard here.</div>')).text() for name in gone} == {"T One. Two."}
+    assert html_extract.Page('<body><div id="navbarmenu">Home</div><p>Body</p>').text() == "Body"
+
+
+def test_pages_without_tags_or_ends():
+    for source, text in [("Only text", "Only text"), ("<p>One</p> two & three &amp; <", "One two & three & <"), ("a < b <c", "a < b <c"), ("<p>x</p><!-- open", "x"), ("<p>x</p><!-- a <b", "x"), ("<div>x</span></b></i>y</div>z", "xy z")]:
+        assert html_extract.Page(source).text() == text
+
+
+@pytest.mark.parametrize("source", ["<a " * 160_000, "<div>" * 40_000 + "</x></span>" * 40_000, "<b><div>" + "<i>" * 40_000 + "</b>" * 40_000, "<!x " * 120_000, '<a "' * 120_000 + ">", "<p><b>" * 40_000, "<li>" + "<b>" * 60_000 + "<li>"])
+def test_malformed_pages_cost_their_length(source):
+    began = time.perf_counter()
+    html_extract.Page(source).text()
+    assert time.perf_counter() - began < 10

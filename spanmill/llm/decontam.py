@@ -20,6 +20,8 @@ from spanmill.llm.textscan import SYMBOL_SEPARATORS, RangeHasher, class_table, l
 WIDTH = 13
 #: Benchmarks of more text than this are not broadcast but joined by a shuffle; windows take about 40 times their text.
 BROADCAST_BYTES = 4 << 20
+#: Bytes that an item counts for beside its text, so that many short ones aren't collected either.
+ITEM_BYTES = 64
 
 
 def _words(data: np.ndarray, offsets: np.ndarray, seed: int = 7):
@@ -41,13 +43,12 @@ def build_index(items: list[tuple[object, str | None]], width: int = WIDTH) -> d
         if not size:
             continue
         for k, h in enumerate(window_hashes(words, size).tolist()):
-            phrase, owners = by.setdefault(size, {}).setdefault(h, (_phrase(data, starts[k : k + size], ends[k : k + size]), []))
-            if str(item) not in owners:
-                owners.append(str(item))
+            phrase, owners = by.setdefault(size, {}).setdefault(h, (_phrase(data, starts[k : k + size], ends[k : k + size]), {}))
+            owners[str(item)] = None
     out = {}
     for size, windows in by.items():
         keys = sorted(windows)
-        out[size] = np.array(keys, np.uint64), [windows[k][0] for k in keys], [windows[k][1] for k in keys]
+        out[size] = np.array(keys, np.uint64), [windows[k][0] for k in keys], [list(windows[k][1]) for k in keys]
     return out
 
 
@@ -224,8 +225,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 def _broadcast_index(docs: DataFrame, benchmark: DataFrame, item_col: str, width: int, broadcast_bytes: int):
     """The broadcast windows, or None if the benchmark is too large for that."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").alias("words"))
-    if items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] > broadcast_bytes:
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").alias("words")).where(F.length("words") > 0)
+    if items.agg(F.coalesce(F.sum(F.octet_length("words") + ITEM_BYTES), F.lit(0))).first()[0] > broadcast_bytes:
         return None
     return docs.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in items.collect()], width))
 

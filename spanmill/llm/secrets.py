@@ -30,7 +30,7 @@ RULES = BASE_RULES + MORE_RULES
 #: Spans that a scan copies at a time.
 BLOCK = 256
 #: Cheap tests that a text must pass before its matches are located.
-HINTS = {"assign": "[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "pem": "PRIVATE KEY-----", "jwt": "eyJ"}
+HINTS = {"assign": "[:=]", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}", "pem": "PRIVATE KEY-----", "jwt": r"[A-Za-z0-9_-]\.eyJ[A-Za-z0-9_-]{8}"}
 #: Up to so many rows that needn't be scanned are broadcast.
 BROADCAST_ROWS = 250_000
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"

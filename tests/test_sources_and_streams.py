@@ -1,7 +1,9 @@
 import json
 
+import pytest
+
 from spanmill.sources import jsonl
-from spanmill.streaming import segment
+from spanmill.streaming import segment, shuffle
 
 
 def test_marked_and_span_records(spark, tmp_path):
@@ -33,3 +35,28 @@ def test_chunked_stream_equals_batch(spark, tmp_path):
     got = sorted((r.start, r.end, r.value) for r in spark.table("chunked").collect())
     batch = segment.segment_stream(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert got == sorted((r.start, r.end, r.value) for r in batch.collect())
+
+
+def test_shuffle_buffer(spark, tmp_path):
+    schema = "id long, text string, last boolean"
+    source = str(tmp_path / "in")
+    rows = [(k, None if k % 9 == 0 else f"t{k}", None) for k in range(120)]
+    for part in (rows[:50], rows[50:55], rows[55:], [(-1, None, True)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run(name, seed, buffer=7):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        out = shuffle.shuffled(stream, "id", buffer, seed, 3, "last")
+        query = out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return [(r.shard, r.turn, r.id, r.text) for r in spark.table(name).orderBy("shard", "turn").collect()]
+
+    one, again, other = run("one", 1), run("again", 1), run("other", 2)
+    assert one == again != other
+    assert sorted(r[2:] for r in one) == sorted(r[2:] for r in other) == [r[:2] for r in rows]
+    for shard in range(3):
+        ids = [r[2] for r in one if r[0] == shard]
+        assert [r[1] for r in one if r[0] == shard] == list(range(len(ids))) and ids != sorted(ids)
+    with pytest.raises(ValueError):
+        shuffle.shuffled(spark.range(3), "id")

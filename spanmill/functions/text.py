@@ -148,6 +148,18 @@ def locate(text: str | Column, pattern: str, around: tuple[str, ...] = (), reach
     return F.when(text.isNotNull(), let(parts, lambda p: spans(p["found"], p["gaps"], p["raw"])))
 
 
+def cut(text: str | Column, size: int) -> Column:
+    """A text in pieces of ``size`` code points (the last may be shorter): an array of ``struct(start, start_byte, value)``, made in one walk."""
+    kind = "struct<start:bigint,start_byte:bigint,value:string>"
+    zero = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("b"))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        after = F.struct((state["c"] + F.length(x)).alias("c"), (state["b"] + F.octet_length(x)).alias("b"))
+        return after, F.struct(state["c"].alias("start"), state["b"].alias("start_byte"), x.alias("value"))
+
+    return scan(F.regexp_extract_all(col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), zero, step, kind)
+
+
 def piece(text: str | Column, start: str | Column, end: str | Column) -> Column:
     """Code points [start, end) of a text."""
     return F.substring(col(text), (col(start) + 1).cast("int"), (col(end) - col(start)).cast("int"))

@@ -51,10 +51,8 @@ def exhaustive(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Texts go through pieces of a fixed size, so that a place costs a walk through its piece only.
     """
-    n, size = F.length(text), 256
-    whole = docs.where(n > 0).select("doc_id", F.col(text).alias("text"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("p"))
-    base = F.octet_length(F.left("text", F.col("p") * size)).cast("long")
-    pieces = whole.select("doc_id", base.alias("base"), F.substring("text", F.col("p") * size + 1, F.lit(size)).alias("piece"))
+    cuts = docs.select("doc_id", F.explode(T.cut(text, 256)).alias("s"))
+    pieces = cuts.select("doc_id", F.col("s.start_byte").alias("base"), F.col("s.value").alias("piece"))
     rows = pieces.select("doc_id", "base", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("i"))
     behind = lambda k: F.col("base") + F.octet_length(F.left("piece", k))
     return rows.select("doc_id", behind(F.col("i")).alias("feature_pos"), behind(F.col("i") + 1).alias("break_end"))
@@ -144,10 +142,12 @@ def union_breaks(docs: DataFrame, text: str = "text") -> DataFrame:
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """Trimmed paragraphs between blank lines: ``(doc_id, k, start, end, value)``."""
     breaks = T.locate(text, "\\n[ \\t\\r]*\\n[ \\t\\r\\n]*")
-    first = F.concat(F.array(F.lit(0).cast("long")), F.transform(breaks, lambda s: s["end"]))
-    last = F.concat(F.transform(breaks, lambda s: s["start"]), F.array(F.length(text).cast("long")))
-    rows = docs.select("doc_id", F.col(text).alias("text"), F.posexplode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("k", "s"))
-    rows = rows.select("doc_id", F.col("k").cast("long").alias("k"), F.col("s.a").alias("start"), T.piece("text", "s.a", "s.b").alias("value"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("byte"))
+    first = F.concat(F.array(zero), F.transform(breaks, lambda s: F.struct(s["end"].alias("start"), s["end_byte"].alias("byte"))))
+    last = F.concat(F.transform(breaks, lambda s: s["start_byte"]), F.array(F.octet_length(text).cast("long")))
+    whole = F.struct(F.arrays_zip(first.alias("a"), last.alias("b")).alias("bounds"), F.col(text).cast("binary").alias("raw"))
+    cut = lambda w: F.transform(w["bounds"], lambda x: F.struct(x["a"]["start"].alias("start"), T.byte_piece(w["raw"], x["a"]["byte"], x["b"]).alias("value")))
+    rows = docs.select("doc_id", F.posexplode(T.let(whole, cut)).alias("k", "s")).select("doc_id", F.col("k").cast("long").alias("k"), "s.start", "s.value")
     lead = F.length("value") - F.length(F.ltrim("value", F.lit(" \t\n\r")))
     body = F.trim("value", F.lit(" \t\n\r"))
     rows = rows.where(F.length(body) > 0)

@@ -25,20 +25,25 @@ from spanmill.sources import bundles, generate, pages
 QUERIES: dict = {}
 
 
+#: Bytes of files up to which a table may be dealt out.
+DEAL_BYTES = 1 << 30
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, dealt out where its files give fewer partitions than there are cores.
+    """A table, dealt out where it is small and its files give fewer partitions than there are cores.
 
     A file of one row group is one task; the round robin costs one shuffle of a
-    small table then, and never happens to a large one.
+    table of ``DEAL_BYTES`` at most, and never happens to a larger one.
     """
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows if size > DEAL_BYTES or rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores)
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -185,9 +190,7 @@ def windows_sentence(spark, d):
 @query
 def chunks_fixed(spark, d):
     """Chunks of 1000 characters, the last kept from 200 characters on."""
-    size = F.length("text")
-    starts = F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(1000))))
-    chunks = documents(spark, d).select("doc_id", "text", starts.alias("at")).select("doc_id", F.col("at").cast("long").alias("start"), F.substring("text", F.col("at") + 1, F.lit(1000)).alias("chunk"))
+    chunks = documents(spark, d).select("doc_id", F.explode(T.cut("text", 1000)).alias("s")).select("doc_id", "s.start", F.col("s.value").alias("chunk"))
     return chunks.where(F.length("chunk") >= 200).select("doc_id", "start", F.length("chunk").cast("long").alias("size"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
@@ -753,9 +756,9 @@ def point_contexts(spark, d):
 @query
 def trimmed_chunks(spark, d):
     """Chunks of 300 characters without the blanks at both ends."""
-    rows = documents(spark, d).select("doc_id", "text", F.explode(F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(300)))).alias("at"))
-    span = T.trimmed_span("text", "at", F.least(F.col("at") + 300, F.length("text")))
-    return rows.select("doc_id", F.col("at").cast("long").alias("at"), span.alias("s")).select("doc_id", "at", "s.start", "s.end")
+    rows = documents(spark, d).select("doc_id", F.explode(T.cut("text", 300)).alias("s")).select("doc_id", F.col("s.start").alias("at"), "s.value")
+    span = T.trimmed_span("value", F.lit(0).cast("long"), F.length("value"))
+    return rows.select("doc_id", "at", span.alias("s")).select("doc_id", "at", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"))
 
 
 @query

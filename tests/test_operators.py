@@ -227,3 +227,20 @@ def test_independent_heads(spark):
     got = rows.select("a", "b", *[M.logistic(F.col("features"), *heads[h]).alias(f"p{h}") for h in heads]).collect()
     assert all((r.pa > 0.5) == (r.a == 1) for r in got) and all(r.pc > 0.99 for r in got)
     assert all((r.pb > 0.5) == (r.b == 1) for r in got if r.b is not None)
+
+
+def test_long_texts_cost_their_length(spark):
+    import time
+
+    unit = "A line of prose here.\nAnother one.\n\nÜber alles, a new paragraph. "
+    plans = {
+        "paragraphs": C.paragraphs, "exhaustive": C.exhaustive, "cut": lambda d: d.select(F.explode(T.cut("text", 300)).alias("s")).select("s.*"),
+    }
+    for name, plan in plans.items():
+        seconds = []
+        for times in (100, 6_000, 60_000):  # the first compiles; 0.4 and 4 MB
+            table = docs(spark, unit * times)
+            began = time.perf_counter()
+            plan(table).write.format("noop").mode("overwrite").save()
+            seconds.append(time.perf_counter() - began)
+        assert seconds[2] < 15 * seconds[1] + 3, (name, seconds)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmill.llm.common import STEP_BYTES, bit_filter, discard, durable, maybe, small_batches, steps, utf8_batch
-from spanmill.llm.textscan import RangeHasher
+from spanmill.llm.textscan import RangeHasher, gram_hashes
 
 LENGTH = 200
 #: Bytes of the first digit.
@@ -60,13 +60,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """``(row, first window, last window, anchor, first digit, second digit)`` of each run as arrays; positions are in the buffer."""
+    """``(row, first window, last window, anchor, first digit)`` of each run as arrays; positions are in the buffer."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
-    hasher = RangeHasher(data)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     at = np.arange(n - anchor + 1)
-    grams = hasher(at, at + anchor)
+    grams = gram_hashes(data, anchor)
     low = np.uint64((1 << 20) - 1)
     least = sliding_min((grams & ~low) | at.astype(np.uint64), length - anchor + 1)
     ok = np.zeros(n + 1, np.int64)
@@ -75,7 +74,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: in
     ok[offsets[long_rows + 1] - length + 1] -= 1
     starts = np.flatnonzero(np.cumsum(ok[: n - length + 1]) > 0)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     where = (least[starts] & low).astype(np.int64)
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (where[1:] != where[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -83,7 +82,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: in
     last = np.append(first[1:], len(starts)) - 1
     s0, s1, a = starts[first], starts[last], where[first]
     row = np.searchsorted(offsets, s0, "right") - 1
-    return row, s0, s1, a, grams[a], hasher(s0, s1 + length) + (a - s0).astype(np.uint64)
+    return row, s0, s1, a, grams[a]
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -109,17 +108,20 @@ def find_runs(keyed: DataFrame, length: int, anchor: int, repeated=None) -> Data
         for batch in batches:
             data, offsets = utf8_batch(batch.column(2))
             for i, part, own, at in _pieces(data, offsets, length):
-                row, s0, s1, where, key, whole = runs(part, own, length, anchor)
+                row, s0, s1, where, key = runs(part, own, length, anchor)
                 key = key.view(np.int64)
                 if repeated is None:
                     yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
                     continue
                 k = np.flatnonzero(maybe(repeated.value, key))
+                if not len(k):
+                    continue
+                whole = RangeHasher(part)(s0[k], s1[k] + length) + (where[k] - s0[k]).astype(np.uint64)  # the second digit
                 rows = pa.array(row[k] + i)
                 base = at - own[row[k]]
                 places = (pa.array(x[k] + base) for x in (s0, s1, where))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key[k]), pa.array(whole[k].view(np.int64)), *places],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(key[k]), pa.array(whole.view(np.int64)), *places],
                     ["id", "text_key", "key", "whole", "s0", "s1", "at"],
                 )
 

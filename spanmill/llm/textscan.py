@@ -75,6 +75,21 @@ SPACE_SEPARATORS = [0x20, *range(0x09, 0x0E)]
 SYMBOL_SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 
 
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of ``width`` bytes, by a polynomial modulo 2**64; ``width`` is short, as patterns that such a one confuses take 1,024 bytes and more."""
+    n = len(data)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    powers, inverse = np.full(n, _BASE, np.uint64), np.full(n - width + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    powers[0] = inverse[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(inverse, out=inverse)
+    powers *= _stream(256, 7)[data]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(powers, out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * inverse)
+
+
 class RangeHasher:
     """Hashes of arbitrary byte ranges of one buffer.
 
@@ -90,7 +105,8 @@ class RangeHasher:
         terms = times(_POWERS.upto(n), values[data])
         sums = [np.cumsum(part, dtype=np.uint64) for part in (terms >> np.uint64(31), terms & _LOW)]  # halves don't overflow
         self._sums = np.zeros(n + 1, np.uint64)
-        self._sums[1:] = _reduced(times(_reduced(sums[0]), np.uint64(1 << 31)) + _reduced(sums[1]))
+        high = _reduced(sums[0])  # times 2**31, which turns the 61 bits round
+        self._sums[1:] = _reduced((((high << np.uint64(31)) & _P) | (high >> np.uint64(30))) + _reduced(sums[1]))
 
     def __call__(self, start, end) -> np.ndarray:
         """Hash of each [start, end); equal bytes give equal hashes wherever they stand."""

@@ -102,6 +102,20 @@ def parities(elements: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def with_parities(sets: DataFrame) -> DataFrame:
+    """``(node, component, n, odd)``: ``sets`` with their ``parities`` instead of their elements."""
+
+    def scan(batches):
+        for batch in batches:
+            lists = batch.column(3)
+            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            values = np.asarray(lists.flatten()).view(np.uint64)
+            odd = pa.array([parities(values[a:b]).tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], odd], ["node", "component", "n", "odd"])
+
+    return sets.select("node", "component", "n", "elements").transform(small_batches).mapInArrow(scan, "node long, component long, n long, odd array<long>")
+
+
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
     """``(id, n, digest, bands)`` for each row: set size, MD5 of the set, band keys (empty for an empty set)."""
 
@@ -132,7 +146,7 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def document_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
-    """``(node, n, elements, odd)`` for each of ``wanted`` ``(digest, node)``: the full shingle set as sorted 64-bit hashes, and its parities.
+    """``(node, n, elements)`` for each of ``wanted`` ``(digest, node)``: the full shingle set as sorted 64-bit hashes.
 
     A bitmap of the wanted digests keeps other texts' sets where they are made, so no text is shuffled.
     """
@@ -152,10 +166,10 @@ def document_sets(docs: DataFrame, wanted: DataFrame, text_col: str, width: int)
                 seen.update(found)
                 ends = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
                 values = np.concatenate([*found.values(), np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array([parities(e).tolist() for e in found.values()], pa.list_(pa.int64()))], ["digest", "n", "elements", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["digest", "n", "elements"])
 
-    made = docs.select(text_col).transform(small_batches).mapInArrow(scan, "digest binary, n long, elements array<long>, odd array<long>")
-    return made.join(wanted, "digest").dropDuplicates(["node"]).select("node", "n", "elements", "odd")
+    made = docs.select(text_col).transform(small_batches).mapInArrow(scan, "digest binary, n long, elements array<long>")
+    return made.join(wanted, "digest").dropDuplicates(["node"]).select("node", "n", "elements")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +265,7 @@ def near_duplicates(
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of rows ``(node, component, n, elements, odd)`` in different components that may have similarity ``percent``.
+    """Pairs ``(a, b)`` of rows ``(node, component, n, elements)`` in different components that may have similarity ``percent``.
 
     Elements are ranked from rare to frequent. Sets of at least that similarity
     share an element among the first ``n - ceil(n * percent / 100) + 1`` of the
@@ -261,12 +275,14 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     the last one drops pairs somewhat below the threshold before they are rows, so
     an element that many unlinked sets share makes few.
     """
+    about = durable(with_parities(sets), "about")
     frequency = sets.select(F.explode("elements").alias("element")).groupBy("element").agg(F.count("*").alias("df"))
     ranked = (
-        sets.select("node", "component", "n", "odd", F.explode("elements").alias("element"))
+        sets.select("node", F.explode("elements").alias("element"))
         .join(frequency, "element")
-        .groupBy("node", "component", "n", "odd")
+        .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("ranked"))
+        .join(about, "node")
     )
     prefix = durable(
         ranked.select("node", "component", "n", "odd", F.posexplode(F.expr(f"slice(ranked, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT))")).alias("rank", "e"))

@@ -68,8 +68,14 @@ class Kernel:
 
     def extract(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, feature_pos, features)`` of all candidates."""
+        return self.candidates(docs).drop("break_end")
+
+    def candidates(self, docs: DataFrame) -> DataFrame:
+        """The same with ``break_end``, the byte behind the candidate."""
         context = X.line_context if LINE_KINDS & {name for name, _ in self.blocks} else X.context
-        return context(docs, self.pattern, reach=self.reach, around=self.around).select("doc_id", "feature_pos", self.features.alias("features"))
+        return context(docs, self.pattern, reach=self.reach, around=self.around).select(
+            "doc_id", "feature_pos", (F.col("feature_pos") + F.octet_length("here")).alias("break_end"), self.features.alias("features")
+        )
 
 
 def compile_kernel(spec: str | list[dict], pattern: str = "[.!?]") -> Kernel:

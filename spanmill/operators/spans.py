@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from spanmill.functions import text as T
 PRIORITY = ("sentence", "paragraph", "list_item", "dialogue", "metadata", "section")
 #: Offsets of one bucket of a range join.
 BUCKET = 4096
+#: The same for single places, of which a bucket of the other size would hold many.
+POINT_BUCKET = 512
+#: Spans that a task holds as Python objects at a time; a document's are never divided.
+SLICE = 20_000
 
 
 def overlaps(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -98,12 +103,24 @@ def resolve(spans: DataFrame, least: int = 1) -> DataFrame:
     document's spans are one row; the fold over them is sequential by nature.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["spans"] = frame["spans"].map(lambda items: without_crossings(items, least))
-            yield frame
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 1):
+                kept = [None if items is None else without_crossings(items, least) for items in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, part.column(1).type)], ["doc_id", "spans"])
 
-    return spans.select("doc_id", "spans").mapInPandas(run, spans.select("doc_id", "spans").schema)
+    rows = spans.select("doc_id", "spans")
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _slices(batch: pa.RecordBatch, lists: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of some ``SLICE`` elements of its column of lists, so that few are Python objects at a time."""
+    ends = np.cumsum(np.asarray(batch.column(lists).value_lengths().fill_null(0)) + 1)
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def tagged_text(text: Column, spans: Column, close: str = "</|{}|>", in_bytes: bool = False) -> Column:
@@ -141,9 +158,10 @@ def render(spans: DataFrame, docs: DataFrame, close: str = "</|{}|>") -> DataFra
 
 def checked(text: Column, spans: Column, labels: tuple[str, ...] = PRIORITY) -> Column:
     """``spans`` (``label, start, end`` in code points) as they are; an unknown label or an offset outside the text raises."""
-    bad = F.filter(spans, lambda s: ~F.coalesce(s["label"].isin(*labels) & (s["start"] >= 0) & (s["start"] <= s["end"]) & (s["end"] <= F.length(text)), F.lit(False)))
-    message = F.concat(F.lit("not a span of the text: "), F.to_json(bad[0]))
-    return F.when(F.size(bad) > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    sound = lambda s, n: F.coalesce(s["label"].isin(*labels) & (s["start"] >= 0) & (s["start"] <= s["end"]) & (s["end"] <= n), F.lit(False))
+    message = lambda bad: F.concat(F.lit("not a span of the text: "), F.to_json(bad[0]))
+    bad = T.let(F.length(text), lambda n: F.filter(spans, lambda s: ~sound(s, n)))
+    return T.let(bad, lambda bad: F.when(F.size(bad) > 0, F.raise_error(message(bad)).cast("boolean")).otherwise(F.lit(True)))
 
 
 def render_checked(docs: DataFrame, close: str = "</|{}|>") -> DataFrame:
@@ -175,14 +193,14 @@ def position_targets(positions: DataFrame, spans: DataFrame) -> DataFrame:
 
     Spans may have ``left_open`` and ``right_open``: an open edge is inside, but neither a start nor an end.
     """
-    closed = lambda side: spans.where(~F.coalesce(F.col(side), F.lit(False))) if side in spans.columns else spans
     points = positions.select("doc_id", F.col("position").alias("start"), (F.col("position") + 1).alias("end"))
-    inside = range_join(points, spans.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))).select("doc_id", F.col("start").alias("position")).distinct()
-    mark = lambda df, name: df.withColumn(name, F.lit(1))
-    starts = closed("left_open").select("doc_id", F.col("start").alias("position")).distinct()
-    ends = closed("right_open").select("doc_id", F.col("end").alias("position")).distinct()
-    out = positions.join(mark(inside, "inside"), ["doc_id", "position"], "left").join(mark(starts, "starts"), ["doc_id", "position"], "left").join(mark(ends, "ends"), ["doc_id", "position"], "left")
-    return out.fillna(0, ["inside", "starts", "ends"])
+    closed = lambda side: ~F.coalesce(F.col(side), F.lit(False)) if side in spans.columns else F.lit(True)
+    # A span reaches one place further, to its end, and so meets all places that it says something of.
+    reach = spans.select("doc_id", F.least("start", "end").alias("r_start"), (F.greatest("start", "end") + 1).alias("r_end"), F.col("start").alias("s"), F.col("end").alias("e"), closed("left_open").alias("begins"), closed("right_open").alias("closes"))
+    at = F.col("start")
+    tests = {"inside": (at >= F.col("s")) & (at < F.col("e")), "starts": (at == F.col("s")) & F.col("begins"), "ends": (at == F.col("e")) & F.col("closes")}
+    flags = range_join(points, reach, POINT_BUCKET).groupBy("doc_id", at.alias("position")).agg(*[F.max(F.coalesce(t, F.lit(False)).cast("int")).alias(k) for k, t in tests.items()])
+    return positions.join(flags, ["doc_id", "position"], "left").fillna(0, list(tests))
 
 
 def boundary_targets(candidates: DataFrame, spans: DataFrame, end: str = "end_byte") -> DataFrame:

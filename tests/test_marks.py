@@ -42,3 +42,34 @@ def test_slices_of_a_batch_lose_nothing(spark):
     assert len(long.encode()) < marks.SLICE_BYTES < 2 * len(long.encode())
     rows = docs(spark, "a.", long, None, long, "b. c.", "").coalesce(1).select("doc_id", F.size(T.locate("text", "[.!?]", ())).alias("n"), F.size(segmenter._sentence_spans(0.5)).alias("s"))
     assert [(r.n, r.s) for r in rows.orderBy("doc_id").collect()] == [(1, 1), (400_000, 400_000), (None, None), (400_000, 400_000), (2, 1), (0, 0)]
+
+
+@pytest.mark.parametrize("name", ["decode_sentence_spans", "silver_labels", "span_inside_start_end", "render_strict", "sample_label_reservoirs"])
+def test_sentences_need_no_fold(spark, name):
+    rows = segmenter.sentences(docs(spark, "x"), values=False) if name.startswith("sample") else catalogue.queries()[name](spark, SF)
+    found = plan(rows)
+    assert "ArrowEvalPython" in found and "regexp_extract_all(text#" not in found, found
+
+
+def test_sentences_are_those_of_the_fold(spark):
+    """Against the marks' scores: a sentence runs from the first non-blank behind a break to the next break."""
+    rows = docs(spark, *TEXTS)
+    scores = {(r.doc_id, r.break_char): r.score for r in segmenter.score(rows, "(?:[.!?])").collect()}
+    for threshold in (0.2, 0.5, 0.8):
+        for row in rows.select("doc_id", "text", segmenter._sentence_spans(threshold).alias("spans")).collect():
+            if row.text is None:
+                assert row.spans is None
+                continue
+            last, want = 0, []
+            for end in sorted(e for (d, e), score in scores.items() if d == row.doc_id and score >= threshold):
+                start = last + len(row.text[last:]) - len(row.text[last:].lstrip(" \t\n\r"))
+                want.append((start, end, len(row.text[:start].encode()), len(row.text[:end].encode())))
+                last = end
+            assert [tuple(s) for s in row.spans] == want
+
+
+def test_false_boundaries_are_those_of_the_columns(spark):
+    cases = [(t[max(0, k - 32) : k], t[k + 1 : k + 33]) for t in (*TEXTS, "vs. et al. (éa. ß. 9.9 \n XIV. Q .  a e.g.", ". \n\u0085x") if t for k, c in enumerate(t) if c == "."]
+    rows = spark.createDataFrame(cases, "left string, right string").select("*", F.coalesce(Q.false_boundary(F.col("left"), F.col("right")), F.lit(False)).alias("want"))
+    for row in rows.collect():
+        assert Q.is_false_boundary(row["left"], row["right"]) == row.want, row

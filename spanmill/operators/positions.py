@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +34,25 @@ def keys(document: int, positions: np.ndarray, seed: int) -> np.ndarray:
     return x * _A % _MOD * _B % _MOD
 
 
-def targets(n: int, spans: list[dict], labels: list[str]) -> np.ndarray:
+def _columns(spans: pa.StructArray, labels: list[str]) -> tuple[np.ndarray, ...]:
+    """Spans as arrays: number of the label (-1 for others), start and end (-1 for none), and whether they are open to the left and right."""
+    which = pc.index_in(spans.field("label"), value_set=pa.array(labels, pa.string())).fill_null(-1)
+    return tuple(np.asarray(c) for c in (which, *(spans.field(k).fill_null(-1) for k in ("start", "end")), *(spans.field(k).fill_null(False) for k in ("left_open", "right_open"))))
+
+
+def _flags(n: int, which: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray, labels: int) -> np.ndarray:
     """``(labels, kinds, n)`` flags of a text's positions; spans outside the text, empty ones and other labels count for nothing."""
-    out = np.zeros((len(labels), len(KINDS), n), bool)
-    at = {label: k for k, label in enumerate(labels)}
-    for s in spans:
-        k, start, end = at.get(s["label"]), s["start"], s["end"]
-        if k is None or start is None or end is None or start < 0 or end > n or start >= end:
-            continue
-        left, right = bool(s["left_open"]), bool(s["right_open"])
-        out[k, 0, start:end] = True
-        out[k, 1, start] |= not left
-        out[k, 2, end - 1] |= not right
-        out[k, 3, 0] |= left and start == 0
-        out[k, 4, n - 1] |= right and end == n
+    sound = (which >= 0) & (start >= 0) & (end <= n) & (start < end)
+    which, start, end, left, right = (c[sound] for c in (which, start, end, left, right))
+    out = np.zeros((labels, len(KINDS), n), bool)
+    for k in range(labels):
+        own = which == k
+        depth = np.bincount(start[own], minlength=n + 1) - np.bincount(end[own], minlength=n + 1)
+        np.greater(np.cumsum(depth[:n]), 0, out=out[k, 0])
+    out[which[~left], 1, start[~left]] = True
+    out[which[~right], 2, end[~right] - 1] = True
+    out[which[left & (start == 0)], 3, 0] = True
+    out[which[right & (end == n)], 4, n - 1] = True
     return out
 
 
@@ -68,8 +74,11 @@ def _rows(docs: DataFrame, text: str, spans: str) -> DataFrame:
 
 def _each(batches: Iterator[pa.RecordBatch], labels: list[str]):
     for batch in batches:
-        for doc, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            yield doc, text, targets(len(text), spans, labels)
+        found = batch.column(2)
+        at = found.offsets.to_pylist()  # into all values, also where the batch is a slice
+        columns = _columns(found.values, labels)
+        for k, (doc, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)):
+            yield doc, text, _flags(len(text), *(c[at[k] : at[k + 1]] for c in columns), len(labels))
 
 
 def reservoir_cuts(docs: DataFrame, labels: list[str], inside: int, negative: int, text: str = "text", spans: str = "spans", seed: int = 0) -> dict[str, tuple[int, int, int] | None]:
@@ -86,15 +95,24 @@ def reservoir_cuts(docs: DataFrame, labels: list[str], inside: int, negative: in
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {p: np.zeros((0, 3), np.int64) for p in wanted}
+        bound = dict.fromkeys(wanted, _MOD)  # no larger draw gets into a pool that is full
         for doc, _, flags in _each(batches, labels):
-            for pool, at in pools(flags, labels):
+            every = keys(doc, np.arange(flags.shape[2]), seed)
+            low = np.flatnonzero(every <= max(bound.values()))
+            for pool, at in pools(flags[:, :, low], labels):
                 if pool in wanted and len(at):
-                    draws = keys(doc, at, seed)
+                    draws, at = every[low[at]], low[at]
+                    draws, at = draws[draws <= bound[pool]], at[draws <= bound[pool]]
+                    if not len(at):
+                        continue
                     few = np.argpartition(draws, wanted[pool] - 1)[: wanted[pool]] if len(at) > wanted[pool] else np.arange(len(at))
                     few = np.flatnonzero(draws <= draws[few].max())  # with ties, by position
                     more = np.column_stack((draws[few], np.full(len(few), doc), at[few]))
                     both = np.concatenate((held[pool], more))
-                    held[pool] = both[np.lexsort(both.T[::-1])[: wanted[pool]]] if len(both) > 2 * wanted[pool] else both
+                    if len(both) > 2 * wanted[pool]:
+                        both = both[np.lexsort(both.T[::-1])[: wanted[pool]]]
+                        bound[pool] = int(both[-1, 0])
+                    held[pool] = both
         for pool, rows in held.items():
             rows = rows[np.lexsort(rows.T[::-1])[: wanted[pool]]]
             yield pa.RecordBatch.from_arrays([pa.array([pool] * len(rows), pa.string()), *(pa.array(c) for c in np.ascontiguousarray(rows.T))], ["pool", "draw", "doc_id", "position"])
@@ -115,10 +133,11 @@ def reservoir_cuts(docs: DataFrame, labels: list[str], inside: int, negative: in
 def _taken(doc: int, flags: np.ndarray, labels: list[str], cuts: dict, seed: int) -> dict[str, np.ndarray]:
     """The positions of each pool that its reservoir holds."""
     out = {}
+    every = keys(doc, np.arange(flags.shape[2]), seed)
     for pool, at in pools(flags, labels):
         cut = cuts[pool]
         if cut is not None and len(at):
-            draws = keys(doc, at, seed)
+            draws = every[at]
             first, second, third = cut
             at = at[(draws < first) | (draws == first) & ((doc < second) | (doc == second) & (at <= third))]
         out[pool] = at

@@ -73,3 +73,11 @@ def test_false_boundaries_are_those_of_the_columns(spark):
     rows = spark.createDataFrame(cases, "left string, right string").select("*", F.coalesce(Q.false_boundary(F.col("left"), F.col("right")), F.lit(False)).alias("want"))
     for row in rows.collect():
         assert Q.is_false_boundary(row["left"], row["right"]) == row.want, row
+
+
+def test_lines_are_those_of_the_fold(spark):
+    fields = ("value", "left", "right", "after", "gap", "rest")
+    fast, fold = (T.locate("text", p, fields, 5) for p in ("[^\\n\\r]+", "(?:[^\\n\\r]+)"))
+    for row in docs(spark, *TEXTS, " a \n\n \r\n\tb  \n ", "\n").select("text", fast.alias("fast"), fold.alias("fold")).collect():
+        assert row.fast == row.fold, row.text
+    assert "ArrowEvalPython" in plan(catalogue._spanned(spark, SF)) and "split(text#" not in plan(docs(spark, "x").select(T.locate("text", "[^\\n\\r]+")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions import predicates as Q
 from spanmill.functions import text as T
+from spanmill.operators import candidates as C
 from spanmill.plans import catalogue, segmenter
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,16 @@ def test_lines_are_those_of_the_fold(spark):
     for row in docs(spark, *TEXTS, " a \n\n \r\n\tb  \n ", "\n").select("text", fast.alias("fast"), fold.alias("fold")).collect():
         assert row.fast == row.fold, row.text
     assert "ArrowEvalPython" in plan(catalogue._spanned(spark, SF)) and "split(text#" not in plan(docs(spark, "x").select(T.locate("text", "[^\\n\\r]+")))
+
+
+def test_exhaustive_walks_windows(spark, monkeypatch):
+    monkeypatch.setattr(C, "WINDOW", 7)
+    texts = (*TEXTS, "ß🙂" * 9, "", "🙂")
+    got = {}
+    rows = C.exhaustive(docs(spark, *texts))
+    for r in rows.collect():
+        got.setdefault(r.doc_id, []).append((r.feature_pos, r.break_end))
+    for k, t in enumerate(texts):
+        ends = [len(t[:i].encode()) for i in range(len(t) + 1)] if t else []
+        assert sorted(got.get(k, [])) == list(zip(ends, ends[1:])), t
+    assert "left(" not in plan(rows) and "MapInArrow" in plan(rows)

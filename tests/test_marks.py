@@ -84,6 +84,16 @@ def test_lines_are_those_of_the_fold(spark):
     assert "ArrowEvalPython" in plan(catalogue._spanned(spark, SF)) and "split(text#" not in plan(docs(spark, "x").select(T.locate("text", "[^\\n\\r]+")))
 
 
+def test_shares_of_the_rest_of_a_line_are_those_of_the_fold(spark):
+    from spanmill.operators import lines as L
+
+    fast, fold = (L.rest_of_line_counts("text", p, "\n#:,.'") for p in ("[.!?]", "(?:[.!?])"))
+    rows = docs(spark, *TEXTS, "a. b: c\n#. x,,.\n\n.", ".\r\n'ü.':").select("text", fast.alias("fast"), fold.alias("fold"))
+    for row in rows.collect():
+        assert row.fast == row.fold, row.text
+    assert "split(text#" not in plan(rows.select("fast"))
+
+
 def test_exhaustive_walks_windows(spark, monkeypatch):
     monkeypatch.setattr(C, "WINDOW", 7)
     texts = (*TEXTS, "ß🙂" * 9, "", "🙂")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmill.functions import marks as K
 from spanmill.functions import text as T
 
 #: Order in which crossing spans win, and labels nest at equal bounds (fixed values).
@@ -213,29 +215,37 @@ def boundary_targets(candidates: DataFrame, spans: DataFrame, end: str = "end_by
 def parse_tagged(tagged: DataFrame, labels: tuple[str, ...] = PRIORITY) -> DataFrame:
     """``(doc_id, text, spans, error)`` from ``(doc_id, tagged)``: the inverse of ``render``, in either dialect.
 
-    Tags split a text into an alternating list inside the row; a fold keeps a
-    stack of open tags. ``error`` names an unknown label, a wrong closing tag or
+    Tags are read one by one with a stack of open ones, in their row. ``error`` names an unknown label, a wrong closing tag or
     one left open; spans are then empty.
     """
     pattern = "<\\|[a-z_]+\\|>|</\\|[a-z_]+\\|>|<\\|/[a-z_]+\\|>"
     kind = "array<struct<label:string,start:bigint,end:bigint>>"
-    gaps, tags = F.split("tagged", pattern, -1), F.regexp_extract_all("tagged", F.lit(pattern), F.lit(0))
-    events = F.zip_with(F.slice(gaps, 1, F.size(tags)), tags, lambda g, t: F.struct(F.length(g).alias("skip"), F.regexp_extract(t, "[a-z_]+", 0).alias("label"), t.contains("/").alias("close")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("stack"), F.array().cast(kind).alias("spans"), F.lit(None).cast("string").alias("error"))
-
-    def step(s: Column, e: Column) -> Column:
-        at = s["at"] + e["skip"]
-        top = F.try_element_at(s["stack"], F.lit(-1))
-        closes = e["close"] & top["label"].eqNullSafe(e["label"])
-        done = F.array(F.struct(top["label"].alias("label"), top["start"].alias("start"), at.alias("end")))
-        error = F.when(~e["label"].isin(*labels), F.concat(F.lit("unknown label "), e["label"])).when(e["close"] & ~closes, F.concat(F.lit("unexpected end of "), e["label"]))
-        opened = F.concat(s["stack"], F.array(F.struct(e["label"].alias("label"), at.alias("start"), F.lit(0).cast("long").alias("end"))))
-        popped = F.when(closes, F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"])
-        return F.struct(
-            at.alias("at"), F.when(e["close"], popped).otherwise(opened).alias("stack"), F.when(closes, F.concat(s["spans"], done)).otherwise(s["spans"]).alias("spans"), F.coalesce(s["error"], error).alias("error")
-        )
-
-    state = F.aggregate(events, zero, step)
-    error = F.coalesce(state["error"], F.when(F.size(state["stack"]) > 0, F.lit("a tag is left open")))
-    rows = tagged.select("doc_id", F.array_join(gaps, "").alias("text"), state["spans"].alias("found"), error.alias("error"))
-    return rows.select("doc_id", "text", F.when(F.col("error").isNull(), F.col("found")).otherwise(F.array().cast(kind)).alias("spans"), "error")
+    tag = re.compile(pattern)
+
+    def parse(text: str) -> tuple[list[tuple[str, int, int]], str | None]:
+        stack, spans, error, size = [], [], None, 0
+        for m in tag.finditer(text):
+            label, at = m[0].strip("<>|/"), m.start() - size
+            size += m.end() - m.start()
+            closes = "/" in m[0]
+            if label not in labels:
+                error = error or f"unknown label {label}"
+            if not closes:
+                stack.append((label, at))
+            elif stack and stack[-1][0] == label:
+                spans.append((label, stack.pop()[1], at))
+            else:
+                error = error or f"unexpected end of {label}"
+        error = error or ("a tag is left open" if stack else None)
+        return [] if error else spans, error
+
+    def run(raws: pa.Array) -> pa.Array:
+        found = [None if text is None else parse(text) for text, _ in K.texts(raws)]
+        flat = [s for x in found if x for s in x[0]]
+        columns = [pa.array([s[k] for s in flat], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        spans = K.lists([x and len(x[0]) for x in found], pa.StructArray.from_arrays(columns, ["label", "start", "end"]))
+        return pa.StructArray.from_arrays([spans, pa.array([x and x[1] for x in found], pa.string())], ["spans", "error"])
+
+    parsed = F.arrow_udf(K.by_slices(run), f"struct<spans:{kind},error:string>")(F.col("tagged").cast("binary"))
+    rows = tagged.select("doc_id", F.regexp_replace("tagged", pattern, "").alias("text"), parsed.alias("p"))
+    return rows.select("doc_id", "text", "p.spans", "p.error")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from spanmill.functions import predicates as Q
 from spanmill.functions import text as T
 from spanmill.operators import candidates as C
+from spanmill.operators import features as X
+from spanmill.operators import spans as R
 from spanmill.plans import catalogue, segmenter
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +107,13 @@ def test_exhaustive_walks_windows(spark, monkeypatch):
         ends = [len(t[:i].encode()) for i in range(len(t) + 1)] if t else []
         assert sorted(got.get(k, [])) == list(zip(ends, ends[1:])), t
     assert "left(" not in plan(rows) and "MapInArrow" in plan(rows)
+
+
+def test_tags_are_parsed_without_a_fold(spark):
+    S = R.parse_tagged(spark.createDataFrame([(0, "<|sentence|>Ü<|section|>b</|section|><|/sentence|> c"), (1, "a<|nope|>"), (2, "</|section|>"), (3, "<|section|>x"), (4, None), (5, ""), (6, "<|nope|></|section|>")], "doc_id long, tagged string"))
+    got = {r.doc_id: (r.text, r.spans and [tuple(s) for s in r.spans], r.error) for r in S.collect()}
+    assert got == {
+        0: ("Üb c", [("section", 1, 2), ("sentence", 0, 2)], None), 1: ("a", [], "unknown label nope"), 2: ("", [], "unexpected end of section"), 3: ("x", [], "a tag is left open"), 4: (None, None, None),
+        5: ("", [], None), 6: ("", [], "unknown label nope"),
+    }
+    assert "aggregate(" not in plan(S)

@@ -117,3 +117,9 @@ def test_tags_are_parsed_without_a_fold(spark):
         5: ("", [], None), 6: ("", [], "unknown label nope"),
     }
     assert "aggregate(" not in plan(S)
+
+
+def test_shares_of_texts_gather_no_matches(spark, monkeypatch):
+    monkeypatch.setattr(catalogue.M, "fit_heads", lambda rows, labels: {c: ([0.5] * 5, 0.0) for c in labels})
+    found = plan(catalogue.queries()["train_heads"](spark, SF))
+    assert "regexp_replace(" in found and "regexp_count(" not in found and "regexp_extract_all(" not in found

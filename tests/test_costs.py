@@ -96,3 +96,20 @@ def test_long_blocks_are_not_read_again_for_each_line(spark):
 def test_sentence_edges_at_a_threshold(spark):
     rows = segmenter.sentences(docs(spark, "One here. Two there."), values=False).collect()
     assert [(r.start, r.end) for r in rows] == [(0, 9), (10, 20)]
+
+
+def test_scans_copy_no_element_for_each_that_follows(spark):
+    import itertools
+    import time
+
+    kind = "struct<a:bigint,b:string>"
+    plus = lambda s, x: (s + x, F.struct((s + x).alias("a"), F.lit("b").alias("b")))
+    seconds = []
+    for n in (0, 1, 16, 17, 256, 4_097, 3_000, 30_000):
+        items = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
+        began = time.perf_counter()
+        found = spark.range(1).select(T.scan(items, F.lit(0).cast("bigint"), plus, kind).alias("s")).first().s
+        seconds.append(time.perf_counter() - began)
+        assert [x.a for x in found] == list(itertools.accumulate(range(1, n + 1)))
+    assert seconds[-1] < 15 * seconds[-2] + 1, seconds
+    assert spark.range(1).select(T.scan(F.lit(None).cast("array<int>"), F.lit(0).cast("bigint"), plus, kind).alias("s")).first().s is None

@@ -123,3 +123,37 @@ def test_shares_of_texts_gather_no_matches(spark, monkeypatch):
     monkeypatch.setattr(catalogue.M, "fit_heads", lambda rows, labels: {c: ([0.5] * 5, 0.0) for c in labels})
     found = plan(catalogue.queries()["train_heads"](spark, SF))
     assert "regexp_replace(" in found and "regexp_count(" not in found and "regexp_extract_all(" not in found
+
+
+ODD = (b"A. b! \xff? C. d.", b"\xc3. Ae. x", b"Fine. Text here. And so")
+
+
+def test_odd_bytes_are_read_as_before(spark):
+    """Texts that aren't UTF-8 stand between sound ones in a slice."""
+    rows = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(ODD)], "doc_id long, raw binary").coalesce(1).select("doc_id", F.col("raw").cast("string").alias("text"))
+    fields = ("value", "left", "right", "after", "gap", "rest")
+    for row in rows.select("doc_id", T.locate("text", "[.!?]", fields, 4).alias("m"), segmenter._sentence_spans(0.5).alias("s")).collect():
+        t = ODD[row.doc_id].decode("utf-8", "replace")
+        marks = [k for k, c in enumerate(t) if c in ".!?"]
+        assert [(m.start, m.left, m.gap, m.rest) for m in row.m] == [(k, t[max(0, k - 4) : k], t[last:k], t[k + 1 : following]) for k, last, following in zip(marks, [0, *(k + 1 for k in marks)], [*marks[1:], len(t)])]
+        assert len(row.s) > 0 and all(t[x.end - 1] in ".!?" and not t[x.start].isspace() for x in row.s)
+    assert "is_valid_utf8" in plan(rows.select(segmenter._sentence_spans(0.5)))
+
+
+def test_marks_of_a_slice_are_found_at_once(monkeypatch):
+    """No Python call for each mark: what is taken around one is not asked."""
+    import pyarrow as pa
+
+    from spanmill.functions import marks
+
+    raws = pa.array([None if t is None else t.encode() for t in (*TEXTS, "ü.é")], pa.binary())
+    p = marks.Places(raws.slice(3), marks.ascii_class("[.!?]"))
+    assert p.pieces(p.before(p.at, p.low, 2), p.at).to_pylist()[:5] == ["nö", "ei", " 🙂", "de", " "]
+    assert marks.ascii_class("[^\\n]+") is None and marks.ascii_class("[.…]") is None and marks.ascii_class("[\\n.]").sum() == 2
+
+
+def test_a_pipeline_cuts_no_wider_than_its_blocks_look():
+    from spanmill.plans.pipeline import Pipeline
+
+    assert Pipeline().with_block("n", X.ascii_neighbours).reach == 1
+    assert Pipeline().with_block("n", X.ascii_neighbours).with_block("t", X.token_shape).reach == X.REACH

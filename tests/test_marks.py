@@ -157,3 +157,22 @@ def test_a_pipeline_cuts_no_wider_than_its_blocks_look():
 
     assert Pipeline().with_block("n", X.ascii_neighbours).reach == 1
     assert Pipeline().with_block("n", X.ascii_neighbours).with_block("t", X.token_shape).reach == X.REACH
+
+
+def test_shares_of_either_side_are_those_of_the_regexes(spark, monkeypatch):
+    from spanmill.functions import marks
+
+    classes = [*[X.BYTE_CLASSES[c] for c in X.COUNTED], *X.UNICODE_GROUPS, "\\p{Lu}", "\\p{Ll}"]
+    sides = ["", "Ab 1", "a\n\r\t\f[(]){}", "x" * 20, "".join(map(chr, range(1, 65))), "".join(map(chr, range(64, 128))), "Ünö²€\u2003", "\x7f\x00~`^$+<=>|"]
+    rows = spark.createDataFrame([(a, b) for a in sides for b in sides], "left string, right string")
+    quick = rows.select(X.class_counts(classes, 64, 64, True).alias("x"))
+    assert "ArrowEvalPython" in plan(quick)
+    got = [r.x for r in quick.collect()]
+    monkeypatch.setattr(marks, "side_shares", lambda *a: None)
+    assert got == [r.x for r in rows.select(X.class_counts(classes, 64, 64, True).alias("x")).collect()]
+
+
+def test_neighbours_are_compared_without_a_regex(spark):
+    rows = spark.createDataFrame([("a", "B"), ("", "é"), ("É", "\n"), ("Z", "z"), ("[", "{")], "left string, right string").select(X.ascii_neighbours().alias("x"))
+    assert "RLIKE" not in plan(rows) and "rlike" not in plan(rows)
+    assert [r.x for r in rows.collect()] == [[0, 0, 1, 0, 1, 0], [0] * 6, [0, 0, 0, 1, 0, 0], [0, 1, 0, 0, 0, 1], [0] * 6]

@@ -29,6 +29,8 @@ SUPPORT = 3
 DISCLOSURE = 0.5
 #: Bits of the filters that keep scans to entities and words that may count: 1 MB each at any corpus size.
 FILTER_BITS = 1 << 23
+#: One document of so many tells which words are too common to disclose anything.
+PART = 64
 #: Up to so many disclosing terms are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 1_000_000
 
@@ -195,19 +197,25 @@ def find_disclosing(docs: DataFrame, entities: DataFrame, text_col: str = "text"
     A pair needs ``support`` documents and a disclosure at the threshold at
     least. So its entity has that many documents, and its term at most
     ``1 / disclosure`` times as many as its entity; only what can meet this is paired.
+    A word that already stands in more than ``held / disclosure`` of a part of the
+    documents can't meet it whatever the others hold, so such common words are
+    told by that part and aren't counted in every task; all others are counted in all documents.
     """
     known = entities.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holders")).where(F.col("holders") >= support)
     known = durable(known, "known")
     known_bits = bit_filter(known, "entity", FILTER_BITS)
     held = durable(count_held(docs, known_bits, text_col).where(F.col("held") >= support), "held")
-    totals = held.join(count_terms(docs, held, text_col), "term").where(F.col("held") >= disclosure * F.col("documents")).select("term", "documents")
+    part = count_terms(docs.where(F.pmod(F.xxhash64(text_col), F.lit(PART)) == 0), held, text_col).withColumnRenamed("documents", "some")
+    rare = held.join(part, "term", "left").where(F.col("some").isNull() | (F.col("held") >= disclosure * F.col("some"))).select("term", "held")
+    rare = durable(rare, "rare")
+    totals = rare.join(count_terms(docs, rare, text_col), "term").where(F.col("held") >= disclosure * F.col("documents")).select("term", "documents")
     totals = durable(totals, "totals")
     holders = durable(find_holders(docs, known_bits, bit_filter(totals, "term", FILTER_BITS), text_col), "holders")
     near = holders.select("row", F.explode("entities").alias("entity")).join(known, "entity")
     words = holders.select("row", F.explode("terms").alias("term")).join(totals, "term")
     pairs = near.join(words, "row").where(F.col("holders") >= disclosure * F.col("documents")).groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("documents").alias("documents"))
     found = durable(pairs.where((F.col("both") >= support) & (F.col("both") >= disclosure * F.col("documents"))).select("term").distinct(), "disclosing")
-    discard(known, held, totals, holders)
+    discard(known, held, rare, totals, holders)
     return found
 
 

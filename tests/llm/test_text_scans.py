@@ -277,3 +277,24 @@ def test_ngrams_of_long_texts(monkeypatch):
     monkeypatch.setattr(lang_id, "PIECE", 40)
     pieces = lang_id.ngrams(text, letters)
     assert all((a == b).all() for a, b in zip(whole, pieces, strict=True)) and len(lang_id.ngrams("", letters)[0]) == 0
+
+
+def test_common_words_are_not_counted_in_every_task(spark, monkeypatch):
+    """Words that a part of the documents shows to be too common go before the count over all, and no disclosing term with them."""
+    from spanmill.llm import pii
+
+    rows = [(k, f"the mail of person{k % 7} is p{k % 7}@x.org secretword{k % 7} said they") for k in range(42)] + [(100 + k, f"the word number{k} said they person{k % 7}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked, count = [], pii.count_terms
+    monkeypatch.setattr(pii, "count_terms", lambda d, terms, *a: asked.append(terms) or count(d, terms, *a))
+    found, sizes = {}, {}
+    for part in (2, 1 << 62):
+        monkeypatch.setattr(pii, "PART", part)
+        asked.clear()
+        kept = []
+        monkeypatch.setattr(pii, "discard", lambda *tables: kept.extend(t.count() for t in tables))
+        entities = pii.durable(pii.find_entities(docs), "entities")
+        found[part] = {r.term for r in pii.find_disclosing(docs, entities).collect()}
+        sizes[part] = kept[2]
+    assert len(found[2]) == 7 and found[2] == found[1 << 62]  # secretword0 to 6, each in 6 documents with its entity
+    assert sizes[2] < sizes[1 << 62]

@@ -118,16 +118,18 @@ def reservoir_cuts(docs: DataFrame, labels: list[str], inside: int, negative: in
             yield pa.RecordBatch.from_arrays([pa.array([pool] * len(rows), pa.string()), *(pa.array(c) for c in np.ascontiguousarray(rows.T))], ["pool", "draw", "doc_id", "position"])
 
     drawn = _rows(docs, text, spans).mapInArrow(scan, "pool string, draw long, doc_id long, position long")
+    return out | last_drawn(drawn, wanted)
+
+
+def last_drawn(drawn: DataFrame, caps: dict[str, int]) -> dict[str, tuple[int, int, int] | None]:
+    """For each pool of ``drawn`` ``(pool, draw, doc_id, position)`` the last of as many as its cap, nothing where there are fewer."""
     order = [F.col("draw"), F.col("doc_id"), F.col("position")]
-    cap = F.coalesce(*[F.when(F.col("pool") == p, c) for p, c in wanted.items()])
+    cap = F.coalesce(*[F.when(F.col("pool") == p, c) for p, c in caps.items()])
     for by in ([F.col("pool"), F.pmod(F.col("draw"), F.lit(MERGE_BUCKETS))], [F.col("pool")]):
-        drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= max(wanted.values())).where(F.col("r") <= cap).drop("r")
+        drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= max(caps.values())).where(F.col("r") <= cap).drop("r")
     last = drawn.groupBy("pool").agg(F.count("*").alias("n"), F.max(F.struct("draw", "doc_id", "position")).alias("last"))
     found = {r.pool: (r.n, tuple(r.last)) for r in last.collect()}  # a row for each pool
-    for pool, cap_of in wanted.items():
-        n, cut = found.get(pool, (0, None))
-        out[pool] = cut if n == cap_of else None
-    return out
+    return {pool: found[pool][1] if found.get(pool, (0, None))[0] == cap_of else None for pool, cap_of in caps.items()}
 
 
 def _taken(doc: int, flags: np.ndarray, labels: list[str], cuts: dict, seed: int) -> dict[str, np.ndarray]:
@@ -170,6 +172,11 @@ RADII = (8, 32)
 RATES = ("alpha", "digit", "space", "newline", "upper", "punct", "quote")
 QUOTES = "\"'“”‘’"
 FLAGS = ("is_alpha", "is_upper", "is_lower", "is_digit", "is_space", "is_newline", "is_punct")
+#: What a character can be.
+TESTS = {
+    "is_alpha": str.isalpha, "is_upper": str.isupper, "is_lower": str.islower, "is_digit": str.isdigit, "is_space": str.isspace, "is_newline": lambda c: c in "\r\n",
+    "is_punct": lambda c: unicodedata.category(c)[0] == "P", "is_quote": lambda c: c in QUOTES,
+}
 CATEGORICAL = ("ch", "cat", *(f"n{o:+d}_{c}" for o in NEIGHBOURS for c in ("ch", "cat")))
 NUMERIC = (
     "bias", *FLAGS, "pos_frac", "from_start_log", "to_end_log", *(f"n{o:+d}_{c}" for o in NEIGHBOURS for c in ("space", "newline")),
@@ -204,11 +211,7 @@ def position_features(text: str, at: np.ndarray) -> tuple[dict[str, np.ndarray],
     which = np.append(which, len(chars))  # one more for what is outside
     names = np.array([*(bucket(c) for c in chars), "<EDGE>"], object)
     cats = np.array([*(unicodedata.category(c) for c in chars), "NONE"], object)
-    tests = {
-        "is_alpha": str.isalpha, "is_upper": str.isupper, "is_lower": str.islower, "is_digit": str.isdigit, "is_space": str.isspace, "is_newline": lambda c: c in "\r\n",
-        "is_punct": lambda c: unicodedata.category(c)[0] == "P", "is_quote": lambda c: c in QUOTES,
-    }
-    flag = {name: np.array([*map(test, chars), False], float) for name, test in tests.items()}
+    flag = {name: np.array([*map(test, chars), False], float) for name, test in TESTS.items()}
     own = which[at]
     numeric = {"bias": np.ones(len(at)), **{f: flag[f][own] for f in FLAGS}}
     numeric |= {"pos_frac": at / max(1, n - 1), "from_start_log": np.log1p(at), "to_end_log": np.log1p(n - 1 - at)}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from spanmill.functions.marks import texts as decoded
 from spanmill.operators import positions as P
-from spanmill.operators.positions import KINDS, RADII, _columns
+from spanmill.operators.positions import KINDS, NEGATIVE, RADII, _columns
 from spanmill.operators.sampling import _A, _B, _MOD
 
 #: Where the seven characters stand; the first six are kept in pairs.
@@ -78,8 +78,10 @@ class _Texts:
         self.flags = np.zeros((len(labels), len(KINDS), self.n), bool)
         for k in range(len(labels)):
             own = which == k
-            depth = np.bincount(start[own], minlength=self.n + 1) - np.bincount(last[own] + 1, minlength=self.n + 1)
-            np.greater(np.cumsum(depth[: self.n]), 0, out=self.flags[k, 0])
+            depth = np.zeros(self.n + 1, np.int32)
+            np.add.at(depth, start[own], 1)
+            np.subtract.at(depth, last[own] + 1, 1)
+            np.greater(np.cumsum(depth[: self.n], dtype=np.int32), 0, out=self.flags[k, 0])
         self.edge = np.zeros(self.n, bool)
         for kind, here, at in ((1, ~left, start), (2, ~right, last), (3, left & first, start), (4, right & whole, last)):
             self.flags[which[here], kind, at[here]] = True
@@ -87,11 +89,16 @@ class _Texts:
 
     def draws(self, seed: int) -> np.ndarray:
         """``positions.keys`` of all positions."""
-        first = np.array([(doc + seed) % _MOD * _A for doc in self.docs], np.uint64)
+        first = np.array([(doc + seed) % _MOD * _A for doc in self.docs], np.uint64) + np.uint64(12345)
         x = np.arange(self.n, dtype=np.uint64)
         x -= np.repeat(self.begins.astype(np.uint64), self.sizes)
-        x = (x * np.uint64(_B) + np.repeat(first + np.uint64(12345), self.sizes)) % np.uint64(_MOD)
-        return (x * np.uint64(_A) % np.uint64(_MOD) * np.uint64(_B) % np.uint64(_MOD)).astype(np.int64)
+        x *= np.uint64(_B)
+        x += np.repeat(first, self.sizes)
+        most = np.uint64(_MOD)
+        for factor in (_A, _B, 1):
+            x -= x // most * most  # a division by a constant is quicker than a remainder
+            x *= np.uint64(factor)
+        return x.astype(np.int64)
 
     def pack(self, at: np.ndarray, units: np.ndarray, targets: list[tuple[int, int]]) -> np.ndarray:
         """``ROW`` of positions in ascending order."""
@@ -175,7 +182,7 @@ def positions(docs: DataFrame, labels: list[str], targets: list[str], inside: in
     if len(targets) > 8:
         raise ValueError("a position has room for 8 targets")
     asked = [(labels.index(label), KINDS.index(kind)) for kind, label in (t.split(":", 1) for t in targets)]
-    caps = {**dict.fromkeys(labels, inside), P.NEGATIVE: negative}
+    caps = {**dict.fromkeys(labels, inside), NEGATIVE: negative}
     pools = list(caps)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +192,7 @@ def positions(docs: DataFrame, labels: list[str], targets: list[str], inside: in
         texts = 0
         for t in _slices(batches, labels, table):
             sure = t.edge.copy()
-            here = {p: t.flags[k, 0] & ~t.edge for k, p in enumerate(labels)} | {P.NEGATIVE: ~(t.edge | t.flags[:, 0].any(axis=0))}
+            here = {p: t.flags[k, 0] & ~t.edge for k, p in enumerate(labels)} | {NEGATIVE: ~(t.edge | t.flags[:, 0].any(axis=0))}
             for p, c in caps.items():
                 if c < 0:
                     sure |= here[p]
@@ -243,7 +250,7 @@ def _least(keys: np.ndarray, rows: np.ndarray, cap: int) -> tuple[np.ndarray, np
 
 def settle(found: DataFrame, labels: list[str], inside: int, negative: int) -> DataFrame:
     """``(block)``: blocks of those candidates of ``positions`` that are in the reservoirs of the whole corpus. ``found`` is read twice: persist it."""
-    caps = {**dict.fromkeys(labels, inside), P.NEGATIVE: negative}
+    caps = {**dict.fromkeys(labels, inside), NEGATIVE: negative}
     wanted = {p: c for p, c in caps.items() if c > 0}
     if not wanted:
         return found.where("drawn is not null").select("block")  # none
